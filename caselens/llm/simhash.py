@@ -42,18 +42,18 @@ PART, RADIUS = 23, 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """SimHash of the ``width``-word shingles of ``text``: a bit is 1 if it is
-    set in more than half of the hashes, repeats included."""
+def shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
+    """Hashes of the ``width``-word shingles, repeats included; none without words."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
-    if len(words) <= width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
+        return np.zeros(0, "<u8")
+    shingles = [b" ".join(words)] if len(words) <= width else map(b" ".join, zip(*(words[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, seed) for x in shingles], dtype="<u8")
+    return np.array([digest(x, seed) for x in shingles], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The word whose bits are set in more than half of the hashes."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -61,15 +61,34 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(df: DataFrame, name: str = "fp", width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and the fingerprint as a signed 64-bit integer, a row for each row."""
+def remixed(hashes: np.ndarray, view: int) -> np.ndarray:
+    """Hashes of another, independent view; view 0 is the hashes themselves."""
+    if not view:
+        return hashes
+    with np.errstate(over="ignore"):
+        z = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * view & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        return (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42, view: int = 0) -> int:
+    """SimHash of ``text``: zero without words."""
+    return majority(remixed(shingle_hashes(text, width, seed), view))
+
+
+def with_fingerprints(df: DataFrame, key: str, views: int = 1, width: int = 3, seed: int = 42) -> DataFrame:
+    """``key`` (long) and ``fps``: a signed 64-bit fingerprint for each view, a row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py(), width, seed) for x in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", name])
+            rows = []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), width, seed)
+                rows.append([majority(remixed(hashes, v)) for v in range(views)])
+            fps = np.array(rows, np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, views, dtype=np.int32)), pa.array(fps))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "fps"])
 
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {name} long")
+    return df.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{key} long, fps array<bigint>")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -103,53 +122,58 @@ def _expand(parts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return row, parts[row] ^ words[at], weight[at]
 
 
-def anchors(fps: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index into fps, anchor, at home) for every anchor where a fingerprint is
-    at home or a guest."""
+def anchors(fps: np.ndarray, beyond: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into fps, anchor, at home) for every anchor within the covering
+    radius plus ``beyond`` bits of a fingerprint."""
     u = fps.view(np.uint64)
     low, high = (u & np.uint64(0x7FFFFF)).astype(np.int64), (u >> np.uint64(23) & np.uint64(0x7FFFFF)).astype(np.int64)
-    r1, c1, d1 = _expand(low, RADIUS + threshold)
-    r2, c2, d2 = _expand(high, RADIUS + threshold)
+    r1, c1, d1 = _expand(low, RADIUS + beyond)
+    r2, c2, d2 = _expand(high, RADIUS + beyond)
     n2 = np.bincount(r2, minlength=len(fps))
     s2 = np.cumsum(n2) - n2
     rep = n2[r1]
     left = np.repeat(np.arange(len(r1)), rep)
     right = np.arange(len(left)) - np.repeat(np.cumsum(rep) - rep, rep) + np.repeat(s2[r1], rep)
     over = np.maximum(d1[left] - RADIUS, 0) + np.maximum(d2[right] - RADIUS, 0)
-    keep = over <= threshold
+    keep = over <= beyond
     left, right = left[keep], right[keep]
     return r1[left], c1[left] << PART | c2[right], (d1[left] <= RADIUS) & (d2[right] <= RADIUS)
 
 
-def replicas(fps: DataFrame, threshold: int) -> DataFrame:
-    """(anchor, fp, home) from distinct ``fp``."""
+def replicas(fps: DataFrame, beyond: int) -> DataFrame:
+    """(anchor, fp, home) from distinct (``view``, ``fp``); the anchors of each view are its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False)
+            views, values = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for at in range(0, len(values), 2000):
                 part = values[at : at + 2000]
-                row, anchor, home = anchors(part, threshold)
+                row, anchor, home = anchors(part, beyond)
+                anchor = anchor | views[at : at + 2000][row].astype(np.int64) << 2 * PART
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row]), pa.array(home)], names=["anchor", "fp", "home"])
 
-    return fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
+    return fps.select(F.col("view").cast("long"), "fp").mapInArrow(run, "anchor long, fp long, home boolean")
 
 
 def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints that differ in at most ``threshold`` bits."""
-    if threshold == 0:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    copies = staged(replicas(fps, threshold), "simhash-replicas")
-    home = copies.where("home").select("anchor", F.col("fp").alias("x"))
+    return view_links(fps.withColumn("view", F.lit(0)), threshold).select("a", "b")
+
+
+def view_links(fps: DataFrame, threshold: int, halved: bool = False) -> DataFrame:
+    """(view, a, b): as ``links``, in each view of (``view``, ``fp``).
+
+    ``halved``: both sides go to the anchors within radius plus half the threshold,
+    rounded up. A word halfway between two near fingerprints is that near to each,
+    and the anchor that covers it has both; it takes fewer copies, but compares all
+    of an anchor with all.
+    """
+    copies = staged(replicas(fps, -(-threshold // 2) if halved else threshold), "simhash-replicas")
+    home = copies.select("anchor", F.col("fp").alias("x")) if halved else copies.where("home").select("anchor", F.col("fp").alias("x"))
     guest = copies.select("anchor", F.col("fp").alias("y"))
-    near = F.expr(f"x <> y AND bit_count(x ^ y) <= {int(threshold)}")
-    return (
-        home.hint("merge")
-        .join(guest, "anchor")
-        .where(near)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
+    near = F.expr(f"{'x < y' if halved else 'x <> y'} AND bit_count(x ^ y) <= {int(threshold)}")
+    pairs = home.hint("merge").join(guest, "anchor").where(near)
+    return pairs.select(F.shiftright("anchor", 2 * PART).alias("view"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -183,7 +207,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def dedup_groups(documents: DataFrame, threshold: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable) for each row."""
-    prints = staged(with_fingerprint(documents, "fp", width, seed), "simhash-prints")
+    prints = staged(with_fingerprints(documents, "doc_id", 1, width, seed).select("doc_id", F.col("fps")[0].alias("fp")), "simhash-prints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = components(links(distinct, threshold))
     classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("class"), "first_id")
@@ -196,15 +220,25 @@ def fingerprint_hex() -> Column:
     return F.lower(F.lpad(F.hex("fp"), 16, "0"))
 
 
-def keep_first(documents: DataFrame, threshold: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
+def keep_first(documents: DataFrame, threshold: int = 2, width: int = 3, seed: int = 42, views: int = 8) -> DataFrame:
     """The rows of ``documents`` without those whose group has an earlier one: the
-    row of least doc_id stays (a null id only in a group without another)."""
+    row of least doc_id stays (a null id only in a group without another).
+
+    One fingerprint of 64 bits misses most copies with a few words in a hundred
+    changed. So texts get ``views`` independent ones and link where any is near.
+    Texts that agree in a view's fingerprint hang on one of them, the least.
+    """
     rows = staged(packed(documents).withColumn("uid", F.monotonically_increasing_id()), "simhash-documents")
-    light = rows.select(F.col("uid").alias("doc_id"), "doc.text")
-    prints = staged(with_fingerprint(light, "fp", width, seed).withColumnRenamed("doc_id", "uid"), "simhash-prints")
+    prints = staged(with_fingerprints(rows.select("uid", "doc.text"), "uid", views, width, seed), "simhash-prints")
+    nodes = prints.select(F.col("fps")[0].alias("node"), F.posexplode("fps").alias("view", "fp"))
+    named = staged(nodes.groupBy("view", "fp", "node").agg(F.lit(1).alias("one")).drop("one"), "simhash-distinct")
+    heads = named.groupBy("view", "fp").agg(F.min("node").alias("head"))
+    stars = named.join(heads, ["view", "fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    near = staged(view_links(heads.select("view", "fp"), threshold, halved=True), "simhash-links")
+    side = lambda c: heads.select("view", F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    joined = near.join(side("a"), ["view", "a"]).join(side("b"), ["view", "b"]).select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    roots = components(stars.union(joined))
     order = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("id"), "uid")
-    ids = rows.select("uid", order.alias("at"))
-    distinct = staged(prints.join(ids, "uid").groupBy("fp").agg(F.min("at").alias("least")), "simhash-distinct")
-    roots = components(links(distinct, threshold))
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("class")).agg(F.min("least").alias("least"))
+    first = rows.select("uid", order.alias("at")).join(prints.select("uid", F.col("fps")[0].alias("node")), "uid").groupBy("node").agg(F.min("at").alias("least"))
+    classes = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("least").alias("least"))
     return rows.join(classes.select(F.col("least.uid").alias("uid")), "uid", "left_semi").select("doc.*")
