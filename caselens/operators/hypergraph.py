@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselens.functions.text import quoted
+from caselens.operators.rules import checkpointed
+
 #: Similarities are decimals, so that sums agree whatever the order of addition.
 WEIGHT = "decimal(18,6)"
 
@@ -38,3 +43,152 @@ def weighted_neighbours(participants: DataFrame, seeds: DataFrame | None = None,
     right = inc.select("edge_id", F.col("node_id").alias("neighbour_id"))
     pairs = left.join(right, "edge_id").where("node_id <> neighbour_id")
     return pairs.groupBy("node_id", "neighbour_id").agg(F.sum("weight").cast(WEIGHT).alias("similarity"), F.count("*").alias("shared"))
+
+
+def top_neighbours(pairs: DataFrame, k: int = 10) -> DataFrame:
+    """K1. The ``k`` most similar neighbours of every node; ties by shared edges, then id."""
+    by = Window.partitionBy("node_id").orderBy(F.desc("similarity"), F.desc("shared"), "neighbour_id")
+    return pairs.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+
+
+def degrees(participants: DataFrame) -> DataFrame:
+    """A2. node_id, degree: distinct edges of each node."""
+    return participants.groupBy("node_id").agg(F.count_distinct("edge_id").alias("degree"))
+
+
+def neighbour_counts(participants: DataFrame) -> DataFrame:
+    """G15. node_id, neighbours: distinct other nodes that share an edge."""
+    m = participants.select("edge_id", "node_id").distinct()
+    pairs = m.join(m.withColumnRenamed("node_id", "other"), "edge_id").where("node_id <> other").select("node_id", "other").distinct()
+    counted = pairs.groupBy("node_id").agg(F.count("*").alias("neighbours"))
+    return m.select("node_id").distinct().join(counted, "node_id", "left").select("node_id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+
+
+def khop_neighbours(
+    participants: DataFrame, seeds: DataFrame, k_hop: int = 2, top_k: int = 20, beta: float = 1.0, decay: float = 0.85, max_edge_rank: int | None = None, frontier_width: int = 200, hop_top_n: int = 2000
+) -> DataFrame:
+    """G14, G19, K2. node_id (a seed), neighbour_id, similarity, place: all seeds at once.
+
+    Each hop joins the frontier of every seed with the incidence, weights by edge
+    rank, truncates and decays. A pair that meets in several roles of an edge counts
+    as often, visited nodes may return and the seed itself may not. Hops are
+    written to shared storage, so the plan does not grow with them.
+    """
+    inc = weighted_incidence(participants, beta, max_edge_rank)
+    roles = participants.select("edge_id", "node_id").join(inc.select("edge_id", "weight").distinct(), "edge_id")
+    source = roles.select("edge_id", F.col("node_id").alias("at"), "weight")
+    target = roles.select("edge_id", F.col("node_id").alias("next"))
+    frontier = seeds.select("node_id").distinct().select("node_id", F.col("node_id").alias("at"), F.lit(1).cast("double").alias("score"))
+    found = None
+    by = Window.partitionBy("node_id").orderBy(F.desc("hop_score"), "next")
+    for hop in range(1, k_hop + 1):
+        step = frontier.join(source, "at").join(target, "edge_id").where("at <> next")
+        scored = step.groupBy("node_id", "next").agg(F.round(F.sum(F.col("score") * F.col("weight").cast("double")), 9).alias("hop_score"))
+        scored = scored.withColumn("place", F.row_number().over(by)).where(F.col("place") <= hop_top_n).where("next <> node_id AND hop_score > 0")
+        scored = checkpointed(scored)
+        part = scored.select("node_id", F.col("next").alias("neighbour_id"), (F.col("hop_score") * decay ** (hop - 1)).alias("score"))
+        found = part if found is None else found.union(part)
+        frontier = scored.withColumn("place", F.row_number().over(by)).where(F.col("place") <= frontier_width).select("node_id", F.col("next").alias("at"), F.col("hop_score").alias("score"))
+    total = found.groupBy("node_id", "neighbour_id").agg(F.round(F.sum("score"), 6).alias("similarity"))
+    ranked = Window.partitionBy("node_id").orderBy(F.desc("similarity"), "neighbour_id")
+    return total.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= top_k)
+
+
+def risk_patterns(nodes: DataFrame, participants: DataFrame, edges: DataFrame, contains: DataFrame, keywords: list[str], limit: int = 5) -> DataFrame:
+    """G16, J6, A20. edge_id, case_id, matched, members, strategies of the risk
+    edges with a node whose name, description or tags contain a keyword.
+
+    nodes: node_id, node_type, name, text; edges: edge_id, case_id; contains: case_id, node_id.
+    """
+    words = [w.lower().strip() for w in keywords if w.strip()]
+    if not words:
+        return edges.select("edge_id", "case_id", *(F.lit(None).cast("array<string>").alias(c) for c in ("matched", "members", "strategies"))).where("false")
+    kinds = ["Concept", "Metric", "Mistake", "Artifact", "Project", "Task", "Method"]
+    hit = nodes.where(F.col("node_type").isin(kinds) & F.lower("text").rlike(quoted(words))).select("node_id", "name")
+    sets = lambda c: F.array_sort(F.collect_set(c))
+    matched = participants.join(hit, "node_id").groupBy("edge_id").agg(sets("name").alias("matched"))
+    found = edges.join(matched, "edge_id").orderBy("edge_id", "case_id").limit(limit)
+    named = nodes.select("node_id", "name", "node_type")
+    members = participants.join(found.select("edge_id"), "edge_id", "left_semi").join(named, "node_id").groupBy("edge_id").agg(sets(F.concat_ws(":", "role", "name")).alias("members"))
+    fixes = contains.join(found.select("case_id").distinct(), "case_id", "left_semi").join(named.where(F.col("node_type").isin("Task", "Method", "Artifact")), "node_id").groupBy("case_id").agg(F.slice(sets("name"), 1, 5).alias("strategies"))
+    return found.join(members, "edge_id", "left").join(fixes, "case_id", "left").select("edge_id", "case_id", "matched", "members", "strategies")
+
+
+def skeleton(participants: DataFrame, nodes: DataFrame, min_average: float = 2.0, min_share: float = 0.3, high_rank: int = 3) -> DataFrame:
+    """A18, G22. case_id, edges, average_rank, high_share, isolated, degenerate of
+    each case; participants and nodes have case_id."""
+    ranks = participants.groupBy("case_id", "edge_id").agg(F.count_distinct("node_id").alias("rank"))
+    d = lambda c: c.cast("decimal(18,6)")
+    stats = ranks.groupBy("case_id").agg(F.count("*").alias("edges"), F.round(F.avg(d(F.col("rank"))), 4).alias("average_rank"), F.round(F.avg(d((F.col("rank") >= high_rank).cast("int"))), 4).alias("high_share"))
+    lonely = nodes.join(participants.select("case_id", "node_id").distinct(), ["case_id", "node_id"], "left_anti").groupBy("case_id").agg(F.count("*").alias("isolated"))
+    joined = nodes.select("case_id").distinct().join(stats, "case_id", "left").join(lonely, "case_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = joined.select("case_id", zero("edges").alias("edges"), zero("average_rank").cast("double").alias("average_rank"), zero("high_share").cast("double").alias("high_share"), zero("isolated").alias("isolated"))
+    return out.withColumn("degenerate", (F.col("edges") == 0) | ((F.col("average_rank") <= min_average) & (F.col("high_share") < min_share)))
+
+
+def rank_histogram(participants: DataFrame) -> DataFrame:
+    """A18. rank, edges."""
+    return edge_ranks(participants).groupBy("rank").agg(F.count("*").alias("edges"))
+
+
+def incidence_faults(participants: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """G21, U7, J10. fault, n: repeated rows, empty ids, edges without members,
+    members that are no node, nodes without an edge."""
+    p = participants
+    key = p.groupBy("edge_id", "role", "node_id").agg(F.count("*").alias("n"))
+    one = lambda name, df, n=None: df.agg(F.lit(name).alias("fault"), (F.count("*") if n is None else F.coalesce(F.sum(n), F.lit(0))).alias("n")).select("fault", "n")
+    parts = [
+        one("duplicate_members", key.where("n > 1"), F.col("n") - 1),
+        one("empty_ids", p.where("edge_id IS NULL OR node_id IS NULL")),
+        one("empty_edges", edges.select("edge_id").distinct().join(p, "edge_id", "left_anti")),
+        one("unknown_nodes", p.select("node_id").where("node_id IS NOT NULL").distinct().join(nodes, "node_id", "left_anti")),
+        one("isolated_nodes", nodes.select("node_id").distinct().join(p, "node_id", "left_anti")),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def replace_edges(participants: DataFrame, changes: DataFrame) -> DataFrame:
+    """U5. ``changes`` (edge_id, role, node_id) replace all members of their edges;
+    a row with a null node removes its edge."""
+    kept = participants.join(changes.select("edge_id").distinct(), "edge_id", "left_anti")
+    return kept.select("edge_id", "role", "node_id").union(changes.where("node_id IS NOT NULL").select("edge_id", "role", "node_id").distinct())
+
+
+def role_check(participants: DataFrame, expected: DataFrame) -> DataFrame:
+    """G23. edge_id, missing, unexpected roles against expected (edge_type, roles)."""
+    have = participants.groupBy("edge_id", "edge_type").agg(F.array_sort(F.collect_set("role")).alias("have"))
+    e = have.join(expected, "edge_type", "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
+    return e.select("edge_id", "edge_type", F.array_join(F.array_sort(F.array_except("roles", "have")), ",").alias("missing"), F.array_join(F.array_sort(F.array_except("have", "roles")), ",").alias("unexpected"))
+
+
+def topic_check(text: Column, topics: dict[str, list[str]], required: list[str], forbidden: list[str]) -> tuple[Column, Column, Column]:
+    """G23. (missing required topics, forbidden ones found, share of required found) of a text."""
+    found = F.array_compact(F.array(*(F.when(F.lower(text).rlike(quoted(w)), F.lit(t)) for t, w in topics.items())))
+    need, bad = F.array(*map(F.lit, required)), F.array(*map(F.lit, forbidden))
+    return F.array_except(need, found), F.array_intersect(found, bad), F.size(F.array_intersect(found, need)) / F.lit(max(1, len(required)))
+
+
+def paths(edges: DataFrame, seeds: DataFrame, limit: int = 5) -> DataFrame:
+    """G18. seed, src, dst, hops, types: the one- and two-step paths from each
+    seed (node), over edges (src, type, dst, id) in their direction, no edge twice;
+    at most ``limit`` of each seed, by length, then ids."""
+    one = edges.join(seeds.select(F.col("node").alias("src")).distinct(), "src").select(F.col("src").alias("seed"), "src", "dst", "type", "id")
+    short = one.select("seed", F.col("dst"), F.lit(1).alias("hops"), F.col("type").alias("types"), F.array("id").alias("ids"))
+    e2 = edges.select(F.col("src").alias("dst"), F.col("dst").alias("dst2"), F.col("type").alias("type2"), F.col("id").alias("id2"))
+    long = one.join(e2, "dst").where("id <> id2").select("seed", F.col("dst2").alias("dst"), F.lit(2).alias("hops"), F.concat_ws(">", "type", "type2").alias("types"), F.array("id", "id2").alias("ids"))
+    by = Window.partitionBy("seed").orderBy("hops", "ids")
+    return short.union(long).withColumn("place", F.row_number().over(by)).where(F.col("place") <= limit)
+
+
+def matrix(edges: DataFrame) -> DataFrame:
+    """A5. type, src_label, dst_label, n."""
+    return edges.groupBy("type", "src_label", "dst_label").agg(F.count("*").alias("n"))
+
+
+def connectivity(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
+    """A6. total nodes, isolated ones and those without an edge of type ``kind``."""
+    ends = edges.select("src", "type").union(edges.select("dst", "type")).toDF("node_id", "type")
+    per = ends.groupBy("node_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == kind).alias("k"))
+    joined = nodes.select("node_id").distinct().join(per, "node_id", "left")
+    return joined.agg(F.count("*").alias("total"), F.count_if(F.col("n").isNull()).alias("isolated"), F.count_if(F.coalesce("k", F.lit(0)) == 0).alias("without"))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.plans import classroom, neighbours
+from caselens.plans import classroom, documents, neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (neighbours, classroom):
+for _module in (neighbours, classroom, documents):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
