@@ -25,6 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -40,8 +41,13 @@ BLOCK = 1 << 20
 #: Keys of one index bucket on average.
 BUCKET = 4096
 #: Unicode white space as the tokenizer's rule has it: Python's without 1C-1F.
-PIECE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-CACHED, LONGEST, LARGE = 400_000, 64, 1 << 20
+WHITE = r"[^\S\x1c-\x1f]"
+MARK = r"(?:[^\w\s]|[_\x1c-\x1f])"
+#: The tokenizer's rule never crosses the place where white space follows
+#: something else, nor that where a letter or digit is followed by neither.
+PIECE = re.compile(rf"{WHITE}*[^\W_]+|{WHITE}*{MARK}+[^\W_]*|{WHITE}+")
+#: Pieces kept because they were met in two groups, and those met in one so far.
+KNOWN, ONCE, LONGEST, GROUP = 300_000, 150_000, 64, 1 << 18
 
 
 class Encoder:
@@ -54,42 +60,81 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype(f"<u{width}")
         self.end = np.array([end_id], self.kind).tobytes()
+        names = self.tokenizer.get_vocab()
+        # a byte-level token has one character for each byte
+        self.n_bytes = np.zeros(max(names.values()) + 1, np.int64)
+        self.n_bytes[list(names.values())] = [len(k) for k in names]
         self.known: dict[str, bytes] = {}
+        self.once: dict[str, bytes] = {}
+
+    def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces that begin with white space and end without keep their ids when
+        written one after the other, so many go through the tokenizer as one text."""
+        run = [p for p in pieces if p[0] in " \n" and len(p) > 1 and not p[-1].isspace()]
+        other = set(pieces).difference(run)
+        groups = [run[i : i + 256] for i in range(0, len(run), 256)]
+        out: dict[str, bytes] = {}
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.kind)
+            reached = np.cumsum(self.n_bytes[ids])
+            wanted = np.cumsum([len(p.encode()) for p in group])
+            ends = np.searchsorted(reached, wanted)
+            if not (reached[np.minimum(ends, len(reached) - 1)] == wanted).all():  # a rule of another vocabulary
+                other.update(group)
+                continue
+            data, at = ids.tobytes(), 0
+            for p, to in zip(group, ((ends + 1) * self.kind.itemsize).tolist()):
+                out[p], at = data[at:to], to
+        single = list(other)
+        out.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)))
+        return out
 
     def _bytes_of(self, groups: list[list[str]]) -> list[bytes]:
         """The joined ids of each group of pieces; new pieces are encoded together."""
-        known = self.known
-        new = list(set().union(*groups) - known.keys())
-        if new:
-            encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(new, encoded))
+        known, once = self.known, self.once
+        missing = [p for p in set().union(*groups) if p not in known]
+        again = {p: once.pop(p) for p in missing if p in once}
+        fresh = self._encode_new([p for p in missing if p not in again])
+        known.update(again)
+        known.update(fresh)
         out = [b"".join(map(known.__getitem__, group)) for group in groups]
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
-        if len(known) > CACHED:
+        for p in fresh:
+            del known[p]
+        if len(once) + len(fresh) > ONCE:
+            once.clear()
+        once.update((p, b) for p, b in fresh.items() if len(p) <= LONGEST)
+        if len(known) > KNOWN:
             known.clear()
         return out
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterator[str | None]) -> Iterator[bytes]:
         """The ids of each text and the end id, in the order given."""
-        at = 0
-        while at < len(texts):
-            text = texts[at] or ""
-            if len(text) > LARGE:  # pieces of one text, a bounded number at a time
+        held: list[str] = []
+        chars = 0
+        for text in texts:
+            text = text or ""
+            if held and (chars + len(text) > GROUP):
+                yield from self._texts(held)
+                held, chars = [], 0
+            if len(text) > GROUP:  # pieces of one text, a bounded number at a time
                 found, out = PIECE.finditer(text), []
-                while group := [m[0] for m in islice(found, 1 << 18)]:
+                while group := [m[0] for m in islice(found, 1 << 16)]:
                     out += self._bytes_of([group])
                 yield b"".join(out) + self.end
-                at += 1
                 continue
-            to, chars = at, 0
-            while to < len(texts) and len(texts[to] or "") <= LARGE and chars < LARGE:
-                chars += len(texts[to] or "")
-                to += 1
-            for data in self._bytes_of([PIECE.findall(x or "") for x in texts[at:to]]):
-                yield data + self.end
-            at = to
+            held.append(text)
+            chars += len(text)
+        yield from self._texts(held)
+
+    def _texts(self, texts: list[str]) -> Iterator[bytes]:
+        for data in self._bytes_of([PIECE.findall(x) for x in texts]) if texts else ():
+            yield data + self.end
+
+
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str, end_id: int, width: int) -> Encoder:
+    """One for each worker process, whose tasks share what it has learnt."""
+    return Encoder(vocabulary, end_id, width)
 
 
 def write_payload(documents: DataFrame, path: str, vocabulary: str, end_id: int = 2, width: int = 2) -> None:
@@ -97,7 +142,7 @@ def write_payload(documents: DataFrame, path: str, vocabulary: str, end_id: int
     schema = "shard int, block int, first long, n_ids long, width int, doc_ids array<bigint>, n_tokens array<bigint>, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block, first = Encoder(vocabulary, end_id, width), 0, 0
+        encode, block, first = encoder(vocabulary, end_id, width).encode, 0, 0
         ids: list[int | None] = []
         parts: list[bytes] = []
         held, shard = 0, 0
@@ -111,7 +156,7 @@ def write_payload(documents: DataFrame, path: str, vocabulary: str, end_id: int
             return out
 
         for batch in batches:
-            for doc_id, data, shard in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), batch.column(2).to_pylist()):  # noqa: B007
+            for doc_id, data, shard in zip(batch.column(0).to_pylist(), encode(x.as_py() for x in batch.column(1)), batch.column(2).to_pylist()):  # noqa: B007
                 if ids and held + len(data) // width > BLOCK:
                     yield flush()
                 ids.append(doc_id)
@@ -137,7 +182,8 @@ def read_payload(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
                 n = np.array(r["n_tokens"], np.int64)
                 start = r["at"] + np.cumsum(n) - n
                 ids = np.frombuffer(r["payload"], f"<u{r['width']}").astype("<u4")
