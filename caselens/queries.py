@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.plans import classroom, documents, neighbours
+from caselens.plans import cards, classroom, documents, graph, neighbours, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (neighbours, classroom, documents):
+for _module in (neighbours, classroom, documents, graph, cards, streams):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
