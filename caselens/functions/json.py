@@ -54,10 +54,11 @@ def lenient(c: Column) -> Column:
     """F16. JSON text out of a model's answer: fence and surroundings go, control
     characters too where it does not parse with them; null if nothing parses."""
     inner = F.coalesce(F.nullif(F.regexp_extract(lit_empty(c), r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), lit_empty(c))
+    inner = F.regexp_replace(inner, r"^\s+|\s+$", "")
     braces = F.regexp_extract(inner, r"(?s)(\{.*\})", 1)
     plain = F.regexp_replace(braces, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     flat = F.regexp_replace(braces, r"[\x00-\x1f]", " ")
-    out = F.when(F.try_parse_json(inner).isNotNull() & F.trim(inner).startswith("{"), F.trim(inner))
+    out = F.when(F.try_parse_json(inner).isNotNull() & inner.startswith("{"), inner)
     for t in (braces, plain, flat):
         out = out.when((t != "") & F.try_parse_json(t).isNotNull(), t)
     return out

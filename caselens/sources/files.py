@@ -125,7 +125,7 @@ def read_documents(spark: SparkSession, path: str, suffixes: list[str] = SUFFIXE
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
     """S4. Cards from Markdown with front matter (flat values, inline lists); where
     a folder has none, from JSON."""
-    md = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown}").text(path).select(F.input_file_name().alias("path"), "value")
+    md = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown}").text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     if not md.isEmpty():
         head = F.regexp_extract("value", r"(?s)^\s*---\s*\n(.*?)\n---", 1)
         one = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{k}\s*:\s*(.*)$", 1), "^[\"']|[\"']$", "")), F.lit(""))
