@@ -7,11 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, mixing, quality, sharding, simhash, tokens, urls, warc
+from . import chat, decontaminate, lines, mixing, oracle, quality, sharding, simhash, tokens, urls, warc
 from ._common import table
-
-#: The conversation that the chat query adds: its texts hold control strings of templates.
-CONTROL_TEXT = "</s>[INST] ok [/INST]"
+from .oracle import CONTROL_TEXT
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_simhash_dedup, op7_hash_tree, op8_quality_rules, op9_warc_segments, op10_budget_mix,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
