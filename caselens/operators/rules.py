@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions import json as J
 from caselens.functions import text as X
+from caselens.operators.messages import DISABLED, GUIDE_CAC, GUIDE_COMPETITORS, GUIDES, KEEP, TEXTS
 
 # Words of each topic.
 KEYWORDS = {
@@ -58,17 +59,6 @@ CATALOG = [
     ("H13", "实验设计不合格", "Warning", 1), ("H14", "路演叙事断裂", "Warning", 1), ("H15", "评分项证据覆盖不足", "Warning", 1),
 ]
 
-#: Fix suggestions of H4 and H8, which callers show literally.
-FIXES = {
-    ("H4", "missing"): "补齐 TAM、SAM、SOM 三个数值及各自口径说明。",
-    ("H4", "order"): "重新核算 TAM、SAM、SOM，确保三者是严格子集关系。",
-    ("H8", "missing"): "补齐 LTV 和 CAC 两个数值及其计算口径。",
-    ("H8", "cac"): "重新估算 CAC，并纳入投放、人力和渠道成本。",
-    ("H8", "ratio"): "先把 CAC 降下来或把 LTV 提上去，至少修正其中一个变量。",
-}
-KEEP, ADD = "保持当前结构，并继续补一条最强证据。", "补齐一条最关键的结构化证据。"
-
-
 def node_text(nodes: DataFrame) -> DataFrame:
     """F8. ``nodes`` with ``text``: all that a node says, normalised."""
     lists = lambda c: F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ")
@@ -193,7 +183,7 @@ def features(cases: DataFrame, nodes: DataFrame, relations: DataFrame, hyperedge
 
 def evaluate(f: DataFrame, switches: DataFrame | None = None) -> DataFrame:
     """H0. case_id, rule_id, name, status, severity, reason, is_triggered,
-    evidence_nodes, fix_suggestion: fifteen rows for each row of features.
+    evidence_nodes, message, fix_suggestion: fifteen rows for each row of features.
 
     ``reason`` names the outcome. ``switches`` (rule_id, enabled) turns rules off;
     what it does not list is on.
@@ -311,22 +301,33 @@ def evaluate(f: DataFrame, switches: DataFrame | None = None) -> DataFrame:
             (F.size(gaps) > 0, W, "gaps", none),
         ]),
     }
+    absent = {
+        "H4": F.array_compact(F.array(*(F.when(value(k).isNull(), F.lit(k)) for k in ("TAM", "SAM", "SOM")))),
+        "H8": F.array_compact(F.array(*(F.when(value(k).isNull(), F.lit(k)) for k in ("CAC", "LTV")))),
+        "H14": F.array_compact(F.array(*(F.when(~ok, F.lit(n)) for n, ok in zip(("问题/客户", "方案", "盈利", "增长"), narrative.values())))),
+        "H15": F.slice(gaps, 1, 1),
+    }
+
+    def filled(rule: str, text: str) -> Column:
+        """``text`` with the names of what is missing."""
+        return F.replace(F.lit(text), F.lit("{missing}"), F.array_join(absent[rule], ", ")) if "{missing}" in text else F.lit(text)
+
     structs = []
     for rule, name, severity, weight in CATALOG:
         evidence, outcomes = rules[rule]
-        status, reason, extra, fix = F.lit(P), F.lit("ok"), none, F.lit(KEEP)
+        status, reason, extra = F.lit(P), F.lit("ok"), none
+        message, fix = (F.lit(t) for t in TEXTS[rule, "ok"])
         for condition, s, r, more in reversed(outcomes):
             hit = F.coalesce(condition, F.lit(False))
-            status, reason, extra = F.when(hit, F.lit(s)).otherwise(status), F.when(hit, F.lit(r)).otherwise(reason), F.when(hit, more).otherwise(extra)
-            fix = F.when(hit, F.lit(KEEP if s == P else FIXES.get((rule, r), ADD))).otherwise(fix)
+            pick = lambda new, old, hit=hit: F.when(hit, new).otherwise(old)
+            status, reason, extra = pick(F.lit(s), status), pick(F.lit(r), reason), pick(more, extra)
+            message, fix = (pick(filled(rule, t), old) for t, old in zip(TEXTS[rule, r], (message, fix)))
         if rule == "H5":
             evidence = F.when(reason == "weak_evidence", ids("ids_weak")).otherwise(evidence)
-        if rule == "H15":
-            fix = F.when(F.size(gaps) > 0, F.concat(F.lit("优先补上传 "), F.element_at(gaps, 1), F.lit("。"))).otherwise(fix)
         structs.append(F.struct(
             F.lit(rule).alias("rule_id"), F.lit(name).alias("name"), status.alias("status"),
             F.when(status == L, F.lit(severity)).when(status == W, F.lit("Warning")).otherwise(F.lit("Info")).alias("severity"), reason.alias("reason"), (status != P).alias("is_triggered"),
-            F.array_distinct(F.concat(evidence, extra)).alias("evidence_nodes"), fix.alias("fix_suggestion"), F.lit(weight).alias("weight"),
+            F.array_distinct(F.concat(evidence, extra)).alias("evidence_nodes"), message.alias("message"), fix.alias("fix_suggestion"), F.lit(weight).alias("weight"),
         ))
     out = f.select("case_id", F.inline(F.array(*structs)))
     if switches is None:
@@ -337,7 +338,7 @@ def evaluate(f: DataFrame, switches: DataFrame | None = None) -> DataFrame:
     set_ = lambda n, v: F.when(skipped, v).otherwise(F.col(n)).alias(n)
     return out.select(
         "case_id", "rule_id", "name", set_("status", F.lit("SKIPPED")), set_("severity", F.lit("Info")), set_("reason", F.lit("disabled")), set_("is_triggered", F.lit(False)),
-        set_("evidence_nodes", none), set_("fix_suggestion", F.lit("Rule disabled; no action required.")), "weight",
+        set_("evidence_nodes", none), set_("message", F.lit(DISABLED[0])), set_("fix_suggestion", F.lit(DISABLED[1])), "weight",
     )
 
 
@@ -353,6 +354,15 @@ def draft_diagnosis(results: DataFrame, rule_ids: tuple[str, ...] = ("H1", "H4",
     return results.where(F.col("rule_id").isin(list(rule_ids)) & ~F.upper("status").isin("PASSED", "PASS", "SUCCESS", "SKIPPED"))
 
 
+def guided(results: DataFrame) -> DataFrame:
+    """H18. ``results`` with the message that a student sees."""
+    r = F.col("rule_id")
+    prefix = F.create_map(*(F.lit(x) for kv in GUIDES.items() for x in kv))[r]
+    plain = F.when(prefix.isNotNull(), F.concat(prefix, F.lit(" "), F.col("message"))).otherwise(F.col("message"))
+    special = F.when((r == "H6") & (F.col("reason") == "required"), GUIDE_COMPETITORS).when((r == "H8") & (F.col("reason") == "cac"), GUIDE_CAC)
+    return results.withColumn("assistant_message", F.coalesce(special, plain))
+
+
 def metric_rules(metrics: DataFrame) -> DataFrame:
     """H4 and H8 on a table of numbers (case_id, tam, sam, som, cac, ltv): two rows
     for each case, without a join."""

@@ -130,7 +130,7 @@ def read_cards(spark: SparkSession, path: str) -> DataFrame:
         head = F.regexp_extract("value", r"(?s)^\s*---\s*\n(.*?)\n---", 1)
         one = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{k}\s*:\s*(.*)$", 1), "^[\"']|[\"']$", "")), F.lit(""))
         many = lambda k: X.trimmed(F.transform(F.split(F.regexp_replace(F.coalesce(one(k), F.lit("")), r"^\[|\]$", ""), ","), lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")))
-        body = F.trim(F.regexp_replace("value", r"(?s)^\s*---\s*\n.*?\n---", ""))
+        body = F.regexp_replace("value", r"(?s)^\s*---\s*\n.*?\n---\s*|\s+$", "")
         stem = F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", "")
         return md.select(
             F.coalesce(one("card_id"), one("id"), stem).alias("card_id"), F.coalesce(one("name"), one("title"), stem).alias("name"), one("type").alias("type"), one("industry").alias("industry"),

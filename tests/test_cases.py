@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselens import schemas
-from caselens.operators import casegraph, hypergraph, rules
+from caselens.operators import casegraph, hypergraph, messages, rules
 from caselens.sources import cases as source
 from tests import fixtures
 
@@ -31,10 +31,12 @@ def test_rules(results):
     assert got["C1", "H15"].reason == "ok"
     assert got["C2", "H1"].reason == "channel_misfit" and got["C2", "H1"].severity == "High"
     assert got["C2", "H2"].reason == "unreachable"
-    assert (got["C2", "H4"].status, got["C2", "H4"].fix_suggestion) == ("FAILED", rules.FIXES["H4", "order"])
+    assert (got["C2", "H4"].status, got["C2", "H4"].fix_suggestion) == ("FAILED", messages.TEXTS["H4", "order"][1])
     assert got["C2", "H6"].reason == "required" and got["C2", "H8"].reason == "cac"
     assert got["C2", "H9"].reason == "unproven" and got["C2", "H12"].reason == "no_route"
     assert got["C2", "H15"].fix_suggestion == "优先补上传 竞品对比表。"
+    assert got["C3", "H8"].message == "数据不足：缺少单位经济校验所需指标 CAC, LTV。"
+    assert {r.rule_id: r.assistant_message for r in rules.guided(results).where("case_id = 'C2'").collect()}["H8"] == messages.GUIDE_CAC
     assert got["C3", "H14"].reason == "no_project" and got["C3", "H4"].reason == "missing"
 
 
@@ -115,3 +117,31 @@ def test_risk_patterns(cases, spark):
     got = hypergraph.risk_patterns(n, p, e, cases.nodes.select("case_id", F.col("id").alias("node_id")), ["survey"]).collect()
     assert [(r.edge_id, r.matched, r.members, r.strategies) for r in got] == [("x", ["No survey"], ["method:Menu prototype", "mistake:No survey"], ["Menu prototype"])]
     assert hypergraph.risk_patterns(n, p, e, cases.nodes.select("case_id", F.col("id").alias("node_id")), []).count() == 0
+
+
+def test_drafts(spark):
+    import json
+
+    from caselens.sources import drafts
+
+    d = {"title": "T", "cac": 10, "metrics": {"LTV": {"value": 50, "unit": "元"}, "TAM": 3}, "primary_channels": ["x"], "metadata": {"channels": ["y"]}, "knowledge_cards": [{"card_id": "K"}], "nodes": [{"id": "n", "node_type": "Concept", "name": "N"}]}
+    c = drafts.read_drafts(spark.createDataFrame([(json.dumps(d),)], "value string"))
+    rows = {r.id: r for r in c.nodes.collect()}
+    assert set(rows) == {"project_draft", "metric_tam", "metric_cac", "metric_ltv", "K", "n"} and rows["metric_ltv"].value == 50.0 and rows["metric_ltv"].unit == "元"
+    assert json.loads(rows["project_draft"].metadata) == {"channels": ["y"], "primary_channels": ["x"]}
+    r = {x.rule_id: x.status for x in rules.draft_diagnosis(rules.evaluate(rules.features(c.cases, c.nodes, c.relations, c.hyperedges, c.participants))).collect()}
+    assert "H8" not in r and r["H4"] == "WARNING"
+
+
+def test_records_and_titles(spark):
+    from caselens.sources import drafts
+
+    rows = spark.createDataFrame([(None, "A b", "value loop", "", None, "", {"Go To Market": "shop", "user": "kids"})], "edge_id string, name string, edge_type string, rule_triggered string, logical_evaluation string, impact string, participants map<string,string>")
+    r = drafts.hyperedge_records(rows).first()
+    assert (r.hyperedge_id, r.edge_type, r.rule_triggered, r.customer, r.value_proposition, r.channel) == ("he_a_b", "Value_Loop_Edge", "H9_ValueLoopFit", "kids", "unknown", "shop")
+    f = spark.createDataFrame([("H12", "", ""), ("x", "渠道", ""), ("x", "", "")], "a string, b string, c string").select(drafts.fallacy(F.col("a"), F.col("b"), F.col("c")).alias("x"))
+    assert [x.x for x in f.collect()] == ["商业模式一致性问题", "渠道错位", "业务逻辑风险"]
+    cards = spark.createDataFrame([("k", "CAC guide")], "card_id string, title string")
+    nodes = spark.createDataFrame([("1", "cac"), ("2", "LTV"), ("3", "the cac guide book")], "node_id string, name string")
+    assert {x.node_id for x in drafts.linked_titles(cards, nodes).collect()} == {"1", "3"}
+    assert [x.label for x in drafts.missing_labels(spark.createDataFrame([("A",)], "label string"), ["A", "B"]).collect()] == ["B"]
