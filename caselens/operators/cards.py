@@ -121,3 +121,9 @@ def channel_risk(projects: DataFrame) -> DataFrame:
     t = F.lower(F.concat_ws(" ", "customer", "text"))
     c = F.lower(F.concat_ws(" ", "channel", "text"))
     return projects.withColumn("mismatch", t.rlike(X.quoted(["农民", "农户", "farmer"])) & c.rlike(X.quoted(["社交媒体", "抖音", "小红书", "短视频", "social media", "tiktok"])))
+
+
+def audit(before: DataFrame, after: DataFrame) -> DataFrame:
+    """G12. The counters of ``hypergraph.connectivity`` before and after a backfill, side by side."""
+    names = before.columns
+    return before.select(*(F.col(c).alias(f"{c}_before") for c in names)).crossJoin(after.select(*(F.col(c).alias(f"{c}_after") for c in names)))  # one row each

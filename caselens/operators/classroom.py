@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caselens.functions.json import resolve_class
+
 ALL_CLASSES = "全部班级"
 HEALTHY = "健康"
 #: Dimension of each rule; what is missing is "Other".
@@ -180,3 +182,30 @@ def highest_severity(results: DataFrame) -> DataFrame:
     """K7. Of each student the most severe rule, the first by number among equals."""
     weight = F.create_map(*(F.lit(x) for kv in {"High": 3, "Warning": 2, "Info": 1}.items() for x in kv))[F.col("severity")]
     return results.groupBy("student").agg(F.max_by(F.struct("rule_id", "severity"), F.struct(weight.alias("w"), (-rule_number(F.col("rule_id"))).alias("n"))).alias("x")).select("student", "x.*")
+
+
+def flatten_behaviour(records: DataFrame) -> DataFrame:
+    """P7, C11. The log of behaviour records (level, message, details as JSON text,
+    seq): INFO rows only, one row for each diagnostic, or one without rule."""
+    d = F.col("details")
+    get = lambda k: F.nullif(F.trim(F.get_json_object(d, f"$.{k}")), F.lit(""))
+    project = F.coalesce(get("project_name"), get("project_upload_name"))
+    key = F.coalesce(get("user_id"), get("project_id"), project, F.concat(F.lit("log_student_"), F.col("seq").cast("string")))
+    found = F.from_json(F.get_json_object(d, "$.diagnostic_results"), "array<struct<rule_id:string,severity:string>>")
+    rows = records.where((F.upper(F.trim("level")) == "INFO") & d.isNotNull()).select(
+        key.alias("student"), F.coalesce(get("project_id"), project).alias("project"), resolve_class(d).alias("class_name"), "seq", get("timestamp").alias("ts"), get("stage").alias("stage"),
+        F.get_json_object(d, "$.score_snapshot.overall_score").cast("double").alias("score"), F.filter(F.coalesce(found, F.array().cast("array<struct<rule_id:string,severity:string>>")), lambda x: F.coalesce(F.trim(x["rule_id"]), F.lit("")) != "").alias("found"),
+    )
+    return rows.select("*", F.explode_outer("found").alias("x")).withColumns({"rule_id": F.upper(F.trim("x.rule_id")), "severity": F.col("x.severity")}).drop("found", "x")
+
+
+def teacher_rubric(primary: DataFrame, legacy: DataFrame) -> DataFrame:
+    """C13. student, criterion, score: the primary rows, or the legacy ones of students without any."""
+    cols = ["student", "criterion", "score"]
+    return primary.select(*cols).union(legacy.join(primary.select("student").distinct(), "student", "left_anti").select(*cols))
+
+
+def drilldown(state: DataFrame, scores: DataFrame) -> DataFrame:
+    """C14. student, n_rules, latest_stage and the mean of the scores, null if not scored."""
+    mean = scores.groupBy("student").agg(F.round(F.avg(F.col("score").cast("decimal(18,6)")), 2).cast("double").alias("mean_score"))
+    return state.join(mean, "student", "left").select("student", "n_rules", "latest_stage", "mean_score")
