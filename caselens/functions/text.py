@@ -85,23 +85,24 @@ def count_hits(text: Column, words: Iterable[str]) -> Column:
     return sum((text.contains(w).cast("int") for w in words), F.lit(0))
 
 
-# Predicates of the card graph, and aliases of predicates and entities.
-PREDICATES = ["PREREQ", "FIX_STRATEGY", "EVALUATED_BY", "ASSOCIATED_WITH", "TRIGGERS", "INVOLVES", "PRODUCES", "MEASURED_BY"]
+# Predicates of the card graph, and spellings of relations.
+PREDICATES = ["PREREQ", "FIX_STRATEGY", "ASSOCIATED_WITH", "SUPPORTS", "CONSTRAINS", "INDICATES", "TRIGGERS", "INVOLVES"]
+RELATION_ALIASES = {"TRIGGER": "TRIGGERS", "INVOLVE": "INVOLVES", "PREREQUISITE": "PREREQ", "PREREQUISITES": "PREREQ"}
 
 
 def predicate(c: Column, allowed: list[str] = PREDICATES, default: str = "ASSOCIATED_WITH") -> Column:
     """F9."""
-    s = F.regexp_replace(F.regexp_replace(F.upper(F.trim(lit_empty(c))), "[^A-Z_]+", "_"), "^_+|_+$", "")
+    s = F.regexp_replace(F.regexp_replace(F.upper(lit_empty(c)), "[^A-Z_]", "_"), "^_+|_+$", "")
+    alias = F.create_map(*(F.lit(x) for kv in RELATION_ALIASES.items() for x in kv))
+    s = F.coalesce(alias[s], s)
     return F.when(s.isin(allowed), s).otherwise(default)
 
 
 def canonical(c: Column, aliases: dict[str, str]) -> Column:
-    """F10. Rule ids in upper case, then the alias of the lower-cased name, else the trimmed name."""
-    name = collapse(lit_empty(c))
-    out = F.when(name.rlike("(?i)^h[0-9]+$"), F.upper(name))
-    for alias, full in aliases.items():
-        out = out.when(F.lower(name) == alias.lower(), full)
-    return out.otherwise(name)
+    """F10. Rule ids in upper case, then the alias of the normalised name, else the trimmed name."""
+    name = F.regexp_replace(lit_empty(c), r"(?U)^\s+|\s+$", "")
+    table = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
+    return F.when(name.rlike("^[hH][0-9]+$"), F.upper(name)).otherwise(F.coalesce(table[search_norm(name)], name))
 
 
 def case_id(name: Column, path: Column) -> Column:
@@ -119,8 +120,8 @@ def chunks(c: Column, size: int) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """F19. Without byte-order marks and carriage returns; trimmed non-empty lines."""
-    t = F.regexp_replace(F.regexp_replace(lit_empty(c), "﻿|\u0000", ""), "\r\n|\r", "\n")
+    """F19. Without mojibake marks and carriage returns; trimmed non-empty lines."""
+    t = F.regexp_replace(F.regexp_replace(lit_empty(c), "�|锟斤拷", " "), "\r\n?", "\n")
     return F.array_join(trimmed(F.split(t, "\n")), "\n")
 
 
@@ -157,8 +158,9 @@ def evidence_source(text: Column, path: Column, locator: Column) -> Column:
 
 def fingerprint(name: Column, text: Column) -> Column:
     """F23."""
-    stem = F.regexp_replace(lit_empty(name), r"\.[^.]*$", "")
-    return F.concat(F.lit("knowledge_card_"), slug(stem), F.lit("_"), F.substring(F.sha1(lit_empty(text).cast("binary")), 1, 10))
+    stem = F.regexp_replace(lit_empty(name), r"(?<=.)\.[^.]*$", "")
+    stem = F.lower(F.regexp_replace(F.regexp_replace(stem, "[^0-9A-Za-z]+", "_"), "^_+|_+$", ""))
+    return F.concat(F.lit("knowledge_card_"), F.coalesce(F.nullif(stem, F.lit("")), F.lit("doc")), F.lit("_"), F.substring(F.sha1(lit_empty(text).cast("binary")), 1, 10))
 
 
 def sentences(c: Column) -> Column:
@@ -219,10 +221,15 @@ def path_text(labels: Column, names: Column, types: Column) -> Column:
     return F.array_join(F.zip_with(nodes, arrows, lambda n, a: F.concat(n, F.coalesce(a, F.lit("")))), "")
 
 
-def display_text(c: Column, placeholders: Iterable[str], default: str = "") -> Column:
-    """F34. Without replacement marks; a placeholder name becomes the default."""
-    t = F.trim(F.regexp_replace(lit_empty(c), "�|锟斤拷", ""))
-    return F.when((t == "") | F.lower(t).isin([p.lower() for p in placeholders]), default).otherwise(t)
+# Placeholders of old logs and what is shown for them.
+PLACEHOLDERS = {"unnamed project": "未命名项目", "not_started": "未跟进"}
+
+
+def display_text(c: Column, default: str = "") -> Column:
+    """F34. A broken spelling is mended; a placeholder gets its name, nothing the default."""
+    t = F.replace(F.trim(lit_empty(c)), F.lit("瀛︾敓"), F.lit("学生"))
+    names = F.create_map(*(F.lit(x) for kv in PLACEHOLDERS.items() for x in kv))
+    return F.when(t == "", default).otherwise(F.coalesce(names[F.lower(t)], t))
 
 
 def status_score(status: Column) -> Column:

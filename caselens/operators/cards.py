@@ -13,10 +13,12 @@ from caselens.functions import text as X
 
 # Aliases of entities and hints of relations.
 ENTITY_ALIASES = {
-    "获客成本": "CAC", "客户获取成本": "CAC", "customer acquisition cost": "CAC", "cac": "CAC", "客户终身价值": "LTV", "客户生命周期价值": "LTV", "lifetime value": "LTV", "ltv": "LTV",
-    "总可用市场": "TAM", "tam": "TAM", "可服务市场": "SAM", "sam": "SAM", "可获得市场": "SOM", "som": "SOM", "mvp": "MVP", "最小可行产品": "MVP", "b2b": "B2B",
+    "cac": "获客成本", "customer acquisition cost": "获客成本", "获客成本": "获客成本", "ltv": "生命周期价值", "life time value": "生命周期价值", "lifetime value": "生命周期价值", "生命周期价值": "生命周期价值",
+    "tam": "总可服务市场", "总可服务市场": "总可服务市场", "sam": "可服务可触达市场", "可服务可触达市场": "可服务可触达市场", "som": "可获取市场", "可获取市场": "可获取市场",
+    "mvp": "最小可行产品", "最小可行产品": "最小可行产品", "usp": "独特价值主张", "独特价值主张": "独特价值主张",
 }
-PREREQ_HINTS, FIX_HINTS = ["前提", "先", "依赖", "需要", "before", "prerequisite"], ["建议", "应", "修复", "改进", "优化", "should", "fix"]
+PREREQ_HINTS = ["前置", "前提", "依赖", "基础是", "需要先", "先完成", "之前先"]
+FIX_HINTS = ["修复", "改进", "优化", "建议", "应当", "需要", "整改", "补齐", "解决方案"]
 EDGE_CAP = 5000
 
 
@@ -57,13 +59,13 @@ def heuristic_triples(cards: DataFrame, most: int = 16) -> DataFrame:
     concepts, then sentences of at least 8 characters with a hint; distinct, ``most`` at last."""
     empty = F.array().cast("array<string>")
     related = cards.select("card_id", "name", F.posexplode(F.slice(F.coalesce("related_concepts", empty), 1, 8)).alias("pos", "o"))
-    a = related.select("card_id", F.lit(0).alias("kind"), "pos", F.col("name").alias("subject"), F.lit("ASSOCIATED_WITH").alias("predicate"), F.substring("o", 1, 120).alias("object"), F.lit("").alias("evidence"))
+    a = related.select("card_id", F.lit(0).alias("kind"), "pos", F.col("name").alias("subject"), F.lit("ASSOCIATED_WITH").alias("predicate"), F.col("o").alias("object"), F.lit("metadata.related_concepts").alias("evidence"))
     s = cards.select("card_id", "name", F.posexplode(X.sentences(F.col("text"))).alias("pos", "s")).where(F.length("s") >= 8)
-    hint = F.when(F.lower("s").rlike(X.quoted(PREREQ_HINTS)), "PREREQ").when(F.lower("s").rlike(X.quoted(FIX_HINTS)), "FIX_STRATEGY")
-    b = s.withColumn("p", hint).where("p IS NOT NULL").select("card_id", F.lit(1).alias("kind"), "pos", F.col("name").alias("subject"), F.col("p").alias("predicate"), F.substring("s", 1, 120).alias("object"), F.substring("s", 1, 220).alias("evidence"))
+    hints = F.array_compact(F.array(F.when(F.col("s").rlike(X.quoted(PREREQ_HINTS)), F.lit("PREREQ")), F.when(F.col("s").rlike(X.quoted(FIX_HINTS)), F.lit("FIX_STRATEGY"))))
+    b = s.withColumn("p", F.explode(hints)).select("card_id", F.lit(1).alias("kind"), "pos", F.col("name").alias("subject"), F.col("p").alias("predicate"), F.substring("s", 1, 120).alias("object"), F.substring("s", 1, 220).alias("evidence"))
     keys = ["card_id", "subject", "predicate", "object"]
     rows = a.union(b).withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("kind", "pos"))).where("n = 1")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("card_id").orderBy("kind", "pos"))).where(F.col("place") <= most).select("card_id", "place", "subject", "predicate", "object", "evidence")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("card_id").orderBy("kind", "pos", F.desc("predicate")))).where(F.col("place") <= most).select("card_id", "place", "subject", "predicate", "object", "evidence")
 
 
 def attach_triples(triples: DataFrame, cards: DataFrame, aligned: DataFrame) -> DataFrame:
@@ -89,17 +91,21 @@ def formulas(texts: DataFrame, names: dict[str, list[str]]) -> DataFrame:
 
 
 def backfill(cards: DataFrame, associations: DataFrame) -> dict[str, DataFrame]:
-    """G11, J9, K9. What is added to a card graph: a project for each industry, a
-    risk hyperedge for each card with the concepts it is associated with, one value
-    loop of the concepts in none, and PREREQ edges between concepts of one card."""
-    linked = associations.where("type = 'ASSOCIATED_WITH' AND dst_label = 'Concept'").select(F.col("src").alias("card"), F.col("dst").alias("concept")).distinct()
-    projects = cards.select(F.coalesce("industry", F.lit("通用")).alias("industry")).distinct().withColumn("project", F.concat(F.lit("Project_"), "industry"))
-    risk = linked.select(F.concat(F.lit("risk_"), "card").alias("edge_id"), F.lit("mistake").alias("role"), F.col("concept").alias("node"))
-    concepts = associations.where("dst_label = 'Concept'").select(F.col("dst").alias("node")).distinct()
-    loop = concepts.join(risk, "node", "left_anti").select(F.lit("core_value_loop").alias("edge_id"), F.lit("value").alias("role"), "node")
-    by = Window.partitionBy("card").orderBy("concept")
-    prereq = linked.withColumn("next", F.lead("concept").over(by)).where("next IS NOT NULL").select(F.col("concept").alias("src"), F.col("next").alias("dst")).distinct().orderBy("src", "dst").limit(EDGE_CAP)
-    return {"projects": projects, "participants": risk.union(loop), "prereq": prereq}
+    """G11, J9, K9. What is added to a card graph, prefixes and names being fixed
+    values: a project for each industry, a risk hyperedge for each card with the card
+    and the concepts it is associated with, triggered by the industry's project; one
+    value loop of the concepts in none; PREREQ for associations between concepts."""
+    industry = F.coalesce(F.nullif(F.trim("industry"), F.lit("")), F.lit("Unknown"))
+    project = F.concat(F.lit("全校示例项目-"), industry)
+    projects = cards.select(F.concat(F.lit("PRJ_"), F.translate(industry, " /", "__")).alias("id"), project.alias("name")).distinct()
+    edge = lambda c: F.concat(F.lit("HE_RISK_"), c)
+    triggers = cards.select(project.alias("project"), edge(F.col("name")).alias("edge_id")).distinct()
+    linked = associations.where("type = 'ASSOCIATED_WITH' AND src_label = 'KnowledgeCard' AND dst_label IN ('Concept', 'Method')").select(edge(F.col("src")).alias("edge_id"), F.col("dst").alias("node"))
+    risk = cards.select(edge(F.col("name")).alias("edge_id"), F.col("name").alias("node")).union(linked).distinct()
+    concepts = associations.where("dst_label IN ('Concept', 'Method')").select(F.col("dst").alias("node")).distinct()
+    loop = concepts.join(risk, "node", "left_anti").select(F.lit("HE_VALUE_CORE_BACKFILL").alias("edge_id"), "node")
+    prereq = associations.where("type = 'ASSOCIATED_WITH' AND src_label = 'Concept' AND dst_label = 'Concept'").select("src", "dst").distinct().orderBy("src", "dst").limit(EDGE_CAP)
+    return {"projects": projects, "triggers": triggers, "involves": risk.union(loop), "prereq": prereq}
 
 
 def view_edges(nodes: DataFrame, edges: DataFrame, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -116,11 +122,19 @@ def view_edges(nodes: DataFrame, edges: DataFrame, allowed: list[str]) -> tuple[
     return joined.where(shown).select("src", "src_kind", "type", "dst", "dst_kind").distinct(), counts
 
 
+# Social channels of the mismatch detector.
+SOCIAL = ["xiaohongshu", "douyin", "tiktok", "wechat"]
+
+
 def channel_risk(projects: DataFrame) -> DataFrame:
-    """G25. Projects whose customers are farmers and whose channel is social media; the words are fixed values."""
-    t = F.lower(F.concat_ws(" ", "customer", "text"))
-    c = F.lower(F.concat_ws(" ", "channel", "text"))
-    return projects.withColumn("mismatch", t.rlike(X.quoted(["农民", "农户", "farmer"])) & c.rlike(X.quoted(["社交媒体", "抖音", "小红书", "短视频", "social media", "tiktok"])))
+    """G25. ``mismatch``: farmers who are to be reached through social media. A
+    missing customer or channel is read from the text, where a channel found so is
+    called "social media", which is none of the names."""
+    text = F.lower(X.lit_empty(F.col("text")))
+    given = lambda c: F.nullif(F.trim(X.lit_empty(F.col(c))), F.lit(""))
+    customer = F.coalesce(given("customer"), F.when(text.contains("farmer"), "farmer"))
+    channel = F.coalesce(given("channel"), F.when(text.rlike(X.quoted(SOCIAL)), "social media"))
+    return projects.withColumn("mismatch", F.coalesce(F.lower(customer).contains("farmer") & F.lower(channel).rlike(X.quoted(SOCIAL)), F.lit(False)))
 
 
 def audit(before: DataFrame, after: DataFrame) -> DataFrame:

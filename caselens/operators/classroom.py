@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from caselens.functions.json import resolve_class
 
 ALL_CLASSES = "全部班级"
-HEALTHY = "健康"
+HEALTHY = "✅ 健康"
 #: Dimension of each rule; what is missing is "Other".
 DIMENSIONS = {
-    "H1": "商业模式", "H2": "渠道", "H3": "定价", "H4": "市场", "H5": "需求证据", "H6": "竞争", "H7": "创新", "H8": "财务", "H9": "增长", "H10": "执行", "H11": "合规", "H14": "叙事", "H15": "证据覆盖",
+    "H1": "商业", "H4": "商业", "H8": "商业", "H2": "同理", "H5": "同理", "H3": "创意", "H7": "创意", "H6": "逻辑", "H14": "逻辑", "H15": "逻辑", "H9": "执行", "H10": "执行", "H11": "执行",
 }
 
 

@@ -179,9 +179,14 @@ def next_card_number(card_ids: DataFrame) -> DataFrame:
 
 
 def card_filename(industry_: Column, kind: Column, card_id: Column) -> Column:
-    """S14. KC_industry_type_number with characters that files may have."""
-    safe = lambda c, d: F.coalesce(F.nullif(F.regexp_replace(F.trim(X.lit_empty(c)), r"(?U)[^\w\-]+", "_"), F.lit("")), F.lit(d))
-    return F.concat_ws("_", F.lit("KC"), safe(industry_, "通用"), safe(kind, "未分类"), F.regexp_extract(card_id, r"(\d+)$", 1))
+    """S14. KC_industry_type_number.json with characters that files may have."""
+    def safe(c: Column, d: str) -> Column:
+        s = F.coalesce(F.nullif(F.trim(X.lit_empty(c)), F.lit("")), F.lit(d))
+        s = F.regexp_replace(F.regexp_replace(s, r'[\\/:*?"<>|]+', "_"), r"(?U)\s+", "_")
+        return F.coalesce(F.nullif(F.regexp_replace(s, "^[._ ]+|[._ ]+$", ""), F.lit("")), F.lit(d))
+
+    number = F.coalesce(F.nullif(F.regexp_extract(card_id, r"(\d+)$", 1), F.lit("")), F.lit("000"))
+    return F.concat(F.concat_ws("_", F.lit("KC"), safe(industry_, "未知行业"), safe(kind, "行业基准"), number), F.lit(".json"))
 
 
 def merge_chunks(chunks: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caselens.functions import text as X
 
@@ -106,12 +111,17 @@ def route(role: Column, text: Column, routes: dict[str, list[tuple[str, list[str
     return F.coalesce(out, F.lit("Error"))
 
 
-def supervise(role: Column, text: Column, hint: Column, allowed: dict[str, list[str]]) -> Column:
-    """R13, P11. Guardrail first, then a hint (Error where the role may not go there), then R12."""
+# Routes that a role may ask for.
+ALLOWED_ROUTES = {"student": ["Student Learning Tutor", "Project Coach", "Competition Advisor", "Project Reviewer"], "teacher": ["Instructor Assistant", "Assessment Assistant"], "admin": ["Assessment Assistant"]}
+
+
+def supervise(role: Column, text: Column, hint: Column, allowed: dict[str, list[str]] = ALLOWED_ROUTES) -> Column:
+    """R13, P11. Error where the guardrail blocks; then the hint, or Error where the
+    role may not go there; without a hint R12."""
     may = F.lit(False)
     for r, names in allowed.items():
         may = may | ((role == r) & hint.isin(names))
-    return F.when(guardrail(text) != "", "guardrail").when(F.coalesce(hint, F.lit("")) != "", F.when(may, hint).otherwise("Error")).otherwise(route(role, text))
+    return F.when(guardrail(text) != "", "Error").when(F.coalesce(hint, F.lit("")) != "", F.when(may, hint).otherwise("Error")).otherwise(route(role, text))
 
 
 def quotes(messages: DataFrame, sources: DataFrame) -> DataFrame:
@@ -138,27 +148,36 @@ def resolve_student(prompt: str, profiles: DataFrame, selected: str | None = Non
     return profiles.withColumn("rank", rank).orderBy("rank", "seq").limit(1).drop("rank")
 
 
+def _closeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ratios = [SequenceMatcher(None, a, b).ratio() for a, b in zip(batch.column("name").to_pylist(), batch.column("known").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratios, pa.float64())], names=[*batch.schema.names, "ratio"])
+
+
 def align(names: DataFrame, known: DataFrame, close: float = 0.84) -> DataFrame:
     """R7, J13. name, aligned, how: a known name (name, pos) that is equal, else the
     first that contains it or lies in it, else the closest one, else itself.
 
     Equal names are an equi join. For containment both sides are cut into bigrams
-    and joined on those, so no pair without a common bigram is looked at; closeness
-    looks at the pairs of what is left in the same way.
+    and joined on those, so no pair without a common bigram is looked at (and no
+    known name of one character); the matching ratio runs only on pairs of names
+    left over whose lengths allow it.
     """
     n = names.select("name").where("name IS NOT NULL").distinct()
     k = known.select(F.col("name").alias("known"), "pos").groupBy("known").agg(F.min("pos").alias("pos"))
     exact = n.join(k, n.name == k.known).select("name", F.col("known").alias("aligned"), F.lit("exact").alias("how"))
     rest = n.join(exact.select("name"), "name", "left_anti").where(F.length("name") >= 2)
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.lower(c).substr(i, F.lit(2))))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: c.substr(i, F.lit(2))))
     left = rest.select("name", F.explode(grams(F.col("name"))).alias("g"))
     right = k.where(F.length("known") >= 2).select("known", "pos", F.explode(grams(F.col("known"))).alias("g"))
-    pairs = left.join(right, "g").groupBy("name", "known", "pos").agg(F.count("*").alias("common"))
-    a, b = F.lower("name"), F.lower("known")
+    pairs = left.join(right, "g").select("name", "known", "pos").distinct()
+    a, b = F.col("name"), F.col("known")
     inside = pairs.where(a.contains(b) | b.contains(a)).groupBy("name").agg(F.min_by("known", "pos").alias("aligned"))
     inside = inside.select("name", "aligned", F.lit("contained").alias("how"))
-    ratio = 1 - F.levenshtein(a, b) / F.greatest(F.length("name"), F.length("known"))
-    near = pairs.join(inside.select("name"), "name", "left_anti").withColumn("ratio", ratio).where(F.col("ratio") >= close)
+    short, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
+    left_over = pairs.join(inside.select("name"), "name", "left_anti").where(2 * short >= close * both)
+    schema = T.StructType([*left_over.schema.fields, T.StructField("ratio", T.DoubleType())])
+    near = left_over.mapInArrow(_closeness, schema).where(F.col("ratio") >= close)
     near = near.groupBy("name").agg(F.max_by("known", F.struct("ratio", (-F.col("pos")).alias("p"))).alias("aligned")).select("name", "aligned", F.lit("close").alias("how"))
     found = exact.union(inside).union(near)
     return n.join(found, "name", "left").select("name", F.coalesce("aligned", "name").alias("aligned"), F.coalesce("how", F.lit("itself")).alias("how"))

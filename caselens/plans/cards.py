@@ -110,8 +110,8 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL = {
     "f6_json_leaves": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS leaves, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events",
     "f12_triggered_rules": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'H' || CAST(event_id % 15 AS VARCHAR) WHEN 1 THEN 'H1,H' || CAST(user_id AS VARCHAR) ELSE '' END AS rule_ids FROM events",
-    "f9_predicates": "SELECT p_partkey, CASE WHEN p_size < 20 THEN 'FIX_STRATEGY' ELSE 'ASSOCIATED_WITH' END AS predicate, CASE WHEN p_size < 10 THEN 'LTV' ELSE trim(p_name) END AS entity FROM part",
-    "g1_derived_cases": """WITH d AS (SELECT 'P_' || lpad(printf('%X', doc_id), 8, '0') AS c FROM documents), k AS (SELECT * FROM (VALUES ('nodes', 8), ('relations', 6), ('hyperedges', 2), ('participants', 7)) v(kind, n)) SELECT c AS case_id, kind, CAST(n AS BIGINT) AS n FROM d, k""",
+    "f9_predicates": "SELECT p_partkey, CASE WHEN p_size < 20 THEN 'FIX_STRATEGY' ELSE 'ASSOCIATED_WITH' END AS predicate, CASE WHEN p_size < 10 THEN '生命周期价值' ELSE trim(p_name) END AS entity FROM part",
+    "g1_derived_cases": """WITH d AS (SELECT 'P_' || lpad(printf('%X', doc_id), 8, '0') AS c FROM documents), k AS (SELECT * FROM (VALUES ('nodes', 8), ('relations', 6), ('hyperedges', 2), ('participants', 9)) v(kind, n)) SELECT c AS case_id, kind, CAST(n AS BIGINT) AS n FROM d, k""",
     "g7_card_edges": """WITH c AS (SELECT doc_id, 'card' || doc_id AS name, lang, source, doc_id % 18 AS r, list_distinct(list_filter(regexp_split_to_array(substr(text, 1, 200), '[\\s,.]+'), lambda x: length(x) > 4)) AS w, regexp_split_to_array(substr(text, 1, 200), '[\\s,.]+') AS ws FROM documents),
 o AS (SELECT name, list_filter(ws, lambda x, i: length(x) > 4 AND list_position(ws, x) = i)[1:5] AS rc FROM c),
 e AS (SELECT name, 'EVALUATED_BY' AS type, 'Rule' AS dst_label, 'H' || CAST(r AS VARCHAR) AS dst FROM c WHERE r BETWEEN 1 AND 15 UNION SELECT name, 'ASSOCIATED_WITH', 'Tag', unnest([lang, source]) FROM c UNION SELECT name, 'ASSOCIATED_WITH', 'Concept', unnest(rc) FROM o)

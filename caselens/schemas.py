@@ -23,8 +23,8 @@ NODES, RELATIONS, HYPEREDGES = (f"case_id string, pos int, {x}" for x in (NODE,
 NODE_TYPES = ["Concept", "Method", "Task", "Artifact", "Metric", "Mistake", "Evidence", "KnowledgeCard", "Project"]
 RELATION_TYPES = ["PREREQ", "PRODUCES", "MEASURED_BY", "COMMON_MISTAKE", "EVIDENCED_BY"]
 EDGE_ROLES = {
-    "Value_Loop_Edge": [["concept", "task", "artifact"], ["customer", "value", "channel"], ["customer", "value_proposition", "channel"]],
-    "Risk_Pattern_Edge": [["mistake", "method", "evidence"]],
+    "Value_Loop_Edge": [["market", "technology", "project"], ["customer", "value", "channel"], ["customer", "value_proposition", "channel"]],
+    "Risk_Pattern_Edge": [["project", "mistake", "outcome"]],
 }
 
 

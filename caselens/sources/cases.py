@@ -73,55 +73,52 @@ def derive(extractions: DataFrame) -> Cases:
     and 12 barriers; relations between them, a value loop and a risk pattern.
     """
     e = F.col("extraction")
-    or_ = lambda c, d: F.when(c != "", c).otherwise(F.lit(d))
+    or_ = lambda c, d: F.when(c != "", c).otherwise(d if isinstance(d, Column) else F.lit(d))
+    stem = F.regexp_replace("source_file", r"(?<=.)\.[^.]*$", "")
     base = extractions.select(
-        X.case_id(F.col("source_file"), F.col("source_path")).alias("case_id"),
-        or_(e["project_name"], "未命名项目").alias("project"), or_(e["core_technology"], "未明确核心技术").alias("tech"), or_(e["application_scene"], "未明确应用场景").alias("scene"),
-        F.slice(e["innovation_points"], 1, 12).alias("innovations"), F.slice(e["technical_barriers"], 1, 12).alias("barriers"), "source_file",
-    ).withColumn("key", F.lower("case_id"))
-    nid = lambda kind, n=None: F.concat(F.col("key"), F.lit(f"_{kind}"), *([F.lit("_"), (n + 1).cast("string")] if n is not None else []))
-    empty = lambda kind: F.lit(None).cast(kind)
-
-    def node(id_: Column, kind: str, name: Column, description: Column, tags: list[str], **own: Column) -> Column:
-        fields = [f.split(" ") for f in schemas.NODE.split(", ")]
-        given = {"id": id_, "node_type": F.lit(kind), "name": name, "description": description, "tags": F.array(*map(F.lit, tags))} | own
-        return F.struct(*(given.get(n, empty(t)).cast(t).alias(n) for n, t in fields))
-
-    innovations = F.transform("innovations", lambda x, i: node(nid("innovation", i), "Concept", x, x, ["innovation"]))
-    barriers = F.transform("barriers", lambda x, i: node(nid("barrier", i), "Mistake", x, x, ["barrier"], symptom=x))
+        X.case_id(F.col("source_file"), F.col("source_path")).alias("case_id"), or_(e["project_name"], stem).alias("project"), or_(e["core_technology"], "Core technology pending clarification").alias("tech"),
+        or_(e["application_scene"], "Application scenario pending clarification").alias("scene"), e["innovation_points"].alias("points"),
+        F.when(F.size(e["technical_barriers"]) > 0, e["technical_barriers"]).otherwise(F.array(F.lit("Key technical risk pending clarification"))).alias("risks"), "source_file", "source_path",
+    ).withColumns({"key": F.replace(F.lower("case_id"), F.lit("-"), F.lit("_")), "innovations": F.slice("points", 1, 12), "barriers": F.slice("risks", 1, 12)})
+    nid = lambda kind, what="", n=None: F.concat(F.lit(f"{kind}_"), F.col("key"), F.lit(what), *([(n + 1).cast("string")] if n is not None else []))
+    project, tech, scene, proof = nid("project"), nid("concept", "_core_technology"), nid("concept", "_application_scene"), nid("evidence", "_source")
+    innovation = lambda i: nid("concept", "_innovation_", i)
+    barrier = lambda i: nid("mistake", "_barrier_", i)
+
+    def row(schema: str, **given: Column) -> Column:
+        return F.struct(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in (f.split(" ") for f in schema.split(", "))))
+
+    def node(id_: Column, kind: str, name: Column, description: str, tags: list[str], **own: Column) -> Column:
+        return row(schemas.NODE, id=id_, node_type=F.lit(kind), name=name, description=F.lit(description), tags=F.array(*map(F.lit, tags)), **({"metadata": F.lit("{}")} | own))
+
+    metadata = F.to_json(F.struct("source_file", "source_path", F.slice("points", 1, 8).alias("value_propositions"), F.col("tech").alias("technical_route"), F.array("scene").alias("target_scenarios"), F.slice("risks", 1, 8).alias("risk_points")))
     nodes = F.concat(
         F.array(
-            node(nid("project"), "Project", F.col("project"), F.col("scene"), ["project"], stage=F.lit("idea")),
-            node(nid("technology"), "Concept", F.col("tech"), F.col("tech"), ["technology"]),
-            node(nid("scene"), "Concept", F.col("scene"), F.col("scene"), ["scene"]),
-            node(nid("evidence"), "Evidence", F.col("source_file"), F.col("source_file"), ["evidence"], source=F.col("source_file"), confidence=F.lit(EVIDENCED)),
+            node(project, "Project", F.col("project"), "Auto-generated from processed JSON extraction.", ["auto_generated", "processed_json"], stage=F.lit("idea"), team_name=F.lit(""), metadata=metadata),
+            node(tech, "Concept", F.col("tech"), "Core technology extracted from project PDF.", ["core_technology"]),
+            node(scene, "Concept", F.col("scene"), "Application scene extracted from project PDF.", ["application_scene"]),
+            node(proof, "Evidence", F.lit("Structured extraction evidence"), "Generated by batch_processor from project PDF.", ["llm_extraction"], source=F.col("source_file"), confidence=F.lit(EVIDENCED)),
         ),
-        innovations,
-        barriers,
+        F.transform("innovations", lambda x, i: node(innovation(i), "Concept", x, "Innovation point extracted from project PDF.", ["innovation_point"])),
+        F.transform("barriers", lambda x, i: node(barrier(i), "Mistake", x, "Technical barrier extracted from project PDF.", ["technical_barrier"], symptom=x)),
     )
 
-    def relation(kind: str, source: Column, target: Column, weight: float) -> Column:
-        r = F.struct(source.alias("source_id"), target.alias("target_id"))
-        fields = [f.split(" ") for f in schemas.RELATION.split(", ")]
-        given = {"id": F.concat_ws("_", F.lit("rel"), r["source_id"], r["target_id"]), "source_id": source, "target_id": target, "relation_type": F.lit(kind), "weight": F.lit(weight), "evidence_ids": F.array(nid("evidence"))}
-        return F.struct(*(given.get(n, empty(t)).cast(t).alias(n) for n, t in fields))
+    def relation(id_: Column, kind: str, source: Column, target: Column, weight: float) -> Column:
+        return row(schemas.RELATION, id=id_, source_id=source, target_id=target, relation_type=F.lit(kind), weight=F.lit(weight), evidence_ids=F.array(proof), metadata=F.lit("{}"))
 
     relations = F.concat(
-        F.array(relation("EVIDENCED_BY", nid("project"), nid("evidence"), EVIDENCED), relation("PREREQ", nid("technology"), nid("scene"), PREREQ)),
-        F.transform(F.slice("innovations", 1, 6), lambda x, i: relation("PREREQ", nid("innovation", i), nid("technology"), INNOVATION)),
-        F.transform(F.slice("barriers", 1, 3), lambda x, i: relation("COMMON_MISTAKE", nid("technology"), nid("barrier", i), MISTAKE)),
+        F.array(relation(nid("relation", "_project_evidence"), "EVIDENCED_BY", project, proof, EVIDENCED), relation(nid("relation", "_tech_scene"), "PREREQ", tech, scene, PREREQ)),
+        F.transform(F.slice("innovations", 1, 6), lambda x, i: relation(nid("relation", "_innovation_", i), "PREREQ", innovation(i), tech, INNOVATION)),
+        F.transform(F.slice("barriers", 1, 3), lambda x, i: relation(nid("relation", "_risk_", i), "COMMON_MISTAKE", project, barrier(i), MISTAKE)),
     )
 
-    def edge(kind: str, name: str, roles: list[tuple[str, Column]], **own: Column) -> Column:
-        fields = [f.split(" ") for f in schemas.HYPEREDGE.split(", ")]
-        given = {"id": nid(name), "edge_type": F.lit(kind), "name": F.lit(name), "participants": F.map_from_arrays(F.array(*(F.lit(r) for r, _ in roles)), F.array(*(c for _, c in roles)))} | own
-        return F.struct(*(given.get(n, empty(t)).cast(t).alias(n) for n, t in fields))
-
-    n = F.size("barriers")
-    value = edge("Value_Loop_Edge", "value_loop", [("customer", nid("scene")), ("value", nid("technology")), ("channel", nid("project"))], fit_score=F.when(F.size("innovations") > 0, 0.8).otherwise(0.65))
-    risk = edge(
-        "Risk_Pattern_Edge", "risk_pattern", [("mistake", F.when(n > 0, F.to_json(F.transform("barriers", lambda x, i: nid("barrier", i)))).otherwise(F.lit("[]"))), ("method", nid("technology")), ("evidence", nid("evidence"))],
-        risk_score=F.least(F.lit(0.95), F.lit(0.45) + 0.05 * F.least(n, F.lit(6))),
-    )
+    def edge(kind: str, name: str, title: str, roles: dict[str, Column], **own: Column) -> Column:
+        participants = F.map_from_arrays(F.array(*map(F.lit, roles)), F.array(*roles.values()))
+        return row(schemas.HYPEREDGE, id=nid("hyperedge", name), edge_type=F.lit(kind), name=F.lit(title), participants=participants, metadata=F.to_json(F.struct("source_file")), **own)
+
+    technologies = F.to_json(F.concat(F.array(tech), F.transform("innovations", lambda x, i: innovation(i))))
+    value = edge("Value_Loop_Edge", "_value_loop", "Auto value loop", {"market": scene, "technology": technologies, "project": project}, fit_score=F.when(F.size("innovations") > 0, 0.8).otherwise(0.65))
+    score = F.round(F.least(F.lit(0.95), F.lit(0.45) + 0.05 * F.least(F.size("barriers"), F.lit(6))), 2)
+    risk = edge("Risk_Pattern_Edge", "_risk_pattern", "Auto risk pattern", {"project": project, "mistake": F.to_json(F.transform("barriers", lambda x, i: barrier(i))), "outcome": scene}, risk_score=score)
     raw = base.select("case_id", F.col("project").alias("title"), F.col("scene").alias("description"), nodes.alias("nodes"), relations.alias("relations"), F.array(value, risk).alias("hyperedges"))
     return explode_cases(raw)

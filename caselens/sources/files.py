@@ -16,8 +16,9 @@ from caselens.functions import json as J
 from caselens.functions import text as X
 
 # Suffixes, encodings in the order tried, weights of mojibake marks.
-SUFFIXES = ["txt", "md", "markdown", "json", "csv", "html", "htm", "docx", "pptx", "doc", "ppt", "pdf"]
-ENCODINGS = ["utf-8-sig", "utf-8", "gb18030", "big5", "utf-16", "latin-1"]
+SUFFIXES = ["pdf", "doc", "docx", "ppt", "pptx", "txt", "md", "html", "htm"]
+ENCODINGS = ["utf-8-sig", "utf-8", "gb18030", "gbk", "big5", "utf-16", "utf-16-le", "utf-16-be", "latin-1"]
+SAMPLED = ["utf-8-sig", "utf-8", "gb18030", "gbk", "utf-16"]
 PENALTIES = {"�": 20, "锟斤拷": 10, "Ã": 5, "Â": 5, "\x00": 5}
 
 
@@ -40,18 +41,15 @@ def pending_inputs(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     return inputs.withColumn("stem", stem).join(outputs.select(stem.alias("stem")).distinct(), "stem", "left_anti").drop("stem")
 
 
-def decode(raw: bytes) -> tuple[str, str]:
-    """S10. (text, encoding): the candidate with the least mojibake, the first among equals."""
-    best: tuple[int, str, str] | None = None
-    for name in ENCODINGS:
+def decode(raw: bytes, encodings: list[str] = ENCODINGS) -> tuple[str, str]:
+    """S10. (text, encoding): the first that decodes, else that with the least mojibake."""
+    for name in encodings:
         try:
-            text = raw.decode(name)
-        except (UnicodeDecodeError, UnicodeError):
+            return raw.decode(name), name
+        except UnicodeError:
             continue
-        penalty = sum(text.count(mark) * weight for mark, weight in PENALTIES.items())
-        if best is None or penalty < best[0]:
-            best = (penalty, text, name)
-    return (best[1], best[2]) if best else (raw.decode("utf-8", "replace"), "utf-8")
+    tried = [(raw.decode(name, "replace"), name) for name in encodings]
+    return min(tried, key=lambda x: sum(x[0].count(mark) * weight for mark, weight in PENALTIES.items()))
 
 
 def office_text(raw: bytes) -> str:
@@ -80,9 +78,9 @@ def unreadable(raw: bytes) -> bool:
     head = raw[:4096]
     if head.count(0) / len(head) > 0.2:
         return True
-    for name in ENCODINGS[:5]:
+    for name in SAMPLED:
         try:
-            if sum(ch.isalnum() for ch in head.decode(name, "ignore")) >= 8:
+            if sum(ch.isalnum() for ch in head.decode(name)) >= 8:
                 return False
         except UnicodeError:
             continue

@@ -16,7 +16,7 @@ def test_behaviour_to_profile(spark):
     assert (got["u1"].latest_stage, got["u1"].latest_score, got["u1"].rule_ids, got["u1"].n_rules, got["u1"].latest_class_name) == ("idea", 3.5, "H1,H8", 2, "2")
     assert got["P"].latest_class_name == "默认班级"
     assert C.in_class(log, "2").count() == 3 and C.in_class(log).count() == 4
-    assert {(r.rule_id, r.dimension) for r in C.rule_frame(log).collect()} == {("H1", "商业模式"), ("H8", "财务")}
+    assert {(r.rule_id, r.dimension) for r in C.rule_frame(log).collect()} == {("H1", "商业"), ("H8", "商业")}
 
 
 def test_class_rate(spark):

@@ -19,10 +19,10 @@ def one(spark, value, f):
     [
         (X.norm, "  A\t b\nC ", "a b c"), (X.norm, None, ""), (X.search_norm, "EVs, 客户!x_1", "evs 客户 x_1"), (X.slug, "Hello, World", "hello_world"), (X.slug, "!!", "node"), (X.label, "9 lives", "Node_9lives"), (X.label, "", "Concept"),
         (lambda c: X.split_items(c, "wide"), "a，b; ;c", ["a", "b", "c"]), (lambda c: X.split_items(c, "slash"), "a/b|c,,d", ["a", "b", "c", "d"]), (lambda c: X.chunks(c, 2), "abcde", ["ab", "cd", "e"]), (lambda c: X.chunks(c, 2), "", []),
-        (X.clean_text, " a \r\n\n b﻿", "a\nb"), (lambda c: X.explicit_items(c, ["标签", "labels"]), "x\n标签：a, b\nLabels: b;c", ["a", "b", "c"]), (lambda c: X.explicit_value(c, ["page"]), "Page: 3-4, 5", "3-4, 5"),
+        (X.clean_text, " a \r\n\n b�", "a\nb"), (lambda c: X.explicit_items(c, ["标签", "labels"]), "x\n标签：a, b\nLabels: b;c", ["a", "b", "c"]), (lambda c: X.explicit_value(c, ["page"]), "Page: 3-4, 5", "3-4, 5"),
         (X.sentences, "a。b!c", ["a", "b", "c"]), (X.sentences_kept, "a。b", ["a。", "b"]), (X.formulae, "$a$ x $b$ $a$", ["a", "b"]), (X.rule_ids, "h1 H10 H16 xH2 H1", ["H1", "H10"]), (X.predicate, "fix-strategy", "FIX_STRATEGY"), (X.predicate, "other", "ASSOCIATED_WITH"),
         (X.html_text, "<p>a &amp; b</p><!-- no --><script>s</script>", "a & b\ns"), (X.strip_evidence, "a <evidence>{}</evidence> b", "a b"), (X.evidence_payload, "<evidence>{\"a\":1}</evidence>", '{"a":1}'), (X.evidence_payload, "<evidence>{</evidence>", None),
-        (X.status_score, "Failed", 2.0), (X.status_score, "odd", 6.0), (lambda c: X.display_text(c, ["Unknown"], "-"), "unknown", "-"), (lambda c: X.named_field(c, "目标客户"), "目标客户：农户，其他", "农户"),
+        (X.status_score, "Failed", 2.0), (X.status_score, "odd", 6.0), (X.display_text, "Unnamed Project", "未命名项目"), (lambda c: X.display_text(c, "-"), " ", "-"), (lambda c: X.named_field(c, "目标客户"), "目标客户：农户，其他", "农户"),
         (J.leaves, json.dumps({"a": ["x", {"b": 1.5}], "c1": None, "d": True, "e": " "}), ["x", "1.5", "true"]), (lambda c: J.first_present(c, "a", "b"), '{"a": null, "b": 1}', "null"), (lambda c: J.first_present(c, "z", "b"), '{"a": null, "b": [1]}', "[1]"),
         (J.triggered_rules, '[{"rule_id": "h1"}, "h2", {"x": 1}]', ["H1", "H2"]), (J.triggered_rules, '{"rule_id": "h3"}', ["H3"]), (J.triggered_rules, "[bad", []), (J.triggered_rules, "", []), (J.triggered_rules, None, []),
         (J.lenient, 'text ```json\n{"a": 1}\n``` more', '{"a": 1}'), (J.lenient, "none", None), (J.card_ids, '{"x": {"card_id": "K1"}, "knowledge_card_ids": ["K2", "K1"]}', ["K1", "K2"]), (J.resolve_class, '{"class_id": " 3 "}', "3"), (J.resolve_class, "{}", "默认班级"),
