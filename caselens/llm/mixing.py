@@ -60,51 +60,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     return lower.withColumn("x", chosen).select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.col("x")).alias("target"))
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = 1 << 18) -> np.ndarray:
-    """How many documents of each length to take, so that their sum comes as near
-    below ``budget`` as the programme's ``most`` last words allow: exact there."""
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of ``counts`` documents of each length to take for the sum nearest to
+    ``budget``: bounded knapsack over sums, up to one document beyond the budget."""
     take = np.zeros(len(lengths), np.int64)
-    total = int((lengths * counts).sum())
-    if budget <= 0 or not total:
+    usable = (counts > 0) & (lengths > 0) & (lengths <= 2 * budget)
+    if budget <= 0 or not usable.any():
         return take
-    budget = min(budget, total)
-    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
-    rest = budget - int((take * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for k in order.tolist():  # coarse fill: stop while a programme of small reach can still correct
-        length = int(lengths[k])
-        if length and rest - length >= most // 2:
-            n = min(int(counts[k] - take[k]), (rest - most // 2) // length)
-            take[k] += n
-            rest -= n * length
-    for k in order.tolist():  # only lengths near the rest itself are left where it is still large
-        if rest > 4 * most and 0 < lengths[k] <= rest:
-            n = min(int(counts[k] - take[k]), rest // int(lengths[k]))
-            take[k] += n
-            rest -= n * int(lengths[k])
-    if not ((lengths > 0) & (lengths <= rest) & (counts > take)).any():
-        return take
-    # bounded knapsack over what is left: first[s] is the piece that first reached s
-    reach = np.zeros(rest + 1, bool)
+    reach = np.zeros(budget + int(min(budget, lengths[usable].max())) + 1, bool)
     reach[0] = True
-    first = np.full(rest + 1, -1, np.int32)
+    # first[s] is the piece that first reached s, so no piece is used twice on the way back
+    first = np.full(len(reach), -1, np.int32)
     pieces: list[tuple[int, int]] = []
-    for k in order.tolist():
-        length, left = int(lengths[k]), int(counts[k] - take[k])
-        left = min(left, rest // length) if length else 0
-        size = 1
-        while left > 0 and not reach[rest]:
+    for k in [k for k in np.argsort(-lengths, kind="stable").tolist() if usable[k]]:
+        length, size = int(lengths[k]), 1
+        left = min(int(counts[k]), (len(reach) - 1) // length)
+        while left > 0 and not reach[budget]:
             n = min(size, left)
             step = n * length
-            new = np.flatnonzero(reach[: rest + 1 - step] & ~reach[step:]) + step
+            new = np.flatnonzero(reach[: len(reach) - step] & ~reach[step:]) + step
             reach[new] = True
             first[new] = len(pieces)
             pieces.append((k, n))
-            left -= n
-            size *= 2
-        if reach[rest]:
-            break
-    at = int(np.flatnonzero(reach)[-1])
+            left, size = left - n, 2 * size
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         k, n = pieces[first[at]]
         take[k] += n
@@ -112,6 +92,40 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = 1 << 1
     return take
 
 
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = 1 << 18) -> np.ndarray:
+    """How many documents of each length to take, so that their sum comes near to
+    ``budget``: each length's proportional share, a coarse fill of what rounding
+    left, and the knapsack over the unused documents for the last words. A small
+    budget that this misses is fitted again from nothing, which no choice betters."""
+    total = int((lengths * counts).sum())
+    if budget <= 0 or not total:
+        return np.zeros(len(lengths), np.int64)
+    budget = min(budget, total)
+    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    rest = budget - int((take * lengths).sum())
+
+    def fill(keep: int) -> None:
+        nonlocal rest
+        for k in np.argsort(-lengths, kind="stable").tolist():
+            length = int(lengths[k])
+            if length and rest - length >= keep:
+                n = min(int(counts[k] - take[k]), (rest - keep) // length)
+                take[k] += n
+                rest -= n * length
+
+    fill(most // 2)
+    if rest > 4 * most:  # what is unused is longer than that: no reach to correct with
+        fill(0)
+    if rest <= 4 * most:
+        take += knapsack(lengths, counts - take, rest)
+    missed = abs(budget - int((take * lengths).sum()))
+    if missed and budget <= most:
+        other = knapsack(lengths, counts, budget)
+        if abs(budget - int((other * lengths).sum())) < missed:
+            return other
+    return take
+
+
 def plan(lengths: DataFrame, goals: DataFrame) -> DataFrame:
     """source, size, n, epochs, extra: of the ``n`` documents of a length, all are
     taken ``epochs`` times and ``extra`` of them once more."""
