@@ -64,21 +64,22 @@ def retrieve(cards: DataFrame, words: list[str], limit: int = 3) -> DataFrame:
 
     The keywords are a parameter, so they are expressions on the cards and no join.
     """
-    title, body = X.search_norm(F.col("title")), X.search_norm(F.col("text"))
-    scored = cards.withColumn("__t", title).withColumn("__b", body)
-    score, matched = F.lit(0), []
-    for w in words:
-        key = " ".join(w.lower().split())
-        if not key:
-            continue
-        count = F.floor((F.length("__b") - F.length(F.replace("__b", F.lit(key), F.lit("")))) / len(key))
-        points = F.when(F.col("__t").contains(key), 6).otherwise(F.least(count, F.lit(4))).cast("int")
-        score = score + points
-        matched.append(F.when(points > 0, F.lit(w)))
-    if not matched:
+    keys = [(w, " ".join(w.lower().split())) for w in words if w.strip()]
+    if not keys:
         return cards.select("card_id", "title", F.lit(0).alias("score"), F.array().cast("array<string>").alias("matched")).where("false")
-    rows = scored.select("card_id", "title", score.alias("score"), F.slice(F.array_compact(F.array(*matched)), 1, 5).alias("matched"))
-    return rows.where("score > 0").orderBy(F.desc("score"), "title", "card_id").limit(limit)
+
+    def points(card: Column, key: str) -> Column:
+        count = F.floor((F.length(card["body"]) - F.length(F.replace(card["body"], F.lit(key), F.lit("")))) / len(key))
+        return F.when(card["title"].contains(key), 6).otherwise(F.least(count, F.lit(4))).cast("int")
+
+    # a variable of one element: the two texts are normalised once, whatever the number of keywords
+    card = F.array(F.struct(X.search_norm(F.col("title")).alias("title"), X.search_norm(F.col("text")).alias("body")))
+    each = F.flatten(F.transform(card, lambda c: F.array(*(F.struct(F.lit(w).alias("word"), points(c, key).alias("points")) for w, key in keys))))
+    score = F.aggregate("each", F.lit(0), lambda n, x: n + x["points"])
+    matched = F.transform(F.filter("each", lambda x: x["points"] > 0), lambda x: x["word"])
+    rows = cards.select("card_id", "title", each.alias("each")).select("card_id", "title", score.alias("score"), F.slice(matched, 1, 5).alias("matched"))
+    best = rows.orderBy(F.desc("score"), "title", "card_id").limit(limit)
+    return best.where("score > 0")  # after the limit: a filter below it would score every card twice
 
 
 def best_sentence(texts: DataFrame, words: list[str], most: int = 20, width: int = 220) -> DataFrame:
