@@ -49,7 +49,9 @@ def tokens(texts: DataFrame) -> DataFrame:
 def keywords(texts: DataFrame, most: int = 12, concepts: list[str] = CONCEPTS) -> DataFrame:
     """R8, W9. doc_id, place, keyword: concepts of the text in their order, then
     tokens by (count desc, length desc, token), distinct after normalisation."""
-    c = F.array_compact(F.array(*(F.when(X.search_norm(F.col("text")).contains(w.lower()), F.struct(F.lit(k).alias("k"), F.lit(w).alias("keyword"))) for k, w in enumerate(concepts))))
+    hits = lambda t: F.array(*(F.when(t.contains(w.lower()), F.struct(F.lit(k).alias("k"), F.lit(w).alias("keyword"))) for k, w in enumerate(concepts)))
+    # a variable of one element: a text is normalised once
+    c = F.array_compact(F.flatten(F.transform(F.array(X.search_norm(F.col("text"))), hits)))
     named = texts.select("doc_id", F.inline(c)).select("doc_id", "keyword", F.lit(0).alias("kind"), F.col("k").cast("long").alias("a"), F.lit(0).alias("b"))
     found = tokens(texts).select("doc_id", F.col("token").alias("keyword"), F.lit(1).alias("kind"), (-F.col("n")).alias("a"), (-F.length("token")).alias("b"))
     rows = named.union(found).withColumn("key", X.search_norm(F.col("keyword"))).where("key <> ''")
