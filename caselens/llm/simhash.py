@@ -256,27 +256,29 @@ def keep_first(documents: DataFrame, threshold: int = 2, width: int = 2, seed: i
     One fingerprint of 64 bits misses most copies with a few words in a hundred
     changed. So texts get ``views`` independent ones and are compared where any is
     near; pairs with at most ``most`` of the bits of all views apart are read again,
-    and link if their five-word shingles are similar to 0.8. Texts that agree in a
-    view's fingerprint are compared with one of them, the least.
+    and link if their five-word shingles are similar to 0.8. Only exact copies (by a
+    128-bit digest and the length) are one node unread. Texts that agree in a view's
+    fingerprint are compared with one of them, the least.
     """
     rows = staged(packed(documents).withColumn("uid", F.monotonically_increasing_id()), "simhash-documents")
     prints = staged(with_fingerprints(rows.select("uid", "doc.text"), "uid", views, width, seed), "simhash-prints")
-    node = F.col("fps")[0].alias("node")
-    whole = staged(prints.groupBy(node).agg(F.min("fps").alias("fps")), "simhash-nodes")
+    # a node is a whole text: the uid of its first row
+    content = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    order = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("id"), "uid")
+    copies = rows.select(F.md5(content.cast("binary")).alias("digest"), F.octet_length(content).alias("bytes"), order.alias("at"))
+    first = staged(copies.groupBy("digest", "bytes").agg(F.min("at").alias("least")).select(F.col("least.uid").alias("node"), "least"), "simhash-first")
+    whole = staged(prints.withColumnRenamed("uid", "node").join(first.select("node"), "node"), "simhash-nodes")
     named = whole.select("node", F.posexplode("fps").alias("view", "fp"))
     heads = staged(named.groupBy("view", "fp").agg(F.min("node").alias("head")), "simhash-distinct")
     stars = named.join(heads, ["view", "fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     near = staged(view_links(heads.select("view", "fp"), threshold, halved=True), "simhash-links")
     side = lambda c: heads.select("view", F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
     joined = near.join(side("a"), ["view", "a"]).join(side("b"), ["view", "b"]).select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
-    pairs = stars.union(joined).distinct()
+    pairs = stars.union(joined).where("a <> b").distinct()
     bits = lambda c: whole.select(F.col("node").alias(c), F.col("fps").alias(f"fps_{c}"))
     apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     close = staged(pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= int(most * 64 * views)).select("a", "b"), "simhash-close")
     wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    shown = prints.select("uid", node).groupBy("node").agg(F.min("uid").alias("uid")).join(wanted, "node")
-    roots = components(similar(close, rows.select("uid", "doc.text").join(shown, "uid")))
-    order = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("id"), "uid")
-    first = rows.select("uid", order.alias("at")).join(prints.select("uid", node), "uid").groupBy("node").agg(F.min("at").alias("least"))
+    roots = components(similar(close, rows.select(F.col("uid").alias("node"), "doc.text").join(wanted, "node")))
     classes = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("least").alias("least"))
     return rows.join(classes.select(F.col("least.uid").alias("uid")), "uid", "left_semi").select("doc.*")
