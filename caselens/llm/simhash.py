@@ -38,6 +38,8 @@ from ._common import packed, staged
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b101011100011
 PART, RADIUS = 23, 3
+#: Words of a shingle in the pipeline's rule of similarity.
+RULE_WIDTH = 5
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -75,17 +77,41 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42, view: int = 0)
     return majority(remixed(shingle_hashes(text, width, seed), view))
 
 
-def with_fingerprints(df: DataFrame, key: str, views: int = 1, width: int = 3, seed: int = 42) -> DataFrame:
-    """``key`` (long) and ``fps``: a signed 64-bit fingerprint for each view, a row for each row."""
+def minima(hashes: np.ndarray, bands: int, rows: int = 6) -> np.ndarray:
+    """A hash of each band of ``rows`` MinHash values: two texts agree in a band with
+    the ``rows``-th power of their similarity. No hashes count as one, zero."""
+    if not len(hashes):
+        hashes = np.zeros(1, "<u8")
+    salt, odd = _permutations(bands * rows)
+    least = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[at : at + (1 << 12), None]
+        np.minimum(least, ((part ^ salt) * odd).min(0), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(bands, rows)], np.uint64)
+
+
+@lru_cache
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.array([xxhash.xxh64_intdigest(b"", k) for k in range(2 * n)], np.uint64)
+    return drawn[:n], drawn[n:] | np.uint64(1)
+
+
+def with_fingerprints(df: DataFrame, key: str, views: int = 1, width: int = 3, seed: int = 42, bands: int = 0) -> DataFrame:
+    """``key`` (long) and ``fps``: a signed 64-bit fingerprint for each view, then a
+    hash for each of ``bands`` bands of the five-word shingles; a row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), width, seed)
+                text = text.as_py()
+                hashes = shingle_hashes(text, width, seed)
                 rows.append([majority(remixed(hashes, v)) for v in range(views)])
+                if bands:
+                    rows[-1].extend(minima(shingle_hashes(text, RULE_WIDTH, 0), bands).tolist())
             fps = np.array(rows, np.uint64).reshape(-1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, views, dtype=np.int32)), pa.array(fps))
+            n = views + bands
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, n, dtype=np.int32)), pa.array(fps))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "fps"])
 
     return df.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{key} long, fps array<bigint>")
@@ -220,17 +246,11 @@ def fingerprint_hex() -> Column:
     return F.lower(F.lpad(F.hex("fp"), 16, "0"))
 
 
-#: Texts of which 0.8 of the five-word shingles agree have changed about one word
-#: in 45, so one two-word shingle in 22, and differ in about a tenth of all bits.
-#: Pairs beyond this share are not read again.
-NEAR_SHARE = 0.13
-
-
 def shingle_set(text: str | None, width: int) -> frozenset[int]:
     return frozenset(shingle_hashes(text, width, 0).tolist())
 
 
-def similar(pairs: DataFrame, texts: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, width: int = RULE_WIDTH, similarity: float = 0.8) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose texts (``node``, ``text``) have at least
     ``similarity`` of their distinct ``width``-word shingles in common; two texts
     without words do."""
@@ -249,36 +269,63 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int = 5, similarity: floa
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def keep_first(documents: DataFrame, threshold: int = 2, width: int = 2, seed: int = 42, views: int = 20, most: float = NEAR_SHARE) -> DataFrame:
+def keep_first(documents: DataFrame, threshold: int = 2, width: int = 2, seed: int = 42, views: int = 20, bands: int = 20) -> DataFrame:
     """The rows of ``documents`` without those whose group has an earlier one: the
     row of least doc_id stays (a null id only in a group without another).
 
-    One fingerprint of 64 bits misses most copies with a few words in a hundred
-    changed. So texts get ``views`` independent ones and are compared where any is
-    near; pairs with at most ``most`` of the bits of all views apart are read again,
-    and link if their five-word shingles are similar to 0.8. Only exact copies (by a
-    128-bit digest and the length) are one node unread. Texts that agree in a view's
-    fingerprint are compared with one of them, the least.
+    Only exact copies (by a 128-bit digest and the length) are one node unread. Texts
+    meet in a bucket if they agree in a band or a view's fingerprint, or if a view's
+    fingerprints are near; those that meet are read, and link if their five-word
+    shingles are similar to 0.8. All of a bucket are first read with its least node,
+    then those of a bucket with more than one component with a drawn one, and at last
+    all pairs of two components that meet in a bucket are read.
     """
     rows = staged(packed(documents).withColumn("uid", F.monotonically_increasing_id()), "simhash-documents")
-    prints = staged(with_fingerprints(rows.select("uid", "doc.text"), "uid", views, width, seed), "simhash-prints")
+    prints = staged(with_fingerprints(rows.select("uid", "doc.text"), "uid", views, width, seed, bands), "simhash-prints")
     # a node is a whole text: the uid of its first row
     content = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     order = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("id"), "uid")
     copies = rows.select(F.md5(content.cast("binary")).alias("digest"), F.octet_length(content).alias("bytes"), order.alias("at"))
     first = staged(copies.groupBy("digest", "bytes").agg(F.min("at").alias("least")).select(F.col("least.uid").alias("node"), "least"), "simhash-first")
-    whole = staged(prints.withColumnRenamed("uid", "node").join(first.select("node"), "node"), "simhash-nodes")
-    named = whole.select("node", F.posexplode("fps").alias("view", "fp"))
-    heads = staged(named.groupBy("view", "fp").agg(F.min("node").alias("head")), "simhash-distinct")
-    stars = named.join(heads, ["view", "fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    near = staged(view_links(heads.select("view", "fp"), threshold, halved=True), "simhash-links")
+    whole = prints.withColumnRenamed("uid", "node").join(first.select("node"), "node", "left_semi")
+    named = staged(whole.select("node", F.posexplode("fps").alias("view", "fp")), "simhash-nodes")
+    texts = rows.select(F.col("uid").alias("node"), "doc.text")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return staged(similar(pairs, texts.join(wanted, "node", "left_semi")), "simhash-linked")
+
+    def pair(x: str, y: str) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    heads = staged(named.groupBy("view", "fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "simhash-distinct")
+    stars = named.join(heads.where("n > 1"), ["view", "fp"]).where("node <> head").select(*pair("node", "head"))
+    near = staged(view_links(heads.where(F.col("view") < views).select("view", "fp"), threshold, halved=True), "simhash-links")
     side = lambda c: heads.select("view", F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
-    joined = near.join(side("a"), ["view", "a"]).join(side("b"), ["view", "b"]).select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
-    pairs = stars.union(joined).where("a <> b").distinct()
-    bits = lambda c: whole.select(F.col("node").alias(c), F.col("fps").alias(f"fps_{c}"))
-    apart = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    close = staged(pairs.join(bits("a"), "a").join(bits("b"), "b").where(apart <= int(most * 64 * views)).select("a", "b"), "simhash-close")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    roots = components(similar(close, rows.select(F.col("uid").alias("node"), "doc.text").join(wanted, "node")))
+    joined = near.join(side("a"), ["view", "a"]).join(side("b"), ["view", "b"]).where("head_a <> head_b").select(*pair("head_a", "head_b"))
+    read = staged(stars.union(joined).distinct(), "simhash-pairs")
+    edges = linked(read)
+    roots = components(edges)
+    for last in (False, True):
+        placed = staged(named.join(roots, "node", "left").select("node", "view", "fp", F.coalesce("root", "node").alias("root")), "simhash-placed")
+        mixed = placed.groupBy("view", "fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", F.xxhash64("node")).alias("drawn"), F.min_by("root", F.xxhash64("node")).alias("drawn_root"))
+        mixed = staged(mixed, "simhash-mixed")
+        apart = mixed.where("low <> high")
+        if not last:
+            pairs = placed.join(apart, ["view", "fp"]).where("root <> drawn_root").select(*pair("node", "drawn"))
+        else:
+            here = placed.join(apart.select("view", "fp"), ["view", "fp"], "left_semi")
+            there = here.select("view", "fp", F.col("node").alias("other"), F.col("root").alias("other_root"))
+            pairs = here.join(there, ["view", "fp"]).where("node < other AND root <> other_root").select(*pair("node", "other"))
+            # fingerprints that are near, unless all of both are one component
+            spread = lambda c: mixed.select("view", F.col("fp").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
+            open_ = near.join(spread("a"), ["view", "a"]).join(spread("b"), ["view", "b"]).where("least(low_a, low_b) <> greatest(high_a, high_b)").select("view", "a", "b")
+            member = lambda c: placed.select("view", F.col("fp").alias(c), F.col("node").alias(f"node_{c}"), F.col("root").alias(f"root_{c}"))
+            across = open_.join(member("a"), ["view", "a"]).join(member("b"), ["view", "b"]).where("root_a <> root_b")
+            pairs = pairs.union(across.select(*pair("node_a", "node_b")))
+        more = staged(pairs.distinct().join(read, ["a", "b"], "left_anti"), "simhash-pairs")
+        read = read.union(more)
+        edges = edges.union(linked(more))
+        roots = components(edges)
     classes = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("least").alias("least"))
     return rows.join(classes.select(F.col("least.uid").alias("uid")), "uid", "left_semi").select("doc.*")

@@ -16,3 +16,45 @@ def test_equal_fingerprints_of_different_texts(spark):
     assert len({simhash.fingerprint(t, 2) for t in texts}) == 1
     rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0], texts[1]])], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in simhash.keep_first(rows).collect()) == list(range(6))
+
+
+#: share of the words that an edit keeps, for the five-word similarity at its right
+EDITS = {
+    "appended 5 %": lambda rng, w: w + words(rng, len(w) // 20),
+    "appended 15 %": lambda rng, w: w + words(rng, len(w) * 15 // 100),
+    "appended 23 %": lambda rng, w: w + words(rng, len(w) * 23 // 100),
+    "cut by 5 %": lambda rng, w: w[: len(w) * 95 // 100],
+    "cut by 18 %": lambda rng, w: w[: len(w) * 82 // 100],
+    "replaced block 5 %": lambda rng, w: w[:100] + words(rng, len(w) // 20) + w[100 + len(w) // 20 :],
+    "replaced block 9 %": lambda rng, w: w[:100] + words(rng, len(w) * 9 // 100) + w[100 + len(w) * 9 // 100 :],
+    "each 60th word": lambda rng, w: [words(rng, 1)[0] if k % 60 == 30 else x for k, x in enumerate(w)],
+}
+
+
+def test_recall_by_edit(spark):
+    """Copies with one edit that leaves the five-word similarity at 0.8 or more."""
+    rng = random.Random(7)
+    rows, kinds, n = [], {}, 40
+    for kind, edit in EDITS.items():
+        for _ in range(n):
+            base = words(rng, 400)
+            copy = edit(rng, base)
+            x, y = (simhash.shingle_set(" ".join(t), 5) for t in (base, copy))
+            assert len(x & y) >= 0.8 * len(x | y), kind
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+            kinds[len(rows) - 1] = kind
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()}
+    assert all(i in kept for i in range(0, len(rows), 2))
+    caught = {kind: sum(k == kind and i not in kept for i, k in kinds.items()) for kind in EDITS}
+    print(caught)
+    assert all(c >= 0.95 * n for c in caught.values()), caught
+
+
+def test_members_of_a_bucket_meet(spark):
+    """Copies of one another that are no copies of the least text of their bucket."""
+    rng = random.Random(11)
+    filler = ["- -"] * 250
+    texts = [" ".join(filler + words(rng, 500)) for _ in range(3)]
+    texts += [texts[1] + " the end", texts[2] + " the end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(rows, bands=0).collect()) == [0, 1, 2]
