@@ -12,11 +12,14 @@ from caselens.operators import cards, ingest, retrieval
 from caselens.sources import cases
 
 
-def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.substring("text", 1, 200), r"[\s,.]+")
+def _cards(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """``related_concepts``: the distinct words of over four letters in the whole text;
+    without ``whole`` the first five within 200 characters, as the SQL of G7 has them."""
+    words = F.split("text" if whole else F.substring("text", 1, 200), r"[\s,.]+")
+    concepts = F.array_distinct(F.filter(words, lambda w: F.length(w) > 4))
     return bindings.read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("card_id"), F.concat(F.lit("card"), "doc_id").alias("name"), F.col("source").alias("industry"), F.array("lang", "source").alias("tags"), F.array("lang").alias("labels"),
-        F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) > 4)), 1, 5).alias("related_concepts"), F.array(F.concat(F.lit("h"), (F.col("doc_id") % 18).cast("string"))).alias("rule_ids"), "text",
+        (concepts if whole else F.slice(concepts, 1, 5)).alias("related_concepts"), F.array(F.concat(F.lit("h"), (F.col("doc_id") % 18).cast("string"))).alias("rule_ids"), "text",
     )
 
 
@@ -41,7 +44,7 @@ def g1_derived_cases(spark, sf_dir):
 
 
 def g7_card_edges(spark, sf_dir):
-    return cards.attach(_cards(spark, sf_dir)).groupBy("type", "dst_label").agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("targets"))
+    return cards.attach(_cards(spark, sf_dir, whole=False)).groupBy("type", "dst_label").agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("targets"))
 
 
 def g9_triples(spark, sf_dir):
