@@ -5,12 +5,15 @@ raw little-endian ids of up to ``BLOCK`` ids (a longer document alone in one
 block) and the number of ids of each document. ``index`` holds one minimal
 perfect hash for each bucket of keys: a key's slot is found by testing one bit
 for each level and counting the bits before it, and the slot has a 32-bit
-fingerprint of the key and where its first document starts, so a lookup reads
-one bucket and one block whatever the size of the store.
+fingerprint of the key, where its first document starts, how many ids follow and
+in which blocks. A lookup reads one bucket and the blocks that it names, whatever
+the size of the store; the payload itself is never searched for a key.
 
 Texts are cut where white space follows something else, which the tokenizer's
-own splitting rule never crosses; pieces met before are taken from a bounded
-cache, all others go through the tokenizer. The ids are those of the whole text.
+own splitting rule never crosses: at spaces and line ends where white space stands
+alone, and by ``PIECE`` in texts where it does not and in parts that are not one
+word. Parts met before are taken from a bounded cache, all others go through the
+tokenizer. The ids are those of the whole text.
 
 Edge cases: a null or empty text has only the end id; rows with a null
 ``doc_id`` come first; equal ``doc_id`` values are ordered by their texts' hash,
@@ -26,12 +29,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +50,32 @@ MARK = r"(?:[^\w\s]|[_\x1c-\x1f])"
 #: The tokenizer's rule never crosses the place where white space follows
 #: something else, nor that where a letter or digit is followed by neither.
 PIECE = re.compile(rf"{WHITE}*[^\W_]+|{WHITE}*{MARK}+[^\W_]*|{WHITE}+")
-#: Pieces kept because they were met in two groups, and those met in one so far.
-KNOWN, ONCE, LONGEST, GROUP = 300_000, 150_000, 64, 1 << 18
+#: White space beside white space: such a text is not cut at each space.
+DOUBLE = re.compile(r"\s\s")
+ALONE = re.compile(r"\S \S")
+#: Parts of one generation of the cache, and characters of text encoded together.
+LIMIT, GROUP = 250_000, 1 << 21
+
+
+def part_key(piece: str) -> str:
+    """A part's name in the cache: without the space before it, and with one if it has none."""
+    if piece[0] == " " and piece[1:2] not in (" ", "\n"):
+        return piece[1:]
+    return piece if piece[0] == "\n" else " " + piece
+
+
+def part_text(key: str) -> str:
+    return " " + key if not key or key[0] not in " \n" else key[1:] if key[0] == " " else key
+
+
+def slices(text: str) -> Iterator[str]:
+    """``text`` cut at spaces that stand alone, about GROUP characters each."""
+    at = 0
+    while at < len(text):
+        cut = ALONE.search(text, at + GROUP)
+        to = cut.start() + 1 if cut else len(text)
+        yield text[at:to]
+        at = to
 
 
 class Encoder:
@@ -61,51 +89,94 @@ class Encoder:
         self.kind = np.dtype(f"<u{width}")
         self.end = np.array([end_id], self.kind).tobytes()
         names = self.tokenizer.get_vocab()
-        # a byte-level token has one character for each byte
-        self.n_bytes = np.zeros(max(names.values()) + 1, np.int64)
-        self.n_bytes[list(names.values())] = [len(k) for k in names]
-        self.known: dict[str, bytes] = {}
-        self.once: dict[str, bytes] = {}
+        # byte-level tokens that begin with a space or a line end
+        self.opens = np.zeros(max(names.values()) + 1, bool)
+        self.opens[[i for name, i in names.items() if name[0] in "\u0120\u010a"]] = True
+        # two generations: what the young one lacks is looked for in the old one
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
         """Pieces that begin with white space and end without keep their ids when
         written one after the other, so many go through the tokenizer as one text."""
         run = [p for p in pieces if p[0] in " \n" and len(p) > 1 and not p[-1].isspace()]
-        other = set(pieces).difference(run)
+        single = list(set(pieces).difference(run))
         groups = [run[i : i + 256] for i in range(0, len(run), 256)]
         out: dict[str, bytes] = {}
+        size = self.kind.itemsize
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
-            reached = np.cumsum(self.n_bytes[ids])
-            wanted = np.cumsum([len(p.encode()) for p in group])
-            ends = np.searchsorted(reached, wanted)
-            if not (reached[np.minimum(ends, len(reached) - 1)] == wanted).all():  # a rule of another vocabulary
-                other.update(group)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(group):  # white space inside a piece, or a rule of another vocabulary
+                single.extend(group)
                 continue
-            data, at = ids.tobytes(), 0
-            for p, to in zip(group, ((ends + 1) * self.kind.itemsize).tolist()):
-                out[p], at = data[at:to], to
-        single = list(other)
+            data = ids.tobytes()
+            out.update((p, data[x:y]) for p, (x, y) in zip(group, pairwise([*(starts * size).tolist(), len(data)])))
         out.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)))
         return out
 
-    def _bytes_of(self, groups: list[list[str]]) -> list[bytes]:
-        """The joined ids of each group of pieces; new pieces are encoded together."""
-        known, once = self.known, self.once
-        missing = [p for p in set().union(*groups) if p not in known]
-        again = {p: once.pop(p) for p in missing if p in once}
-        fresh = self._encode_new([p for p in missing if p not in again])
-        known.update(again)
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, group)) for group in groups]
-        for p in fresh:
-            del known[p]
-        if len(once) + len(fresh) > ONCE:
-            once.clear()
-        once.update((p, b) for p, b in fresh.items() if len(p) <= LONGEST)
-        if len(known) > KNOWN:
-            known.clear()
-        return out
+    def _learn(self, keys: list[str]) -> None:
+        """Make all of ``keys``, which are not young, young."""
+        young, old = self.young, self.old
+        new: dict[str, str] = {}
+        mixed: list[tuple[str, list[str]]] = []
+        for k in keys:
+            ids = old.get(k)
+            if ids is not None:
+                young[k] = ids
+            elif k.isalpha():
+                new[" " + k] = k
+            else:
+                text = part_text(k)
+                pieces = PIECE.findall(text)
+                if len(pieces) == 1:
+                    new[text] = k
+                else:
+                    mixed.append((k, list(map(part_key, pieces))))
+        for k in {p for _, pieces in mixed for p in pieces}:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    new[part_text(k)] = k
+        for text, ids in self._encode_new(list(new)).items():
+            young[new[text]] = ids
+        for k, pieces in mixed:
+            young[k] = b"".join([young[p] for p in pieces])
+
+    def _ids(self, keys: list[str]) -> list[bytes]:
+        """The ids of each of ``keys``; new ones are encoded together."""
+        found = list(map(self.young.get, keys))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([keys[i] for i in gaps])
+        for i in gaps:
+            found[i] = self.young[keys[i]]
+        if len(self.young) > LIMIT:
+            self.young, self.old = {}, self.young
+        return found
+
+    def _joined(self, parts: pa.ListArray) -> list[bytes]:
+        """The joined ids of each list of keys; a key is looked up once."""
+        coded = parts.flatten().dictionary_encode()
+        rows = pa.array(self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(coded.indices)
+        _, offsets, data = rows.buffers()
+        ends = np.frombuffer(offsets, np.int32)[parts.offsets.to_numpy()].tolist() if len(rows) else [0] * (len(parts) + 1)
+        data = memoryview(data) if data else b""
+        return [bytes(data[x:y]) for x, y in pairwise(ends)]
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, without an end id."""
+        plain = [not DOUBLE.search(x) for x in texts]
+        heads, rests = [], []
+        for text, cut in zip(texts, plain):
+            head, space, rest = text.replace("\n", " \n").partition(" ") if cut else ("", "", "")
+            heads.append(head)
+            rests.append(rest if space else None)
+        # before the first space is nothing, or a part without a space before it
+        first = iter(self._ids([" " + h for h in heads if h]))
+        after = self._joined(pc.split_pattern(pa.array(rests, pa.string()), " "))
+        other = iter(self._joined(pa.array([list(map(part_key, PIECE.findall(x))) for x, cut in zip(texts, plain) if not cut], pa.list_(pa.string()))))
+        return [(next(first) if head else b"") + rest if cut else next(other) for head, rest, cut in zip(heads, after, plain)]
 
     def encode(self, texts: Iterator[str | None]) -> Iterator[bytes]:
         """The ids of each text and the end id, in the order given."""
@@ -113,22 +184,15 @@ class Encoder:
         chars = 0
         for text in texts:
             text = text or ""
-            if held and (chars + len(text) > GROUP):
-                yield from self._texts(held)
+            if held and chars + len(text) > GROUP:
+                yield from (x + self.end for x in self._texts(held))
                 held, chars = [], 0
-            if len(text) > GROUP:  # pieces of one text, a bounded number at a time
-                found, out = PIECE.finditer(text), []
-                while group := [m[0] for m in islice(found, 1 << 16)]:
-                    out += self._bytes_of([group])
-                yield b"".join(out) + self.end
+            if len(text) > GROUP:  # a bounded length at a time
+                yield b"".join([self._texts([x])[0] for x in slices(text)]) + self.end
                 continue
             held.append(text)
             chars += len(text)
-        yield from self._texts(held)
-
-    def _texts(self, texts: list[str]) -> Iterator[bytes]:
-        for data in self._bytes_of([PIECE.findall(x) for x in texts]) if texts else ():
-            yield data + self.end
+        yield from (x + self.end for x in self._texts(held))
 
 
 @lru_cache(maxsize=1)
@@ -172,30 +236,29 @@ def write_payload(documents: DataFrame, path: str, vocabulary: str, end_id: int
     ordered.select("doc_id", "text", F.spark_partition_id().alias("shard")).mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
 
 
-def read_payload(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the blocks."""
+def placed_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks with ``seq``, their number in the whole store, and ``at``, the ids before them."""
     blocks = spark.read.parquet(path)
-    bases = blocks.groupBy("shard").agg(F.sum("n_ids").alias("held"))
+    sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids"), F.count("*").alias("blocks"))
     # a row for each shard, not for each document
-    bases = bases.select(F.col("shard").alias("__shard"), (F.sum("held").over(Window.orderBy("shard")) - F.col("held")).alias("base"))
+    before = lambda c: F.sum(c).over(Window.orderBy("shard")) - F.col(c)
+    bases = sizes.select(F.col("shard").alias("__shard"), before("ids").alias("ids_before"), before("blocks").alias("blocks_before"))
     placed = blocks.join(F.broadcast(bases), F.col("shard") == F.col("__shard"))  # at most one row for each shuffle partition
+    return placed.withColumn("seq", F.col("blocks_before") + F.col("block")).withColumn("at", F.col("ids_before") + F.col("first"))
+
+
+def places(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, seq of each document; no payload is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                n = np.array(r["n_tokens"], np.int64)
-                start = r["at"] + np.cumsum(n) - n
-                ids = np.frombuffer(r["payload"], f"<u{r['width']}").astype("<u4")
-                ends = np.cumsum(n)
-                crc = [zlib.crc32(ids[e - k : e].tobytes()) for e, k in zip(ends.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(start), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
-                )
-
-    return placed.select("doc_ids", "n_tokens", "payload", "width", (F.col("base") + F.col("first")).alias("at")).mapInArrow(
-        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+                seq, at, ids, n = (batch.column(i)[k] for i in range(4))
+                n = n.values.to_numpy()
+                start = at.as_py() + np.cumsum(n) - n
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array(start), pa.array(n), pa.array(np.full(len(n), seq.as_py()))], names=["doc_id", "start", "n_tokens", "seq"])
+
+    return placed_blocks(spark, path).select("seq", "at", "doc_ids", "n_tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, seq long")
 
 
 def _mix(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -250,10 +313,16 @@ def _bucket(n: int) -> Column:
     return F.pmod(F.xxhash64(F.col("key"), F.lit(7)), F.lit(n))
 
 
+#: What a slot says of its key's documents: start of the first, their number, their ids, first and last block.
+SLOT = ("start", "copies", "ids", "low", "high")
+
+
 def write_index(documents: DataFrame, path: str) -> None:
-    """Buckets (bucket, sizes, bits, marks, starts, copies, lengths) over the
-    distinct keys of ``documents`` (doc_id, start, n_tokens); null keys are a flag's own."""
-    keys = documents.groupBy(F.col("doc_id").alias("key")).agg(F.min("start").alias("start"), F.count("*").alias("copies"), F.sum("n_tokens").alias("ids"))
+    """Buckets (bucket, sizes, bits, marks, a column for each of SLOT) over the distinct
+    keys of ``documents`` (doc_id, start, n_tokens, seq); null keys are a field's own."""
+    keys = documents.groupBy(F.col("doc_id").alias("key")).agg(
+        F.min("start").alias("start"), F.count("*").alias("copies"), F.sum("n_tokens").alias("ids"), F.min("seq").alias("low"), F.max("seq").alias("high")
+    )
     n = max(1, -(-documents.count() // BUCKET))
 
     def one(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -261,60 +330,52 @@ def write_index(documents: DataFrame, path: str) -> None:
         own = rows[~null]
         k = own["key"].to_numpy(np.int64)
         sizes, bits = build_mph(k)
-        slots = mph_slots(sizes, bits, k)
-        order = np.argsort(slots)
-        pack = lambda x, kind: np.ascontiguousarray(x.to_numpy(kind)[order]).tobytes()
-        first = rows[null].iloc[0] if null.any() else None
-        return pd.DataFrame(
-            {
-                "bucket": [group[0]], "sizes": [sizes.tobytes()], "bits": [bits.tobytes()], "marks": [fingerprints(k)[order].tobytes()],
-                "starts": [pack(own["start"], np.int64)], "copies": [pack(own["copies"], np.int64)], "ids": [pack(own["ids"], np.int64)],
-                "null_key": [struct.pack("<3q", int(first["start"]), int(first["copies"]), int(first["ids"])) if first is not None else b""],
-            }
-        )
-
-    schema = "bucket long, sizes binary, bits binary, marks binary, starts binary, copies binary, ids binary, null_key binary"
+        order = np.argsort(mph_slots(sizes, bits, k))
+        slots = {c: [own[c].to_numpy(np.int64)[order].tobytes()] for c in SLOT}
+        null_key = struct.pack("<5q", *(int(rows[null][c].iloc[0]) for c in SLOT)) if null.any() else b""
+        return pd.DataFrame({"bucket": [group[0]], "sizes": [sizes.tobytes()], "bits": [bits.tobytes()], "marks": [fingerprints(k)[order].tobytes()], **slots, "null_key": [null_key]})
+
+    schema = "bucket long, sizes binary, bits binary, marks binary, " + ", ".join(f"{c} binary" for c in SLOT) + ", null_key binary"
     keys.withColumn("bucket", _bucket(n)).groupBy("bucket").applyInPandas(one, schema).withColumn("buckets", F.lit(n)).write.parquet(path)
 
 
-def _find(index: dict, keys: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(found, start, copies, ids) of integer ``keys`` in one bucket's row."""
+def _find(index: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(found, a row of SLOT for each key) of integer ``keys`` in one bucket's row."""
     marks = np.frombuffer(index["marks"], np.uint32)
     slots = mph_slots(np.frombuffer(index["sizes"], np.int64), np.frombuffer(index["bits"], np.uint8), keys)
     found = slots >= 0
-    if len(marks):
-        found &= marks[np.maximum(slots, 0)] == fingerprints(keys)
+    if not len(marks):
+        return found, np.zeros((len(keys), len(SLOT)), np.int64)
     at = np.maximum(slots, 0)
-    pick = lambda name: np.frombuffer(index[name], np.int64)[at] if len(marks) else np.zeros(len(keys), np.int64)
-    return found, pick("starts"), pick("copies"), pick("ids")
+    found &= marks[at] == fingerprints(keys)
+    return found, np.stack([np.frombuffer(index[c], np.int64)[at] for c in SLOT], 1)
 
 
 def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
-    """key, start, copies, ids for each distinct ``key`` that the index holds.
+    """key and the columns of SLOT for each distinct ``key`` that the index holds.
 
     A key that was never stored is told apart by its fingerprint, but for one in 2**32.
     """
     first = index.select("buckets").first()
     if first is None:
-        return keys.select("key", *(F.lit(0).cast("long").alias(c) for c in ("start", "copies", "ids"))).where("false")
+        return keys.select("key", *(F.lit(0).cast("long").alias(c) for c in SLOT)).where("false")
     n = first[0]
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"key": pd.array([], "Int64"), "start": [], "copies": [], "ids": []})
+        out = pd.DataFrame({"key": pd.array([], "Int64"), **{c: np.zeros(0, np.int64) for c in SLOT}})
         if not len(right) or not len(left):
             return out
         row = right.iloc[0]
         null = left["key"].isna().to_numpy()
         k = left["key"][~null].to_numpy(np.int64)
-        found, start, copies, ids = _find(row, k)
-        rows = [pd.DataFrame({"key": pd.array(k[found], "Int64"), "start": start[found], "copies": copies[found], "ids": ids[found]})]
+        found, slots = _find(row, k)
+        rows = [pd.DataFrame({"key": pd.array(k[found], "Int64"), **dict(zip(SLOT, slots[found].T))})]
         if null.any() and len(row["null_key"]):
-            s, c, i = struct.unpack("<3q", row["null_key"])
-            rows.append(pd.DataFrame({"key": pd.array([pd.NA], "Int64"), "start": [s], "copies": [c], "ids": [i]}))
+            rows.append(pd.DataFrame({"key": pd.array([pd.NA], "Int64"), **{c: [v] for c, v in zip(SLOT, struct.unpack("<5q", row["null_key"]))}}))
         return pd.concat(rows)
 
     asked = keys.select("key").distinct().withColumn("bucket", _bucket(n))
-    return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(one, "key long, start long, copies long, ids long")
+    return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(one, "key long, " + ", ".join(f"{c} long" for c in SLOT))
 
 
 def get(spark: SparkSession, path: str, key: int) -> list[int] | None:
@@ -327,37 +388,51 @@ def get(spark: SparkSession, path: str, key: int) -> list[int] | None:
     row = index.where(F.col("bucket") == bucket).first()
     if row is None:
         return None
-    found, start, _, _ = _find(row.asDict(), np.array([key], np.int64))
+    found, slots = _find(row.asDict(), np.array([key], np.int64))
     if not found[0]:
         return None
-    blocks = spark.read.parquet(f"{path}/payload")
-    held = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    at = int(start[0])
-    home = held.where(F.col("base") <= at).orderBy(F.col("base").desc(), F.col("shard").desc()).first()
-    local = at - home.base
-    block = blocks.where((F.col("shard") == home.shard) & (F.col("first") <= local) & (F.col("first") + F.col("n_ids") > local)).first()
-    ends = np.cumsum(block.n_tokens)
-    k = int(np.searchsorted(ends - np.array(block.n_tokens), local - block.first))
-    return np.frombuffer(block.payload, f"<u{block.width}")[ends[k] - block.n_tokens[k] : ends[k]].tolist()
+    slot = dict(zip(SLOT, slots[0].tolist()))
+    block = placed_blocks(spark, f"{path}/payload").where(F.col("seq") == slot["low"]).select("at", "n_tokens", "width", "payload").first()
+    starts = block.at + np.cumsum(block.n_tokens) - np.array(block.n_tokens)
+    k = int(np.searchsorted(starts, slot["start"]))
+    return np.frombuffer(block.payload, f"<u{block.width}")[slot["start"] - block.at :][: block.n_tokens[k]].tolist()
 
 
 def write_store(documents: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = 2, width: int = 2) -> str:
     """Write payload and index; return the store's path."""
     path = path or scratch_path(documents.sparkSession, "tokens")
     write_payload(documents, f"{path}/payload", vocabulary or public_tokenizers.path("byte_bpe_50k.json"), end_id, width)
-    spark = documents.sparkSession
-    write_index(read_payload(spark, f"{path}/payload").select("doc_id", "start", "n_tokens"), f"{path}/index")
+    write_index(places(documents.sparkSession, f"{path}/payload"), f"{path}/index")
     return path
 
 
 def read_store(keys: DataFrame, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document stored under ``keys`` (``key``).
 
-    The index says where a key's documents start and how many ids they have; the
-    payload is read once, in place, and answers with what lies there.
+    The index says which blocks to read and where in them: the requests for a block
+    (at most one for each of its documents) meet it, and each is answered with the
+    ids that lie at its place. Nothing else in the payload says whose ids they are.
     """
     spark = keys.sparkSession
-    runs = lookup(keys, spark.read.parquet(f"{path}/index")).withColumnRenamed("start", "run")
-    rows = read_payload(spark, f"{path}/payload")
-    there = (F.col("start") >= F.col("run")) & (F.col("start") < F.col("run") + F.col("ids"))
-    return rows.join(runs, F.col("doc_id").eqNullSafe(F.col("key"))).where(there).select("doc_id", "start", "n_tokens", "ids_crc32")
+    runs = lookup(keys, spark.read.parquet(f"{path}/index"))
+    asked = runs.select(F.explode(F.sequence("low", "high")).alias("seq"), F.struct("key", "start", "ids").alias("run"))
+    asked = asked.groupBy("seq").agg(F.collect_list("run").alias("runs"))
+    blocks = placed_blocks(spark, f"{path}/payload").select("seq", "at", "n_tokens", "width", "payload")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                at, n, width, payload, runs = (batch.column(i)[r] for i in range(5))
+                n, at, runs = n.values.to_numpy(), at.as_py(), runs.values
+                start = at + np.cumsum(n) - n
+                keys, low, size = runs.field("key"), runs.field("start").to_numpy(), runs.field("ids").to_numpy()
+                first, last = np.searchsorted(start, low), np.searchsorted(start, low + size)
+                held = last - first
+                row = np.repeat(np.arange(len(low)), held)
+                doc = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held) + first[row]
+                ids = np.frombuffer(payload.as_buffer(), f"<u{width.as_py()}").astype("<u4")
+                crc = [zlib.crc32(ids[x:y]) for x, y in zip((start[doc] - at).tolist(), (start[doc] - at + n[doc]).tolist())]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(start[doc]), pa.array(n[doc]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    joined = blocks.join(asked, "seq").select("at", "n_tokens", "width", "payload", "runs")
+    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
