@@ -77,44 +77,75 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42, view: int = 0)
     return majority(remixed(shingle_hashes(text, width, seed), view))
 
 
-def minima(hashes: np.ndarray, bands: int, rows: int = 6) -> np.ndarray:
-    """A hash of each band of ``rows`` MinHash values: two texts agree in a band with
-    the ``rows``-th power of their similarity. No hashes count as one, zero."""
-    if not len(hashes):
-        hashes = np.zeros(1, "<u8")
+def with_fingerprints(df: DataFrame, key: str, width: int = 3, seed: int = 42) -> DataFrame:
+    """``key`` (long) and ``fp``, the signed 64-bit fingerprint; a row for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(text.as_py(), width, seed) for text in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=[key, "fp"])
+
+    return df.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{key} long, fp long")
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    words = (text or "").encode().translate(_LOWER).split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """The distinct ``width``-word shingles of hashed words, as sorted hashes; all
+    words are one shingle if they are fewer, and none without words."""
+    if not len(words):
+        return words
+    n = max(1, len(words) - width + 1)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(min(width, len(words))):
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words[i : i + n]
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def minima(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A hash of each band of ``rows`` MinHash values: two sets agree in a band with
+    the ``rows``-th power of their similarity. No shingles count as one, zero."""
+    high = (shingles >> np.uint64(32)).astype(np.uint32) if len(shingles) else np.zeros(1, np.uint32)
     salt, odd = _permutations(bands * rows)
-    least = np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):
-        part = hashes[at : at + (1 << 12), None]
-        np.minimum(least, ((part ^ salt) * odd).min(0), out=least)
+    least = np.full(bands * rows, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(high), 256):
+        part = (high[at : at + 256, None] ^ salt) * odd
+        np.minimum(least, (part ^ (part >> np.uint32(15))).min(0), out=least)
     return np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least.reshape(bands, rows)], np.uint64)
 
 
 @lru_cache
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    drawn = np.array([xxhash.xxh64_intdigest(b"", k) for k in range(2 * n)], np.uint64)
-    return drawn[:n], drawn[n:] | np.uint64(1)
+    drawn = np.array([xxhash.xxh32_intdigest(b"", k) for k in range(2 * n)], np.uint32)
+    return drawn[:n], drawn[n:] | np.uint32(1)
+
 
+def with_sketches(df: DataFrame, key: str, views: int, bands: int, rows: int, width: int) -> DataFrame:
+    """``key`` (long) and ``marks``: a SimHash of the distinct ``width``-word shingles for
+    each view, then a hash for each band of the five-word shingles; a row for each row.
 
-def with_fingerprints(df: DataFrame, key: str, views: int = 1, width: int = 3, seed: int = 42, bands: int = 0) -> DataFrame:
-    """``key`` (long) and ``fps``: a signed 64-bit fingerprint for each view, then a
-    hash for each of ``bands`` bands of the five-word shingles; a row for each row."""
+    A shingle counts once in a text, so filler that is repeated weighs no more than a word.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            out = []
             for text in batch.column(1):
-                text = text.as_py()
-                hashes = shingle_hashes(text, width, seed)
-                rows.append([majority(remixed(hashes, v)) for v in range(views)])
+                words = word_hashes(text.as_py())
+                narrow = shingle_set(words, width)
+                out.extend(majority(remixed(narrow, v + 1)) for v in range(views))
                 if bands:
-                    rows[-1].extend(minima(shingle_hashes(text, RULE_WIDTH, 0), bands).tolist())
-            fps = np.array(rows, np.uint64).reshape(-1).view(np.int64)
-            n = views + bands
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, n, dtype=np.int32)), pa.array(fps))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "fps"])
+                    out.extend(minima(shingle_set(words, RULE_WIDTH), bands, rows).tolist())
+            marks = np.array(out, np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(marks) + 1, views + bands, dtype=np.int32)), pa.array(marks))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "marks"])
 
-    return df.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{key} long, fps array<bigint>")
+    return df.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{key} long, marks array<bigint>")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -183,23 +214,11 @@ def replicas(fps: DataFrame, beyond: int) -> DataFrame:
 
 def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints that differ in at most ``threshold`` bits."""
-    return view_links(fps.withColumn("view", F.lit(0)), threshold).select("a", "b")
-
-
-def view_links(fps: DataFrame, threshold: int, halved: bool = False) -> DataFrame:
-    """(view, a, b): as ``links``, in each view of (``view``, ``fp``).
-
-    ``halved``: both sides go to the anchors within radius plus half the threshold,
-    rounded up. A word halfway between two near fingerprints is that near to each,
-    and the anchor that covers it has both; it takes fewer copies, but compares all
-    of an anchor with all.
-    """
-    copies = staged(replicas(fps, -(-threshold // 2) if halved else threshold), "simhash-replicas")
-    home = copies.select("anchor", F.col("fp").alias("x")) if halved else copies.where("home").select("anchor", F.col("fp").alias("x"))
+    copies = staged(replicas(fps.select(F.lit(0).alias("view"), "fp"), threshold), "simhash-replicas")
+    home = copies.where("home").select("anchor", F.col("fp").alias("x"))
     guest = copies.select("anchor", F.col("fp").alias("y"))
-    near = F.expr(f"{'x < y' if halved else 'x <> y'} AND bit_count(x ^ y) <= {int(threshold)}")
-    pairs = home.hint("merge").join(guest, "anchor").where(near)
-    return pairs.select(F.shiftright("anchor", 2 * PART).alias("view"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = home.hint("merge").join(guest, "anchor").where(F.expr(f"x <> y AND bit_count(x ^ y) <= {int(threshold)}"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -233,7 +252,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def dedup_groups(documents: DataFrame, threshold: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable) for each row."""
-    prints = staged(with_fingerprints(documents, "doc_id", 1, width, seed).select("doc_id", F.col("fps")[0].alias("fp")), "simhash-prints")
+    prints = staged(with_fingerprints(documents, "doc_id", width, seed), "simhash-prints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = components(links(distinct, threshold))
     classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("class"), "first_id")
@@ -246,22 +265,18 @@ def fingerprint_hex() -> Column:
     return F.lower(F.lpad(F.hex("fp"), 16, "0"))
 
 
-def shingle_set(text: str | None, width: int) -> frozenset[int]:
-    return frozenset(shingle_hashes(text, width, 0).tolist())
-
-
-def similar(pairs: DataFrame, texts: DataFrame, width: int = RULE_WIDTH, similarity: float = 0.8) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose texts (``node``, ``text``) have at least
-    ``similarity`` of their distinct ``width``-word shingles in common; two texts
+    ``similarity`` of their distinct five-word shingles in common; two texts
     without words do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = lru_cache(256)(lambda text: shingle_set(text, width))  # neighbours in the batch share a side
+        sets = lru_cache(64)(lambda text: shingle_set(word_hashes(text), RULE_WIDTH))  # neighbours in the batch share a side
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = sets(x.as_py()), sets(y.as_py())
-                both = len(x & y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -269,63 +284,105 @@ def similar(pairs: DataFrame, texts: DataFrame, width: int = RULE_WIDTH, similar
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def keep_first(documents: DataFrame, threshold: int = 2, width: int = 2, seed: int = 42, views: int = 20, bands: int = 20) -> DataFrame:
-    """The rows of ``documents`` without those whose group has an earlier one: the
-    row of least doc_id stays (a null id only in a group without another).
-
-    Only exact copies (by a 128-bit digest and the length) are one node unread. Texts
-    meet in a bucket if they agree in a band or a view's fingerprint, or if a view's
-    fingerprints are near; those that meet are read, and link if their five-word
-    shingles are similar to 0.8. All of a bucket are first read with its least node,
-    then those of a bucket with more than one component with a drawn one, and at last
-    all pairs of two components that meet in a bucket are read.
+class Groups:
+    """Groups of nodes that grow by links: (node, root) for every node in one with another."""
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame):
+        self.texts, self.read = texts, None
+        self.roots = nodes.select("node", F.col("node").alias("root"))
+
+    def link(self, pairs: DataFrame) -> None:
+        """Read those of ``pairs`` (a, b) not read before, and join the groups of similar ones."""
+        fresh = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = staged(fresh if self.read is None else fresh.join(self.read, ["a", "b"], "left_anti"), "simhash-pairs")
+        self.read = fresh if self.read is None else self.read.union(fresh)
+        wanted = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        edges = staged(similar(fresh, self.texts.join(wanted, "node", "left_semi")), "simhash-linked")
+        if edges.isEmpty():
+            return
+        root = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        merged = components(edges.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        merged = merged.select(F.col("node").alias("root"), F.col("root").alias("over"))
+        self.roots = staged(self.roots.join(merged, "root", "left").select("node", F.coalesce("over", "root").alias("root")), "simhash-roots")
+
+    def mixed(self, placed: DataFrame, keys: list[str]) -> DataFrame:
+        """The rows of ``placed`` (node, keys) whose bucket holds several groups."""
+        spread = placed.join(self.roots, "node").groupBy(*keys).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        return placed.join(spread.where("low <> high").select(*keys), keys, "left_semi")
+
+    def stars(self, placed: DataFrame, keys: list[str], draw: Column) -> DataFrame:
+        """(node, head, keys) of the nodes of ``placed`` (node, keys) that are not in the
+        group of their bucket's head, the node of least ``draw``. Heads are aggregates,
+        so a bucket of any size gives a row for each member and never a pair of members."""
+        at = placed.join(self.roots, "node")
+        heads = at.groupBy(*keys).agg(F.min(F.struct(draw.alias("draw"), "node", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"))
+        heads = heads.where("low <> high").select(*keys, F.col("head.node").alias("head"), F.col("head.root").alias("head_root"))
+        return at.join(heads, keys).where("root <> head_root").select("node", "head", *keys)
+
+
+def near_groups(documents: DataFrame, threshold: int = 2, width: int = 2, views: int = 4, bands: int = 16, rows: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(``doc``, ``uid``) of each row, and (``node``, ``root``, ``least``): the group of each
+    distinct text, whose first row is ``uid`` = ``node`` with ``least`` = (no_id, id, uid).
+
+    Only exact copies (by a 128-bit digest and the length) are one node unread; all
+    other links are pairs of texts that were read and have 0.8 of their five-word
+    shingles in common. What is read, in this order, each time over what is left:
+
+    * each member of a bucket with its least one; a bucket is an equal SimHash of a
+      view or an equal band of MinHash values;
+    * near SimHashes by anchor covering: both sides go to the anchors within radius
+      plus half the threshold (a word halfway is that near to each), a group has one
+      member at an anchor, and those of different groups are compared there;
+    * each member of a bucket with a drawn one of another group, twice;
+    * where a bucket still holds several groups, its members by each further band:
+      those that agree in two sketches, with a drawn one of them, twice.
+
+    Every step but the anchors is a star, so its pairs grow with the members of a
+    bucket and not with their square; at an anchor they grow with near texts that
+    were read and found to differ.
     """
-    rows = staged(packed(documents).withColumn("uid", F.monotonically_increasing_id()), "simhash-documents")
-    prints = staged(with_fingerprints(rows.select("uid", "doc.text"), "uid", views, width, seed, bands), "simhash-prints")
+    rows_ = staged(packed(documents).withColumn("uid", F.monotonically_increasing_id()), "simhash-documents")
+    sketches = staged(with_sketches(rows_.select("uid", "doc.text"), "uid", views, bands, rows, width), "simhash-sketches")
     # a node is a whole text: the uid of its first row
     content = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
     order = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("id"), "uid")
-    copies = rows.select(F.md5(content.cast("binary")).alias("digest"), F.octet_length(content).alias("bytes"), order.alias("at"))
+    copies = rows_.select(F.md5(content.cast("binary")).alias("digest"), F.octet_length(content).alias("bytes"), order.alias("at"))
     first = staged(copies.groupBy("digest", "bytes").agg(F.min("at").alias("least")).select(F.col("least.uid").alias("node"), "least"), "simhash-first")
-    whole = prints.withColumnRenamed("uid", "node").join(first.select("node"), "node", "left_semi")
-    named = staged(whole.select("node", F.posexplode("fps").alias("view", "fp")), "simhash-nodes")
-    texts = rows.select(F.col("uid").alias("node"), "doc.text")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return staged(similar(pairs, texts.join(wanted, "node", "left_semi")), "simhash-linked")
-
-    def pair(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    heads = staged(named.groupBy("view", "fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "simhash-distinct")
-    stars = named.join(heads.where("n > 1"), ["view", "fp"]).where("node <> head").select(*pair("node", "head"))
-    near = staged(view_links(heads.where(F.col("view") < views).select("view", "fp"), threshold, halved=True), "simhash-links")
-    side = lambda c: heads.select("view", F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
-    joined = near.join(side("a"), ["view", "a"]).join(side("b"), ["view", "b"]).where("head_a <> head_b").select(*pair("head_a", "head_b"))
-    read = staged(stars.union(joined).distinct(), "simhash-pairs")
-    edges = linked(read)
-    roots = components(edges)
-    for last in (False, True):
-        placed = staged(named.join(roots, "node", "left").select("node", "view", "fp", F.coalesce("root", "node").alias("root")), "simhash-placed")
-        mixed = placed.groupBy("view", "fp").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", F.xxhash64("node")).alias("drawn"), F.min_by("root", F.xxhash64("node")).alias("drawn_root"))
-        mixed = staged(mixed, "simhash-mixed")
-        apart = mixed.where("low <> high")
-        if not last:
-            pairs = placed.join(apart, ["view", "fp"]).where("root <> drawn_root").select(*pair("node", "drawn"))
-        else:
-            here = placed.join(apart.select("view", "fp"), ["view", "fp"], "left_semi")
-            there = here.select("view", "fp", F.col("node").alias("other"), F.col("root").alias("other_root"))
-            pairs = here.join(there, ["view", "fp"]).where("node < other AND root <> other_root").select(*pair("node", "other"))
-            # fingerprints that are near, unless all of both are one component
-            spread = lambda c: mixed.select("view", F.col("fp").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
-            open_ = near.join(spread("a"), ["view", "a"]).join(spread("b"), ["view", "b"]).where("least(low_a, low_b) <> greatest(high_a, high_b)").select("view", "a", "b")
-            member = lambda c: placed.select("view", F.col("fp").alias(c), F.col("node").alias(f"node_{c}"), F.col("root").alias(f"root_{c}"))
-            across = open_.join(member("a"), ["view", "a"]).join(member("b"), ["view", "b"]).where("root_a <> root_b")
-            pairs = pairs.union(across.select(*pair("node_a", "node_b")))
-        more = staged(pairs.distinct().join(read, ["a", "b"], "left_anti"), "simhash-pairs")
-        read = read.union(more)
-        edges = edges.union(linked(more))
-        roots = components(edges)
-    classes = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("least").alias("least"))
-    return rows.join(classes.select(F.col("least.uid").alias("uid")), "uid", "left_semi").select("doc.*")
+    whole = staged(sketches.withColumnRenamed("uid", "node").join(first.select("node"), "node", "left_semi"), "simhash-nodes")
+    named = whole.select("node", F.posexplode("marks").alias("view", "mark"))
+    shared = named.groupBy("view", "mark").agg(F.count("*").alias("n"), F.min("node").alias("head"))
+    placed = staged(named.join(shared.where("n > 1").select("view", "mark"), ["view", "mark"], "left_semi"), "simhash-placed")
+    groups = Groups(first, rows_.select(F.col("uid").alias("node"), "doc.text"))
+
+    groups.link(groups.stars(placed, ["view", "mark"], F.col("node")).select(F.col("node").alias("a"), F.col("head").alias("b")))
+    groups.link(_anchored(shared.where(F.col("view") < views).select("view", F.col("mark").alias("fp"), "head"), groups.roots, threshold))
+    for turn in range(2):
+        groups.link(groups.stars(placed, ["view", "mark"], F.xxhash64("node", "view", F.lit(turn))).select(F.col("node").alias("a"), F.col("head").alias("b")))
+    if bands:
+        finer = groups.mixed(placed, ["view", "mark"]).join(whole, "node").select("node", "view", "mark", F.posexplode("marks").alias("by", "other")).where((F.col("by") >= views) & (F.col("by") > F.col("view")))
+        finer = staged(finer.select("node", F.xxhash64("view", "mark", "by", "other").alias("both")), "simhash-finer")
+        for turn in range(2):
+            groups.link(groups.stars(finer, ["both"], F.xxhash64("node", "both", F.lit(turn))).select(F.col("node").alias("a"), F.col("head").alias("b")))
+    return rows_, first.join(groups.roots, "node").select("node", "root", "least")
+
+
+def keep_first(documents: DataFrame, **settings) -> DataFrame:
+    """The rows of ``documents`` without those whose group (``near_groups``) has an earlier
+    one: the row of least doc_id stays (a null id only in a group without another)."""
+    rows, classes = near_groups(documents, **settings)
+    kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
+    return rows.join(kept, "uid", "left_semi").select("doc.*")
+
+
+def _anchored(fps: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): heads (``view``, ``fp``, ``head``) whose fingerprints differ in at most
+    ``threshold`` bits, one of each group at an anchor."""
+    heads = staged(fps.join(roots, fps["head"] == roots["node"]).select("view", "fp", "head", "root"), "simhash-heads")
+    copies = staged(replicas(heads.select("view", "fp"), -(-threshold // 2)).select("anchor", "fp"), "simhash-replicas")
+    # a view's anchors are its own
+    at = copies.withColumn("view", F.shiftright("anchor", 2 * PART).cast("int")).join(heads, ["view", "fp"])
+    one = staged(at.groupBy("anchor", "root").agg(F.min(F.struct("fp", "head")).alias("x")).select("anchor", "root", "x.fp", "x.head"), "simhash-anchored")
+    left = one.select("anchor", F.col("root").alias("root_x"), F.col("fp").alias("x"), F.col("head").alias("a"))
+    right = one.select("anchor", F.col("root").alias("root_y"), F.col("fp").alias("y"), F.col("head").alias("b"))
+    near = left.hint("merge").join(right, "anchor").where(F.expr(f"root_x < root_y AND bit_count(x ^ y) <= {int(threshold)}"))
+    return near.select("a", "b")
