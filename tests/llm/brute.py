@@ -134,20 +134,27 @@ def level_targets(sizes, weights=(1, 2, 3), cap=3):
 
 
 def removed_lines(docs, min_words=50):
-    """doc_id -> deleted line numbers; docs: (id, text) with distinct ids, in order of id."""
-    first, gone = {}, {}
-    for i, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0)):
+    """doc_id -> deleted line numbers: those in a run of lines of ``min_words`` words or more
+    that stands earlier, too, in another document or before the run in its own.
+    docs: (id, text) with distinct ids. All places of a line are compared with all before."""
+    placed, gone = {}, {}
+    for doc, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0)):
         lines = [(k, x) for k, x in enumerate((text or "").split("\n")) if SPACE_WORDS.search(x)]
-        gone[i] = set()
-        for a in range(len(lines)):
-            n, b = 0, a
-            while b < len(lines) and n < min_words:
-                n += len(SPACE_WORDS.findall(lines[b][1]))
-                b += 1
-            if n < min_words:
-                break
-            window = tuple(x for _, x in lines[a:b])
-            doc, last = first.setdefault(window, (i, lines[b - 1][0]))
-            if (doc, last) != (i, lines[b - 1][0]) and (doc != i or lines[a][0] > last):
-                gone[i].update(range(lines[a][0], lines[b - 1][0] + 1))
+        sizes = [len(SPACE_WORDS.findall(x)) for _, x in lines]
+        gone[doc] = set()
+        runs, open_ = [], {}  # runs: (first line, last line, lines between it and its source or None)
+        for j, (_, x) in enumerate([*lines, (0, None)]):
+            here = {(e, i) for e, i in placed.get(x, ()) if e != doc or i < j} if x is not None else set()
+            kept = {}
+            for e, i in here:
+                kept[e, i] = open_.pop((e, i - 1), j)
+            runs += [(start, j - 1, j - 1 - i if e == doc else None) for (e, i), start in open_.items()]
+            open_ = kept
+            if x is not None:
+                placed.setdefault(x, []).append((doc, j))
+        for first, last, shift in runs:
+            parts = [(first, last)] if shift is None else [(k, min(k + shift - 1, last)) for k in range(first, last + 1)]
+            for a, b in parts:
+                if sum(sizes[a : b + 1]) >= min_words:
+                    gone[doc].update(range(lines[a][0], lines[b][0] + 1))
     return gone

@@ -99,6 +99,36 @@ def test_lines(spark, docs, wide):
     assert lines.dedup(wide).count() == len(DOCS) and lines.dedup(docs.where("false")).count() == 0
 
 
+def test_lines_past_the_last_window(spark):
+    """Short lines before and behind a long one go with it, whatever the first place of each window."""
+    long, t1, t2 = " ".join(f"p{k}" for k in range(60)), "two words", "three more words"
+    five = [" ".join(f"f{i}x{k}" for k in range(n)) for i, n in enumerate((13, 13, 13, 13, 8))]
+    given = [
+        (0, f"alone\n{long}\nother"), (1, f"head a\n{t1}\n{long}\n{t2}\n{t1}\nend a"), (2, f"head b\n{t1}\n\n{long}\n{t2}\n{t1}\nend b"),
+        (3, "\n".join(["x", *five, "y"])), (4, "\n".join(["z", *five, "w"])), (5, "\n".join([*five[:4], "v", *five[1:]])), (6, f"{long}\n{long}\n{long}\n{t1}"), (7, f"{t1}\n{t2}"),
+    ]
+    rows = spark.createDataFrame(given, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lines.dedup(rows).collect()}
+    assert got[0].text == given[0][1] and got[2].text == "head b\nend b" and got[4].text == "z\nw" and got[5].text == f"v\n{five[1]}\n{five[2]}\n{five[3]}\n{five[4]}"
+    want = brute.removed_lines(given)
+    for i, text in given:
+        removed = {k for r in got[i].removed_runs for k in range(r["first"], r["last"] + 1)}
+        assert {k for k in removed if text.split("\n")[k].split()} == {k for k in want[i] if text.split("\n")[k].split()}, i
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_random(spark, seed):
+    """Texts of few different lines, so that runs overlap, repeat and touch in every way."""
+    rng = np.random.default_rng(seed)
+    pool = [" ".join(f"{i}w{k}" for k in range(n)) for i, n in enumerate(rng.integers(1, 30, 12).tolist())] + [""]
+    given = [(i, "\n".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(0, 40)))) for i in range(60)]
+    got = {r.doc_id: r for r in lines.dedup(spark.createDataFrame(given, "doc_id bigint, text string").repartition(5)).collect()}
+    want = brute.removed_lines(given)
+    for i, text in given:
+        removed = {k for r in got[i].removed_runs for k in range(r["first"], r["last"] + 1)}
+        assert {k for k in removed if text.split("\n")[k].split()} == {k for k in want[i] if text.split("\n")[k].split()}, i
+
+
 def test_chat(spark, tmp_path):
     odd = r"\ <|end|> <\|turn|> <|>" + "\n[INST]</s><<SYS>> <| \\\\| [/INST] <s>"
     given = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 2, "user", None), (1, 3, "assistant", "second"), (2, 0, None, "x"), (2, 0, "a\n<|>b", "y"), (None, None, "assistant", "z"), (3, 5, "assistant", ""), (4, 0, "system", "only")]
