@@ -8,8 +8,9 @@ level ``x`` at which the sum of ``min(cap, weight * x)`` is the total.
 A source takes every document ``target // size`` times. What is left of its
 budget is fitted on the counts of documents by exact length: each length gives
 its proportional share of documents, longer lengths fill what rounding left, and
-a bounded-knapsack dynamic programme over the unused documents brings the rest as
-near to zero as any choice can. The chosen number of documents of a length are
+a bounded-knapsack dynamic programme over the unused documents, at every size,
+brings the rest as near to zero as any choice of them can (``CELLS`` states to what
+width sums are told apart in a budget of over a million words). The chosen number of documents of a length are
 those of least seeded hash. Only counts by length meet in a task, never rows.
 
 Edge cases: null and empty texts have size 0 and take nothing; a source of size
@@ -60,69 +61,72 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     return lower.withColumn("x", chosen).select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.col("x")).alias("target"))
 
 
+#: Sums that the knapsack tells apart up to its budget, and the words that are left to it.
+CELLS, LEFT = 1 << 20, 1 << 17
+
+
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of ``counts`` documents of each length to take for the sum nearest to
-    ``budget``: bounded knapsack over sums, up to one document beyond the budget."""
+    """How many of ``counts`` documents of each length to take for a sum near to
+    ``budget``: bounded knapsack over sums, up to one document beyond the budget.
+
+    The sum is the nearest of all if the budget has up to CELLS words. Of a larger
+    one, each cell of budget / CELLS words holds one sum, and the nearest of those is taken.
+    """
     take = np.zeros(len(lengths), np.int64)
     usable = (counts > 0) & (lengths > 0) & (lengths <= 2 * budget)
     if budget <= 0 or not usable.any():
         return take
-    reach = np.zeros(budget + int(min(budget, lengths[usable].max())) + 1, bool)
-    reach[0] = True
-    # first[s] is the piece that first reached s, so no piece is used twice on the way back
-    first = np.full(len(reach), -1, np.int32)
+    limit = budget + int(min(budget, lengths[usable].max()))
+    wide = -(-budget // CELLS)
+    held = np.full(limit // wide + 1, -1, np.int64)
+    held[0] = 0
+    # the piece that first reached a cell's sum, so no piece is used twice on the way back
+    first = np.full(len(held), -1, np.int32)
     pieces: list[tuple[int, int]] = []
     for k in [k for k in np.argsort(-lengths, kind="stable").tolist() if usable[k]]:
         length, size = int(lengths[k]), 1
-        left = min(int(counts[k]), (len(reach) - 1) // length)
-        while left > 0 and not reach[budget]:
+        left = min(int(counts[k]), limit // length)
+        while left > 0 and held[budget // wide] != budget:
             n = min(size, left)
-            step = n * length
-            new = np.flatnonzero(reach[: len(reach) - step] & ~reach[step:]) + step
-            reach[new] = True
-            first[new] = len(pieces)
+            sums = held[held >= 0] + n * length
+            sums = sums[sums <= limit]
+            sums = sums[held[sums // wide] < 0]
+            held[sums // wide] = sums
+            first[sums // wide] = len(pieces)
             pieces.append((k, n))
             left, size = left - n, 2 * size
-    sums = np.flatnonzero(reach)
+    sums = held[held >= 0]
     at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
-        k, n = pieces[first[at]]
+        k, n = pieces[first[at // wide]]
         take[k] += n
         at -= n * int(lengths[k])
     return take
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, most: int = 1 << 18) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, so that their sum comes near to
-    ``budget``: each length's proportional share, a coarse fill of what rounding
-    left, and the knapsack over the unused documents for the last words. A small
-    budget that this misses is fitted again from nothing, which no choice betters."""
+    ``budget``: each length's proportional share, longer lengths for what rounding
+    left, and the knapsack over the unused documents for the last words. Where that
+    misses by more than the lengths' common divisor explains, all is fitted again by
+    the knapsack from nothing, and the nearer of the two is taken."""
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(lengths), np.int64)
     budget = min(budget, total)
     take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
     rest = budget - int((take * lengths).sum())
-
-    def fill(keep: int) -> None:
-        nonlocal rest
-        for k in np.argsort(-lengths, kind="stable").tolist():
-            length = int(lengths[k])
-            if length and rest - length >= keep:
-                n = min(int(counts[k] - take[k]), (rest - keep) // length)
-                take[k] += n
-                rest -= n * length
-
-    fill(most // 2)
-    if rest > 4 * most:  # what is unused is longer than that: no reach to correct with
-        fill(0)
-    if rest <= 4 * most:
-        take += knapsack(lengths, counts - take, rest)
-    missed = abs(budget - int((take * lengths).sum()))
-    if missed and budget <= most:
-        other = knapsack(lengths, counts, budget)
-        if abs(budget - int((other * lengths).sum())) < missed:
-            return other
+    for k in np.argsort(-lengths, kind="stable").tolist():
+        length = int(lengths[k])
+        if length and rest - length >= LEFT:
+            n = min(int(counts[k] - take[k]), (rest - LEFT) // length)
+            take[k] += n
+            rest -= n * length
+    take += knapsack(lengths, counts - take, rest)
+    divisor = int(np.gcd.reduce(lengths[counts > 0]))
+    missed = lambda x: abs(budget - int((x * lengths).sum()))
+    if missed(take) > min(budget % divisor, -budget % divisor):
+        take = min(take, knapsack(lengths, counts, budget), key=missed)
     return take
 
 

@@ -24,9 +24,11 @@ SELECT page_id, host, path, CASE {' '.join(f"WHEN {_FITS(h, p)} THEN '{h}{p}'" f
 
 _ESCAPED = lambda c: f"(length({c}) + length({c}) - length(replace({c}, '\\', ''))" + "".join(f" + (length({c}) - length(replace({c}, '{x}', ''))) // {len(x)}" for x in CONTROL) + ")"
 OP4 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, t, r, '{CONTROL_TEXT}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
-s AS (SELECT *, role || chr(10) || text || chr(10) AS shown, {len(OPEN + MIDDLE + CLOSE)} + {_ESCAPED('role')} + {_ESCAPED('text')} AS chars FROM c)
+s AS (SELECT *, role || chr(10) || text || chr(10) AS shown, {len(OPEN + MIDDLE + CLOSE)} + {_ESCAPED('role')} + {_ESCAPED('text')} AS chars, {len(OPEN + MIDDLE)} + {_ESCAPED('role')} AS head FROM c),
+o AS (SELECT *, sum(chars) OVER w AS upto, row_number() OVER w - 1 AS before FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(shown, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id"""
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+CAST(coalesce(sum(before) FILTER (role = 'assistant'), 0) AS BIGINT) AS context_turns, CAST(coalesce(sum(upto - chars + head) FILTER (role = 'assistant'), 0) AS BIGINT) AS context_chars FROM o GROUP BY conv_id"""
 
 _FOLD = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 OP5 = f"""WITH d AS (SELECT doc_id, {_FOLD} AS w FROM documents), b AS (SELECT item_id, {_FOLD} AS w FROM benchmark),

@@ -134,16 +134,18 @@ def test_chat(spark, tmp_path):
     given = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 2, "user", None), (1, 3, "assistant", "second"), (2, 0, None, "x"), (2, 0, "a\n<|>b", "y"), (None, None, "assistant", "z"), (3, 5, "assistant", ""), (4, 0, "system", "only")]
     given += [(5, k, "assistant" if k % 2 else "user", f"turn {k} " + "x" * 50) for k in range(300)]
     rows = spark.createDataFrame(given, "conv_id bigint, turn bigint, role string, text string").withColumn("block", F.lit("clash"))
-    path = chat.write_chats(rows, f"file://{tmp_path}/c", inline_chars=2000)
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_chats(spark, path).collect()}
-    assert got == brute.conversation_rows(given)
+    path = chat.write_chats(rows, f"file://{tmp_path}/c")
+    read = chat.read_chats(spark, path).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in read} == brute.conversation_rows(given)
     made = spark.read.parquet(f"{path}/examples")
-    assert made.where("conv_id = 5 AND prompt IS NULL").count() == 150
     stream = chat.parse(spark.read.parquet(f"{path}/stream"))
     full = {(r.conv_id, r.ordinal): r.prompt for r in chat.prompts(made, stream).collect()}
     segs = {c: [r.segment for r in stream.where(F.col("conv_id") == c).orderBy("ordinal").collect()] for c in (1, 5)}
     head = f"{chat.OPEN}assistant{chat.MIDDLE}"
     assert full[1, 3] == "".join(segs[1][:3]) + head and full[5, 299] == "".join(segs[5][:299]) + head and len(full) == made.count()
+    for r in read:
+        mine = [(k, p) for (c, k), p in full.items() if c == r.conv_id]
+        assert (r.context_turns, r.context_chars) == (sum(k for k, _ in mine), sum(len(p) for _, p in mine))
     assert all(x not in r.completion for r in made.where("conv_id = 1").collect() for x in chat.CONTROL)
     empty = chat.write_chats(rows.where("false"), f"file://{tmp_path}/e")
     assert chat.read_chats(spark, empty).count() == 0
@@ -276,6 +278,12 @@ def test_budget_fit(seed):
     assert (take >= 0).all() and (take <= counts).all() and abs(budget - int((take * lengths).sum())) <= 2
     small = mixing.fit(np.array([5, 7]), np.array([2, 1]), 14)
     assert (small * [5, 7]).sum() in (12, 17)
+    few = np.array([149_999, 150_001, 160_000])
+    assert mixing.fit(few, np.ones(3, np.int64), 300_000).tolist() == [1, 1, 0]
+    huge = np.array([3_000_000, 3_000_001, 5_000_000])  # all unused documents are longer than the rest
+    assert mixing.fit(huge, np.ones(3, np.int64), 5_900_000).tolist() == [1, 1, 0] and mixing.fit(huge, np.ones(3, np.int64), 3_000_002).tolist() == [0, 1, 0]
+    tens = np.array([10, 20, 30])
+    assert (mixing.fit(tens, np.full(3, 5), 53) * tens).sum() == 50
     for n in range(40):  # few documents: the nearest of all sums
         few, budget = rng.integers(1, 50, 6), int(rng.integers(1, 150))
         kinds, held = np.unique(few, return_counts=True)
