@@ -3,8 +3,9 @@
 Each case becomes one row of features: conditional aggregates over its nodes,
 relations and hyperedges, joined by case. Rules are CASE expressions over that
 row, in the order in which their outcomes are tried, and one ``inline`` of an
-array of structs makes a row for each rule. Nothing but the evidence lists of a
-case, of at most a few ids, is collected.
+array of structs makes a row for each rule. Evidence lists of a few ids are made
+by blocks of a case's nodes and then merged; only the list of weak evidence, which
+is wanted whole, has no bound.
 
 A keyword counts as found in a case if one of its texts contains it: the parts
 are not joined first, so a phrase never spans two of them.
@@ -48,6 +49,7 @@ KEYWORDS = {
     "elderly": ["老年", "银发"],
     "industrial": ["工业设备", "采购", "企业服务"],
 }
+# Channels that do not reach enterprises, and words of advertising revenue.
 SOCIAL_CHANNELS = ["社交媒体", "短视频投流", "linkedin", "tiktok", "微博", "小红书", "抖音"]
 AD_REVENUE = ["广告", "流量变现", "ads", "advertising"]
 
@@ -70,10 +72,20 @@ def _flags(text: Column, topics: list[str]) -> list[Column]:
     return [text.rlike(X.quoted(KEYWORDS[t])).alias(f"t_{t}") for t in topics]
 
 
-def _first(condition: Column, n: int) -> Column:
-    """The first ``n`` ids, by position, where ``condition`` holds."""
+#: Nodes of a case whose evidence lists are made together before they are merged.
+BLOCK = 4096
+
+
+def _first(condition: Column, n: int | None) -> Column:
+    """The first ``n`` (all if none) positions and ids, by position, of a block where ``condition`` holds."""
     found = F.array_sort(F.collect_list(F.when(condition, F.struct("pos", "id"))))
-    return F.transform(F.slice(found, 1, n), lambda x: x["id"])
+    return found if n is None else F.slice(found, 1, n)
+
+
+def _merged_first(name: str, n: int | None) -> Column:
+    """The ids of ``_first`` over all blocks of a case: no more than ``n`` of each meet."""
+    found = F.array_sort(F.flatten(F.collect_list(name)))
+    return F.transform(found if n is None else F.slice(found, 1, n), lambda x: x["id"])
 
 
 def metric(key: str) -> Column:
@@ -103,33 +115,58 @@ def channel_findings(nodes: DataFrame, projects: DataFrame) -> DataFrame:
     )
 
 
-def components(nodes: DataFrame, relations: DataFrame, participants: DataFrame, starts: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, relations: DataFrame, participants: DataFrame, starts: DataFrame) -> DataFrame:
     """G17. (case_id, id) of what is reachable from each start (case_id, id) over
     relations and common hyperedges.
 
-    Each round joins the frontier only. A hyperedge is a vertex of its own, so an
-    edge of many members is a star and no clique; each round's result is cut from
-    its lineage by a checkpoint.
+    A hyperedge is a vertex of its own, so an edge of many members is a star and no clique.
     """
     ends = relations.select("case_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     star = participants.select("case_id", F.col("node_id").alias("a"), F.concat(F.lit("\u0001"), "edge_id").alias("b"))
-    links = ends.union(star)
-    links = links.union(links.select("case_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = starts.select("case_id", "id").distinct()
-    frontier = seen
-    for _ in range(rounds):
-        step = frontier.withColumnRenamed("id", "a").join(links, ["case_id", "a"]).select("case_id", F.col("b").alias("id")).distinct()
-        frontier = checkpointed(step.join(seen, ["case_id", "id"], "left_anti"))
-        if frontier.isEmpty():
-            return seen.where(~F.col("id").startswith("\u0001"))
-        seen = checkpointed(seen.union(frontier))
-    raise RuntimeError("components did not settle")
+    at = lambda c: F.struct("case_id", F.col(c).alias("id"))
+    links = ends.union(star).where("a IS NOT NULL AND b IS NOT NULL").select(at("a").alias("a"), at("b").alias("b"))
+    labels = connected(links)
+    begun = starts.select(at("id").alias("node")).distinct()
+    reached = begun.join(labels, "node").select("root").distinct()
+    seen = begun.union(labels.join(reached, "root", "left_semi").select("node")).distinct()
+    return seen.select("node.*").where(~F.col("id").startswith("\u0001"))
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(node, root) of every node in ``links`` (a, b): the least node that it is connected with.
+
+    Nodes are hung under smaller ones. A round hangs the larger neighbours of every
+    node under the least of its neighbourhood, then the smaller ones; paths get
+    shorter by a factor each time, so rounds grow with the logarithm of the longest
+    path. Minima are aggregates that are joined back, and each round is cut from its lineage.
+    """
+
+    def hung(pairs: DataFrame, larger: bool) -> DataFrame:
+        """Pairs (below, above) after the neighbours on one side of each node are hung under its least."""
+        ways = pairs.select(F.col("below").alias("n"), F.col("above").alias("m"))
+        if larger:
+            ways = ways.union(pairs.select("above", "below"))
+        least = ways.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+        moved = (ways.where("m > n") if larger else ways).join(least, "n").select(F.col("m").alias("below"), F.col("low").alias("above"))
+        if not larger:
+            moved = moved.union(least.select("n", "low"))
+        return moved.where("below <> above").distinct()
+
+    now = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("below"), F.least("a", "b").alias("above")).distinct())
+    state = None
+    while state != (state := now.agg(F.count("*"), F.sum(F.xxhash64("below", "above").cast("decimal(38,0)"))).first()):
+        now = checkpointed(hung(checkpointed(hung(now, True)), False))
+    alone = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
+    tops = now.select(F.col("above").alias("node"), F.col("above").alias("root"))
+    return now.select(F.col("below").alias("node"), F.col("above").alias("root")).union(tops).union(alone.join(now, F.col("node") == F.col("below"), "left_anti")).distinct()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` on shared storage; the session names the folder, or tests get their own."""
+    """``df`` on shared storage; the session names the folder, or tests on one machine get their own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None and not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="caselens-"))
@@ -144,17 +181,22 @@ def features(cases: DataFrame, nodes: DataFrame, relations: DataFrame, hyperedge
     kind = lambda t: F.col("node_type") == t
     count = lambda c: F.count_if(c)
     evidence = kind("Evidence")
-    by_node = rows.groupBy("case_id").agg(
+    lists = {f"ids_{t}": (F.col(f"t_{t}"), k) for t, k in (("customer", 2), ("value", 2), ("competitor", 4), ("compliance_control", 2))}
+    lists |= {f"ids_{t}": (kind(t), 2) for t in ("Method", "Metric", "Artifact", "Task")}
+    lists |= {"ids_Evidence": (evidence, 3), "ids_demand": (evidence & F.col("t_demand"), 3), "ids_weak": (evidence & (F.col("confidence") < 0.5), None)}
+    keys = ("TAM", "SAM", "SOM", "CAC", "LTV")
+    # blocks of a case first, so that a case of any size is no array
+    blocks = rows.groupBy("case_id", F.floor(F.col("pos") / BLOCK).alias("block")).agg(
         *(F.bool_or(f"t_{t}").alias(f"n_{t}") for t in topics),
-        *(_first(F.col(f"t_{t}"), k).alias(f"ids_{t}") for t, k in (("customer", 2), ("value", 2), ("competitor", 4), ("compliance_control", 2))),
-        *(_first(kind(t), 2).alias(f"ids_{t}") for t in ("Method", "Metric", "Artifact", "Task")),
-        _first(evidence, 3).alias("ids_Evidence"),
-        _first(evidence & F.col("t_demand"), 3).alias("ids_demand"),
-        _first(evidence & (F.col("confidence") < 0.5), 1000).alias("ids_weak"),
+        *(_first(found, k).alias(name) for name, (found, k) in lists.items()),
         count(evidence & F.col("t_payment")).alias("paid_evidence"),
-        *(metric(k).alias(k) for k in ("TAM", "SAM", "SOM", "CAC", "LTV")),
+        *(metric(k).alias(k) for k in keys),
         F.min(F.when(kind("Project"), F.struct("pos", "id", "name", "description", "stage", "metadata"))).alias("project"),
     )
+    by_node = blocks.groupBy("case_id").agg(
+        *(F.bool_or(f"n_{t}").alias(f"n_{t}") for t in topics), *(_merged_first(name, k).alias(name) for name, (_, k) in lists.items()),
+        F.sum("paid_evidence").alias("paid_evidence"), *(F.min(c).alias(c) for c in (*keys, "project")),
+    )
     relation_text = X.norm(F.concat_ws(" ", "relation_type", "description", F.array_join(F.coalesce("evidence_ids", F.array().cast("array<string>")), " "), F.array_join(J.leaves(F.col("metadata")), " ")))
     by_relation = relations.select("case_id", "relation_type", *_flags(relation_text, topics)).groupBy("case_id").agg(
         *(F.bool_or(f"t_{t}").alias(f"r_{t}") for t in topics), count(F.col("t_payment")).alias("paid_relations"), count(F.col("relation_type") == "EVIDENCED_BY").alias("evidenced")
