@@ -209,3 +209,45 @@ def drilldown(state: DataFrame, scores: DataFrame) -> DataFrame:
     """C14. student, n_rules, latest_stage and the mean of the scores, null if not scored."""
     mean = scores.groupBy("student").agg(F.round(F.avg(F.col("score").cast("decimal(18,6)")), 2).cast("double").alias("mean_score"))
     return state.join(mean, "student", "left").select("student", "n_rules", "latest_stage", "mean_score")
+
+
+def newest_profiles(profiles: DataFrame, errors: DataFrame, most: int = 5) -> DataFrame:
+    """K4. ``profiles`` (student, label, latest_ts) by latest time, then label, both
+    descending, with ``common_errors``: the ``most`` most frequent of ``errors``
+    (student, error, count, place), the earlier of equals first."""
+    by = Window.partitionBy("student").orderBy(F.desc("count"), "place")
+    top = errors.withColumn("n", F.row_number().over(by)).where(F.col("n") <= most)
+    lists = top.groupBy("student").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "error"))), lambda x: x["error"]).alias("common_errors"))
+    joined = profiles.join(lists, "student", "left").withColumn("common_errors", F.coalesce("common_errors", F.array().cast("array<string>")))
+    return joined.orderBy(F.desc("latest_ts"), F.desc("label"))
+
+
+def top_risks(distribution: DataFrame, n: int = 5) -> DataFrame:
+    """K5. The first ``n`` rows of a risk distribution: most hits first, then the rule."""
+    return distribution.orderBy(F.desc("hit_count"), "rule_id").limit(n)
+
+
+def sync_cards(cards: DataFrame, active: DataFrame, current: DataFrame, most: int = 5) -> DataFrame:
+    """J14. The task cards of each owner after their next step came in.
+
+    cards: owner, card_id, rule_id, task_text, severity, completed, urgent, place;
+    active: owner, rule_id; current: owner, rule_id (null if unknown), task_text, severity.
+    A card with a rule is done once its rule is not active. The next step's card
+    takes the place of the one with its id (its rule, else a digest of its text), or
+    comes first; ``most`` cards of an owner stay.
+    """
+    key = lambda c: F.nullif(F.upper(F.trim(F.coalesce(c, F.lit("")))), F.lit(""))
+    on = active.select("owner", key(F.col("rule_id")).alias("__rule")).where("__rule IS NOT NULL").distinct()
+    step = current.where(F.trim("task_text") != "").select("owner", key(F.col("rule_id")).alias("rule_id"), F.trim("task_text").alias("task_text"), "severity")
+    step = step.withColumn("card_id", F.coalesce("rule_id", F.substring(F.sha1("task_text"), 1, 12)))
+    urgent = (F.lower(F.trim(F.coalesce("severity", F.lit("")))) == "high") | F.coalesce(F.col("rule_id").isin("H4", "H8"), F.lit(False))
+    step = step.select("owner", "card_id", "rule_id", "task_text", "severity", F.lit(False).alias("completed"), urgent.alias("urgent"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("is_current"))
+    both = cards.withColumn("place", F.col("place").cast("long")).withColumn("is_current", F.lit(False)).unionByName(step)
+    same = Window.partitionBy("owner", "card_id")
+    # the place of the card that is replaced, else the first one
+    both = both.withColumn("place", F.coalesce(F.min(F.when(~F.col("is_current"), F.col("place"))).over(same), F.lit(0).cast("long")))
+    both = both.withColumn("n", F.row_number().over(same.orderBy(F.desc("is_current")))).where("n = 1").drop("n")
+    known = both.join(on, (both["owner"] == on["owner"]) & (key(both["rule_id"]) == on["__rule"]), "left").drop(on["owner"])
+    done = F.when(key(F.col("rule_id")).isNotNull(), F.col("__rule").isNull()).otherwise(F.col("completed"))
+    ranked = known.withColumn("completed", done).drop("__rule").withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("place", "card_id")))
+    return ranked.where(F.col("place") <= most)

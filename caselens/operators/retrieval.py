@@ -42,8 +42,8 @@ DEFAULT_ROUTE = {"student": "project", "teacher": "assessment", "admin": "admin"
 def tokens(texts: DataFrame) -> DataFrame:
     """doc_id, token, n: lower-cased tokens of 2 to 18 characters that are no stop word or number."""
     words = texts.select("doc_id", F.explode(F.split("text", TOKEN_SPLIT)).alias("t")).select("doc_id", F.lower(F.trim("t")).alias("token"))
-    ok = (F.length("token").between(2, 18)) & ~F.col("token").isin(STOPWORDS) & ~F.col("token").rlike(r"^\d+$")
-    return words.where(ok).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    counted = words.where(F.length("token").between(2, 18)).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return counted.where(~F.col("token").isin(STOPWORDS) & ~F.col("token").rlike(r"^\d+$"))
 
 
 def keywords(texts: DataFrame, most: int = 12, concepts: list[str] = CONCEPTS) -> DataFrame:
@@ -54,10 +54,13 @@ def keywords(texts: DataFrame, most: int = 12, concepts: list[str] = CONCEPTS) -
     c = F.array_compact(F.flatten(F.transform(F.array(X.search_norm(F.col("text"))), hits)))
     named = texts.select("doc_id", F.inline(c)).select("doc_id", "keyword", F.lit(0).alias("kind"), F.col("k").cast("long").alias("a"), F.lit(0).alias("b"))
     found = tokens(texts).select("doc_id", F.col("token").alias("keyword"), F.lit(1).alias("kind"), (-F.col("n")).alias("a"), (-F.length("token")).alias("b"))
-    rows = named.union(found).withColumn("key", X.search_norm(F.col("keyword"))).where("key <> ''")
-    order = ["kind", "a", "b", "keyword"]
-    first = rows.withColumn("same", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(*order))).where("same = 1")
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col("place") <= most).select("doc_id", "place", "keyword")
+    # a plain token is its own normal form
+    key = F.when(F.col("keyword").rlike("^[a-z0-9]+$"), F.col("keyword")).otherwise(X.search_norm(F.col("keyword")))
+    rows = named.union(found).withColumn("key", key).where("key <> ''")
+    first = rows.groupBy("doc_id", "key").agg(F.min(F.struct("kind", "a", "b", "keyword")).alias("x"))
+    # the distinct words of one document meet
+    best = first.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list("x")), 1, most).alias("best"))
+    return best.select("doc_id", F.posexplode("best").alias("pos", "x")).select("doc_id", (F.col("pos") + 1).alias("place"), "x.keyword")
 
 
 def retrieve(cards: DataFrame, words: list[str], limit: int = 3) -> DataFrame:

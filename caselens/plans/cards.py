@@ -12,14 +12,13 @@ from caselens.operators import cards, ingest, retrieval
 from caselens.sources import cases
 
 
-def _cards(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    """``related_concepts``: the distinct words of over four letters in the whole text;
-    without ``whole`` the first five within 200 characters, as the SQL of G7 has them."""
-    words = F.split("text" if whole else F.substring("text", 1, 200), r"[\s,.]+")
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``related_concepts``: the distinct words of over four letters in the whole text."""
+    words = F.split("text", r"[\s,.]+")
     concepts = F.array_distinct(F.filter(words, lambda w: F.length(w) > 4))
     return bindings.read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("card_id"), F.concat(F.lit("card"), "doc_id").alias("name"), F.col("source").alias("industry"), F.array("lang", "source").alias("tags"), F.array("lang").alias("labels"),
-        (concepts if whole else F.slice(concepts, 1, 5)).alias("related_concepts"), F.array(F.concat(F.lit("h"), (F.col("doc_id") % 18).cast("string"))).alias("rule_ids"), "text",
+        concepts.alias("related_concepts"), F.array(F.concat(F.lit("h"), (F.col("doc_id") % 18).cast("string"))).alias("rule_ids"), "text",
     )
 
 
@@ -44,7 +43,7 @@ def g1_derived_cases(spark, sf_dir):
 
 
 def g7_card_edges(spark, sf_dir):
-    return cards.attach(_cards(spark, sf_dir, whole=False)).groupBy("type", "dst_label").agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("targets"))
+    return cards.attach(_cards(spark, sf_dir)).groupBy("type", "dst_label").agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("targets"))
 
 
 def g9_triples(spark, sf_dir):
@@ -115,9 +114,8 @@ ORACLE_SQL = {
     "f12_triggered_rules": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'H' || CAST(event_id % 15 AS VARCHAR) WHEN 1 THEN 'H1,H' || CAST(user_id AS VARCHAR) ELSE '' END AS rule_ids FROM events",
     "f9_predicates": "SELECT p_partkey, CASE WHEN p_size < 20 THEN 'FIX_STRATEGY' ELSE 'ASSOCIATED_WITH' END AS predicate, CASE WHEN p_size < 10 THEN '生命周期价值' ELSE trim(p_name) END AS entity FROM part",
     "g1_derived_cases": """WITH d AS (SELECT 'P_' || lpad(printf('%X', doc_id), 8, '0') AS c FROM documents), k AS (SELECT * FROM (VALUES ('nodes', 8), ('relations', 6), ('hyperedges', 2), ('participants', 9)) v(kind, n)) SELECT c AS case_id, kind, CAST(n AS BIGINT) AS n FROM d, k""",
-    "g7_card_edges": """WITH c AS (SELECT doc_id, 'card' || doc_id AS name, lang, source, doc_id % 18 AS r, list_distinct(list_filter(regexp_split_to_array(substr(text, 1, 200), '[\\s,.]+'), lambda x: length(x) > 4)) AS w, regexp_split_to_array(substr(text, 1, 200), '[\\s,.]+') AS ws FROM documents),
-o AS (SELECT name, list_filter(ws, lambda x, i: length(x) > 4 AND list_position(ws, x) = i)[1:5] AS rc FROM c),
-e AS (SELECT name, 'EVALUATED_BY' AS type, 'Rule' AS dst_label, 'H' || CAST(r AS VARCHAR) AS dst FROM c WHERE r BETWEEN 1 AND 15 UNION SELECT name, 'ASSOCIATED_WITH', 'Tag', unnest([lang, source]) FROM c UNION SELECT name, 'ASSOCIATED_WITH', 'Concept', unnest(rc) FROM o)
+    "g7_card_edges": """WITH c AS (SELECT doc_id, 'card' || doc_id AS name, lang, source, doc_id % 18 AS r, list_filter(regexp_split_to_array(text, '[\\s,.]+'), lambda x: length(x) > 4) AS w FROM documents),
+e AS (SELECT name, 'EVALUATED_BY' AS type, 'Rule' AS dst_label, 'H' || CAST(r AS VARCHAR) AS dst FROM c WHERE r BETWEEN 1 AND 15 UNION SELECT name, 'ASSOCIATED_WITH', 'Tag', unnest([lang, source]) FROM c UNION SELECT name, 'ASSOCIATED_WITH', 'Concept', unnest(w) FROM c)
 SELECT type, dst_label, count(*) AS edges, count(DISTINCT dst) AS targets FROM e WHERE dst <> '' GROUP BY ALL""",
     "g24_view_edges": """WITH n AS (SELECT 'o' || o_orderkey AS id, 'Hyperedge' AS kind, o_orderstatus = 'O' AS ok FROM orders UNION ALL SELECT 'p' || p_partkey, CASE WHEN p_size < 40 THEN 'Concept' ELSE 'Project' END, true FROM part),
 e AS (SELECT DISTINCT 'o' || l_orderkey AS src, l_returnflag AS type, 'p' || l_partkey AS dst FROM lineitem) SELECT a.kind AS src_kind, b.kind AS dst_kind, type, count(*) AS edges FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.ok AND b.ok GROUP BY ALL""",

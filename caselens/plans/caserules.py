@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from caselens import bindings, schemas
 from caselens.functions import text as X
-from caselens.operators import casegraph, rules
+from caselens.operators import casegraph, hypergraph, rules
 from caselens.sources.cases import Cases
 
 #: A document's type goes by its number, so that the types of a case differ from case to case.
@@ -104,7 +104,20 @@ def u1_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return casegraph.summary(tables)
 
 
-QUERIES = {f.__name__: f for f in (h0_h15_rules, a14_case_status, h16_draft_diagnosis, j1_valid_relations, j2_valid_participants, p3_rejected, u1_union)}
+#: Words of the invented texts in the place of a teacher's keywords.
+RISK_WORDS = ["thor", "eaux", "ción"]
+
+
+def g16_risk_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first risk edges with a member whose text has a keyword."""
+    c = document_cases(spark, sf_dir)
+    nodes = c.nodes.select(F.col("id").alias("node_id"), "node_type", F.concat("name", F.lit("/"), "id").alias("name"), F.col("description").alias("text"))
+    edges = c.hyperedges.where("edge_type = 'Risk_Pattern_Edge'").select(F.col("id").alias("edge_id"), "case_id")
+    found = hypergraph.risk_patterns(nodes, c.participants, edges, c.nodes.select("case_id", F.col("id").alias("node_id")), RISK_WORDS, 20)
+    return found.select("edge_id", "case_id", *(F.array_join(F.coalesce(x, F.array().cast("array<string>")), ",").alias(x) for x in ("matched", "members", "strategies")))
+
+
+QUERIES = {f.__name__: f for f in (g16_risk_patterns, h0_h15_rules, a14_case_status, h16_draft_diagnosis, j1_valid_relations, j2_valid_participants, p3_rejected, u1_union)}
 
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _HAS = lambda topic: f"regexp_matches(x, '{X.quoted(rules.KEYWORDS[topic])}')"
@@ -176,6 +189,10 @@ _SQL = f"WITH {_FEATURES}, rows AS ({_ROWS})"
 _LABELLED = "(SELECT id, kind FROM n)"
 
 ORACLE_SQL = {
+    "g16_risk_patterns": f"""WITH {_NODES}, {_MEMBERS}, nn AS (SELECT *, source || '/' || id AS name FROM n), pm AS (SELECT mem.case_id, edge_id, (['project', 'mistake', 'outcome'])[k // 2 + 1] AS role, name, kind, text FROM mem JOIN nn ON nn.id = mem.id WHERE c % 2 = 1),
+hit AS (SELECT edge_id, any_value(case_id) AS case_id, array_to_string(list_sort(list(DISTINCT name)), ',') AS matched FROM pm WHERE kind NOT IN ('Evidence', 'KnowledgeCard') AND regexp_matches(lower(text), '{X.quoted(RISK_WORDS)}') GROUP BY edge_id ORDER BY edge_id LIMIT 20)
+SELECT edge_id, case_id, matched, (SELECT array_to_string(list_sort(list(DISTINCT role || ':' || name)), ',') FROM pm WHERE pm.edge_id = hit.edge_id) AS members,
+coalesce((SELECT array_to_string(list_sort(list(DISTINCT name))[1:5], ',') FROM nn WHERE nn.case_id = hit.case_id AND kind IN ('Task', 'Method', 'Artifact')), '') AS strategies FROM hit""",
     "h0_h15_rules": f"""{_SQL} SELECT case_id, rule_id, status, CASE WHEN status = 'FAILED' AND rule_id IN ({_HARD}) THEN 'High' WHEN status IN ('FAILED', 'WARNING') THEN 'Warning' ELSE 'Info' END AS severity, reason,
 status <> 'PASSED' AS is_triggered, array_to_string(list_sort(list_distinct({_EVIDENCE})), ',') AS evidence FROM rows""",
     "a14_case_status": f"""{_SQL}, c AS (SELECT case_id, {', '.join(f"count(*) FILTER (status = '{s}') AS {s.lower()}" for s in ('FAILED', 'WARNING', 'PASSED', 'SKIPPED'))} FROM rows GROUP BY case_id)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from caselens import bindings
 from caselens.operators import classroom as C
+from caselens.operators import scoring
+from caselens.sources import files
 
 LOG_SQL = """log AS (
 SELECT user_id AS student, user_id % 20 AS project, 'C' || CAST(user_id % 5 AS VARCHAR) AS class_name, event_id AS seq, ts,
@@ -115,7 +117,59 @@ def w10_handovers(spark, sf_dir):
     return C.handovers(_messages(spark, sf_dir))
 
 
+def k4_profiles(spark, sf_dir):
+    rows = log(spark, sf_dir)
+    errors = rows.where("rule_id IS NOT NULL").groupBy("student", F.col("rule_id").alias("error")).agg(F.count("*").alias("count"), F.min("seq").alias("place"))
+    profiles = rows.groupBy("student").agg(F.max("ts").alias("latest_ts")).withColumn("label", F.col("student").cast("string"))
+    return C.newest_profiles(profiles, errors, 3).select("student", F.date_format("latest_ts", "yyyy-MM-dd HH:mm:ss").alias("latest"), F.array_join("common_errors", ",").alias("common_errors"))
+
+
+def k5_top_risks(spark, sf_dir):
+    return C.top_risks(C.risk_distribution(C.latest_rules(log(spark, sf_dir))), 3).select("rule_id", "hit_count")
+
+
+def j14_task_cards(spark, sf_dir):
+    """A card for each rule of a student, in order of its first hit; the last row is the next step."""
+    rows = log(spark, sf_dir)
+    first = rows.where("rule_id IS NOT NULL").groupBy(F.col("student").alias("owner"), "rule_id").agg(F.min("seq").alias("place"), F.min("severity").alias("severity"))
+    cards = first.select("owner", F.col("rule_id").alias("card_id"), "rule_id", F.concat(F.lit("fix "), "rule_id").alias("task_text"), "severity", F.lit(False).alias("completed"), F.lit(False).alias("urgent"), "place")
+    active = C.latest_rules(rows).withColumnRenamed("student", "owner")
+    last = rows.groupBy(F.col("student").alias("owner")).agg(F.max(F.struct("seq", "rule_id", "severity")).alias("x"))
+    text = F.concat(F.lit("step "), (F.col("x.seq") % 7).cast("string"))
+    current = last.select("owner", F.when(F.col("x.seq") % 3 > 0, F.col("x.rule_id")).alias("rule_id"), text.alias("task_text"), "x.severity")
+    return C.sync_cards(cards, active, current).select("owner", "card_id", "task_text", "severity", "completed", "urgent", "is_current", "place")
+
+
+def s19_scores(spark, sf_dir):
+    projects = bindings.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("project_id"), F.array(F.col("s_acctbal").cast("double")).alias("scores"))
+    changes = bindings.read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select((F.col("l_suppkey") * 3).alias("project_id"), F.array(F.col("l_quantity").cast("double")).alias("scores"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return files.overwrite_scores(projects, changes).select("project_id", F.col("scores")[0].alias("score"))
+
+
+def _diagnostics(spark, sf_dir):
+    rows = log(spark, sf_dir).where("rule_id IS NOT NULL")
+    status = F.element_at(F.array(*map(F.lit, ("FAILED", "warning", " Passed ", "odd"))), (F.col("seq") % 4 + 1).cast("int"))
+    return rows.select(F.col("student").alias("owner"), F.lower("rule_id").alias("rule_id"), status.alias("status"), "seq")
+
+
+def c3_ability_report(spark, sf_dir):
+    owners = bindings.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"))
+    return scoring.ability_report(owners, _diagnostics(spark, sf_dir))
+
+
+def c3_ability_average(spark, sf_dir):
+    return scoring.ability_average(c3_ability_report(spark, sf_dir))
+
+
+def c4_audit_trail(spark, sf_dir):
+    """Each row of the report with the owner's last quote and first card, from the events' properties and orders."""
+    quotes = bindings.read(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("props").alias("quote"), F.col("event_id").alias("place"))
+    cards = bindings.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.concat(F.lit("K"), "o_orderkey").alias("card_id"), F.col("o_orderkey").alias("place"))
+    return scoring.audit_trail(c3_ability_report(spark, sf_dir), quotes, cards).select("owner", "item_id", "rule_id", "quote", "card_id")
+
+
 QUERIES = {f.__name__: f for f in (
+    k4_profiles, k5_top_risks, j14_task_cards, s19_scores, c3_ability_report, c3_ability_average, c4_audit_trail,
     a8_top_mistakes, a9_risk_distribution, a10_kpis, a11_dimension_scale, a12_team_rollup, a13_class_cluster, a22_class_members, c8_roster, c9_dominant_rules, c10_profiles, c11_rule_frame,
     k7_highest_severity, w2_last_messages, w3_first_turns, w4_latest_texts, w5_stage_progress, w6_pending, w10_handovers,
 )}
@@ -150,3 +204,27 @@ SELECT student, rule_id, severity FROM r WHERE p = 1""",
     "w6_pending": "SELECT user_id AS target_id, event_id AS id, CAST(p AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE event_type = 'error') WHERE p <= 2",
     "w10_handovers": "SELECT conv_id, turn, f AS from_role, role AS to_role FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS f FROM conversations) WHERE f IS NOT NULL AND f <> role",
 }
+
+_DIMENSIONS = ", ".join(f"('{d}', '{r}', '{i}')" for d, r, i in scoring.ABILITY)
+_REPORT = f"""{LOG_SQL}, dg AS (SELECT student, rule_id, max_by((['FAILED', 'warning', ' Passed ', 'odd'])[seq % 4 + 1], seq) AS status FROM log WHERE rule_id IS NOT NULL GROUP BY ALL),
+sc AS (SELECT c_custkey AS owner, d.*, dg.status FROM customer CROSS JOIN (VALUES {_DIMENSIONS}) d(dimension, rule_id, item_id) LEFT JOIN dg ON dg.student = c_custkey AND dg.rule_id = d.rule_id),
+rp AS (SELECT owner, dimension, item_id, rule_id, coalesce(status, 'WARNING') AS status, CASE status WHEN 'FAILED' THEN 1.0 WHEN 'warning' THEN 2.5 WHEN ' Passed ' THEN 4.5 ELSE 3.0 END AS score_5 FROM sc
+UNION ALL SELECT c_custkey, '证据溯源', 'R9', 'AUDIT', 'BOUND', 4.5 FROM customer)"""
+ORACLE_SQL |= {
+    "k4_profiles": f"""WITH {LOG_SQL}, e AS (SELECT student, rule_id, row_number() OVER (PARTITION BY student ORDER BY count(*) DESC, min(seq)) AS n FROM log WHERE rule_id IS NOT NULL GROUP BY student, rule_id)
+SELECT student, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest, coalesce((SELECT string_agg(rule_id, ',' ORDER BY n) FROM e WHERE e.student = log.student AND n <= 3), '') AS common_errors FROM log GROUP BY student""",
+    "k5_top_risks": f"WITH {LOG_SQL}, {CURRENT_SQL} SELECT rule_id, count(*) AS hit_count FROM cur GROUP BY rule_id ORDER BY hit_count DESC, rule_id LIMIT 3",
+    "j14_task_cards": f"""WITH {LOG_SQL}, {CURRENT_SQL}, c AS (SELECT student AS owner, rule_id AS card_id, rule_id, 'fix ' || rule_id AS task_text, min(severity) AS severity, min(seq) AS place FROM log WHERE rule_id IS NOT NULL GROUP BY student, rule_id),
+l AS (SELECT student AS owner, arg_max(CASE WHEN seq % 3 > 0 THEN struct_pack(r := rule_id) ELSE struct_pack(r := NULL) END, seq).r AS rule_id, 'step ' || (max(seq) % 7) AS task_text, max_by(severity, seq) AS severity FROM log GROUP BY student),
+s AS (SELECT *, coalesce(rule_id, substr(sha1(task_text), 1, 12)) AS card_id FROM l),
+u AS (SELECT c.owner, c.card_id, c.rule_id, c.task_text, c.severity, false AS urgent, false AS is_current, place FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.owner = c.owner AND s.card_id = c.card_id)
+UNION ALL SELECT s.owner, s.card_id, s.rule_id, s.task_text, s.severity, lower(s.severity) = 'high' OR coalesce(s.rule_id IN ('H4', 'H8'), false), true, coalesce(c.place, 0) FROM s LEFT JOIN c ON c.owner = s.owner AND c.card_id = s.card_id),
+k AS (SELECT owner, card_id, task_text, severity, rule_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cur WHERE cur.student = u.owner AND cur.rule_id = u.rule_id) AS completed, urgent, is_current, CAST(row_number() OVER (PARTITION BY owner ORDER BY place, card_id) AS INT) AS place FROM u)
+SELECT * FROM k WHERE place <= 5""",
+    "s19_scores": """WITH c AS (SELECT l_suppkey * 3 AS k, max_by(l_quantity, l_orderkey * 10 + l_linenumber) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT s_suppkey AS project_id, CAST(coalesce(q, s_acctbal) AS DOUBLE) AS score FROM supplier LEFT JOIN c ON k = s_suppkey""",
+    "c3_ability_report": f"WITH {_REPORT} SELECT owner, dimension, item_id, rule_id, status, CAST(score_5 AS DOUBLE) AS score_5 FROM rp",
+    "c3_ability_average": f"WITH {_REPORT} SELECT owner, CAST(round(CAST(avg(score_5) AS DECIMAL(18,6)), 2) AS DOUBLE) AS average_score_5 FROM rp GROUP BY owner",
+    "c4_audit_trail": f"""WITH {_REPORT}, q AS (SELECT user_id, substr(max_by(props, event_id), 1, 120) AS quote FROM events GROUP BY 1), k AS (SELECT o_custkey, 'K' || min(o_orderkey) AS card_id FROM orders GROUP BY 1)
+SELECT owner, item_id, rule_id, coalesce(quote, '未提供可引用原文。') AS quote, coalesce(card_id, 'KG_CARD_UNBOUND') AS card_id FROM rp LEFT JOIN q ON user_id = owner LEFT JOIN k ON o_custkey = owner""",
+}

@@ -25,7 +25,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f1_normalised(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(X.norm(F.col("text"))).alias("norm_md5"), F.length(X.search_norm(F.col("text"))).alias("search_chars"), X.slug(F.substring("text", 1, 60)).alias("slug"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(X.norm(F.col("text"))).alias("norm_md5"), F.length(X.search_norm(F.col("text"))).alias("search_chars"), X.slug(F.col("text")).alias("slug"))
 
 
 def f5_items(spark, sf_dir):
@@ -151,7 +151,7 @@ d AS (SELECT owner, round(f1 * 0.5 + f2 * 0.5, 2) AS d1, round(f5 * 0.8 + f1 * 0
 SELECT owner, CAST(d1 AS DOUBLE) AS d1, CAST(d2 AS DOUBLE) AS d2, CAST(d3 AS DOUBLE) AS d3, CAST(d4 AS DOUBLE) AS d4, CAST(round(CAST((d1 + d2 + d3 + d4) / 4 AS DECIMAL(18,6)), 2) AS DOUBLE) AS overall FROM d""",
 }
 ORACLE_SQL["f1_normalised"] = (
-    f"SELECT doc_id, md5({_NORM}) AS norm_md5, CAST(length({_search()}) AS INT) AS search_chars, coalesce(nullif(substr(replace({_search('substr(text, 1, 60)')}, ' ', '_'), 1, 80), ''), 'node') AS slug FROM documents"
+    f"SELECT doc_id, md5({_NORM}) AS norm_md5, CAST(length({_search()}) AS INT) AS search_chars, coalesce(nullif(substr(replace({_search()}, ' ', '_'), 1, 80), ''), 'node') AS slug FROM documents"
 )
 ORACLE_SQL["f23_fingerprint"] = f"SELECT doc_id, 'knowledge_card_' || replace({_search('source')}, ' ', '_') || '_' || substr(sha1(text), 1, 10) AS fingerprint FROM documents"
 ORACLE_SQL["r11_guardrails"] = """SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN '' WHEN regexp_full_match(trim(text), '[?？]{4,}') OR regexp_matches(trim(text), '�|Ã.|Â.|Ð.|Ñ.|Ê.|Õ.|æ.|å.|ç.|þ.|¤')

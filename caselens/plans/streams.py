@@ -12,8 +12,11 @@ from caselens.streaming import jobs
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that the executors share: below spark.checkpoint.dir, or our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="caselens-")
+    """A new folder that the executors share: below spark.checkpoint.dir, or our own where it is unset on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="caselens-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -193,6 +193,14 @@ def add_members(members: DataFrame, new: DataFrame) -> DataFrame:
     return members.unionByName(fresh.select(*members.columns))
 
 
+def overwrite_scores(projects: DataFrame, changes: DataFrame) -> DataFrame:
+    """S19. ``projects`` (project_id, scores) with the scores of the last change (project_id,
+    scores, seq) of each; a change of an unknown project is ignored."""
+    last = changes.groupBy("project_id").agg(F.max_by(F.struct("scores"), "seq").alias("last"))
+    joined = projects.join(last, "project_id", "left")
+    return joined.withColumn("scores", F.when(F.col("last").isNull(), F.col("scores")).otherwise(F.col("last.scores"))).drop("last")
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """S18."""
     rows.write.mode("append").parquet(path)
