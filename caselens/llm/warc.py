@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ._common import scratch_path, staged
 
+DATE = "2026-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 FILE_BYTES, SEGMENT_BYTES, CHUNK_BYTES = 32 << 20, 16 << 10, 4 << 10
 RECORD = "page_id long, record_type string, origin string, number int, total long, block binary, payload_bytes long, payload_digest string, refers_to long, complete boolean"
@@ -78,16 +79,17 @@ def _one(headers: dict[str, object], block: bytes) -> bytes:
     return gzip.compress(f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", 3, mtime=0)
 
 
-def records(name: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None, segment_bytes: int) -> Iterator[bytes]:
-    """The gzip members of one page; ``name`` is unique to it."""
-    safe = "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
+def records(name: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None, first_url: str, segment_bytes: int) -> Iterator[bytes]:
+    """The gzip members of one page; ``name`` is unique to it. A revisit names the
+    response by target and date, and its page by a field of our own."""
+    safe = lambda u: "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in u)
     own = {
-        "WARC-Type": "revisit" if refers_to is not None else "response", "WARC-Record-ID": f"<{name}>", "WARC-Date": "2026-01-01T00:00:00Z", "WARC-Target-URI": safe,
-        "WARC-Page-ID": page_id, "WARC-Payload-Digest": "sha1:" + digest32(payload), "WARC-Refers-To": None if refers_to is None else f"<urn:page:{refers_to}>",
-        "Content-Type": "application/http; msgtype=response",
+        "WARC-Type": "revisit" if refers_to is not None else "response", "WARC-Record-ID": f"<{name}>", "WARC-Date": DATE, "WARC-Target-URI": safe(url),
+        "WARC-Page-ID": page_id, "WARC-Payload-Digest": "sha1:" + digest32(payload), "Content-Type": "application/http; msgtype=response",
     }
     if refers_to is not None:
-        yield _one(own | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}, HTTP)
+        first = {"WARC-Refers-To-Target-URI": safe(first_url), "WARC-Refers-To-Date": DATE, "WARC-Refers-To-Page-ID": refers_to}
+        yield _one(own | first | {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}, HTTP)
         return
     block = HTTP + chunked(payload)
     if len(block) <= segment_bytes:
@@ -107,7 +109,8 @@ def write_archives(pages: DataFrame, path: str | None = None, segment_bytes: int
     path = path or scratch_path(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    groups = rows.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("__digest"), "least")
+    groups = rows.groupBy("digest").agg(F.min("page_id").alias("least"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
+    groups = groups.where("n > 1").select(F.col("digest").alias("__digest"), "least", "first_url")
     typed = rows.join(groups, F.col("digest") == F.col("__digest"), "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("least")), F.col("least")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +123,11 @@ def write_archives(pages: DataFrame, path: str | None = None, segment_bytes: int
             return pa.RecordBatch.from_pydict({"file": [name], "bytes": [held], "records": [n]})
 
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(i) for i in range(4))):
+            for page_id, url, html, refers_to, first_url in zip(*(batch.column(i) for i in range(5))):
                 if out is None:
                     name, held, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{base}/files/{name}", compression=None)
-                for member in records(f"urn:uuid:{uuid.uuid4()}", page_id.as_py(), url.as_py() or "", html.as_py().encode(), refers_to.as_py(), segment_bytes):
+                for member in records(f"urn:uuid:{uuid.uuid4()}", page_id.as_py(), url.as_py() or "", html.as_py().encode(), refers_to.as_py(), first_url.as_py() or "", segment_bytes):
                     out.write(member)
                     held, n = held + len(member), n + 1
                 if held >= file_bytes:
@@ -133,7 +136,7 @@ def write_archives(pages: DataFrame, path: str | None = None, segment_bytes: int
         if out is not None:
             yield close()
 
-    typed.select("page_id", "url", "html", "refers_to").mapInArrow(run, "file string, bytes long, records long").write.parquet(f"{path}/manifest")
+    typed.select("page_id", "url", "html", "refers_to", "first_url").mapInArrow(run, "file string, bytes long, records long").write.parquet(f"{path}/manifest")
     return path
 
 
@@ -164,7 +167,7 @@ def _row(headers: dict[str, str], block: bytes) -> dict[str, object]:
     if row["number"] is not None:
         return row | {"origin": headers.get("warc-segment-origin-id", headers["warc-record-id"]), "block": block}
     if row["record_type"] == "revisit":
-        return row | {"refers_to": int(headers["warc-refers-to"].strip("<>").rpartition(":")[2]), "complete": True}
+        return row | {"refers_to": int(headers["warc-refers-to-page-id"]), "complete": True}
     return row | _decoded(block, str(row["payload_digest"]))
 
 

@@ -226,6 +226,18 @@ def test_sharding(spark, docs):
     assert {s for k, s in grown.items() if s != before[k]} == {16}
 
 
+def test_sharding_placement(spark, docs, wide):
+    """Each shard against a plain descent of the tree with the same draws; null text, empty table, clashing columns."""
+    tree = sharding.layout(16)
+    got = sharding.with_slots(sharding.assign(wide, tree)).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.size) for r in got) == sorted((i is None, i, len((t or "").encode()) + 1) for i, t, *_ in DOCS)
+    assert sharding.with_slots(sharding.assign(docs.where("false"), tree)).count() == 0
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 def test_quality(spark, docs, wide):
     got = quality.judge(docs).collect()
     assert sorted(tuple(r[c] for c in quality.STATS[:5]) for r in got) == sorted(brute.text_stats(t) for _, t, *_ in DOCS)
@@ -249,6 +261,8 @@ def test_warc(spark, tmp_path):
     got = warc.read_archives(spark, path).collect()
     assert all(r.complete for r in got)
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == brute.archive_rows([(i, h) for i, _, h in pages])
+    again = warc.write_archives(rows.union(rows), f"file://{tmp_path}/r", segment_bytes=1000)  # repeated rows, nulls among equal payloads
+    assert sorted(r.page_id for r in warc.read_archives(spark, again).where("complete").collect()) == sorted([p[0] for p in pages] * 2)
     parts = warc.read_records(spark, path).where("number IS NOT NULL")
     assert parts.where("number = 1").count() == 1 and parts.count() > 50
     assert not warc.reassemble(parts.where("number <> 7")).first().complete and not warc.reassemble(parts.where("total IS NULL")).first().complete
