@@ -1,10 +1,13 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import math
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -226,9 +229,26 @@ def test_sharding(spark, docs):
     assert {s for k, s in grown.items() if s != before[k]} == {16}
 
 
+def plain_shard(key, tree):
+    """The child of the least weighted draw, region by region, rack by rack."""
+    h = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+    name, below = "", tree
+    for level in ("region", "rack", "shard"):
+        weights = {}
+        for s in below:
+            weights[getattr(s, level)] = weights.get(getattr(s, level), 0.0) + s.weight
+        draw = lambda child: -math.log(((xxhash.xxh64_intdigest(f"{name}/{child}".encode(), h) >> 11) + 0.5) / 2**53) / weights[child]
+        best = min(weights, key=draw)
+        name, below = f"{name}/{best}", [s for s in below if getattr(s, level) == best]
+    return below[0].shard
+
+
 def test_sharding_placement(spark, docs, wide):
     """Each shard against a plain descent of the tree with the same draws; null text, empty table, clashing columns."""
-    tree = sharding.layout(16)
+    tree = [sharding.Shard(s.region, s.rack, s.shard, 1.0 + s.shard % 3) for s in sharding.layout(16)]
+    more = spark.range(-500, 1500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for r in sharding.assign(more.union(docs.select("doc_id", "text")), tree).collect():
+        assert (r.shard, r.grown_shard) == (plain_shard(r.doc_id, tree), plain_shard(r.doc_id, sharding.grown(tree)))
     got = sharding.with_slots(sharding.assign(wide, tree)).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.size) for r in got) == sorted((i is None, i, len((t or "").encode()) + 1) for i, t, *_ in DOCS)
     assert sharding.with_slots(sharding.assign(docs.where("false"), tree)).count() == 0
