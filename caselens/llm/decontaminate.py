@@ -1,17 +1,19 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is partitioned by document: each shard stores, for the terms of the
-benchmark, the sorted positions of its own documents' tokens (postings), and is
-written to shared storage. A search reads each shard once and answers every
-benchmark window there: the posting lists of the window's terms are intersected
-after subtracting each term's offset, starting from the term that is rarest in
-the shard, which gives the exact phrase matches. Proximity matches take the two
-rarest terms of a window, in any order, at most ``slop`` words apart in one
-document. Postings never cross the network and no list is collected.
+The index holds the whole training corpus and knows nothing of the benchmark. It
+is partitioned by document: each shard has a dictionary of its words and, for
+every word, the sorted positions of its own documents' tokens (postings, as
+gaps). It is written once to shared storage. A search reads each shard and
+answers every benchmark window there: the posting lists of the window's terms
+are intersected after subtracting each term's offset, starting from the term
+that is rarest in the shard, which gives the exact phrase matches. Proximity
+matches take the two rarest terms of a window, in any order, at most ``slop``
+words apart in one document. Postings never cross the network and no list is
+collected.
 
 The benchmark is the query set: it is held by the tasks in blocks of at most
-``block_words`` window words, whatever its size; documents are all searched for
-every block.
+``block_words`` window words, whatever its size; every block is looked up in the
+whole of the one index.
 
 Edge cases: null and empty texts have no words and match nothing; repeated
 ``item_id`` rows form one item; a null ``item_id`` is an item written as the
@@ -22,21 +24,24 @@ an empty benchmark leaves every document clean; extra columns are ignored by
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import packed, staged
+from ._common import packed, scratch_path
 
 WINDOW = 13
 #: A-Z to a-z; digits, a-z and every byte of a non-ASCII character stay; the rest separates words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-INDEX = "rows array<bigint>, keys array<string>, starts binary, terms binary, term_starts binary, positions binary"
+INDEX = "rows array<bigint>, keys array<string>, starts binary, words binary, word_starts binary, gaps binary"
+#: A shard ends with the document that reaches this many words.
+SHARD_WORDS = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -85,46 +90,68 @@ def _blocks(benchmark: DataFrame, size: int, block_words: int) -> Iterator[Queri
         yield Queries(rows, size)
 
 
-def build_index(documents: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """A row for each shard: document numbers, where each document starts in the
-    shard's run of positions, and the postings of ``terms``.
+def _shard_row(rows: list[int], keys: list[str | None], lengths: list[int], number: dict[bytes, int], ids: list[np.ndarray]) -> pa.RecordBatch:
+    tokens = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    places = np.argsort(tokens, kind="stable")
+    parts = (
+        np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64).tobytes(),
+        b" ".join(number),
+        np.concatenate([[0], np.cumsum(np.bincount(tokens, minlength=len(number)))]).astype(np.int64).tobytes(),
+        np.diff(places, prepend=0).astype(np.int32).tobytes(),
+    )
+    who = [pa.array([rows], pa.list_(pa.int64())), pa.array([keys], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*who, *(pa.array([p], pa.binary()) for p in parts)], names=["rows", "keys", "starts", "words", "word_starts", "gaps"])
+
 
-    ``documents`` has ``row``, ``key`` (string) and ``text``.
-    """
-    spread = documents.sparkSession.sparkContext.broadcast(terms)
+def build_index(documents: DataFrame) -> DataFrame:
+    """The written index of ``documents`` (``key`` string, ``text``), a row for each
+    shard: document numbers and keys, where each document starts in the shard's run
+    of positions, the shard's words, where each word's postings start, and all
+    postings as gaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = spread.value.get
+        rows, keys, lengths, ids, at = [], [], [], [], 0
+        number: dict[bytes, int] = defaultdict(count().__next__)
         for batch in batches:
-            starts, found, at = [0], [], 0
-            for text in batch.column(2):
-                ids = [number(w, -1) for w in words_of(text.as_py())]
-                found.append(np.array(ids, np.int64))
-                at += len(ids)
-                starts.append(at)
-            ids = np.concatenate(found) if found else np.zeros(0, np.int64)
-            held = np.flatnonzero(ids >= 0)
-            held = held[np.argsort(ids[held], kind="stable")]
-            names, first = np.unique(ids[held], return_index=True)
-            parts = (np.array(starts, np.int64), names.astype(np.int64), np.append(first, len(held)).astype(np.int64), held.astype(np.int32))
-            who = [pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([batch.column(1).to_pylist()], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*who, *(pa.array([p.tobytes()], pa.binary()) for p in parts)], names=["rows", "keys", "starts", "terms", "term_starts", "positions"])
-
-    return documents.select("row", "key", "text").mapInArrow(run, INDEX)
+            for row, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words = words_of(text.as_py())
+                ids.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                rows.append(row)
+                keys.append(key)
+                lengths.append(len(words))
+                at += len(words)
+                if at >= SHARD_WORDS or len(rows) >= SHARD_WORDS:
+                    yield _shard_row(rows, keys, lengths, number, ids)
+                    rows, keys, lengths, ids, at = [], [], [], [], 0
+                    number = defaultdict(count().__next__)
+        if rows:
+            yield _shard_row(rows, keys, lengths, number, ids)
+
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), "key", "text")
+    spark, path = documents.sparkSession, scratch_path(documents.sparkSession, "phrase-index")
+    # a row is some MB: pages and row groups are looked at after each row, not after the first hundred
+    few = {"compression": "zstd", "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.row.count.limit": 16}
+    docs.mapInArrow(run, INDEX).write.options(**few).mode("errorifexists").parquet(path)
+    return spark.read.schema(INDEX).parquet(path)
 
 
 class Shard:
-    """Read access to one row of the index."""
+    """The postings of some terms, numbered by their place in ``terms``, in one row of the index."""
 
-    def __init__(self, rows: list[int], keys: list[str | None], starts: bytes, terms: bytes, term_starts: bytes, positions: bytes, n_terms: int):
+    def __init__(self, terms: list[bytes], rows: list[int], keys: list[str | None], starts: bytes, words: bytes, word_starts: bytes, gaps: bytes):
         self.rows, self.names, self.starts = rows, keys, np.frombuffer(starts, np.int64)
-        self.positions = np.frombuffer(positions, np.int32).astype(np.int64)
-        names, first = np.frombuffer(terms, np.int64), np.frombuffer(term_starts, np.int64)
-        self.first, self.count = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
-        self.first[names], self.count[names] = first[:-1], np.diff(first)
+        number = {w: k for k, w in enumerate(words.split())}
+        held = np.array([number.get(w, -1) for w in terms], np.int64)
+        names = np.flatnonzero(held >= 0)
+        first = np.frombuffer(word_starts, np.int64)
+        self.first, self.count = np.zeros(max(1, len(terms)), np.int64), np.zeros(max(1, len(terms)), np.int64)
+        n = self.count[names] = np.diff(first)[held[names]]
+        self.first[names] = np.cumsum(n) - n
+        places = np.cumsum(np.frombuffer(gaps, np.int32), dtype=np.int64)
+        self.positions = places[np.arange(n.sum()) + np.repeat(first[held[names]] - self.first[names], n)]
         self.span = int(self.starts[-1]) + 1
         #: (term, position) as one ascending number, for lookups in many lists at once
-        self.keys = np.repeat(names, np.diff(first)) * self.span + self.positions
+        self.keys = np.repeat(names, n) * self.span + self.positions
 
     def holds(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -222,9 +249,10 @@ def _search(index: DataFrame, q: Queries, slop: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = spread.value
+        terms = list(q.terms)
         for batch in batches:
-            for parts in batch.to_pylist():
-                shard = Shard(n_terms=max(1, len(q.terms)), **parts)
+            for k in range(batch.num_rows):
+                shard = Shard(terms, **batch.slice(k, 1).to_pylist()[0])
                 window, start = phrases(shard, q)
                 end = start + q.lengths[window]
                 order = np.lexsort((end, start))
@@ -266,14 +294,10 @@ def _covered_words(spans: Column) -> Column:
 def search(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_words: int = 4_000_000, slop: int | None = None) -> DataFrame:
     """For each row of ``documents`` (``key`` string, ``text``): key, n_words,
     n_hit, covered, items (exact phrase), near_items (proximity, if ``slop`` is given)."""
-    blocks = _blocks(benchmark, size, block_words)
-    first, second = next(blocks, Queries([], size)), next(blocks, None)
-    docs = documents.select(F.lit(0).cast("long").alias("row"), "key", F.col("text").cast("string"))
-    if second is None:
-        found = _search(staged(build_index(docs, first.terms), "phrase-index"), first, slop)
-    else:  # the same rows must be told apart in each block's answers
-        docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "phrase-documents")
-        parts = [_search(staged(build_index(docs, q.terms), "phrase-index"), q, slop) for q in chain((first, second), blocks)]
+    index = build_index(documents.select("key", F.col("text").cast("string").alias("text")))
+    parts = [_search(index, q, slop) for q in _blocks(benchmark, size, block_words)] or [_search(index, Queries([], size), slop)]
+    found = parts[0]
+    if len(parts) > 1:
         found = (
             reduce(DataFrame.union, parts)
             .groupBy("row", "key", "n_words")

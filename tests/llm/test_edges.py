@@ -166,6 +166,26 @@ def test_decontaminate(spark, docs, wide):
     assert decontaminate.report(docs, bench.where("false")).where("n_hit > 0").count() == 0 and decontaminate.report(docs.where("false"), bench).count() == 0
 
 
+def test_phrase_index(spark, docs, monkeypatch):
+    """Every word of every document has its postings, whatever the shards, and one index answers any benchmark."""
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 40)
+    keyed = docs.select(F.col("doc_id").cast("string").alias("key"), "text")
+    index = decontaminate.build_index(keyed).collect()
+    assert len(index) > spark.sparkContext.defaultParallelism or max(len(r.rows) for r in index) < len(DOCS)
+    found = []
+    for r in index:
+        starts, words = np.frombuffer(r.starts, np.int64), r.words.split()
+        shard = decontaminate.Shard(words, **r.asDict())
+        text = {p: w for k, w in enumerate(words) for p in (shard.postings(np.array([k]))[1].tolist() if shard.span > 1 else [])}
+        found += [(key, [text[p] for p in range(a, b)]) for key, a, b in zip(r.keys, starts, starts[1:])]
+    want = [(None if i is None else str(i), decontaminate.words_of(t)) for i, t, *_ in DOCS]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    bench = spark.createDataFrame([(1, " ".join(f"word{k}" for k in range(20, 40))), (4, "EAU  double, Line odd")], "item_id bigint, text string")
+    small = sorted((str(r.doc_id), r.n_words, r.n_hit, r.items_sha256) for r in decontaminate.report(docs, bench).collect())
+    monkeypatch.undo()
+    assert small == sorted((str(r.doc_id), r.n_words, r.n_hit, r.items_sha256) for r in decontaminate.report(docs, bench).collect())
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([("a", "alpha x x beta"), ("b", "beta alpha"), ("c", "alpha " + "x " * 40 + "beta"), ("d", "alpha")], "key string, text string")
     bench = spark.createDataFrame([(1, "alpha beta")], "item_id bigint, text string")
