@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from caselens import bindings
 from caselens.functions import text as X
 from caselens.operators import casegraph, hypergraph, retrieval, rules, verify
-from caselens.plans.neighbours import MAX_RANK
 
 
 def _p(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +81,7 @@ def h4_h8_metric_rules(spark, sf_dir):
 
 
 def k1_top_neighbours(spark, sf_dir):
-    pairs = hypergraph.weighted_neighbours(_p(spark, sf_dir), max_edge_rank=MAX_RANK)
+    pairs = hypergraph.weighted_neighbours(_p(spark, sf_dir))
     return hypergraph.top_neighbours(pairs, 5).select("node_id", "neighbour_id", "similarity", "place")
 
 
@@ -166,7 +165,7 @@ QUERIES = {f.__name__: f for f in (
 
 _E = "e AS (SELECT o_orderkey AS edge_id, o_custkey AS case_id, CASE WHEN o_orderstatus = 'O' THEN 'Value_Loop_Edge' ELSE 'Risk_Pattern_Edge' END AS edge_type FROM orders)"
 _LABEL = lambda c: f"regexp_replace({c}, '[^0-9A-Za-z_]', '', 'g')"
-_W = f"m AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS n FROM lineitem), r AS (SELECT e, CAST(1.0 / count(*) AS DECIMAL(18,6)) AS w FROM m GROUP BY e HAVING count(*) BETWEEN 2 AND {MAX_RANK})"
+_W = "m AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS n FROM lineitem), r AS (SELECT e, CAST(1.0 / count(*) AS DECIMAL(18,6)) AS w FROM m GROUP BY e HAVING count(*) > 1)"
 _METRICS = """x AS (SELECT l_suppkey AS case_id, sum(CAST(l_extendedprice AS DECIMAL(18,4))) FILTER (l_linenumber > 1) AS tam, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS sam,
 sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) FILTER (l_returnflag = 'R') AS som, sum(CAST(l_extendedprice AS DECIMAL(18,4))) FILTER (l_linenumber = 7) AS cac, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS ltv FROM lineitem GROUP BY 1),
 h AS (SELECT case_id, 'H4' AS rule_id, CASE WHEN tam IS NULL OR sam IS NULL OR som IS NULL THEN 'WARNING' WHEN tam >= sam AND sam >= som THEN 'PASSED' ELSE 'FAILED' END AS status FROM x

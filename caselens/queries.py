@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselens.plans import cards, caserules, classroom, documents, graph, neighbours, streams
+from caselens.plans import cards, casegraphs, caserules, classroom, documents, graph, neighbours, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (neighbours, classroom, documents, graph, caserules, cards, streams):
+for _module in (neighbours, classroom, documents, graph, caserules, casegraphs, cards, streams):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
