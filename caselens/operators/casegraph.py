@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions import json as J
 from caselens.functions import text as X
+from caselens.operators.rules import checkpointed
 from caselens.sources.cases import Cases
 
 # Cues of the roles.
@@ -165,10 +166,11 @@ def semantics(cases: Cases, nodes: DataFrame, relations: DataFrame, loops: DataF
 
 
 def payload(cases: Cases) -> dict[str, DataFrame]:
-    """G6. The ten tables that are loaded into a graph store."""
-    nodes = all_nodes(cases)
-    relations, loops = valid_relations(cases, nodes), value_loops(role_nodes(cases, nodes))
-    notes = semantics(cases, nodes, relations, loops)
+    """G6. The ten tables that are loaded into a graph store; what several of them
+    are made of is written once to shared storage."""
+    nodes = checkpointed(all_nodes(cases))
+    relations, loops = checkpointed(valid_relations(cases, nodes)), checkpointed(value_loops(role_nodes(cases, nodes)))
+    notes = checkpointed(semantics(cases, nodes, relations, loops))
     link = lambda kind: nodes.where(F.col("node_type") == kind).select("case_id", "node_label", F.col("id").alias("node_id"))
     own = cases.hyperedges.select("case_id", F.col("id").alias("edge_id"), X.label(F.col("edge_type")).alias("edge_label"), "fit_score", "risk_score", F.lit(False).alias("inferred"))
     new = loops.select("case_id", "edge_id", F.lit("Value_Loop_Edge").alias("edge_label"), F.lit(None).cast("double").alias("fit_score"), F.lit(None).cast("double").alias("risk_score"), F.lit(True).alias("inferred"))
