@@ -68,8 +68,8 @@ _ABOUT = "CASE role WHEN 'customer' THEN 'Inferred customer concept customer per
 _TYPES = lambda role: ", ".join(f"'{t}'" for t in casegraph.ROLE_TYPES[role])
 _GRAPH = f"""{caserules._NODES}, nx AS (SELECT *, {_TEXT("nullif(source, '')", "nullif(text, '')", f"({caserules._LIST(TAGS)})[n_chars % {len(TAGS)} + 1]")} AS x FROM n),
 pr AS (SELECT case_id, id, source, lang, coalesce(regexp_extract(text, '{WORD}'), '') AS w FROM n WHERE kind = 'Project' QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY pos) = 1),
-sp AS ({' UNION ALL '.join(f"SELECT case_id, '{r}' AS role, {c} AS name, {k} AS seq FROM pr" for r, k, c in _SPECS)}),
-inf AS (SELECT case_id, lower(case_id) || '_' || role || '_' || {_SLUG('name')} AS id, role, name, seq FROM sp WHERE coalesce(name, '') <> '' QUALIFY row_number() OVER (PARTITION BY case_id, role, {_SLUG('name')} ORDER BY seq) = 1),
+sp AS (SELECT case_id, role, name, k // 100000 * 100000 + row_number() OVER (PARTITION BY case_id, role ORDER BY k) - 1 AS seq FROM ({' UNION ALL '.join(f"SELECT case_id, '{r}' AS role, {c} AS name, {k} AS k FROM pr" for r, k, c in _SPECS)}) WHERE coalesce(name, '') <> ''),
+inf AS (SELECT case_id, lower(case_id) || '_' || role || '_' || {_SLUG('name')} AS id, role, name, seq FROM sp QUALIFY row_number() OVER (PARTITION BY case_id, role, {_SLUG('name')} ORDER BY seq) = 1),
 an AS (SELECT case_id, pos AS seq, id, kind, x, upper(CASE WHEN kind = 'Metric' THEN ({caserules._LIST(caserules.METRICS)})[doc_id % {len(caserules.METRICS)} + 1] ELSE source END) AS key FROM nx
 UNION ALL SELECT case_id, seq + 1000000, id, 'Concept', {_TEXT('name', _ABOUT)}, upper(name) FROM inf),
 ro AS (SELECT case_id, role, id, CAST(min(seq) AS BIGINT) AS seq FROM ({' UNION ALL '.join(f"SELECT case_id, '{r}' AS role, id, seq FROM an WHERE kind IN ({_TYPES(r)}) AND {_CUE(r)}" for r in casegraph.ROLE_TYPES)}
