@@ -311,8 +311,8 @@ class Groups:
         return placed.join(spread.where("low <> high").select(*keys), keys, "left_semi")
 
     def stars(self, placed: DataFrame, keys: list[str], draw: Column) -> DataFrame:
-        """(node, head, keys) of the nodes of ``placed`` (node, keys) that are not in the
-        group of their bucket's head, the node of least ``draw``. Heads are aggregates,
+        """(node, head, keys) of the nodes of ``placed`` (node, by_text, keys) that are not in
+        the group of their bucket's head, the node of least ``draw``. Heads are aggregates,
         so a bucket of any size gives a row for each member and never a pair of members."""
         at = placed.join(self.roots, "node")
         heads = at.groupBy(*keys).agg(F.min(F.struct(draw.alias("draw"), "node", "root")).alias("head"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -322,7 +322,7 @@ class Groups:
 
 def near_groups(documents: DataFrame, threshold: int = 2, width: int = 2, views: int = 4, bands: int = 16, rows: int = 5) -> tuple[DataFrame, DataFrame]:
     """(``doc``, ``uid``) of each row, and (``node``, ``root``, ``least``): the group of each
-    distinct text, whose first row is ``uid`` = ``node`` with ``least`` = (no_id, id, uid).
+    distinct text, whose first row is ``uid`` = ``node`` with ``least`` = (no_id, id, digest, uid).
 
     Only exact copies (by a 128-bit digest and the length) are one node unread; all
     other links are pairs of texts that were read and have 0.8 of their five-word
@@ -339,36 +339,40 @@ def near_groups(documents: DataFrame, threshold: int = 2, width: int = 2, views:
 
     Every step but the anchors is a star, so its pairs grow with the members of a
     bucket and not with their square; at an anchor they grow with near texts that
-    were read and found to differ.
+    were read and found to differ. Heads are drawn by a hash of the text (``by_text``),
+    so the groups are the same however the rows are split or ordered.
     """
     rows_ = staged(packed(documents).withColumn("uid", F.monotonically_increasing_id()), "simhash-documents")
     sketches = staged(with_sketches(rows_.select("uid", "doc.text"), "uid", views, bands, rows, width), "simhash-sketches")
     # a node is a whole text: the uid of its first row
     content = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
-    order = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("id"), "uid")
-    copies = rows_.select(F.md5(content.cast("binary")).alias("digest"), F.octet_length(content).alias("bytes"), order.alias("at"))
-    first = staged(copies.groupBy("digest", "bytes").agg(F.min("at").alias("least")).select(F.col("least.uid").alias("node"), "least"), "simhash-first")
-    whole = staged(sketches.withColumnRenamed("uid", "node").join(first.select("node"), "node", "left_semi"), "simhash-nodes")
-    named = whole.select("node", F.posexplode("marks").alias("view", "mark"))
-    shared = named.groupBy("view", "mark").agg(F.count("*").alias("n"), F.min("node").alias("head"))
+    digest = F.md5(content.cast("binary"))
+    order = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("id"), digest.alias("digest"), "uid")
+    copies = rows_.select(digest.alias("digest"), F.octet_length(content).alias("bytes"), order.alias("at"))
+    first = copies.groupBy("digest", "bytes").agg(F.min("at").alias("least"))
+    first = staged(first.select(F.col("least.uid").alias("node"), F.xxhash64("digest", "bytes").alias("by_text"), "least"), "simhash-first")
+    whole = staged(sketches.withColumnRenamed("uid", "node").join(first.select("node", "by_text"), "node"), "simhash-nodes")
+    named = whole.select("node", "by_text", F.posexplode("marks").alias("view", "mark"))
+    shared = named.groupBy("view", "mark").agg(F.count("*").alias("n"), F.min(F.struct("by_text", "node"))["node"].alias("head"))
     placed = staged(named.join(shared.where("n > 1").select("view", "mark"), ["view", "mark"], "left_semi"), "simhash-placed")
     groups = Groups(first, rows_.select(F.col("uid").alias("node"), "doc.text"))
 
-    groups.link(groups.stars(placed, ["view", "mark"], F.col("node")).select(F.col("node").alias("a"), F.col("head").alias("b")))
+    groups.link(groups.stars(placed, ["view", "mark"], F.col("by_text")).select(F.col("node").alias("a"), F.col("head").alias("b")))
     groups.link(_anchored(shared.where(F.col("view") < views).select("view", F.col("mark").alias("fp"), "head"), groups.roots, threshold))
     for turn in range(2):
-        groups.link(groups.stars(placed, ["view", "mark"], F.xxhash64("node", "view", F.lit(turn))).select(F.col("node").alias("a"), F.col("head").alias("b")))
+        groups.link(groups.stars(placed, ["view", "mark"], F.xxhash64("by_text", "view", F.lit(turn))).select(F.col("node").alias("a"), F.col("head").alias("b")))
     if bands:
-        finer = groups.mixed(placed, ["view", "mark"]).join(whole, "node").select("node", "view", "mark", F.posexplode("marks").alias("by", "other")).where((F.col("by") >= views) & (F.col("by") > F.col("view")))
-        finer = staged(finer.select("node", F.xxhash64("view", "mark", "by", "other").alias("both")), "simhash-finer")
+        finer = groups.mixed(placed, ["view", "mark"]).join(whole.select("node", "marks"), "node").select("node", "by_text", "view", "mark", F.posexplode("marks").alias("by", "other")).where((F.col("by") >= views) & (F.col("by") > F.col("view")))
+        finer = staged(finer.select("node", "by_text", F.xxhash64("view", "mark", "by", "other").alias("both")), "simhash-finer")
         for turn in range(2):
-            groups.link(groups.stars(finer, ["both"], F.xxhash64("node", "both", F.lit(turn))).select(F.col("node").alias("a"), F.col("head").alias("b")))
+            groups.link(groups.stars(finer, ["both"], F.xxhash64("by_text", "both", F.lit(turn))).select(F.col("node").alias("a"), F.col("head").alias("b")))
     return rows_, first.join(groups.roots, "node").select("node", "root", "least")
 
 
 def keep_first(documents: DataFrame, **settings) -> DataFrame:
     """The rows of ``documents`` without those whose group (``near_groups``) has an earlier
-    one: the row of least doc_id stays (a null id only in a group without another)."""
+    one: the row of least doc_id stays (a null id only in a group without another; among
+    rows of one id that of the least text digest)."""
     rows, classes = near_groups(documents, **settings)
     kept = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
     return rows.join(kept, "uid", "left_semi").select("doc.*")

@@ -112,3 +112,28 @@ def test_large_near_group_is_linear(spark, monkeypatch):
     n, found = recall(spark, texts)
     assert n > 50_000 and found == n
     assert sum(counts) < 10 * len(texts), counts
+
+
+def test_split_and_order_change_nothing(spark, monkeypatch):
+    """The same rows in other partitions and another order: the same pairs are read and
+    the same rows stay, also where rows share a doc_id."""
+    rng = random.Random(23)
+    passage = words(rng, 60)
+    texts = [passage + words(rng, 50) for _ in range(60)]
+    texts += [t[:-8] + words(rng, rng.randrange(1, 9)) for t in texts]
+    rows = [(i // 2, " ".join(t)) for i, t in enumerate(texts)]
+    real, seen = simhash.similar, []
+
+    def noted(pairs, texts, **k):
+        t = {r.node: r.text for r in texts.collect()}
+        seen[-1].append(frozenset(frozenset((t[r.a], t[r.b])) for r in pairs.collect()))
+        return real(pairs, texts, **k)
+
+    monkeypatch.setattr(simhash, "similar", noted)
+    kept = []
+    for given, parts in ((rows, 1), (rows[::-1], 5)):
+        seen.append([])
+        made = spark.createDataFrame(given, "doc_id bigint, text string").repartition(parts)
+        kept.append(sorted((r.doc_id, r.text) for r in simhash.keep_first(made).collect()))
+    assert kept[0] == kept[1] and len(kept[0]) < len(rows)
+    assert seen[0] == seen[1] and any(seen[0])
