@@ -53,6 +53,17 @@ def x3_sessions(spark, sf_dir):
     return rows.select("student", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"), "turns")
 
 
+def x2_closed_windows(spark, sf_dir):
+    """Each day once, when the watermark has passed its end."""
+    return _finish(jobs.windowed_hits(_log(spark, sf_dir), "1 day"), "append").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "rule_id", "hits")
+
+
+def x3_closed_sessions(spark, sf_dir):
+    """Each session once, when the watermark has passed its end."""
+    rows = _finish(jobs.sessions(_log(spark, sf_dir), "6 hours"), "append")
+    return rows.select("student", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"), "turns")
+
+
 def x4_latest_state(spark, sf_dir):
     base = _scratch(spark)
     jobs.latest_state(_log(spark, sf_dir), f"{base}/out", f"{base}/state").awaitTermination()
@@ -63,15 +74,20 @@ def x7_labelled(spark, sf_dir):
     return _finish(jobs.labelled(_stream(spark, sf_dir, "conversations")), "append").select("conv_id", "turn", "blocked", "route")
 
 
-QUERIES = {f.__name__: f for f in (x1_rule_hits, x2_windowed_hits, x3_sessions, x4_latest_state, x7_labelled)}
+QUERIES = {f.__name__: f for f in (x1_rule_hits, x2_windowed_hits, x2_closed_windows, x3_sessions, x3_closed_sessions, x4_latest_state, x7_labelled)}
 
+_SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id AS student, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS turns FROM s GROUP BY user_id, k"""
 _RULE = "CASE WHEN event_type <> 'signup' THEN event_type END AS rule_id"
 ORACLE_SQL = {
     "x1_rule_hits": "SELECT event_type AS rule_id, count(*) AS hits FROM events WHERE event_type <> 'signup' GROUP BY 1",
     "x2_windowed_hits": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS rule_id, count(*) AS hits FROM events WHERE event_type <> 'signup' GROUP BY ALL",
-    "x3_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id AS student, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS turns FROM s GROUP BY user_id, k""",
+    "x2_closed_windows": """WITH e AS (SELECT ts, event_type FROM events WHERE event_type <> 'signup')
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS rule_id, count(*) AS hits FROM e
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM e) GROUP BY ALL""",
+    "x3_sessions": _SESSIONS,
+    "x3_closed_sessions": _SESSIONS + " HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
     "x4_latest_state": f"SELECT user_id AS student, event_id AS seq, {_RULE} FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
     "x7_labelled": "SELECT conv_id, turn, CASE WHEN trim(text) <> '' AND (regexp_matches(trim(text), '�|Ã.|Â.|Ð.|Ñ.|Ê.|Õ.|æ.|å.|ç.|þ.|¤') OR len(regexp_extract_all(trim(text), '[\\p{Cc}�]')) * 10 >= length(trim(text))) THEN 'garbled_text' ELSE '' END AS blocked, 'Error' AS route FROM conversations",
 }

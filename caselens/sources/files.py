@@ -101,13 +101,8 @@ def _extracted(path: str, raw: bytes) -> tuple[str | None, str | None, str | Non
         return None, None, type(e).__name__
 
 
-def read_documents(spark: SparkSession, path: str, suffixes: list[str] = SUFFIXES) -> DataFrame:
-    """S10, S11, S13, P10. path, text, encoding, error of every document below ``path``.
-
-    HTML is reduced to its text with functions afterwards (S12).
-    """
-    glob = "*.{" + ",".join(suffixes) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
+def extracted(files: DataFrame) -> DataFrame:
+    """S10, S11, S13, P10. path, text, encoding, error of each of ``files`` (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +111,19 @@ def read_documents(spark: SparkSession, path: str, suffixes: list[str] = SUFFIXE
                 text, encoding, error = _extracted(name, raw)
                 yield pa.RecordBatch.from_pydict({"path": [name], "text": pa.array([text], pa.string()), "encoding": pa.array([encoding], pa.string()), "error": pa.array([error], pa.string())})
 
-    rows = files.mapInArrow(run, "path string, text string, encoding string, error string")
+    rows = files.select("path", "content").mapInArrow(run, "path string, text string, encoding string, error string")
     return rows.withColumn("text", F.when(F.lower("path").rlike(r"\.html?$"), X.html_text(F.col("text"))).otherwise(F.col("text")))
 
 
+def read_documents(spark: SparkSession, path: str, suffixes: list[str] = SUFFIXES) -> DataFrame:
+    """path, text, encoding, error of every document below ``path``.
+
+    HTML is reduced to its text with functions afterwards (S12).
+    """
+    glob = "*.{" + ",".join(suffixes) + "}"
+    return extracted(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path))
+
+
 def read_cards(spark: SparkSession, path: str) -> DataFrame:
     """S4. Cards from Markdown with front matter (flat values, inline lists); where
     a folder has none, from JSON."""

@@ -7,12 +7,14 @@ but for the two that write keyed state.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from caselens.operators.casegraph import upsert
 from caselens.operators.retrieval import guardrail, route
+from caselens.sources.files import extracted
 
 
 def rule_hits(log: DataFrame) -> DataFrame:
@@ -92,14 +94,17 @@ def interventions(events: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
 
 def ingest_files(spark: SparkSession, path: str, out: str, failures: str, checkpoint: str) -> StreamingQuery:
-    """X6. Text files dropped into ``path``: texts go to ``out``, unreadable ones to
-    ``failures``; the checkpoint keeps files that are done from being read again."""
+    """X6. Files of any kind that S10, S11, S12 and S13 read, dropped into ``path``: path, text
+    and encoding go to ``out``, path and error of unreadable ones (P10) to ``failures``; the
+    checkpoint keeps files that are done from being read again. Spark's file sources list no
+    file of no bytes, so such a file is in neither table."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(path)
 
     def write(batch: DataFrame, number: int) -> None:
-        text = F.expr("try_validate_utf8(content)")
-        rows = batch.select("path", text.alias("text")).withColumn("batch", F.lit(number))
-        for name, part in ((out, rows.where("text IS NOT NULL")), (failures, rows.where("text IS NULL").select("path", F.lit("not UTF-8").alias("error"), "batch"))):
+        rows = extracted(batch).withColumn("batch", F.lit(number)).persist(StorageLevel.DISK_ONLY)  # read once for both tables
+        parts = ((out, rows.where("error IS NULL").drop("error")), (failures, rows.where("error IS NOT NULL").select("path", "error", "batch")))
+        for name, part in parts:
             part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(name)
+        rows.unpersist()
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
