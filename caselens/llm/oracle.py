@@ -66,4 +66,15 @@ _BASE32 = "array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHI
 OP9 = f"""WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to, true AS complete FROM f"""
 
-SQL = {"op2_url_filter": OP2, "op4_chat_examples": OP4, "op5_decontaminate": OP5, "op8_quality_rules": OP8, "op9_warc_segments": OP9}
+_CUT = "chr(91) || '.,;:!?' || chr(10) || '-' || chr(13) || ']'"
+OP11 = f"""WITH w AS (SELECT lang, regexp_extract_all(piece, '[^ ' || chr(9) || ']+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_CUT})) AS piece FROM documents)),
+size AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang), st AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM st, (VALUES (1), (2), (3)) v(k) WHERE i + k - 1 <= len(w)) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT *, string_split(phrase, ' ') AS p FROM f WHERE k > 1), cut AS (SELECT c.lang, c.phrase, c.f AS a, j, array_to_string(p[1:j], ' ') AS x, array_to_string(p[j + 1:], ' ') AS y FROM c, (VALUES (1), (2)) v(j) WHERE j < k),
+s AS (SELECT cut.lang, cut.phrase, a, j, fx.f AS l, fy.f AS r, CAST(CAST(a AS HUGEINT) * a * 1000000 // (CAST(fx.f AS HUGEINT) * fy.f) AS BIGINT) AS score FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.phrase = x JOIN f fy ON fy.lang = cut.lang AND fy.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, q, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS q FROM c WHERE k = 3) GROUP BY ALL),
+k AS (SELECT b.* FROM b LEFT JOIN longer o ON o.lang = b.lang AND o.q = b.phrase WHERE o.f IS NULL OR 100 * o.f < 50 * a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k JOIN size USING (lang) QUALIFY rank <= 2000"""
+
+SQL = {"op2_url_filter": OP2, "op4_chat_examples": OP4, "op5_decontaminate": OP5, "op8_quality_rules": OP8, "op9_warc_segments": OP9, "op11_collocations": OP11}
