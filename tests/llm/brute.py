@@ -158,3 +158,54 @@ def removed_lines(docs, min_words=50):
                 if sum(sizes[a : b + 1]) >= min_words:
                     gone[doc].update(range(lines[a][0], lines[b][0] + 1))
     return gone
+
+
+def collocations(docs, max_words=3, least=10, top=2000, share=50):
+    """(lang, rank, phrase, a, l, r, n, score) rows; docs: (lang, text)."""
+    f, n = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in range(1, max_words + 1) for i in range(len(w) - k + 1))
+    cands = {p: a for p, a in f.items() if len(p) > 2 and a >= least}
+    gone = set()
+    for p, a in cands.items():
+        w = p[1:]
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                q = (p[0], *w[i : i + k])
+                if q in cands and 100 * a >= share * cands[q]:
+                    gone.add(q)
+    rows = {}
+    for p, a in cands.items():
+        if p not in gone:
+            cuts = [(10**6 * a * a // (f[p[: k + 1]] * f[(p[0], *p[k + 1 :])]), k) for k in range(1, len(p) - 1)]
+            score, k = min(cuts)
+            rows.setdefault(p[0], []).append((-score, -a, " ".join(p[1:]).encode(), f[p[: k + 1]], f[(p[0], *p[k + 1 :])]))
+    return {(lang, i + 1, ph.decode(), -a, x, y, n[lang], -s) for lang, rs in rows.items() for i, (s, a, ph, x, y) in enumerate(sorted(rs)[:top])}
+
+
+def trie(rows):
+    """Rows of the prefix trie; rows: (conv, turn, role, text) with distinct turns."""
+    own = {}
+    for c, t, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        own.setdefault(c, []).append((role or "", text or ""))
+    members, ends = {}, {}
+    for c, turns in own.items():
+        h = 0 if c is None else zlib.crc32(str(c).encode()) % 4
+        base = None if c is None else c - (c % 20 if c >= 0 else -(-c % 20))
+        built = tuple(own.get(base, [])[:h] + turns[h:])
+        for d in range(len(built) + 1):
+            members.setdefault(built[:d], []).append(c)
+        ends.setdefault(built, []).append(c)
+    children = Counter(p[:-1] for p in members if p)
+    first = lambda p: min((c for c in members[p] if c is not None), default=None)
+    saved, leaves = Counter(), Counter()
+    for p, held in members.items():
+        for d in range(len(p) + 1):
+            saved[p[:d]] += (len(held) - 1) * (len(SPACE_WORDS.findall(p[-1][1])) if p else 0)
+            leaves[p[:d]] += not children[p]
+    digest = lambda p: hashlib.sha256(",".join(str(c) for c in sorted(c for c in ends.get(p, []) if c is not None)).encode()).hexdigest()
+    return sorted(((first(p), len(p), first(p[:-1]) if p else None, len(held), children[p], leaves[p], saved[p], digest(p)) for p, held in members.items()), key=repr)
