@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselens.functions import json as J
 from caselens.functions import text as X
 from caselens.operators.rules import checkpointed
+from caselens.sources.buckets import BucketStore, Keyed
 from caselens.sources.cases import Cases
 
 # Cues of the roles.
@@ -193,8 +194,59 @@ def summary(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: S17. What a graph store knows a node and an edge by, and what it holds of them.
+GRAPH = {
+    "kg_nodes": Keyed("node_label string, id string, case_id string, node_type string, name string, description string, tags array<string>, metric_key string", ("node_label", "id")),
+    "kg_edges": Keyed("type string, src_label string, src string, dst_label string, dst string, role string, weight double, description string", ("type", "src_label", "src", "dst_label", "dst", "role")),
+}
+
+
+def merge_graph(spark: SparkSession, path: str, nodes: DataFrame, edges: DataFrame, batch: int | None = None, keep: tuple[str, ...] = (), create_only: tuple[str, ...] = (), buckets: int = 64) -> BucketStore:
+    """S17. Upsert nodes and edges by key into the graph at ``path``, both or neither.
+
+    Of the rows of a key the one of the greatest ``seq`` wins; columns of a table that
+    are not given are null. ``keep`` and ``create_only`` are U3's, for nodes. A batch
+    rewrites only the buckets of keys that it has.
+    """
+    store = BucketStore(spark, path, GRAPH, buckets)
+
+    def whole(rows: DataFrame, name: str) -> DataFrame:
+        of = {f.name: f.dataType for f in spark.createDataFrame([], GRAPH[name].schema).schema}
+        empty = lambda c: F.lit("") if c in GRAPH[name].keys else F.lit(None)
+        return rows.select(*((F.coalesce(c, empty(c)) if c in rows.columns else empty(c)).cast(t).alias(c) for c, t in of.items()), "seq")
+
+    combine = {
+        "kg_nodes": lambda old, new: upsert(old, new, list(GRAPH["kg_nodes"].keys), "seq", keep, create_only),
+        "kg_edges": lambda old, new: upsert(old, new, list(GRAPH["kg_edges"].keys), "seq"),
+    }
+    store.merge({"kg_nodes": whole(nodes, "kg_nodes"), "kg_edges": whole(edges, "kg_edges")}, combine, batch)
+    return store
+
+
+def graph_rows(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges of a payload (G6), in the order of their cases."""
+    order = lambda *c: F.struct(*(F.col(x).cast("string") for x in c)).alias("seq")
+    edge = lambda df, kind, src_label, src, dst_label, dst, role=None, weight=None: df.select(
+        F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), F.lit(src_label).alias("src_label") if isinstance(src_label, str) else src_label.alias("src_label"), F.col(src).alias("src"),
+        F.lit(dst_label).alias("dst_label") if isinstance(dst_label, str) else dst_label.alias("dst_label"), F.col(dst).alias("dst"), (F.lit("") if role is None else F.col(role)).alias("role"),
+        (F.lit(None) if weight is None else F.col(weight)).cast("double").alias("weight"), order("case_id"),
+    )
+    label = F.col("node_label")
+    parts = [
+        edge(tables["relations"], F.col("relation_type"), F.col("source_label"), "source_id", F.col("target_label"), "target_id", None, "weight" if "weight" in tables["relations"].columns else None),
+        edge(tables["participants"], "HAS_PARTICIPANT", "Hyperedge", "edge_id", label, "node_id", "role"),
+        edge(tables["case_rules"], "HIT_RULE", "Case", "case_id", "Rule", "rule_id"),
+        *(edge(tables[t], kind, "Case", "case_id", label, "node_id") for t, kind in (("contains", "CONTAINS"), ("validates", "VALIDATES"), ("mistakes", "HAS_MISTAKE"))),
+        edge(tables["hyperedges"], "HAS_HYPEREDGE", "Case", "case_id", F.col("edge_label"), "edge_id"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return tables["nodes"].drop("seq").withColumn("seq", F.struct(F.col("case_id").cast("string"))), out
+
+
 def write_graph(tables: dict[str, DataFrame], path: str) -> None:
-    """S17. kg_nodes by label and kg_edges by type."""
+    """S17. kg_nodes by label and kg_edges by type, as an export that replaces what is there."""
     tables["nodes"].write.mode("overwrite").partitionBy("node_label").parquet(f"{path}/kg_nodes")
     edges = [
         tables["relations"].select(F.col("relation_type").alias("type"), F.col("source_label").alias("src_label"), F.col("source_id").alias("src"), F.col("target_label").alias("dst_label"), F.col("target_id").alias("dst")),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselens import bindings
+from caselens.bindings import scratch
 from caselens.functions import text as X
 from caselens.operators import casegraph, hypergraph, retrieval, rules, verify
 
@@ -131,6 +132,28 @@ def u3_upsert(spark, sf_dir):
     return casegraph.upsert(old.withColumn("nation", F.col("nation").cast("bigint")), new, ["k"], "seq", keep=("name",), create_only=("origin",))
 
 
+def s17_graph_merge(spark, sf_dir):
+    """Two batches of nodes and edges merged into one graph: suppliers and small parts, then
+    every second part again, which keeps a description and sets a case only where it is new;
+    the first lines of orders as edges, then the others."""
+    read = lambda t: bindings.read(spark, sf_dir, t)
+    text = lambda c: F.col(c).cast("string")
+    node = lambda df, label, key, name, description, case: df.select(F.lit(label).alias("node_label"), text(key).alias("id"), F.col(name).alias("name"), description.alias("description"), case.alias("case_id"), F.col(key).cast("long").alias("seq"))
+    none, part = F.lit(None).cast("string"), read("part")
+    first = node(read("supplier"), "Supplier", "s_suppkey", "s_name", none, text("s_nationkey")).union(node(part.where("p_size < 25"), "Part", "p_partkey", "p_name", F.col("p_brand"), none))
+    second = node(part.where("p_partkey % 2 = 0"), "Part", "p_partkey", "p_type", none, F.lit("late"))
+    lines = read("lineitem").select(
+        F.lit("SUPPLIES").alias("type"), F.lit("Supplier").alias("src_label"), text("l_suppkey").alias("src"), F.lit("Part").alias("dst_label"), text("l_partkey").alias("dst"),
+        F.col("l_quantity").cast("double").alias("weight"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("seq"),
+    )
+    path, keep = scratch(spark, "graph"), {"keep": ("description",), "create_only": ("case_id",)}
+    casegraph.merge_graph(spark, path, first, lines.where(F.col("seq") % 8 == 1), 1, **keep)
+    store = casegraph.merge_graph(spark, path, second, lines.where(F.col("seq") % 8 > 1), 2, **keep)
+    nodes = store.read("kg_nodes").select(F.lit("node").alias("kind"), "node_label", "id", "name", "description", "case_id", F.lit(None).cast("double").alias("weight"))
+    edges = store.read("kg_edges").select(F.lit("edge"), "src", "dst", "type", none, none, "weight")
+    return nodes.union(edges)
+
+
 def u4_entity_names(spark, sf_dir):
     return bindings.read(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).union(bindings.read(spark, sf_dir, "nation").select("n_name")).distinct()
 
@@ -160,7 +183,7 @@ def v1_v15_checks(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     a1_edge_ranks, a2_degrees, a4_label_counts, a5_edge_matrix, a6_connectivity, a7_distinct_nodes, a14_overall, a18_rank_histogram, h4_h8_metric_rules, k1_top_neighbours, g14_khop, g15_neighbour_counts, g18_paths,
-    g21_incidence_faults, g22_skeleton, g23_role_check, j10_isolated, u2_first_wins, u3_upsert, u4_entity_names, u5_replace_edges, r7_align, v1_v15_checks,
+    g21_incidence_faults, g22_skeleton, g23_role_check, j10_isolated, u2_first_wins, u3_upsert, s17_graph_merge, u4_entity_names, u5_replace_edges, r7_align, v1_v15_checks,
 )}
 
 _E = "e AS (SELECT o_orderkey AS edge_id, o_custkey AS case_id, CASE WHEN o_orderstatus = 'O' THEN 'Value_Loop_Edge' ELSE 'Risk_Pattern_Edge' END AS edge_type FROM orders)"
@@ -226,6 +249,10 @@ SELECT case_id, coalesce(edges, 0) AS edges, coalesce(average_rank, 0.0) AS aver
 SELECT edge_id, edge_type, array_to_string(list_filter(roles, lambda x: NOT list_contains(have, x)), ',') AS missing, array_to_string(list_filter(have, lambda x: NOT list_contains(roles, x)), ',') AS unexpected FROM h""",
     "j10_isolated": "SELECT p_partkey AS node_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
     "u2_first_wins": "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1",
+    "s17_graph_merge": """WITH p AS (SELECT *, CAST(p_partkey AS VARCHAR) AS id, p_size < 25 AS a, p_partkey % 2 = 0 AS b FROM part)
+SELECT 'node' AS kind, 'Supplier' AS node_label, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, NULL AS description, CAST(s_nationkey AS VARCHAR) AS case_id, NULL AS weight FROM supplier
+UNION ALL SELECT 'node', 'Part', id, CASE WHEN b THEN p_type ELSE p_name END, CASE WHEN a THEN p_brand END, CASE WHEN b AND NOT a THEN 'late' END, NULL FROM p WHERE a OR b
+UNION ALL SELECT 'edge', CAST(l_suppkey AS VARCHAR), CAST(l_partkey AS VARCHAR), 'SUPPLIES', NULL, NULL, CAST(arg_max(l_quantity, (l_linenumber > 1, l_orderkey, l_linenumber)) AS DOUBLE) FROM lineitem GROUP BY l_suppkey, l_partkey""",
     "u3_upsert": """WITH n AS (SELECT l_suppkey * 3 % 200 AS k, CASE WHEN l_returnflag = 'R' THEN 'n' || l_partkey END AS name, CAST(l_linenumber AS BIGINT) AS nation, row_number() OVER (PARTITION BY l_suppkey * 3 % 200 ORDER BY l_orderkey * 10 + l_linenumber DESC) AS p FROM lineitem),
 l AS (SELECT * FROM n WHERE p = 1) SELECT coalesce(l.k, s_suppkey) AS k, coalesce(l.name, s_name) AS name, coalesce(l.nation, s_nationkey) AS nation, CASE WHEN s_suppkey IS NULL THEN 'new' ELSE 'old' END AS origin FROM supplier FULL JOIN l ON l.k = s_suppkey""",
     "u4_entity_names": "SELECT p_brand AS name FROM part UNION SELECT n_name FROM nation",

@@ -8,13 +8,14 @@ but for the two that write keyed state.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from caselens.operators.casegraph import upsert
 from caselens.operators.retrieval import guardrail, route
+from caselens.sources.buckets import BucketStore, Keyed
 from caselens.sources.files import extracted
+from caselens.streaming.state import rocksdb, student_updates
 
 
 def rule_hits(log: DataFrame) -> DataFrame:
@@ -40,59 +41,66 @@ def labelled(messages: DataFrame) -> DataFrame:
     return messages.withColumn("blocked", guardrail(F.col("text"))).withColumn("route", route(F.col("role"), F.col("text")))
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest version of a keyed table: versions are folders, named by batch."""
-    try:
-        found = spark.read.option("recursiveFileLookup", False).parquet(path)
-    except Exception as e:  # no version yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-    newest = found.agg(F.max("batch")).first()[0]
-    return found.where(F.col("batch") == newest).drop("batch")
+#: X4. A student's last row, user turns and stage. X5. A queue of interventions.
+STUDENTS = {"students": Keyed("student bigint, seq bigint, rule_id string, ts timestamp, users bigint, stage int", ("student",))}
+QUEUE = {"interventions": Keyed("id bigint, target_id string, content string, status string, ts timestamp", ("id",))}
 
 
-def _replace(df: DataFrame, path: str, batch: int) -> None:
-    df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+def latest_state(log: DataFrame, path: str, checkpoint: str, idle: str | None = None, buckets: int = 64) -> StreamingQuery:
+    """X4, W5. The last row, user turns and stage of each student: state in RocksDB
+    (``student_updates``), and a bucketed table of which a batch rewrites the buckets that
+    it has students in. A student who comes back after being closed keeps the stage."""
 
+    def merge(batch: DataFrame, number: int) -> None:
+        store = BucketStore(batch.sparkSession, path, STUDENTS, buckets)
+        last = batch.groupBy("student").agg(F.max_by(F.struct("seq", "rule_id", "ts", "users", "stage"), F.struct("users", "seq")).alias("x")).select("student", "x.*")
+        store.merge({"students": last}, {"students": newest_students}, number)
+        store.vacuum()
 
-def latest_state(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """X4. student, seq, rule_id, ts: the last row of each student, kept as a table.
+    with rocksdb(log.sparkSession):
+        updates = student_updates(log, idle)
+        return updates.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    A batch makes the version of its own number from the one before, so a batch
-    that runs again writes the same version again.
-    """
-    schema = "student bigint, seq bigint, rule_id string, ts timestamp"
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.select(F.col("student").cast("bigint"), F.col("seq").cast("bigint"), "rule_id", F.col("ts").cast("timestamp"))
-        old = _table(batch.sparkSession, path, schema)
-        new = rows.withColumn("n", F.row_number().over(Window.partitionBy("student").orderBy(F.desc("seq")))).where("n = 1").drop("n")
-        both = old.union(new).withColumn("n", F.row_number().over(Window.partitionBy("student").orderBy(F.desc("seq")))).where("n = 1").drop("n")
-        _replace(both, path, number)
+def newest_students(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The row of the greater ``seq`` of each student; user turns and stage of either, whichever is further."""
+    last = F.max_by(F.struct("seq", "rule_id", "ts"), "seq").alias("x")
+    return old.unionByName(new).groupBy("student").agg(last, F.max("users").alias("users"), F.max("stage").alias("stage")).select("student", "x.*", "users", "stage")
+
 
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def students(spark: SparkSession, path: str) -> DataFrame:
+    return BucketStore(spark, path, STUDENTS).read("students")
 
 
-def interventions(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def interventions(events: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """X5. id, target_id, content, status, ts: inserted as pending, executed once and for good.
 
     events: id, target_id, content, kind (insert or execute), ts, seq.
     """
-    schema = "id bigint, target_id string, content string, status string, ts timestamp"
+
+    def combine(old: DataFrame, rows: DataFrame) -> DataFrame:
+        both = old.withColumn("seq", F.lit(-1).cast("long")).unionByName(rows)
+        last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+        status = F.when(F.bool_or(F.col("status") == "executed"), "executed").otherwise("pending").alias("status")
+        return both.groupBy("id").agg(last("target_id"), last("content"), status, last("ts"))
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = _table(batch.sparkSession, path, schema)
-        status = F.when(F.col("kind") == "execute", "executed").otherwise("pending")
-        rows = batch.select(F.col("id").cast("bigint"), F.col("target_id").cast("string"), "content", status.alias("status"), F.col("ts").cast("timestamp"), F.when(F.col("kind") == "execute", F.col("seq") + (1 << 40)).otherwise(F.col("seq")).alias("seq"))
-        merged = upsert(old, rows, ["id"], "seq", keep=("target_id", "content", "ts"))
-        done = old.where("status = 'executed'").select("id", F.lit(True).alias("done"))
-        final = merged.join(done, "id", "left").withColumn("status", F.when(F.col("done"), "executed").otherwise(F.col("status"))).select("id", "target_id", "content", "status", "ts")
-        _replace(final, path, number)
+        executed = F.col("kind") == "execute"
+        rows = batch.select(
+            F.col("id").cast("bigint"), F.col("target_id").cast("string"), "content", F.when(executed, "executed").otherwise("pending").alias("status"),
+            F.col("ts").cast("timestamp"), F.col("seq").cast("long").alias("seq"),
+        )
+        store = BucketStore(batch.sparkSession, path, QUEUE, buckets)
+        store.merge({"interventions": rows}, {"interventions": combine}, number)
+        store.vacuum()
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def queue(spark: SparkSession, path: str) -> DataFrame:
+    return BucketStore(spark, path, QUEUE).read("interventions")
+
+
 def ingest_files(spark: SparkSession, path: str, out: str, failures: str, checkpoint: str) -> StreamingQuery:
     """X6. Files of any kind that S10, S11, S12 and S13 read, dropped into ``path``: path, text
     and encoding go to ``out``, path and error of unreadable ones (P10) to ``failures``; the

@@ -12,8 +12,8 @@ def test_interventions_run_once(spark, tmp_path):
     for batch in rows:
         spark.createDataFrame(batch, schema).write.mode("append").parquet(src)
         jobs.interventions(spark.readStream.schema(schema).parquet(src), out, state).awaitTermination()
-    got = {r.id: r.status for r in jobs._table(spark, out, "id bigint").collect()}
-    assert got == {1: "executed", 2: "pending"}
+    got = {r.id: (r.status, r.content) for r in jobs.queue(spark, out).collect()}
+    assert got == {1: ("executed", "again"), 2: ("pending", "y")}
 
 
 def test_file_drop(spark, tmp_path):
