@@ -2,11 +2,12 @@
 
 A tokenizer cuts a text into pre-tokens and each pre-token into pieces, alike wherever
 it stands. So a text's tokens are the sum, over its distinct pre-tokens, of how often
-it holds one times that one's pieces. Texts are read in blocks: a block's rows are its
-distinct pre-tokens and, packed, how often each document holds which. Pieces are
-counted once for each distinct pre-token of all blocks, joined to the blocks'
-pre-tokens, and summed with the frequencies of each document. No id is ever made into
-a column.
+it holds one times that one's pieces. Texts are read in blocks: a block has its
+distinct pre-tokens and, packed, how often each document holds which. Its pre-tokens lie
+in SLICES by their hash; the like slices of all blocks meet in one task, which counts
+the pieces of each distinct pre-token once, and each block's slice gets the counts back,
+to be summed with the frequencies of each document. A slice holds its share of the
+distinct pre-tokens of all texts, and no id is ever made into a column.
 
 The vocabulary's own pre-tokenizer cuts the texts. As its rule never crosses the place
 before one white space that something else follows, that runs once for each distinct
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,6 +45,8 @@ from .tokens import WHITE
 BLOCK = 1 << 24
 #: A run: white space and what follows up to the next, or white space but for its last character.
 RUN = re.compile(rf"{WHITE}?[\S\x1c-\x1f]+|{WHITE}+(?![\S\x1c-\x1f])")
+#: Into how many slices pre-tokens are dealt.
+SLICES = 2048
 #: Runs whose pre-tokens a worker remembers.
 REMEMBERED = 500_000
 
@@ -117,13 +121,15 @@ def _spread(data: pa.Scalar, n: int, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(data.as_buffer(), 4 * n, codec="zstd"), kind)
 
 
-BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, special array<long>, held array<int>, which binary, times binary, pre_tokens array<string>"
+BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, special array<long>, held array<int>, which binary, times binary, slices array<string>"
 
 
 def blocks(documents: DataFrame, vocabulary: str, size: int = BLOCK) -> DataFrame:
     """A row of BLOCKS for each block of ``documents``: ``held`` is how many distinct
-    pre-tokens a document has, ``which`` and ``times`` their places in ``pre_tokens`` (as
-    steps) and their frequencies, document after document, as compressed 32-bit numbers."""
+    pre-tokens a document has, ``which`` and ``times`` their places in the block (as steps)
+    and their frequencies, document after document, as compressed 32-bit numbers. Places
+    go through the ``slices``, each the pre-tokens of one hash, joined by spaces, which a
+    byte-level pre-token has none of."""
 
     def packed_block(number: int, ids: list, sizes: list, special: list, rows: list[tuple[np.ndarray, np.ndarray]], names: dict[str, int]) -> pa.RecordBatch:
         cut = cutter(vocabulary)
@@ -131,6 +137,15 @@ def blocks(documents: DataFrame, vocabulary: str, size: int = BLOCK) -> DataFram
         parts = [[place.setdefault(p, len(place)) for p in cut.pre_tokens(r)] for r in names]
         held = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = np.fromiter((p for x in parts for p in x), np.int64, int(held.sum()))
+        # places slice by slice
+        names_ = np.array(list(place), object)
+        slice_ = pd.util.hash_array(names_, categorize=False) % np.uint64(SLICES)
+        order = np.argsort(slice_, kind="stable")
+        moved = np.empty(len(order), np.int64)
+        moved[order] = np.arange(len(order))
+        flat = moved[flat]
+        ends = np.cumsum(np.bincount(slice_.astype(np.int64), minlength=SLICES))
+        slices = [" ".join(x) for x in np.split(names_[order], ends[:-1])]
         start = np.cumsum(held) - held
         doc = np.repeat(np.arange(len(rows)), [len(w) for w, _ in rows])
         runs = np.concatenate([w for w, _ in rows]) if rows else np.zeros(0, np.int64)
@@ -144,7 +159,7 @@ def blocks(documents: DataFrame, vocabulary: str, size: int = BLOCK) -> DataFram
         which = pair % max(1, len(place))
         # a document's places ascend, and its first is told from the last of the one before
         steps = np.diff(which, prepend=0).astype("<i4")
-        values = [[number], [ids], [sizes], [special], [per_doc.tolist()], [_squeezed(steps)], [_squeezed(total)], [list(place)]]
+        values = [[number], [ids], [sizes], [special], [per_doc.tolist()], [_squeezed(steps)], [_squeezed(total)], [slices]]
         kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.string())]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -173,26 +188,34 @@ def blocks(documents: DataFrame, vocabulary: str, size: int = BLOCK) -> DataFram
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCKS)
 
 
-def piece_counts(pre_tokens: DataFrame, vocabulary: str) -> DataFrame:
-    """pre_token, pieces: counted once for each distinct ``pre_token``."""
+def piece_counts(asked: DataFrame, vocabulary: str) -> DataFrame:
+    """block, slice, pieces for each slice of a block (block, slice, names): of each
+    pre-token in its order, as 32-bit numbers. A distinct one is counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = cutter(vocabulary)
+        cut, at, known = cutter(vocabulary), None, {}
         for batch in batches:
-            names = batch.column(0)
-            yield pa.RecordBatch.from_arrays([names, pa.array(map(cut.count, names.to_pylist()), pa.int64())], names=["pre_token", "pieces"])
+            out = []
+            for slice_, names in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if slice_ != at:
+                    at, known = slice_, {}
+                names = names.split(" ")
+                for name in names:
+                    if name not in known:
+                        known[name] = cut.count(name)
+                out.append(np.array([known[name] for name in names], "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "slice", "pieces"])
 
-    return pre_tokens.select("pre_token").distinct().mapInArrow(run, "pre_token string, pieces long")
+    met = asked.repartition("slice").sortWithinPartitions("slice").select("block", "slice", "names")
+    return met.mapInArrow(run, "block long, slice int, pieces binary")
 
 
 def token_counts(documents: DataFrame, vocabulary: str | None = None, limit: int = 1024, size: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each document."""
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     made = staged(blocks(documents, vocabulary, size), "pre-tokens")
-    asked = made.select("block", F.posexplode("pre_tokens").alias("place", "pre_token"))
-    counts = piece_counts(asked, vocabulary).withColumnRenamed("pre_token", "__name")
-    # what a block learns is no more than its own distinct pre-tokens
-    learnt = asked.join(counts, F.col("pre_token") == F.col("__name")).groupBy("block").agg(F.collect_list(F.struct("place", "pieces")).alias("pieces"))
+    asked = made.select("block", F.posexplode("slices").alias("slice", "names")).where("names <> ''")
+    learnt = piece_counts(asked, vocabulary).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slice", "pieces"))).alias("pieces"))
     learnt = learnt.withColumnRenamed("block", "__block")
     packed = made.select("block", "doc_ids", "n_bytes", "special", "held", "which", "times")
     both = packed.join(learnt, F.col("block") == F.col("__block"), "left").select("doc_ids", "n_bytes", "special", "held", "which", "times", "pieces")
@@ -204,9 +227,7 @@ def token_counts(documents: DataFrame, vocabulary: str | None = None, limit: int
                 held = held.values.to_numpy()
                 n = special.values.to_numpy().copy()
                 if pieces.values is not None:
-                    rows = pieces.values
-                    known = np.zeros(len(rows), np.int64)
-                    known[rows.field("place").to_numpy()] = rows.field("pieces").to_numpy()
+                    known = np.frombuffer(b"".join(pieces.values.field("pieces").to_pylist()), "<u4").astype(np.int64)
                     size = int(held.sum())
                     each = known[np.cumsum(_spread(which, size, "<i4"))] * _spread(times, size, "<u4")
                     upto = np.concatenate([[0], np.cumsum(each)])
