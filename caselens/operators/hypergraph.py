@@ -12,6 +12,8 @@ from caselens.operators.rules import checkpointed
 
 #: Similarities are decimals, so that sums agree whatever the order of addition.
 WEIGHT = "decimal(18,6)"
+#: Members of an edge that are joined together.
+BLOCK = 256
 
 
 def edge_ranks(participants: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -24,24 +26,58 @@ def edge_ranks(participants: DataFrame, edges: DataFrame | None = None) -> DataF
 
 
 def weighted_incidence(participants: DataFrame, beta: float = 1.0, max_edge_rank: int | None = None) -> DataFrame:
-    """edge_id, node_id, weight over distinct memberships in edges of more than
-    one member, and of at most ``max_edge_rank``: a hub edge is pruned before it
-    is joined with itself, since pairs grow with the square of its rank."""
+    """edge_id, node_id, rank, weight over distinct memberships in edges of more than
+    one member, and of at most ``max_edge_rank`` if that is given."""
     members = participants.select("edge_id", "node_id").distinct()
     ranks = members.groupBy("edge_id").agg(F.count("*").alias("rank")).where("rank > 1")
     if max_edge_rank is not None:
         ranks = ranks.where(F.col("rank") <= max_edge_rank)
     weight = (1 / F.pow(F.col("rank").cast("double"), F.lit(beta))).cast(WEIGHT)
-    return members.join(ranks.select("edge_id", weight.alias("weight")), "edge_id")
+    return members.join(ranks.select("edge_id", "rank", weight.alias("weight")), "edge_id")
+
+
+def member_pairs(members: DataFrame, size: int = BLOCK) -> DataFrame:
+    """edge_id, a, b: every two members of an edge, from both sides, with the other columns
+    of ``members`` (edge_id, node_id, rank; distinct memberships) of a's row.
+
+    An edge of up to ``size`` members is joined with itself. Those of a larger one, a hub
+    of rank r, fall into about r / ``size`` blocks by hash, and each pair of blocks is a
+    join key of its own: the pairs of a hub are made by as many tasks as there are, and no
+    task holds more than some pairs of blocks.
+    """
+    more = [c for c in members.columns if c not in ("edge_id", "node_id", "rank")]
+
+    def sides(rows: DataFrame, left: tuple = (), right: tuple = ()) -> DataFrame:
+        one = rows.select("edge_id", F.col("node_id").alias("a"), *more, *left)
+        other = rows.select("edge_id", F.col("node_id").alias("b"), *right)
+        return one.join(other, ["edge_id", "__i", "__j"] if left else "edge_id").where("a <> b").select("edge_id", "a", "b", *more)
+
+    k = F.ceil(F.col("rank") / size).cast("int")
+    hubs = members.where(F.col("rank") > size).withColumn("__k", k).withColumn("__b", F.pmod(F.xxhash64("node_id"), F.col("__k")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__k") - 1))
+    own = F.col("__b")
+    return sides(members.where(F.col("rank") <= size)).union(sides(hubs, (own.alias("__i"), every.alias("__j")), (every.alias("__i"), own.alias("__j"))))
+
+
+def seed_pairs(seeds: DataFrame, members: DataFrame, size: int = BLOCK) -> DataFrame:
+    """edge_id, a, b: every member b of an edge beside each of its members a in ``seeds``
+    (like ``members``), which go to all blocks of the edge."""
+    k = F.ceil(F.col("rank") / size).cast("int")
+    more = [c for c in members.columns if c not in ("edge_id", "node_id", "rank")]
+    left = seeds.select("edge_id", F.col("node_id").alias("a"), *more, F.explode(F.sequence(F.lit(0), k - 1)).alias("__j"))
+    right = members.select("edge_id", F.col("node_id").alias("b"), F.pmod(F.xxhash64("node_id"), k).cast("int").alias("__j"))
+    return left.join(right, ["edge_id", "__j"]).where("a <> b").select("edge_id", "a", "b", *more)
 
 
 def weighted_neighbours(participants: DataFrame, seeds: DataFrame | None = None, beta: float = 1.0, max_edge_rank: int | None = None) -> DataFrame:
     """node_id, neighbour_id, similarity, shared: for every pair of nodes with a
     common edge, each edge once; only for the nodes of ``seeds`` (node_id) if given."""
     inc = weighted_incidence(participants, beta, max_edge_rank)
-    left = inc if seeds is None else inc.join(seeds.select("node_id").distinct(), "node_id", "left_semi")
-    right = inc.select("edge_id", F.col("node_id").alias("neighbour_id"))
-    pairs = left.join(right, "edge_id").where("node_id <> neighbour_id")
+    if seeds is None:
+        pairs = member_pairs(inc)
+    else:
+        pairs = seed_pairs(inc.join(seeds.select("node_id").distinct(), "node_id", "left_semi").select(*inc.columns), inc)
+    pairs = pairs.withColumnsRenamed({"a": "node_id", "b": "neighbour_id"})
     return pairs.groupBy("node_id", "neighbour_id").agg(F.sum("weight").cast(WEIGHT).alias("similarity"), F.count("*").alias("shared"))
 
 
@@ -59,8 +95,8 @@ def degrees(participants: DataFrame) -> DataFrame:
 def neighbour_counts(participants: DataFrame) -> DataFrame:
     """G15. node_id, neighbours: distinct other nodes that share an edge."""
     m = participants.select("edge_id", "node_id").distinct()
-    pairs = m.join(m.withColumnRenamed("node_id", "other"), "edge_id").where("node_id <> other").select("node_id", "other").distinct()
-    counted = pairs.groupBy("node_id").agg(F.count("*").alias("neighbours"))
+    ranked = m.join(m.groupBy("edge_id").agg(F.count("*").alias("rank")).where("rank > 1"), "edge_id")
+    counted = member_pairs(ranked).select(F.col("a").alias("node_id"), "b").distinct().groupBy("node_id").agg(F.count("*").alias("neighbours"))
     return m.select("node_id").distinct().join(counted, "node_id", "left").select("node_id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
