@@ -13,6 +13,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over the cores if it lies in fewer parts than there are: for work
+    inside rows on a small table. One of more parts is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edge_id, role, node_id: an order is a hyperedge, its parts are the members."""
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("edge_id"), F.col("l_returnflag").alias("role"), F.col("l_partkey").alias("node_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -39,28 +39,54 @@ ROUTES = {
 DEFAULT_ROUTE = {"student": "project", "teacher": "assessment", "admin": "admin"}
 
 
-def tokens(texts: DataFrame) -> DataFrame:
-    """doc_id, token, n: lower-cased tokens of 2 to 18 characters that are no stop word or number."""
-    words = texts.select("doc_id", F.explode(F.split("text", TOKEN_SPLIT)).alias("t")).select("doc_id", F.lower(F.trim("t")).alias("token"))
-    counted = words.where(F.length("token").between(2, 18)).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    return counted.where(~F.col("token").isin(STOPWORDS) & ~F.col("token").rlike(r"^\d+$"))
+def tokens(text: Column) -> Column:
+    """The lower-cased tokens of 2 to 18 characters that are no stop word or number, in order of the alphabet."""
+    words = F.filter(F.transform(F.split(text, TOKEN_SPLIT), lambda t: F.lower(F.trim(t))), lambda t: F.length(t).between(2, 18))
+    return F.sort_array(F.filter(words, lambda t: ~t.isin(STOPWORDS) & ~t.rlike(r"^\d+$")))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` as a variable, computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _counted(sorted_: Column) -> Column:
+    """a (minus the count), b (minus the length), keyword of each distinct token of a sorted
+    array, in order of these: a run's length is told by where the next one begins."""
+
+    def runs(tokens_: Column) -> Column:
+        n, get = F.size(tokens_), lambda i: F.get(tokens_, i.cast("int"))
+        first = F.filter(F.transform(tokens_, lambda t, i: i), lambda i: (i == 0) | (get(i) != get(i - 1)))
+        one = lambda starts: lambda i, k: F.struct((i - F.coalesce(F.get(starts, k + 1), n)).cast("long").alias("a"), (-F.length(get(i))).alias("b"), get(i).alias("keyword"))
+        return F.sort_array(_once(first, lambda starts: F.transform(starts, one(starts))))
+
+    return _once(sorted_, runs)
 
 
 def keywords(texts: DataFrame, most: int = 12, concepts: list[str] = CONCEPTS) -> DataFrame:
-    """R8, W9. doc_id, place, keyword: concepts of the text in their order, then
-    tokens by (count desc, length desc, token), distinct after normalisation."""
-    hits = lambda t: F.array(*(F.when(t.contains(w.lower()), F.struct(F.lit(k).alias("k"), F.lit(w).alias("keyword"))) for k, w in enumerate(concepts)))
+    """R8, W9, K2. doc_id, place, keyword: concepts of the text in their order, then
+    tokens by (count desc, length desc, token), distinct after normalisation.
+
+    All of it happens inside the text's row: tokens are sorted, their runs counted, the
+    runs sorted again and the first ``most`` taken, so no token is ever shuffled.
+    """
+    found = lambda t: F.array(*(F.when(t.contains(w.lower()), F.struct(F.lit(k).cast("long").alias("a"), F.lit(0).alias("b"), F.lit(w).alias("keyword"))) for k, w in enumerate(concepts)))
     # a variable of one element: a text is normalised once
-    c = F.array_compact(F.flatten(F.transform(F.array(X.search_norm(F.col("text"))), hits)))
-    named = texts.select("doc_id", F.inline(c)).select("doc_id", "keyword", F.lit(0).alias("kind"), F.col("k").cast("long").alias("a"), F.lit(0).alias("b"))
-    found = tokens(texts).select("doc_id", F.col("token").alias("keyword"), F.lit(1).alias("kind"), (-F.col("n")).alias("a"), (-F.length("token")).alias("b"))
+    named = F.array_compact(F.flatten(F.transform(F.array(X.search_norm(F.col("text"))), found)))
+    every = F.concat(named, _counted(tokens(F.col("text"))))
     # a plain token is its own normal form
-    key = F.when(F.col("keyword").rlike("^[a-z0-9]+$"), F.col("keyword")).otherwise(X.search_norm(F.col("keyword")))
-    rows = named.union(found).withColumn("key", key).where("key <> ''")
-    first = rows.groupBy("doc_id", "key").agg(F.min(F.struct("kind", "a", "b", "keyword")).alias("x"))
-    # the distinct words of one document meet
-    best = first.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list("x")), 1, most).alias("best"))
-    return best.select("doc_id", F.posexplode("best").alias("pos", "x")).select("doc_id", (F.col("pos") + 1).alias("place"), "x.keyword")
+    key = lambda c: F.when(c.rlike("^[a-z0-9]+$"), c).otherwise(X.search_norm(c))
+    held = F.array().cast("array<struct<key:string,keyword:string>>")
+    known = lambda acc, x: F.exists(acc, lambda y: y["key"] == key(x["keyword"])) | (key(x["keyword"]) == "")
+    add = lambda acc, x: F.when(F.size(acc) >= most, acc).when(known(acc, x), acc).otherwise(F.concat(acc, F.array(F.struct(key(x["keyword"]).alias("key"), x["keyword"].alias("keyword")))))
+    # the first few are nearly always enough; the others are looked at only where they are not
+    few = 4 * most
+    rest = lambda all_, acc: F.when((F.size(acc) < most) & (F.size(all_) > few), F.aggregate(F.slice(all_, few + 1, F.greatest(F.size(all_), F.lit(1))), acc, add)).otherwise(acc)
+    fold = _once(every, lambda all_: _once(F.aggregate(F.slice(all_, 1, few), held, add), lambda acc: rest(all_, acc)))
+    best = texts.select("doc_id", fold.alias("__best"))
+    # an inner explode would have its array computed again, to filter on its size
+    out = best.select("doc_id", F.posexplode_outer("__best").alias("pos", "x")).where("x IS NOT NULL")
+    return out.select("doc_id", (F.col("pos") + 1).alias("place"), "x.keyword")
 
 
 def retrieve(cards: DataFrame, words: list[str], limit: int = 3) -> DataFrame:

@@ -16,7 +16,7 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``related_concepts``: the distinct words of over four letters in the whole text."""
     words = F.split("text", r"[\s,.]+")
     concepts = F.array_distinct(F.filter(words, lambda w: F.length(w) > 4))
-    return bindings.read(spark, sf_dir, "documents").select(
+    return bindings.spread(bindings.read(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("card_id"), F.concat(F.lit("card"), "doc_id").alias("name"), F.col("source").alias("industry"), F.array("lang", "source").alias("tags"), F.array("lang").alias("labels"),
         concepts.alias("related_concepts"), F.array(F.concat(F.lit("h"), (F.col("doc_id") % 18).cast("string"))).alias("rule_ids"), "text",
     )
@@ -33,7 +33,7 @@ def f6_json_leaves(spark, sf_dir):
 
 
 def g1_derived_cases(spark, sf_dir):
-    docs = bindings.read(spark, sf_dir, "documents").select(
+    docs = bindings.spread(bindings.read(spark, sf_dir, "documents")).select(
         F.concat("source", F.lit("_"), F.lpad(F.hex("doc_id"), 8, "0"), F.lit(".pdf")).alias("source_file"), F.lit("").alias("source_path"),
         F.struct(F.concat(F.lit("p"), "doc_id").alias("project_name"), F.slice(F.split("lang", ""), 1, 2).alias("technical_barriers"), F.array("source", "lang").alias("innovation_points"), F.lit("").alias("core_technology"), F.col("lang").alias("application_scene")).alias("extraction"),
     )
@@ -77,23 +77,23 @@ def g24_view_edges(spark, sf_dir):
 
 def r4_benchmarks(spark, sf_dir):
     """Each document's sentences with numbers in front, as benchmark records of two test metrics."""
-    docs = bindings.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("benchmark cac >= "), F.col("n_chars").cast("string"), F.lit("元; ltv "), (F.col("doc_id") + 3).cast("string"), F.lit("-"), (F.col("doc_id") + 9).cast("string"), F.lit("%\n"), "text").alias("text"))
+    docs = bindings.spread(bindings.read(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("benchmark cac >= "), F.col("n_chars").cast("string"), F.lit("元; ltv "), (F.col("doc_id") + 3).cast("string"), F.lit("-"), (F.col("doc_id") + 9).cast("string"), F.lit("%\n"), "text").alias("text"))
     return ingest.first_benchmarks(ingest.benchmarks(docs)).select("doc_id", "metric", "comparator", "value", "lower", "upper", "unit")
 
 
 def r5_channel_fit(spark, sf_dir):
-    docs = bindings.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("目标客户: "), "source", F.lit("\n适合"), F.when(F.col("doc_id") % 2 == 0, "直销").otherwise("展会"), F.lit("，不适合微博\n"), "text").alias("text"), F.array("lang").alias("scenarios"))
+    docs = bindings.spread(bindings.read(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("目标客户: "), "source", F.lit("\n适合"), F.when(F.col("doc_id") % 2 == 0, "直销").otherwise("展会"), F.lit("，不适合微博\n"), "text").alias("text"), F.array("lang").alias("scenarios"))
     return ingest.channel_fit(docs).select("doc_id", "channel", "fit_score", F.array_join("segments", ",").alias("segments"), F.array_join("scenarios", ",").alias("scenarios"), "reason")
 
 
 def r14_quotes(spark, sf_dir):
     m = bindings.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("owner"), "turn", "role", "text")
-    d = bindings.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("owner"), "text")
+    d = bindings.spread(bindings.read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("owner"), "text")
     return retrieval.quotes(m, d).select("owner", "place", F.md5("quote").alias("quote_md5"))
 
 
 def a19_formulas(spark, sf_dir):
-    t = bindings.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("owner"), F.concat(F.lit("$ltv / cac = "), (F.col("doc_id") % 7).cast("string"), F.lit("$ and $tam > sam$ "), "source").alias("text"))
+    t = bindings.spread(bindings.read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("owner"), F.concat(F.lit("$ltv / cac = "), (F.col("doc_id") % 7).cast("string"), F.lit("$ and $tam > sam$ "), "source").alias("text"))
     return cards.formulas(t, {"LTV": ["ltv"], "CAC": ["cac"], "TAM": ["tam"]}).select("name", F.size("formulas").alias("n"), F.array_join("formulas", " | ").alias("formulas"))
 
 

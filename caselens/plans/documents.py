@@ -21,7 +21,7 @@ ROUTES = {"user": [("alpha", ["thor", "eaux"]), ("beta", ["ung"])], "assistant":
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bindings.read(spark, sf_dir, "documents")
+    return bindings.spread(bindings.read(spark, sf_dir, "documents"))
 
 
 def f1_normalised(spark, sf_dir):
@@ -130,6 +130,7 @@ def _rubric(rule: str, weight: int) -> str:
 _ITEMS = "WITH d AS (SELECT doc_id, lower(text) AS l FROM documents), i AS (" + " UNION ALL ".join(_rubric(r, w) for r, _, w in scoring.RUBRIC) + ")"
 _FORCE = {k: f"CAST((c_custkey * {m} % {n}) / 10.0 AS DECIMAL(18,6))" for k, m, n in ((1, 7, 50), (2, 11, 49), (3, 13, 47), (4, 17, 43), (5, 19, 41))}
 
+_TOKENS = r"[ \t\n\x0B\f\r,，。！？；:：（）)\[\]{}<>/\\|]+"
 ORACLE_SQL = {
     "f18_chunks": "SELECT doc_id, CAST(i AS INT) AS pos, md5(substr(text, i * 1000 + 1, 1000)) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 1000) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)",
     "f5_items": "SELECT doc_id, CAST(len(x) AS INT) AS n_items, CAST(len(list_distinct(x)) AS INT) AS n_distinct FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,;/|]'), lambda x: " + _trim.format("x") + "), lambda x: x <> '') AS x FROM documents)",
@@ -137,6 +138,11 @@ ORACLE_SQL = {
     "r1_labels": "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN {_any('t', w)} THEN '{n}' END" for n, w in GROUPS.items()) + f") AS labels FROM (SELECT doc_id, {_search()} AS t FROM documents)",
     "r3_industry": f"""WITH h AS (SELECT doc_id, {', '.join(f"{_hits('t', w)} AS h{k}" for k, (_, w) in enumerate(GROUPS.items()))} FROM (SELECT doc_id, {_search()} AS t FROM documents)),
 m AS (SELECT *, greatest(h0, h1, h2, h3) AS g FROM h) SELECT doc_id, CASE WHEN g = 0 THEN NULL {' '.join(f"WHEN h{k} = g THEN '{n}'" for k, n in enumerate(GROUPS))} END AS industry FROM m""",
+    "r8_keywords": f"""WITH d AS (SELECT doc_id, text, {_search()} AS n FROM documents), t AS (SELECT doc_id, lower(trim(unnest(regexp_split_to_array(text, '{_TOKENS}')))) AS k FROM d),
+c AS (SELECT doc_id, 1 AS kind, -count(*) AS a, -length(k) AS b, k AS keyword FROM t WHERE length(k) BETWEEN 2 AND 18 AND NOT regexp_full_match(k, '[0-9]+') AND k NOT IN ({', '.join(f"'{w}'" for w in retrieval.STOPWORDS)}) GROUP BY doc_id, k
+UNION ALL SELECT doc_id, 0, p, 0, w FROM d, (VALUES {', '.join(f"({k}, '{w}')" for k, w in enumerate(CONCEPTS))}) v(p, w) WHERE contains(n, w)),
+f AS (SELECT * FROM (SELECT *, {_search('keyword')} AS key FROM c) WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY kind, a, b, keyword) = 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY kind, a, b, keyword) AS INT) AS place, keyword FROM f QUALIFY place <= 12""",
     "r9_retrieve": f"""WITH c AS (SELECT doc_id, substr(text, 1, 40) AS title, {_search('substr(text, 1, 40)')} AS t, {_search()} AS b FROM documents),
 s AS (SELECT doc_id, title, CAST({' + '.join(_POINTS)} AS INT) AS score, array_to_string(({_MATCHED})[1:5], ',') AS matched FROM c)
 SELECT doc_id AS card_id, score, matched FROM s WHERE score > 0 ORDER BY score DESC, title, doc_id LIMIT 50""",
