@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +25,11 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, WHITE, " "))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` as a variable, computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def norm(c: Column) -> Column:
     """F1. Lower case, runs of white space as one space."""
     return collapse(F.lower(lit_empty(c)))

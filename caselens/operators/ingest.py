@@ -73,13 +73,13 @@ def benchmarks(docs: DataFrame, metrics: dict[str, list[str]] = METRICS, cues: l
     clauses = sentences.select("doc_id", "sentence", F.posexplode(X.trimmed(F.split("s", "[；;]"))).alias("clause", "c"))
     number = r"(\d+(?:\.\d+)?)"
 
-    def record(k: int, name: str, aliases: list[str]) -> Column:
+    def record(norm: Column, k: int, name: str, aliases: list[str]) -> Column:
         alias = rf"(?i)(?:{X.quoted(aliases)}).{{0,12}}?"
         ranged = rf"{alias}{number}\s*({UNITS})?\s*(?:-|~|～|至|到)\s*{number}\s*({UNITS})?"
         single = rf"{alias}({COMPARATORS})?\s*{number}\s*({UNITS})?"
         get = lambda p, g: F.nullif(F.regexp_extract("c", p, g), F.lit(""))
         is_range = F.col("c").rlike(ranged)
-        known = X.search_norm(F.col("c")).rlike(X.quoted(aliases)) & (is_range | F.col("c").rlike(single))
+        known = norm.rlike(X.quoted(aliases)) & (is_range | F.col("c").rlike(single))
         pick = lambda a, b: F.when(is_range, a).otherwise(b)
         none = F.lit(None)
         return F.when(known, F.struct(
@@ -88,8 +88,9 @@ def benchmarks(docs: DataFrame, metrics: dict[str, list[str]] = METRICS, cues: l
             pick(F.coalesce(get(ranged, 2), get(ranged, 4)), get(single, 3)).alias("unit"),
         ))
 
-    found = F.array_compact(F.array(*(record(k, n, a) for k, (n, a) in enumerate(metrics.items()))))
-    return clauses.select("doc_id", "sentence", "clause", F.col("c").alias("original_text"), F.inline(found))
+    # a clause is normalised once, and no inner explode computes its array again to filter on its size
+    found = X.once(X.search_norm(F.col("c")), lambda norm: F.array_compact(F.array(*(record(norm, k, n, a) for k, (n, a) in enumerate(metrics.items())))))
+    return clauses.select("doc_id", "sentence", "clause", F.col("c").alias("original_text"), F.inline_outer(found)).where("metric IS NOT NULL")
 
 
 def first_benchmarks(records: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def channel_fit(docs: DataFrame) -> DataFrame:
     clauses = base.select("doc_id", "scenarios", "segments", F.posexplode(F.flatten(F.transform(X.sentences(F.col("text")), lambda s: X.trimmed(F.split(s, "[，,；;]"))))).alias("pos", "clause"))
     c = F.col("clause")
     tag = lambda found, score, k: F.transform(found, lambda x: F.struct(x.alias("channel"), F.lit(score).alias("score"), F.lit(k).alias("k")))
-    hits = clauses.withColumn("hit", F.explode(F.concat(tag(_channels_after(c, GOOD_CUES, BAD_CUES), 0.9, 0), tag(_channels_after(c, BAD_CUES, []), 0.1, 1))))
+    hits = clauses.withColumn("hit", F.explode_outer(F.concat(tag(_channels_after(c, GOOD_CUES, BAD_CUES), 0.9, 0), tag(_channels_after(c, BAD_CUES, []), 0.1, 1)))).where("hit IS NOT NULL")
     strength = F.struct(F.round(F.abs(F.col("hit.score") - 0.5), 6).alias("far"), (-F.col("hit.score")).alias("low"))
     reasons = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hit.k", "clause"))), lambda x: x["clause"]))
     return hits.groupBy("doc_id", F.col("hit.channel").alias("channel")).agg(

@@ -45,11 +45,6 @@ def tokens(text: Column) -> Column:
     return F.sort_array(F.filter(words, lambda t: ~t.isin(STOPWORDS) & ~t.rlike(r"^\d+$")))
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with ``value`` as a variable, computed once however often it is used."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def _counted(sorted_: Column) -> Column:
     """a (minus the count), b (minus the length), keyword of each distinct token of a sorted
     array, in order of these: a run's length is told by where the next one begins."""
@@ -58,9 +53,9 @@ def _counted(sorted_: Column) -> Column:
         n, get = F.size(tokens_), lambda i: F.get(tokens_, i.cast("int"))
         first = F.filter(F.transform(tokens_, lambda t, i: i), lambda i: (i == 0) | (get(i) != get(i - 1)))
         one = lambda starts: lambda i, k: F.struct((i - F.coalesce(F.get(starts, k + 1), n)).cast("long").alias("a"), (-F.length(get(i))).alias("b"), get(i).alias("keyword"))
-        return F.sort_array(_once(first, lambda starts: F.transform(starts, one(starts))))
+        return F.sort_array(X.once(first, lambda starts: F.transform(starts, one(starts))))
 
-    return _once(sorted_, runs)
+    return X.once(sorted_, runs)
 
 
 def keywords(texts: DataFrame, most: int = 12, concepts: list[str] = CONCEPTS) -> DataFrame:
@@ -82,7 +77,7 @@ def keywords(texts: DataFrame, most: int = 12, concepts: list[str] = CONCEPTS) -
     # the first few are nearly always enough; the others are looked at only where they are not
     few = 4 * most
     rest = lambda all_, acc: F.when((F.size(acc) < most) & (F.size(all_) > few), F.aggregate(F.slice(all_, few + 1, F.greatest(F.size(all_), F.lit(1))), acc, add)).otherwise(acc)
-    fold = _once(every, lambda all_: _once(F.aggregate(F.slice(all_, 1, few), held, add), lambda acc: rest(all_, acc)))
+    fold = X.once(every, lambda all_: X.once(F.aggregate(F.slice(all_, 1, few), held, add), lambda acc: rest(all_, acc)))
     best = texts.select("doc_id", fold.alias("__best"))
     # an inner explode would have its array computed again, to filter on its size
     out = best.select("doc_id", F.posexplode_outer("__best").alias("pos", "x")).where("x IS NOT NULL")

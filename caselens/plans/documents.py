@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from caselens import bindings
 from caselens.functions import text as X
-from caselens.operators import ingest, retrieval, scoring
+from caselens.operators import cardindex, ingest, retrieval, scoring
 
 GROUPS = {"en": ["the", "tion", "that"], "fr": ["eau", "ment"], "de": ["ung", "keit"], "es": ["ción", "ñ"]}
 CONCEPTS = ["tion", "keit", "ment", "eau"]
@@ -75,6 +75,14 @@ def r9_retrieve(spark, sf_dir):
     return retrieval.retrieve(cards, WORDS, 50).select("card_id", "score", F.array_join("matched", ",").alias("matched"))
 
 
+def r9_questions(spark, sf_dir):
+    """The keywords of every document as a question to all documents as cards."""
+    docs = _docs(spark, sf_dir)
+    index = cardindex.build(docs.select(F.col("doc_id").alias("card_id"), F.substring("text", 1, 40).alias("title"), "text"))
+    asked = retrieval.keywords(docs.select("doc_id", "text"), concepts=CONCEPTS).withColumnRenamed("doc_id", "question")
+    return cardindex.retrieve_all(index, asked, 3).select("question", "place", "card_id", "score", F.array_join("matched", ",").alias("matched"))
+
+
 def r10_best_sentence(spark, sf_dir):
     return retrieval.best_sentence(_docs(spark, sf_dir), WORDS)
 
@@ -107,7 +115,7 @@ def s12_html_text(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    f1_normalised, f5_items, f18_chunks, f21_summary, f23_fingerprint, f24_sentences, f29_rule_ids, r1_labels, r3_industry, r6_cards, r8_keywords, r9_retrieve, r10_best_sentence, r11_guardrails, r12_routes,
+    f1_normalised, f5_items, f18_chunks, f21_summary, f23_fingerprint, f24_sentences, f29_rule_ids, r1_labels, r3_industry, r6_cards, r8_keywords, r9_retrieve, r9_questions, r10_best_sentence, r11_guardrails, r12_routes,
     c1_rubric_items, c1_rubric_totals, c6_contest_scores, s12_html_text,
 )}
 
@@ -131,6 +139,15 @@ _ITEMS = "WITH d AS (SELECT doc_id, lower(text) AS l FROM documents), i AS (" +
 _FORCE = {k: f"CAST((c_custkey * {m} % {n}) / 10.0 AS DECIMAL(18,6))" for k, m, n in ((1, 7, 50), (2, 11, 49), (3, 13, 47), (4, 17, 43), (5, 19, 41))}
 
 _TOKENS = r"[ \t\n\x0B\f\r,，。！？；:：（）)\[\]{}<>/\\|]+"
+_KEYWORDS = f"""WITH d AS (SELECT doc_id, text, {_search()} AS n FROM documents), t AS (SELECT doc_id, lower(trim(unnest(regexp_split_to_array(text, '{_TOKENS}')))) AS k FROM d),
+c AS (SELECT doc_id, 1 AS kind, -count(*) AS a, -length(k) AS b, k AS keyword FROM t WHERE length(k) BETWEEN 2 AND 18 AND NOT regexp_full_match(k, '[0-9]+') AND k NOT IN ({', '.join(f"'{w}'" for w in retrieval.STOPWORDS)}) GROUP BY doc_id, k
+UNION ALL SELECT doc_id, 0, p, 0, w FROM d, (VALUES {', '.join(f"({k}, '{w}')" for k, w in enumerate(CONCEPTS))}) v(p, w) WHERE contains(n, w)),
+f AS (SELECT * FROM (SELECT *, {_search('keyword')} AS key FROM c) WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY kind, a, b, keyword) = 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY kind, a, b, keyword) AS INT) AS place, keyword FROM f QUALIFY place <= 12"""
+_QUESTIONS = f"""WITH q AS ({_KEYWORDS}), card AS (SELECT doc_id AS card_id, substr(text, 1, 40) AS title, {_search('substr(text, 1, 40)')} AS t, {_search()} AS b FROM documents),
+ks AS (SELECT DISTINCT lower(keyword) AS key FROM q), p AS (SELECT key, card_id, CASE WHEN contains(t, key) THEN 6 ELSE least(4, (length(b) - length(replace(b, key, ''))) // length(key)) END AS points FROM ks JOIN card ON contains(b, key) OR contains(t, key)),
+s AS (SELECT q.doc_id AS question, card_id, CAST(sum(points) AS INT) AS score, list(keyword ORDER BY place) AS m FROM q JOIN p ON p.key = lower(q.keyword) WHERE points > 0 GROUP BY ALL)
+SELECT question, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, title, card_id) AS INT) AS place, card_id, score, array_to_string(m[1:5], ',') AS matched FROM s JOIN card USING (card_id) QUALIFY place <= 3"""
 ORACLE_SQL = {
     "f18_chunks": "SELECT doc_id, CAST(i AS INT) AS pos, md5(substr(text, i * 1000 + 1, 1000)) AS chunk_md5 FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 1000) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)",
     "f5_items": "SELECT doc_id, CAST(len(x) AS INT) AS n_items, CAST(len(list_distinct(x)) AS INT) AS n_distinct FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,;/|]'), lambda x: " + _trim.format("x") + "), lambda x: x <> '') AS x FROM documents)",
@@ -138,11 +155,8 @@ ORACLE_SQL = {
     "r1_labels": "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN {_any('t', w)} THEN '{n}' END" for n, w in GROUPS.items()) + f") AS labels FROM (SELECT doc_id, {_search()} AS t FROM documents)",
     "r3_industry": f"""WITH h AS (SELECT doc_id, {', '.join(f"{_hits('t', w)} AS h{k}" for k, (_, w) in enumerate(GROUPS.items()))} FROM (SELECT doc_id, {_search()} AS t FROM documents)),
 m AS (SELECT *, greatest(h0, h1, h2, h3) AS g FROM h) SELECT doc_id, CASE WHEN g = 0 THEN NULL {' '.join(f"WHEN h{k} = g THEN '{n}'" for k, n in enumerate(GROUPS))} END AS industry FROM m""",
-    "r8_keywords": f"""WITH d AS (SELECT doc_id, text, {_search()} AS n FROM documents), t AS (SELECT doc_id, lower(trim(unnest(regexp_split_to_array(text, '{_TOKENS}')))) AS k FROM d),
-c AS (SELECT doc_id, 1 AS kind, -count(*) AS a, -length(k) AS b, k AS keyword FROM t WHERE length(k) BETWEEN 2 AND 18 AND NOT regexp_full_match(k, '[0-9]+') AND k NOT IN ({', '.join(f"'{w}'" for w in retrieval.STOPWORDS)}) GROUP BY doc_id, k
-UNION ALL SELECT doc_id, 0, p, 0, w FROM d, (VALUES {', '.join(f"({k}, '{w}')" for k, w in enumerate(CONCEPTS))}) v(p, w) WHERE contains(n, w)),
-f AS (SELECT * FROM (SELECT *, {_search('keyword')} AS key FROM c) WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY kind, a, b, keyword) = 1)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY kind, a, b, keyword) AS INT) AS place, keyword FROM f QUALIFY place <= 12""",
+    "r8_keywords": _KEYWORDS,
+    "r9_questions": _QUESTIONS,
     "r9_retrieve": f"""WITH c AS (SELECT doc_id, substr(text, 1, 40) AS title, {_search('substr(text, 1, 40)')} AS t, {_search()} AS b FROM documents),
 s AS (SELECT doc_id, title, CAST({' + '.join(_POINTS)} AS INT) AS score, array_to_string(({_MATCHED})[1:5], ',') AS matched FROM c)
 SELECT doc_id AS card_id, score, matched FROM s WHERE score > 0 ORDER BY score DESC, title, doc_id LIMIT 50""",
