@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from caselens.functions import text as X
+from caselens.operators import similarity
+from caselens.operators.rules import checkpointed
 
 # Concepts, stop words, patterns and routing words.
 CONCEPTS = ["商业模式", "痛点", "用户画像", "价值主张", "核心竞争力", "技术壁垒", "获客成本", "留存率", "复购率", "转化率", "渠道策略", "销售渠道", "团队分工", "里程碑", "最小可行产品", "mvp", "tam", "sam", "som", "cac", "ltv"]
@@ -175,36 +172,23 @@ def resolve_student(prompt: str, profiles: DataFrame, selected: str | None = Non
     return profiles.withColumn("rank", rank).orderBy("rank", "seq").limit(1).drop("rank")
 
 
-def _closeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ratios = [SequenceMatcher(None, a, b).ratio() for a, b in zip(batch.column("name").to_pylist(), batch.column("known").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratios, pa.float64())], names=[*batch.schema.names, "ratio"])
-
-
 def align(names: DataFrame, known: DataFrame, close: float = 0.84) -> DataFrame:
     """R7, J13. name, aligned, how: a known name (name, pos) that is equal, else the
     first that contains it or lies in it, else the closest one, else itself.
 
-    Equal names are an equi join. For containment both sides are cut into bigrams
-    and joined on those, so no pair without a common bigram is looked at (and no
-    known name of one character); the matching ratio runs only on pairs of names
-    left over whose lengths allow it.
+    Equal names are an equi join; the others meet on rare bigrams (``similarity``), so a
+    common one brings no two names together. A known name of one character is only found
+    where it is equal.
     """
     n = names.select("name").where("name IS NOT NULL").distinct()
     k = known.select(F.col("name").alias("known"), "pos").groupBy("known").agg(F.min("pos").alias("pos"))
     exact = n.join(k, n.name == k.known).select("name", F.col("known").alias("aligned"), F.lit("exact").alias("how"))
-    rest = n.join(exact.select("name"), "name", "left_anti").where(F.length("name") >= 2)
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: c.substr(i, F.lit(2))))
-    left = rest.select("name", F.explode(grams(F.col("name"))).alias("g"))
-    right = k.where(F.length("known") >= 2).select("known", "pos", F.explode(grams(F.col("known"))).alias("g"))
-    pairs = left.join(right, "g").select("name", "known", "pos").distinct()
-    a, b = F.col("name"), F.col("known")
-    inside = pairs.where(a.contains(b) | b.contains(a)).groupBy("name").agg(F.min_by("known", "pos").alias("aligned"))
-    inside = inside.select("name", "aligned", F.lit("contained").alias("how"))
-    short, both = F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)
-    left_over = pairs.join(inside.select("name"), "name", "left_anti").where(2 * short >= close * both)
-    schema = T.StructType([*left_over.schema.fields, T.StructField("ratio", T.DoubleType())])
-    near = left_over.mapInArrow(_closeness, schema).where(F.col("ratio") >= close)
-    near = near.groupBy("name").agg(F.max_by("known", F.struct("ratio", (-F.col("pos")).alias("p"))).alias("aligned")).select("name", "aligned", F.lit("close").alias("how"))
-    found = exact.union(inside).union(near)
+    rest = checkpointed(n.join(exact.select("name"), "name", "left_anti"))
+    a, b = similarity.ordered_bigrams(rest.select(F.col("name").alias("s")), k.select(F.col("known").alias("s")))
+    placed = lambda pairs: pairs.join(k, F.col("b") == F.col("known"))
+    inside = placed(similarity.contained(a, b)).groupBy(F.col("a").alias("name")).agg(F.min_by("known", "pos").alias("aligned"))
+    inside = checkpointed(inside.select("name", "aligned", F.lit("contained").alias("how")))
+    left_over = a.join(inside.select(F.col("name").alias("s")), "s", "left_anti")
+    near = placed(similarity.close(left_over, b, close)).groupBy(F.col("a").alias("name")).agg(F.max_by("known", F.struct("ratio", (-F.col("pos")).alias("p"))).alias("aligned"))
+    found = exact.union(inside).union(near.select("name", "aligned", F.lit("close").alias("how")))
     return n.join(found, "name", "left").select("name", F.coalesce("aligned", "name").alias("aligned"), F.coalesce("how", F.lit("itself")).alias("how"))

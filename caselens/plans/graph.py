@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caselens import bindings
 from caselens.bindings import scratch
 from caselens.functions import text as X
+from caselens.sources import drafts as sources_drafts
 from caselens.operators import casegraph, hypergraph, retrieval, rules, verify
 
 
@@ -163,10 +164,29 @@ def u5_replace_edges(spark, sf_dir):
     return hypergraph.replace_edges(_p(spark, sf_dir), changes).groupBy("edge_id").agg(F.count("*").alias("members"), F.sum("node_id").alias("node_sum"))
 
 
+def _aligned(spark, sf_dir):
+    """Every part's name as it stands, cut short, with a wrong letter or with a word more, against all parts' and nations' names."""
+    part = bindings.read(spark, sf_dir, "part").select("p_name", "p_partkey")
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    written = F.when(k == 0, name).when(k == 1, F.substring(name, F.lit(1), F.length(name) - 3)).when(k == 2, F.concat(F.substring(name, 1, 4), F.lit("#"), F.substring(name, F.lit(6), F.length(name)))).otherwise(F.concat(name, F.lit(" kit")))
+    nations = bindings.read(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"), (-F.col("n_nationkey")).cast("long").alias("pos"))
+    return retrieval.align(part.select(written.alias("name")), nations.union(part.select("p_name", F.col("p_partkey").cast("long"))))
+
+
 def r7_align(spark, sf_dir):
-    names = bindings.read(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
-    known = bindings.read(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"), F.col("n_nationkey").alias("pos")).union(bindings.read(spark, sf_dir, "part").where("p_size < 3").select("p_name", F.col("p_partkey")))
-    return retrieval.align(names, known).groupBy("how").agg(F.count("*").alias("n"))
+    return _aligned(spark, sf_dir)
+
+
+def r7_contained(spark, sf_dir):
+    """What is equal or contained, which SQL can say, too."""
+    return _aligned(spark, sf_dir).where("how IN ('exact', 'contained')")
+
+
+def j16_linked_titles(spark, sf_dir):
+    """Cards titled by the parts' names, nodes named by the words of the brands, types and names."""
+    part = bindings.read(spark, sf_dir, "part")
+    words = part.select(F.explode(F.array_union(F.split("p_type", " "), F.array(F.split("p_name", " ")[0], F.substring("p_name", 3, 6)))).alias("name")).distinct()
+    return sources_drafts.linked_titles(part.select(F.col("p_partkey").alias("card_id"), F.col("p_name").alias("title")), words.select(F.col("name").alias("node_id"), "name"))
 
 
 def v1_v15_checks(spark, sf_dir):
@@ -183,7 +203,7 @@ def v1_v15_checks(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     a1_edge_ranks, a2_degrees, a4_label_counts, a5_edge_matrix, a6_connectivity, a7_distinct_nodes, a14_overall, a18_rank_histogram, h4_h8_metric_rules, k1_top_neighbours, g14_khop, g15_neighbour_counts, g18_paths,
-    g21_incidence_faults, g22_skeleton, g23_role_check, j10_isolated, u2_first_wins, u3_upsert, s17_graph_merge, u4_entity_names, u5_replace_edges, r7_align, v1_v15_checks,
+    g21_incidence_faults, g22_skeleton, g23_role_check, j10_isolated, u2_first_wins, u3_upsert, s17_graph_merge, u4_entity_names, u5_replace_edges, r7_align, r7_contained, j16_linked_titles, v1_v15_checks,
 )}
 
 _E = "e AS (SELECT o_orderkey AS edge_id, o_custkey AS case_id, CASE WHEN o_orderstatus = 'O' THEN 'Value_Loop_Edge' ELSE 'Risk_Pattern_Edge' END AS edge_type FROM orders)"
@@ -249,6 +269,12 @@ SELECT case_id, coalesce(edges, 0) AS edges, coalesce(average_rank, 0.0) AS aver
 SELECT edge_id, edge_type, array_to_string(list_filter(roles, lambda x: NOT list_contains(have, x)), ',') AS missing, array_to_string(list_filter(have, lambda x: NOT list_contains(roles, x)), ',') AS unexpected FROM h""",
     "j10_isolated": "SELECT p_partkey AS node_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
     "u2_first_wins": "SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1",
+    "r7_contained": """WITH p AS (SELECT p_name, CAST(p_partkey AS BIGINT) AS pos FROM part), w AS (SELECT DISTINCT CASE pos % 4 WHEN 0 THEN p_name WHEN 1 THEN substr(p_name, 1, length(p_name) - 3) WHEN 2 THEN substr(p_name, 1, 4) || '#' || substr(p_name, 6) ELSE p_name || ' kit' END AS name FROM p),
+k AS (SELECT known, min(pos) AS pos FROM (SELECT lower(n_name) AS known, -n_nationkey AS pos FROM nation UNION ALL SELECT p_name, pos FROM p) GROUP BY known)
+SELECT name, name AS aligned, 'exact' AS how FROM w WHERE name IN (SELECT known FROM k)
+UNION ALL SELECT name, arg_min(known, pos), 'contained' FROM w JOIN k ON length(name) >= 2 AND length(known) >= 2 AND (contains(name, known) OR contains(known, name)) WHERE name NOT IN (SELECT known FROM k) GROUP BY name""",
+    "j16_linked_titles": """WITH n AS (SELECT DISTINCT unnest(list_concat(string_split(p_type, ' '), [string_split(p_name, ' ')[1], substr(p_name, 3, 6)])) AS name FROM part)
+SELECT p_partkey AS card_id, name AS node_id FROM part JOIN n ON length(p_name) >= 2 AND length(name) >= 2 AND (contains(lower(p_name), lower(name)) OR contains(lower(name), lower(p_name)))""",
     "s17_graph_merge": """WITH p AS (SELECT *, CAST(p_partkey AS VARCHAR) AS id, p_size < 25 AS a, p_partkey % 2 = 0 AS b FROM part)
 SELECT 'node' AS kind, 'Supplier' AS node_label, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, NULL AS description, CAST(s_nationkey AS VARCHAR) AS case_id, NULL AS weight FROM supplier
 UNION ALL SELECT 'node', 'Part', id, CASE WHEN b THEN p_type ELSE p_name END, CASE WHEN a THEN p_brand END, CASE WHEN b AND NOT a THEN 'late' END, NULL FROM p WHERE a OR b

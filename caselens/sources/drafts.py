@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.operators import similarity
 from caselens import schemas
 from caselens.functions import json as J
 from caselens.functions import text as X
@@ -108,13 +109,9 @@ def missing_labels(nodes: DataFrame, required: list[str]) -> DataFrame:
 
 
 def linked_titles(cards: DataFrame, nodes: DataFrame) -> DataFrame:
-    """J16. card_id, node_id where one's title contains the other's name, either way.
-
-    Both are cut into bigrams, so only pairs with one in common are compared.
-    """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.lower(c).substr(i, F.lit(2))))
-    a = cards.where(F.length("title") >= 2).select("card_id", "title", F.explode(grams(F.col("title"))).alias("g"))
-    b = nodes.where(F.length("name") >= 2).select("node_id", "name", F.explode(grams(F.col("name"))).alias("g"))
-    pairs = a.join(b, "g").drop("g").distinct()
-    t, n = F.lower("title"), F.lower("name")
-    return pairs.where(t.contains(n) | n.contains(t)).select("card_id", "node_id")
+    """J16. card_id, node_id where one's title contains the other's name, either way; both
+    of two characters or more. They meet on the rarest bigram of the shorter one."""
+    t = cards.select("card_id", F.lower("title").alias("a"))
+    n = nodes.select("node_id", F.lower("name").alias("b"))
+    pairs = similarity.contained(*similarity.ordered_bigrams(t.select(F.col("a").alias("s")), n.select(F.col("b").alias("s"))))
+    return pairs.join(t, "a").join(n, "b").select("card_id", "node_id").distinct()
