@@ -43,12 +43,15 @@ def _met(a: DataFrame, first: Column, b: DataFrame, second: Column) -> DataFrame
     return left.join(right, "g").select("a", "b")
 
 
+def inside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b of two tables of ``ordered_bigrams``: pairs of which a lies in b."""
+    return _met(a, F.slice("grams", 1, 1), b, F.col("grams")).where(F.col("b").contains(F.col("a")))
+
+
 def contained(a: DataFrame, b: DataFrame) -> DataFrame:
     """a, b of two tables of ``ordered_bigrams``: pairs of which one lies in the other."""
-    rarest, every = F.slice("grams", 1, 1), F.col("grams")
-    inner = _met(a, rarest, b, every).where(F.col("b").contains(F.col("a")))
-    outer = _met(a, every, b, rarest).where(F.col("a").contains(F.col("b")))
-    return inner.union(outer).distinct()
+    outer = inside(b.select("s", "grams"), a).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return inside(a, b).union(outer).distinct()
 
 
 def close(a: DataFrame, b: DataFrame, least: float) -> DataFrame:

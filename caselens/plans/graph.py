@@ -9,7 +9,7 @@ from caselens import bindings
 from caselens.bindings import scratch
 from caselens.functions import text as X
 from caselens.sources import drafts as sources_drafts
-from caselens.operators import casegraph, hypergraph, retrieval, rules, verify
+from caselens.operators import casegraph, graphsearch, hypergraph, retrieval, rules, verify
 
 
 def _p(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +118,30 @@ def g18_paths(spark, sf_dir):
     return hypergraph.paths(li, seeds, 5).select("seed", "dst", "hops", "types", "place")
 
 
+def _places(spark, sf_dir):
+    """Regions, nations, suppliers and customers as nodes, where each lies as edges, and the
+    names of all nations and suppliers as questions."""
+    read = lambda t: bindings.read(spark, sf_dir, t)
+    node = lambda t, letter, key, name: read(t).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("id"), F.lit(t).alias("label"), F.col(name).alias("name"), F.lit("").alias("description"), F.lit(None).cast("string").alias("tags_text"))
+    edge = lambda t, letter, key, to, far, k, kind: read(t).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("src"), F.concat(F.lit(to), F.col(far).cast("string")).alias("dst"), F.lit(kind).alias("type"), (F.col(key) * 4 + k).cast("long").alias("id"))
+    nodes = node("region", "r", "r_regionkey", "r_name").union(node("nation", "n", "n_nationkey", "n_name")).union(node("supplier", "s", "s_suppkey", "s_name")).union(node("customer", "c", "c_custkey", "c_name"))
+    edges = edge("supplier", "s", "s_suppkey", "n", "s_nationkey", 0, "SELLS_IN").union(edge("customer", "c", "c_custkey", "n", "c_nationkey", 1, "BUYS_IN")).union(edge("nation", "n", "n_nationkey", "r", "n_regionkey", 2, "PART_OF"))
+    asked = nodes.where("label IN ('nation', 'supplier')").select(F.col("id").alias("question"), F.col("name").alias("keyword"))
+    return nodes, edges, asked
+
+
+def g18_search(spark, sf_dir):
+    found = graphsearch.search(*_places(spark, sf_dir), 5)
+    return found.select("question", "place", "hops", F.array_join("ids", ",").alias("ids"), "path", F.array_join(F.transform("edges", lambda e: F.concat_ws("|", e["source"], e["type"], e["target"])), ",").alias("edges"))
+
+
+def g19_subgraph(spark, sf_dir):
+    """Customers and suppliers of a nation are the members of its hyperedge."""
+    nodes, edges, asked = _places(spark, sf_dir)
+    members = edges.where("type <> 'PART_OF'").select(F.col("dst").alias("edge_id"), F.col("type").alias("role"), F.col("src").alias("node_id"))
+    return graphsearch.subgraph(nodes, graphsearch.search(nodes, edges, asked, 5), members)
+
+
 def j10_isolated(spark, sf_dir):
     return _parts(spark, sf_dir).select("node_id").join(_p(spark, sf_dir).where("role = 'R'"), "node_id", "left_anti")
 
@@ -202,7 +226,7 @@ def v1_v15_checks(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    a1_edge_ranks, a2_degrees, a4_label_counts, a5_edge_matrix, a6_connectivity, a7_distinct_nodes, a14_overall, a18_rank_histogram, h4_h8_metric_rules, k1_top_neighbours, g14_khop, g15_neighbour_counts, g18_paths,
+    a1_edge_ranks, a2_degrees, a4_label_counts, a5_edge_matrix, a6_connectivity, a7_distinct_nodes, a14_overall, a18_rank_histogram, h4_h8_metric_rules, k1_top_neighbours, g14_khop, g15_neighbour_counts, g18_paths, g18_search, g19_subgraph,
     g21_incidence_faults, g22_skeleton, g23_role_check, j10_isolated, u2_first_wins, u3_upsert, s17_graph_merge, u4_entity_names, u5_replace_edges, r7_align, r7_contained, j16_linked_titles, v1_v15_checks,
 )}
 
@@ -255,6 +279,13 @@ ORACLE_SQL = {
     "k1_top_neighbours": f"""WITH {_W}, s AS (SELECT a.n AS node_id, b.n AS neighbour_id, sum(w) AS similarity, count(*) AS shared FROM m a JOIN r USING (e) JOIN m b USING (e) WHERE a.n <> b.n GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY similarity DESC, shared DESC, neighbour_id) AS p FROM s) SELECT node_id, neighbour_id, CAST(similarity AS DECIMAL(18,6)) AS similarity, CAST(p AS INT) AS place FROM k WHERE p <= 5""",
     "g15_neighbour_counts": "WITH m AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS n FROM lineitem), c AS (SELECT a.n, count(DISTINCT b.n) AS k FROM m a JOIN m b USING (e) WHERE a.n <> b.n GROUP BY a.n) SELECT n AS node_id, coalesce(k, 0) AS neighbours FROM (SELECT DISTINCT n FROM m) LEFT JOIN c USING (n)",
+    "g18_search": """WITH v AS (SELECT 'r' || r_regionkey AS id, 'region' AS label, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'nation', n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT 'c' || c_custkey, 'customer', c_name FROM customer),
+ed AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b, 'SELLS_IN' AS type, s_suppkey * 4 AS id FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'BUYS_IN', c_custkey * 4 + 1 FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'PART_OF', n_nationkey * 4 + 2 FROM nation),
+u AS (SELECT a, b, type, id FROM ed UNION ALL SELECT b, a, type, id FROM ed), q AS (SELECT id AS question, lower(name) AS k FROM v WHERE label IN ('nation', 'supplier')), s AS (SELECT question, v.id AS seed FROM q JOIN v ON contains(lower(v.name), k)),
+p AS (SELECT question, seed, 1 AS hops, [id] AS via, [a, b] AS ids, [type] AS types FROM s JOIN u ON a = seed UNION ALL SELECT question, seed, 2, [x.id, y.id], [x.a, x.b, y.b], [x.type, y.type] FROM s JOIN u x ON x.a = seed JOIN u y ON y.a = x.b AND y.id <> x.id),
+t AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY hops, seed, via, ids) AS place FROM p QUALIFY place <= 5)
+SELECT question, CAST(place AS INT) AS place, CAST(hops AS INT) AS hops, array_to_string(ids, ',') AS ids, n1.label || ':' || n1.name || ' -[' || types[1] || ']-> ' || n2.label || ':' || n2.name || coalesce(' -[' || types[2] || ']-> ' || n3.label || ':' || n3.name, '') AS path,
+ids[1] || '|' || types[1] || '|' || ids[2] || coalesce(',' || ids[2] || '|' || types[2] || '|' || ids[3], '') AS edges FROM t JOIN v n1 ON n1.id = ids[1] JOIN v n2 ON n2.id = ids[2] LEFT JOIN v n3 ON n3.id = ids[3]""",
     "g18_paths": """WITH ed AS (SELECT l_partkey AS src, l_suppkey AS dst, l_returnflag AS type, l_orderkey * 10 + l_linenumber AS id FROM lineitem), one AS (SELECT * FROM ed WHERE src IN (SELECT s_suppkey FROM supplier)),
 p AS (SELECT src AS seed, dst, 1 AS hops, type AS types, id AS i1, NULL AS i2 FROM one UNION ALL SELECT one.src, ed.dst, 2, one.type || '>' || ed.type, one.id, ed.id FROM one JOIN ed ON ed.src = one.dst WHERE one.id <> ed.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, i1, i2 NULLS FIRST) AS r FROM p) SELECT seed, dst, CAST(hops AS INT) AS hops, types, CAST(r AS INT) AS place FROM k WHERE r <= 5""",
