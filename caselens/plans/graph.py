@@ -9,7 +9,7 @@ from caselens import bindings
 from caselens.bindings import scratch
 from caselens.functions import text as X
 from caselens.sources import drafts as sources_drafts
-from caselens.operators import casegraph, graphsearch, hypergraph, retrieval, rules, verify
+from caselens.operators import casegraph, graphsearch, hypergraph, incidence, retrieval, rules, verify
 
 
 def _p(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,13 @@ def g21_incidence_faults(spark, sf_dir):
     return hypergraph.incidence_faults(_p(spark, sf_dir), _parts(spark, sf_dir).select("node_id"), _orders(spark, sf_dir))
 
 
+def g21_matrix(spark, sf_dir):
+    """Orders as columns over the parts of up to size 44, so that the others are unknown."""
+    members = _p(spark, sf_dir)
+    matrix = incidence.build(members, bindings.read(spark, sf_dir, "part").where("p_size < 45").select(F.col("p_partkey").alias("node_id")))
+    return incidence.verify(matrix, members)
+
+
 def g22_skeleton(spark, sf_dir):
     p = _p(spark, sf_dir).join(_orders(spark, sf_dir), "edge_id").select("case_id", "edge_id", "node_id")
     customers = bindings.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), (F.col("c_custkey") * 7 % 2000).alias("node_id"))
@@ -227,7 +234,7 @@ def v1_v15_checks(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     a1_edge_ranks, a2_degrees, a4_label_counts, a5_edge_matrix, a6_connectivity, a7_distinct_nodes, a14_overall, a18_rank_histogram, h4_h8_metric_rules, k1_top_neighbours, g14_khop, g15_neighbour_counts, g18_paths, g18_search, g19_subgraph,
-    g21_incidence_faults, g22_skeleton, g23_role_check, j10_isolated, u2_first_wins, u3_upsert, s17_graph_merge, u4_entity_names, u5_replace_edges, r7_align, r7_contained, j16_linked_titles, v1_v15_checks,
+    g21_incidence_faults, g21_matrix, g22_skeleton, g23_role_check, j10_isolated, u2_first_wins, u3_upsert, s17_graph_merge, u4_entity_names, u5_replace_edges, r7_align, r7_contained, j16_linked_titles, v1_v15_checks,
 )}
 
 _E = "e AS (SELECT o_orderkey AS edge_id, o_custkey AS case_id, CASE WHEN o_orderstatus = 'O' THEN 'Value_Loop_Edge' ELSE 'Risk_Pattern_Edge' END AS edge_type FROM orders)"
@@ -289,6 +296,8 @@ ids[1] || '|' || types[1] || '|' || ids[2] || coalesce(',' || ids[2] || '|' || t
     "g18_paths": """WITH ed AS (SELECT l_partkey AS src, l_suppkey AS dst, l_returnflag AS type, l_orderkey * 10 + l_linenumber AS id FROM lineitem), one AS (SELECT * FROM ed WHERE src IN (SELECT s_suppkey FROM supplier)),
 p AS (SELECT src AS seed, dst, 1 AS hops, type AS types, id AS i1, NULL AS i2 FROM one UNION ALL SELECT one.src, ed.dst, 2, one.type || '>' || ed.type, one.id, ed.id FROM one JOIN ed ON ed.src = one.dst WHERE one.id <> ed.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, i1, i2 NULLS FIRST) AS r FROM p) SELECT seed, dst, CAST(hops AS INT) AS hops, types, CAST(r AS INT) AS place FROM k WHERE r <= 5""",
+    "g21_matrix": """WITH m AS (SELECT DISTINCT l_orderkey AS edge_id, l_partkey FROM lineitem)
+SELECT edge_id, count(*) AS listed, count(p_partkey) AS held, count(*) - count(p_partkey) AS missing, CAST(0 AS BIGINT) AS surplus FROM m LEFT JOIN part ON p_partkey = l_partkey AND p_size < 45 GROUP BY edge_id""",
     "g21_incidence_faults": """SELECT 'duplicate_members' AS fault, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag, l_partkey)
 UNION ALL SELECT 'empty_ids', count(*) FROM lineitem WHERE l_orderkey IS NULL OR l_partkey IS NULL UNION ALL SELECT 'empty_edges', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
 UNION ALL SELECT 'unknown_nodes', count(DISTINCT l_partkey) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'isolated_nodes', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)""",
