@@ -49,7 +49,7 @@ def declared(cards: DataFrame) -> DataFrame:
     hyper = F.from_json("hyperedges", "array<struct<name:string,members:array<string>>>")
     h = cards.select("name", F.explode(hyper).alias("h"))
     triggers = h.select(F.lit("TRIGGERS").alias("type"), F.lit("KnowledgeCard").alias("src_label"), F.col("name").alias("src"), F.lit("Hyperedge").alias("dst_label"), F.col("h.name").alias("dst"))
-    members = h.select(F.lit("INVOLVES").alias("type"), F.lit("Hyperedge").alias("src_label"), F.col("h.name").alias("src"), F.lit("Concept").alias("dst_label"), entity(F.explode("h.members")).alias("dst"))
+    members = h.select(F.lit("INVOLVES").alias("type"), F.lit("Hyperedge").alias("src_label"), F.col("h.name").alias("src"), F.lit("Concept").alias("dst_label"), F.explode("h.members").alias("dst")).withColumn("dst", entity(F.col("dst")))
     projects = cards.select(F.lit("INVOLVES").alias("type"), F.lit("KnowledgeCard").alias("src_label"), F.col("name").alias("src"), F.lit("Project").alias("dst_label"), F.explode(F.from_json("projects", "array<string>")).alias("dst"))
     return r.union(triggers).union(members).union(projects).where("src <> '' AND dst <> ''").distinct()
 
