@@ -176,11 +176,11 @@ def s17_graph_merge(spark, sf_dir):
     second = node(part.where("p_partkey % 2 = 0"), "Part", "p_partkey", "p_type", none, F.lit("late"))
     lines = read("lineitem").select(
         F.lit("SUPPLIES").alias("type"), F.lit("Supplier").alias("src_label"), text("l_suppkey").alias("src"), F.lit("Part").alias("dst_label"), text("l_partkey").alias("dst"),
-        F.col("l_quantity").cast("double").alias("weight"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("seq"),
+        F.col("l_quantity").cast("double").alias("weight"), "l_linenumber", F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("seq"),
     )
     path, keep = scratch(spark, "graph"), {"keep": ("description",), "create_only": ("case_id",)}
-    casegraph.merge_graph(spark, path, first, lines.where(F.col("seq") % 8 == 1), 1, **keep)
-    store = casegraph.merge_graph(spark, path, second, lines.where(F.col("seq") % 8 > 1), 2, **keep)
+    casegraph.merge_graph(spark, path, first, lines.where("l_linenumber = 1"), 1, **keep)
+    store = casegraph.merge_graph(spark, path, second, lines.where("l_linenumber > 1"), 2, **keep)
     nodes = store.read("kg_nodes").select(F.lit("node").alias("kind"), "node_label", "id", "name", "description", "case_id", F.lit(None).cast("double").alias("weight"))
     edges = store.read("kg_edges").select(F.lit("edge"), "src", "dst", "type", none, none, "weight")
     return nodes.union(edges)
@@ -318,7 +318,7 @@ SELECT p_partkey AS card_id, name AS node_id FROM part JOIN n ON length(p_name)
     "s17_graph_merge": """WITH p AS (SELECT *, CAST(p_partkey AS VARCHAR) AS id, p_size < 25 AS a, p_partkey % 2 = 0 AS b FROM part)
 SELECT 'node' AS kind, 'Supplier' AS node_label, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, NULL AS description, CAST(s_nationkey AS VARCHAR) AS case_id, NULL AS weight FROM supplier
 UNION ALL SELECT 'node', 'Part', id, CASE WHEN b THEN p_type ELSE p_name END, CASE WHEN a THEN p_brand END, CASE WHEN b AND NOT a THEN 'late' END, NULL FROM p WHERE a OR b
-UNION ALL SELECT 'edge', CAST(l_suppkey AS VARCHAR), CAST(l_partkey AS VARCHAR), 'SUPPLIES', NULL, NULL, CAST(arg_max(l_quantity, (l_linenumber > 1, l_orderkey, l_linenumber)) AS DOUBLE) FROM lineitem GROUP BY l_suppkey, l_partkey""",
+UNION ALL SELECT 'edge', CAST(l_suppkey AS VARCHAR), CAST(l_partkey AS VARCHAR), 'SUPPLIES', NULL, NULL, CAST(arg_max(l_quantity, (l_linenumber > 1, l_orderkey, l_linenumber, l_quantity)) AS DOUBLE) FROM lineitem GROUP BY l_suppkey, l_partkey""",
     "u3_upsert": """WITH n AS (SELECT l_suppkey * 3 % 200 AS k, CASE WHEN l_returnflag = 'R' THEN 'n' || l_partkey END AS name, CAST(l_linenumber AS BIGINT) AS nation, row_number() OVER (PARTITION BY l_suppkey * 3 % 200 ORDER BY l_orderkey * 10 + l_linenumber DESC) AS p FROM lineitem),
 l AS (SELECT * FROM n WHERE p = 1) SELECT coalesce(l.k, s_suppkey) AS k, coalesce(l.name, s_name) AS name, coalesce(l.nation, s_nationkey) AS nation, CASE WHEN s_suppkey IS NULL THEN 'new' ELSE 'old' END AS origin FROM supplier FULL JOIN l ON l.k = s_suppkey""",
     "u4_entity_names": "SELECT p_brand AS name FROM part UNION SELECT n_name FROM nation",
