@@ -10,7 +10,7 @@ budget is fitted on the counts of documents by exact length: each length gives
 its proportional share of documents, longer lengths fill what rounding left, and
 a bounded-knapsack dynamic programme over the unused documents, at every size,
 brings the rest as near to zero as any choice of them can (``CELLS`` states to what
-width sums are told apart in a budget of over a million words). The chosen number of documents of a length are
+width sums are told apart in a budget of over a million units of the lengths' common divisor). The chosen number of documents of a length are
 those of least seeded hash. Only counts by length meet in a task, never rows.
 
 Edge cases: null and empty texts have size 0 and take nothing; a source of size
@@ -65,42 +65,87 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
 CELLS, LEFT = 1 << 20, 1 << 17
 
 
+def _set_bits(n: int) -> np.ndarray:
+    raw = np.frombuffer(n.to_bytes(-(-n.bit_length() // 8), "little"), np.uint8)
+    at = np.flatnonzero(raw)
+    rows, bits = np.nonzero(np.unpackbits(raw[at, None], axis=1, bitorder="little"))
+    return at[rows] * 8 + bits
+
+
+def _halves(order: list[int], steps: np.ndarray, counts: np.ndarray, limit: int):
+    """(k, n) for each kind of document: 1, 2, 4, ... of them, together all that fit below ``limit``."""
+    for k in order:
+        left, size = min(int(counts[k]), limit // int(steps[k])), 1
+        while left > 0:
+            n = min(size, left)
+            yield k, n
+            left, size = left - n, 2 * size
+
+
+def _every_sum(order: list[int], steps: np.ndarray, counts: np.ndarray, goal: int, limit: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Reachable sums, the piece that first reached each, and the pieces. The sums are bits
+    of one number, so a piece that reaches nothing new costs a shift."""
+    held, mask = 1, (1 << (limit + 1)) - 1
+    first = np.full(limit + 1, -1, np.int32)
+    pieces: list[tuple[int, int]] = []
+    for k, n in _halves(order, steps, counts, limit):
+        if goal == 0 or first[goal] >= 0:
+            break
+        new = (held << n * int(steps[k])) & mask & ~held
+        if new:
+            first[_set_bits(new)] = len(pieces)
+            pieces.append((k, n))
+            held |= new
+    sums = np.append(0, np.flatnonzero(first >= 0))
+    return sums, first[sums], pieces
+
+
+def _sum_a_cell(order: list[int], steps: np.ndarray, counts: np.ndarray, goal: int, limit: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """As ``_every_sum``, with one sum for each cell of goal / CELLS."""
+    wide = -(-goal // CELLS)
+    held = np.full(limit // wide + 1, -1, np.int64)
+    held[0] = 0
+    first = np.full(len(held), -1, np.int32)
+    pieces: list[tuple[int, int]] = []
+    for k, n in _halves(order, steps, counts, limit):
+        if held[goal // wide] == goal:
+            break
+        sums = held[held >= 0] + n * int(steps[k])
+        sums = sums[sums <= limit]
+        sums = sums[held[sums // wide] < 0]
+        if len(sums):
+            held[sums // wide] = sums
+            first[sums // wide] = len(pieces)
+            pieces.append((k, n))
+    return held[held >= 0], first[held >= 0], pieces
+
+
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of ``counts`` documents of each length to take for a sum near to
     ``budget``: bounded knapsack over sums, up to one document beyond the budget.
 
-    The sum is the nearest of all if the budget has up to CELLS words. Of a larger
-    one, each cell of budget / CELLS words holds one sum, and the nearest of those is taken.
+    Sums are counted in units of the lengths' common divisor, and the search ends at the
+    unit next to the budget. The sum is the nearest of all if the budget has up to CELLS
+    units. Of a larger one, each cell of budget / CELLS holds one sum, and the nearest of
+    those is taken.
     """
     take = np.zeros(len(lengths), np.int64)
     usable = (counts > 0) & (lengths > 0) & (lengths <= 2 * budget)
     if budget <= 0 or not usable.any():
         return take
-    limit = budget + int(min(budget, lengths[usable].max()))
-    wide = -(-budget // CELLS)
-    held = np.full(limit // wide + 1, -1, np.int64)
-    held[0] = 0
-    # the piece that first reached a cell's sum, so no piece is used twice on the way back
-    first = np.full(len(held), -1, np.int32)
-    pieces: list[tuple[int, int]] = []
-    for k in [k for k in np.argsort(-lengths, kind="stable").tolist() if usable[k]]:
-        length, size = int(lengths[k]), 1
-        left = min(int(counts[k]), limit // length)
-        while left > 0 and held[budget // wide] != budget:
-            n = min(size, left)
-            sums = held[held >= 0] + n * length
-            sums = sums[sums <= limit]
-            sums = sums[held[sums // wide] < 0]
-            held[sums // wide] = sums
-            first[sums // wide] = len(pieces)
-            pieces.append((k, n))
-            left, size = left - n, 2 * size
-    sums = held[held >= 0]
-    at = int(sums[np.argmin(np.abs(sums - budget))])
+    unit = int(np.gcd.reduce(lengths[usable]))
+    goal = (2 * budget + unit - 1) // (2 * unit)
+    limit = (budget + int(min(budget, lengths[usable].max()))) // unit
+    steps = lengths // unit
+    order = [k for k in np.argsort(-lengths, kind="stable").tolist() if usable[k]]
+    sums, first, pieces = (_every_sum if goal <= CELLS else _sum_a_cell)(order, steps, counts, goal, limit)
+    came = dict(zip(sums.tolist(), first.tolist()))
+    at = int(sums[np.argmin(np.abs(sums * unit - budget))])
+    # a sum's piece is the first that reached it, so no piece is used twice on the way back
     while at:
-        k, n = pieces[first[at // wide]]
+        k, n = pieces[came[at]]
         take[k] += n
-        at -= n * int(lengths[k])
+        at -= n * int(steps[k])
     return take
 
 
