@@ -31,8 +31,10 @@ class Cases:
     def union(self, other: Cases) -> Cases:
         """U1. All rows of both, equal ones once."""
         both = lambda a, b: a.unionByName(b, allowMissingColumns=True)
-        edges = both(self.hyperedges, other.hyperedges).withColumn("participants", F.map_from_entries(F.array_sort(F.map_entries("participants"))))
-        return Cases(both(self.cases, other.cases).dropDuplicates(), both(self.nodes, other.nodes).dropDuplicates(), both(self.relations, other.relations).dropDuplicates(), edges.dropDuplicates(["case_id", "pos", "id"]))
+        # a map is no key: edges are compared by its entries in order
+        edges = both(self.hyperedges, other.hyperedges).withColumn("__entries", F.array_sort(F.map_entries("participants")))
+        edges = edges.dropDuplicates([c for c in edges.columns if c != "participants"]).withColumn("participants", F.map_from_entries("__entries")).drop("__entries")
+        return Cases(both(self.cases, other.cases).dropDuplicates(), both(self.nodes, other.nodes).dropDuplicates(), both(self.relations, other.relations).dropDuplicates(), edges)
 
 
 def _name(c: Column) -> Column:

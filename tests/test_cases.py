@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from caselens import schemas
 from caselens.operators import casegraph, hypergraph, messages, rules
+from caselens.plans import caserules
 from caselens.sources import cases as source
 from tests import fixtures
 
@@ -145,3 +146,26 @@ def test_records_and_titles(spark):
     nodes = spark.createDataFrame([("1", "cac"), ("2", "LTV"), ("3", "the cac guide book")], "node_id string, name string")
     assert {x.node_id for x in drafts.linked_titles(cards, nodes).collect()} == {"1", "3"}
     assert [x.label for x in drafts.missing_labels(spark.createDataFrame([("A",)], "label string"), ["A", "B"]).collect()] == ["B"]
+
+
+def test_union_keeps_what_differs_in_any_column(cases, spark):
+    again = cases.union(cases)
+    assert again.hyperedges.count() == cases.hyperedges.count() and again.nodes.count() == cases.nodes.count()
+    other = source.Cases(cases.cases, cases.nodes, cases.relations, cases.hyperedges.where("id = 'e1'").withColumn("participants", F.map_filter("participants", lambda k, v: k == "project")))
+    assert cases.union(other).hyperedges.where("id = 'e1'").count() == 2
+
+
+def test_every_outcome_occurs(spark):
+    """Each outcome of each rule is in the rows that are compared with SQL, but for one: whole
+    texts hardly lack the short words that make a case one of compliance."""
+    got = {(r.rule_id, r.reason) for r in caserules.h0_h15_rules(spark, "/root/testdata/sf0.01").select("rule_id", "reason").distinct().collect()}
+    assert got == set(messages.TEXTS) - {("H11", "no_signal")}
+
+
+def test_case_without_compliance(cases, spark):
+    quiet = cases.nodes.where("case_id = 'C1'").limit(1).withColumn("name", F.lit("lamp")).withColumn("description", F.lit("night lamp"))
+    quiet = quiet.select(*(F.col(c) if c in ("case_id", "pos", "id", "node_type", "name", "description") else F.lit(None).cast(quiet.schema[c].dataType).alias(c) for c in quiet.columns))
+    none = lambda df: df.where("false")
+    one = cases.cases.where("case_id = 'C1'").withColumn("title", F.lit(None).cast("string")).withColumn("description", F.lit(None).cast("string"))
+    f = rules.features(one, quiet, none(cases.relations), none(cases.hyperedges), none(cases.participants))
+    assert [r.reason for r in rules.evaluate(f).where("rule_id = 'H11'").collect()] == ["no_signal"]
