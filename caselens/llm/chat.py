@@ -9,10 +9,12 @@ Escaping is reversible: a backslash is doubled, and a backslash goes after the
 first character of every control string, so none is left inside a text; reading
 back drops the backslash before any character.
 
-An example names its prompt exactly, by the first ``context_chars`` characters of
-its conversation's stream: all turns before, and the head of its own. Written out
-in every example the prompts would take the square of a conversation's length;
-``prompts`` writes out those of the examples that it is given.
+An example is written with its whole context: all turns before, and the head of its
+own. A context is cut into pieces in order, of less than three times PIECE characters,
+and is one row where it is shorter, so that no row grows with a conversation. The
+contexts of a conversation together take the square of its length; where that is not
+wanted, ``write_chats(..., contexts=False)`` names each by its length in the stream,
+and ``prompts`` writes out those of the examples that it is given.
 Offsets are sums over blocks of turns, then inside a block, so a conversation of
 any number of turns is never collected.
 
@@ -34,6 +36,8 @@ OPEN, MIDDLE, CLOSE = "<|turn|>", "<|>\n", "<|end|>\n"
 CONTROL = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 #: Turns whose offsets are summed together.
 BLOCK = 64
+#: Characters of a stream in which the segments of a piece begin, and examples of a conversation that meet a copy of it.
+PIECE, READERS = 1 << 15, 256
 
 
 def escaped(text: Column) -> Column:
@@ -94,12 +98,50 @@ def prompts(chosen: DataFrame, stream: DataFrame) -> DataFrame:
     return whole.withColumn("prompt", F.substring(text, F.lit(1), F.col("context_chars").cast("int"))).drop("pieces")
 
 
-def write_chats(conversations: DataFrame, path: str | None = None) -> str:
-    """Write ``stream`` and ``examples`` under one folder; return its path."""
+def pieces(stream: DataFrame) -> DataFrame:
+    """conv_id, piece, begin, body: the stream in runs of whole segments, a long segment in parts of its own.
+
+    The last part of a segment has at least PIECE characters, so it holds the whole closing string.
+    """
+    parts = F.greatest(F.floor(F.length("segment") / PIECE), F.lit(1))
+    cut = stream.select("conv_id", "at", "segment", parts.alias("parts"), F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"))
+    size = F.when(F.col("part") == F.col("parts") - 1, F.length("segment")).otherwise(PIECE).cast("int")
+    cut = cut.select("conv_id", (F.col("at") + F.col("part") * PIECE).alias("at"), F.col("segment").substr(F.col("part") * PIECE + 1, size).alias("segment"))
+    whole = cut.groupBy("conv_id", F.floor(F.col("at") / PIECE).alias("piece")).agg(F.min("at").alias("begin"), F.array_sort(F.collect_list(F.struct("at", "segment"))).alias("held"))
+    return whole.select("conv_id", "piece", "begin", F.array_join(F.transform("held", lambda x: x["segment"]), "").alias("body"))
+
+
+def written(stream: DataFrame) -> DataFrame:
+    """conv_id, ordinal, piece, context, completion: the rows of an example in order of ``piece``
+    have its context; the last has the completion (escaped), the others null.
+
+    A piece is copied once for each READERS turns behind it, so that a join key has at
+    most READERS examples, however long the conversation.
+    """
+    last = F.floor(F.col("at") / PIECE)
+    made = stream.where("role = 'assistant'").select(
+        F.col("conv_id").alias("__conv"), "ordinal", (F.col("at") + head_chars()).alias("context_chars"), F.col("text").alias("completion"), last.alias("last"),
+        F.floor(F.col("ordinal") / READERS).alias("__readers"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("__piece"),
+    )
+    turns = stream.groupBy(F.col("conv_id").alias("__of")).agg(F.floor(F.max("ordinal") / READERS).alias("groups"))
+    single = pieces(stream).join(turns, F.col("conv_id").eqNullSafe(F.col("__of")))
+    copied = single.select("conv_id", "piece", "begin", "body", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups"))).alias("readers"))
+    same = F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("piece") == F.col("__piece")) & (F.col("readers") == F.col("__readers"))
+    ends = F.col("piece") == F.col("last")
+    context = F.when(ends, F.col("body").substr(F.lit(1), (F.col("context_chars") - F.col("begin")).cast("int"))).otherwise(F.col("body"))
+    return made.join(copied, same).select("conv_id", "ordinal", "piece", context.alias("context"), F.when(ends, F.col("completion")).alias("completion"))
+
+
+def write_chats(conversations: DataFrame, path: str | None = None, contexts: bool = True) -> str:
+    """Write ``stream`` and ``examples`` under one folder; return its path.
+
+    The examples come from the written stream, with their contexts written out or named by their lengths.
+    """
     spark = conversations.sparkSession
     path = path or scratch_path(spark, "chats")
     segments(conversations).select("conv_id", "ordinal", "segment", "at").write.parquet(f"{path}/stream")
-    examples(parse(spark.read.parquet(f"{path}/stream"))).write.parquet(f"{path}/examples")
+    stream = parse(spark.read.parquet(f"{path}/stream"))
+    (written(stream) if contexts else examples(stream)).write.parquet(f"{path}/examples")
     return path
 
 
@@ -115,8 +157,8 @@ def read_chats(spark: SparkSession, path: str) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, and, summed
     over its examples, context_turns and context_chars; all read from the files.
 
-    An example's context ends where its prompt's length says: the turns before are those
-    of the stream before the segment whose head ends there.
+    Contexts are counted as they are written: their characters, and the closed turns in them.
+    A context that is named by its length has the turns of the stream before the segment whose head ends there.
     A digest needs its conversation's whole text as one value: turns are joined in
     blocks of BLOCK first, so that a long conversation brings few rows together.
     """
@@ -132,10 +174,15 @@ def read_chats(spark: SparkSession, path: str) -> DataFrame:
 
     turns = joined(stream.withColumn("chars", F.length("segment").cast("long")), shown)
     made = spark.read.parquet(f"{path}/examples")
-    loss = joined(made, unescaped(F.col("completion")))
+    full = "context" in made.columns
+    loss = joined(made.where("completion IS NOT NULL"), unescaped(F.col("completion")))
     loss = loss.select(F.col("conv_id").alias("__conv"), F.col("whole").alias("loss"))
-    ends = stream.select(F.col("conv_id").alias("__conv"), F.col("ordinal").alias("turns_before"), (F.col("at") + head_chars()).alias("__end"))
-    read = made.join(ends, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("context_chars") == F.col("__end")))
+    if full:
+        closed = F.regexp_count("context", F.lit(_quoted(CLOSE))).cast("long")
+        read = made.select(F.col("conv_id").alias("__conv"), closed.alias("turns_before"), F.length("context").cast("long").alias("context_chars"))
+    else:
+        ends = stream.select(F.col("conv_id").alias("__conv"), F.col("ordinal").alias("turns_before"), (F.col("at") + head_chars()).alias("__end"))
+        read = made.join(ends, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("context_chars") == F.col("__end")))
     contexts = read.groupBy(F.col("__conv").alias("__of")).agg(F.sum("turns_before").alias("context_turns"), F.sum("context_chars").alias("context_chars"))
     rows = turns.join(loss, F.col("conv_id").eqNullSafe(F.col("__conv")), "left").withColumn("loss", F.coalesce("loss", F.lit("")))
     rows = rows.join(contexts, F.col("conv_id").eqNullSafe(F.col("__of")), "left")

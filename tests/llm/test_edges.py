@@ -132,24 +132,40 @@ def test_lines_random(spark, seed):
         assert {k for k in removed if text.split("\n")[k].split()} == {k for k in want[i] if text.split("\n")[k].split()}, i
 
 
-def test_chat(spark, tmp_path):
+@pytest.mark.parametrize(("piece", "readers", "contexts"), [(1 << 15, 256, True), (64, 4, True), (1 << 15, 256, False)])
+def test_chat(spark, tmp_path, monkeypatch, piece, readers, contexts):
+    """Contexts written whole, in small pieces and named by length are all the turns before."""
+    monkeypatch.setattr(chat, "PIECE", piece)
+    monkeypatch.setattr(chat, "READERS", readers)
     odd = r"\ <|end|> <\|turn|> <|>" + "\n[INST]</s><<SYS>> <| \\\\| [/INST] <s>"
     given = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 2, "user", None), (1, 3, "assistant", "second"), (2, 0, None, "x"), (2, 0, "a\n<|>b", "y"), (None, None, "assistant", "z"), (3, 5, "assistant", ""), (4, 0, "system", "only")]
     given += [(5, k, "assistant" if k % 2 else "user", f"turn {k} " + "x" * 50) for k in range(300)]
-    rows = spark.createDataFrame(given, "conv_id bigint, turn bigint, role string, text string").withColumn("block", F.lit("clash"))
-    path = chat.write_chats(rows, f"file://{tmp_path}/c")
+    given += [(6, 0, "user", "long " * 90), (6, 1, "assistant", odd * 20), (6, 2, "user", "\\" * 128), (6, 3, "assistant", "𝄞" * 200), (6, 4, "assistant", "after")]
+    rows = spark.createDataFrame(given, "conv_id bigint, turn bigint, role string, text string")
+    rows = rows.select("*", *(F.lit("clash").alias(c) for c in ("block", "piece", "at", "segment", "ordinal", "context", "completion", "last", "__conv", "held")))
+    path = chat.write_chats(rows, f"file://{tmp_path}/c", contexts=contexts)
     read = chat.read_chats(spark, path).collect()
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in read} == brute.conversation_rows(given)
     made = spark.read.parquet(f"{path}/examples")
     stream = chat.parse(spark.read.parquet(f"{path}/stream"))
-    full = {(r.conv_id, r.ordinal): r.prompt for r in chat.prompts(made, stream).collect()}
+    named = chat.examples(stream)
+    full = {(r.conv_id, r.ordinal): r.prompt for r in chat.prompts(named, stream).collect()}
+    if contexts:
+        found = {}
+        for r in made.orderBy("piece").collect():
+            found.setdefault((r.conv_id, r.ordinal), []).append(r)
+        assert {k: "".join(r.context for r in v) for k, v in found.items()} == full
+        assert all([r.completion is None for r in v] == [True] * (len(v) - 1) + [False] for v in found.values())
+        assert {k: v[-1].completion for k, v in found.items()} == {(r.conv_id, r.ordinal): r.completion for r in named.collect()}
+        assert max(len(r.context) for r in made.collect()) < 3 * piece
+        assert max(map(len, found.values())) > 100 or piece > 64
     segs = {c: [r.segment for r in stream.where(F.col("conv_id") == c).orderBy("ordinal").collect()] for c in (1, 5)}
     head = f"{chat.OPEN}assistant{chat.MIDDLE}"
-    assert full[1, 3] == "".join(segs[1][:3]) + head and full[5, 299] == "".join(segs[5][:299]) + head and len(full) == made.count()
+    assert full[1, 3] == "".join(segs[1][:3]) + head and full[5, 299] == "".join(segs[5][:299]) + head and len(full) == named.count()
     for r in read:
         mine = [(k, p) for (c, k), p in full.items() if c == r.conv_id]
         assert (r.context_turns, r.context_chars) == (sum(k for k, _ in mine), sum(len(p) for _, p in mine))
-    assert all(x not in r.completion for r in made.where("conv_id = 1").collect() for x in chat.CONTROL)
+    assert all(x not in r.completion for r in named.where("conv_id = 1").collect() for x in chat.CONTROL)
     empty = chat.write_chats(rows.where("false"), f"file://{tmp_path}/e")
     assert chat.read_chats(spark, empty).count() == 0
 
