@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caselens.functions.text import quoted
+from caselens.functions.text import norm, quoted
 from caselens.operators.rules import checkpointed
 
 #: Similarities are decimals, so that sums agree whatever the order of addition.
@@ -228,3 +228,42 @@ def connectivity(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     per = ends.groupBy("node_id").agg(F.count("*").alias("n"), F.count_if(F.col("type") == kind).alias("k"))
     joined = nodes.select("node_id").distinct().join(per, "node_id", "left")
     return joined.agg(F.count("*").alias("total"), F.count_if(F.col("n").isNull()).alias("isolated"), F.count_if(F.coalesce("k", F.lit(0)) == 0).alias("without"))
+
+
+# Words of each topic; words that tell what an edge is about, with the topics that it should and should not have.
+EDGE_TOPICS = {
+    "financing": ["融资", "投资", "估值", "股权", "财务", "现金流", "funding", "investment", "valuation", "equity", "finance", "investor"],
+    "hardware": ["硬件", "硬件调试", "电路", "传感器", "焊接", "固件", "pcb", "firmware", "debug"],
+    "marketing": ["营销", "渠道", "获客", "转化", "广告", "media", "marketing", "acquisition", "channel"],
+    "product": ["产品", "需求", "用户", "痛点", "价值主张", "pmf", "product", "user", "persona", "value proposition"],
+}
+EDGE_INTENTS = {
+    "financing_edge": (["融资", "funding", "investment", "equity", "估值"], ["financing"], ["hardware"]),
+    "hardware_edge": (["硬件", "调试", "firmware", "pcb"], ["hardware"], ["financing"]),
+}
+
+
+def semantic_check(
+    edges: DataFrame, members: DataFrame, nodes: DataFrame,
+    topics: dict[str, list[str]] = EDGE_TOPICS, intents: dict[str, tuple[list[str], list[str], list[str]]] = EDGE_INTENTS,
+) -> DataFrame:
+    """G23. edge_id, intent, coverage, missing, forbidden: a row for each intent that the text of an
+    edge (edge_id, text) tells, against the topics of its members (edge_id, node_id).
+
+    Topics of a node (node_id, text) are found once, whatever the number of its edges, and the
+    members' flags are combined before anything else; texts are not joined, so a phrase never spans
+    two members. An edge without members has no topic; without required topics coverage is 1.
+    """
+    flags = nodes.select("node_id", *(norm(F.col("text")).rlike(quoted(w)).alias(f"t_{t}") for t, w in topics.items()))
+    held = members.select("edge_id", "node_id").distinct().join(flags, "node_id").groupBy("edge_id").agg(*(F.bool_or(f"t_{t}").alias(f"t_{t}") for t in topics))
+    told = lambda name, need, bad: F.struct(F.lit(name).alias("intent"), F.array(*map(F.lit, need)).cast("array<string>").alias("need"), F.array(*map(F.lit, bad)).cast("array<string>").alias("bad"))
+    text = norm(F.col("text"))
+    asked = edges.select("edge_id", F.inline(F.array_compact(F.array(*(F.when(text.rlike(quoted(w)), told(name, need, bad)) for name, (w, need, bad) in intents.items())))))
+    found = F.array_compact(F.array(*(F.when(F.col(f"t_{t}"), F.lit(t)) for t in topics)))
+    rows = asked.join(held, "edge_id", "left").withColumn("found", found)
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    share = F.size(F.array_intersect("need", "found")) / F.size("need")
+    return rows.select(
+        "edge_id", "intent", F.when(F.size("need") == 0, 1.0).otherwise(share).alias("coverage"),
+        joined(F.array_except("need", "found")).alias("missing"), joined(F.array_intersect("found", "bad")).alias("forbidden"),
+    )

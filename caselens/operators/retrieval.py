@@ -148,17 +148,55 @@ def supervise(role: Column, text: Column, hint: Column, allowed: dict[str, list[
     return F.when(guardrail(text) != "", "Error").when(F.coalesce(hint, F.lit("")) != "", F.when(may, hint).otherwise("Error")).otherwise(route(role, text))
 
 
-def quotes(messages: DataFrame, sources: DataFrame) -> DataFrame:
-    """R14. owner, place, quote: user messages (owner, turn, role, text), then the
-    sentences of the project text (owner, text), the first of equals."""
-    said = messages.where(F.lower("role") == "user").select("owner", F.lit(0).alias("kind"), F.col("turn").cast("long").alias("pos"), F.trim("text").alias("quote"))
+def quotes(messages: DataFrame, sources: DataFrame, given: DataFrame | None = None, logs: DataFrame | None = None) -> DataFrame:
+    """R14. owner, place, quote: user messages (owner, turn, role, text), then quotes
+    that are given (owner, pos, text), then prompts of logs (owner, pos, user_prompt,
+    else raw_message), then the sentences of the project text (owner, text); the first
+    of equals stays."""
+    part = lambda kind, pos, quote: ("owner", F.lit(kind).alias("kind"), pos.cast("long").alias("pos"), quote.alias("quote"))
+    every = messages.where(F.lower("role") == "user").select(*part(0, F.col("turn"), F.trim("text")))
+    if given is not None:
+        every = every.union(given.select(*part(1, F.col("pos"), F.trim("text"))))
+    if logs is not None:
+        every = every.union(logs.select(*part(2, F.col("pos"), F.trim(F.coalesce(F.nullif("user_prompt", F.lit("")), "raw_message")))))
     kept = F.filter(X.sentences_kept(F.col("text")), lambda s: F.length(s) > 10)
     rows = sources.select("owner", kept.alias("s"), F.trim("text").alias("text"))
-    found = rows.select("owner", F.posexplode(F.slice("s", 1, 10)).alias("pos", "quote")).select("owner", F.lit(1).alias("kind"), F.col("pos").cast("long").alias("pos"), "quote")
-    head = rows.where(F.size("s") > 10).select("owner", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("pos"), F.substring("text", 1, 200).alias("quote"))
-    every = said.union(found).union(head).where("quote <> ''")
-    first = every.withColumn("n", F.row_number().over(Window.partitionBy("owner", "quote").orderBy("kind", "pos"))).where("n = 1")
-    return first.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("kind", "pos"))).select("owner", "place", "quote")
+    found = rows.select("owner", F.posexplode(F.slice("s", 1, 10)).alias("at", "quote")).select(*part(3, F.col("at"), F.col("quote")))
+    head = rows.where(F.size("s") > 10).select(*part(4, F.lit(0), F.substring("text", 1, 200)))
+    every = every.union(found).union(head).where("quote <> ''")
+    # the first of equals is an aggregate, so a quote that an owner repeats is combined before it moves
+    first = every.groupBy("owner", "quote").agg(F.min(F.struct("kind", "pos")).alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("at", "quote"))).select("owner", "place", "quote")
+
+
+def best_evidence(entries: DataFrame, asked: DataFrame, texts: DataFrame | None = None, most: int = 20, width: int = 220) -> DataFrame:
+    """R10. owner, path, excerpt, score: of an owner's evidence (owner, pos, path, excerpt) the first
+    entry in which its keywords (owner, keyword: the question and its words) occur most often.
+
+    A keyword counts once for the path and once for the excerpt, an excerpt that is not blank
+    counts two. An owner without entries has the best of the first ``most`` sentences of its text
+    (owner, text), where such are given, with the path ProjectExcerpt.
+
+    The keywords of an owner are one array, a question's few; entries are scored in their rows and
+    only the best is kept before rows meet.
+    """
+    k = asked.select("owner", X.search_norm(F.col("keyword")).alias("k")).where("k <> ''").groupBy("owner").agg(F.collect_set("k").alias("keywords"))
+    none = F.array().cast("array<string>")
+    within = lambda text: F.size(F.filter(F.coalesce("keywords", none), lambda w: F.contains(text, w)))
+    blank = F.trim(F.coalesce("excerpt", F.lit(""))) == ""
+    rows = entries.join(k, "owner", "left").withColumn("score", within(X.search_norm(F.col("path"))) + within(X.search_norm(F.col("excerpt"))) + F.when(blank, 0).otherwise(2))
+    best = rows.groupBy("owner").agg(F.min_by(F.struct("path", "excerpt", "score"), F.struct(-F.col("score"), "pos", "path", "excerpt")).alias("x"))
+    out = best.select("owner", "x.path", F.trim(F.coalesce("x.excerpt", F.lit(""))).alias("excerpt"), "x.score")
+    if texts is None:
+        return out
+    bare = texts.join(entries.select("owner").distinct(), "owner", "left_anti").join(k, "owner", "left")
+    whole = F.trim(X.lit_empty(F.col("text")))
+    split = X.sentences_kept(F.col("text"))
+    split = F.slice(F.when(F.size(split) > 0, split).otherwise(F.array(F.trim(F.substring(whole, 1, width)))), 1, most)
+    # greatest score, then the least place
+    scored = F.transform(split, lambda s, i: F.struct(within(X.search_norm(s)).alias("score"), (-i).alias("at"), F.trim(F.substring(s, 1, width)).alias("excerpt")))
+    seeded = bare.where(whole != "").select("owner", F.array_max(scored).alias("x"))
+    return out.union(seeded.select("owner", F.lit("ProjectExcerpt"), "x.excerpt", "x.score"))
 
 
 def resolve_student(prompt: str, profiles: DataFrame, selected: str | None = None) -> DataFrame:
