@@ -222,6 +222,33 @@ def matrix(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type", "src_label", "dst_label").agg(F.count("*").alias("n"))
 
 
+def label_counts(nodes: DataFrame) -> DataFrame:
+    """A4. label, n: how many nodes (labels, an array) have each label."""
+    return nodes.select(F.explode(F.array_distinct("labels")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A4. nodes, relations: one row of the two counts."""
+    both = nodes.select(F.lit(1).alias("node"), F.lit(0).alias("edge")).union(edges.select(F.lit(0), F.lit(1)))
+    return both.agg(F.count_if(F.col("node") == 1).alias("nodes"), F.count_if(F.col("edge") == 1).alias("relations"))
+
+
+def distinct_ends(edges: DataFrame) -> DataFrame:
+    """A7. n, m, n_or_m: distinct nodes at the first, the second and either end of ``edges`` (a, b).
+
+    The ends become distinct (node, side) flags first, so one shuffle of distinct nodes serves all three.
+    """
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("side")).union(edges.select("b", F.lit(2))).where("node IS NOT NULL")
+    sides = ends.groupBy("node").agg(F.bit_or("side").alias("sides"))
+    return sides.agg(F.count_if(F.col("sides").bitwiseAND(1) > 0).alias("n"), F.count_if(F.col("sides").bitwiseAND(2) > 0).alias("m"), F.count("*").alias("n_or_m"))
+
+
+def entity_names(*tables: DataFrame) -> DataFrame:
+    """U4. name: the distinct names of all ``tables`` (name), without blank ones."""
+    every = reduce(DataFrame.union, (t.select(F.trim("name").alias("name")) for t in tables))
+    return every.where("name <> ''").distinct()
+
+
 def connectivity(nodes: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     """A6. total nodes, isolated ones and those without an edge of type ``kind``."""
     ends = edges.select("src", "type").union(edges.select("dst", "type")).toDF("node_id", "type")

@@ -139,13 +139,16 @@ def route(role: Column, text: Column, routes: dict[str, list[tuple[str, list[str
 ALLOWED_ROUTES = {"student": ["Student Learning Tutor", "Project Coach", "Competition Advisor", "Project Reviewer"], "teacher": ["Instructor Assistant", "Assessment Assistant"], "admin": ["Assessment Assistant"]}
 
 
-def supervise(role: Column, text: Column, hint: Column, allowed: dict[str, list[str]] = ALLOWED_ROUTES) -> Column:
+def supervise(
+    role: Column, text: Column, hint: Column, allowed: dict[str, list[str]] = ALLOWED_ROUTES,
+    routes: dict[str, list[tuple[str, list[str]]]] = ROUTES, defaults: dict[str, str] = DEFAULT_ROUTE,
+) -> Column:
     """R13, P11. Error where the guardrail blocks; then the hint, or Error where the
     role may not go there; without a hint R12."""
     may = F.lit(False)
     for r, names in allowed.items():
         may = may | ((role == r) & hint.isin(names))
-    return F.when(guardrail(text) != "", "Error").when(F.coalesce(hint, F.lit("")) != "", F.when(may, hint).otherwise("Error")).otherwise(route(role, text))
+    return F.when(guardrail(text) != "", "Error").when(F.coalesce(hint, F.lit("")) != "", F.when(may, hint).otherwise("Error")).otherwise(route(role, text, routes, defaults))
 
 
 def quotes(messages: DataFrame, sources: DataFrame, given: DataFrame | None = None, logs: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +44,14 @@ def a2_degrees(spark, sf_dir):
 
 def a4_label_counts(spark, sf_dir):
     labels = F.array(F.lit("Node"), X.label(F.col("p_type")), X.label(F.col("p_brand")))
-    return _parts(spark, sf_dir).select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return hypergraph.label_counts(_parts(spark, sf_dir).select(labels.alias("labels")))
+
+
+def a4_totals(spark, sf_dir):
+    """A4: nodes of parts, suppliers and orders, and the lines between them."""
+    named = (("part", "p_partkey"), ("supplier", "s_suppkey"), ("orders", "o_orderkey"))
+    nodes = reduce(DataFrame.union, (bindings.read(spark, sf_dir, t).select(F.col(c).alias("id")) for t, c in named))
+    return hypergraph.totals(nodes, bindings.read(spark, sf_dir, "lineitem"))
 
 
 def a5_edge_matrix(spark, sf_dir):
@@ -56,9 +65,7 @@ def a6_connectivity(spark, sf_dir):
 
 
 def a7_distinct_nodes(spark, sf_dir):
-    li = bindings.read(spark, sf_dir, "lineitem")
-    both = li.select(F.col("l_partkey").alias("n"), F.lit("n").alias("side")).union(li.select(F.col("l_suppkey"), F.lit("m")))
-    return both.agg(F.count_distinct(F.when(F.col("side") == "n", F.col("n"))).alias("n"), F.count_distinct(F.when(F.col("side") == "m", F.col("n"))).alias("m"), F.count_distinct("n").alias("n_or_m"))
+    return hypergraph.distinct_ends(bindings.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")))
 
 
 def a14_overall(spark, sf_dir):
@@ -187,7 +194,7 @@ def s17_graph_merge(spark, sf_dir):
 
 
 def u4_entity_names(spark, sf_dir):
-    return bindings.read(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).union(bindings.read(spark, sf_dir, "nation").select("n_name")).distinct()
+    return hypergraph.entity_names(bindings.read(spark, sf_dir, "part").select(F.col("p_brand").alias("name")), bindings.read(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
 
 
 def u5_replace_edges(spark, sf_dir):
@@ -233,7 +240,7 @@ def v1_v15_checks(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    a1_edge_ranks, a2_degrees, a4_label_counts, a5_edge_matrix, a6_connectivity, a7_distinct_nodes, a14_overall, a18_rank_histogram, h4_h8_metric_rules, k1_top_neighbours, g14_khop, g15_neighbour_counts, g18_paths, g18_search, g19_subgraph,
+    a1_edge_ranks, a2_degrees, a4_label_counts, a4_totals, a5_edge_matrix, a6_connectivity, a7_distinct_nodes, a14_overall, a18_rank_histogram, h4_h8_metric_rules, k1_top_neighbours, g14_khop, g15_neighbour_counts, g18_paths, g18_search, g19_subgraph,
     g21_incidence_faults, g21_matrix, g22_skeleton, g23_role_check, j10_isolated, u2_first_wins, u3_upsert, s17_graph_merge, u4_entity_names, u5_replace_edges, r7_align, r7_contained, j16_linked_titles, v1_v15_checks,
 )}
 
@@ -277,6 +284,7 @@ ORACLE_SQL = {
     "a1_edge_ranks": "WITH r AS (SELECT o_orderkey AS edge_id, count(DISTINCT l_partkey) AS rank FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT edge_id, rank, CAST(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0 END AS DECIMAL(18,6)) AS inv_rank FROM r",
     "a2_degrees": "SELECT l_partkey AS node_id, count(DISTINCT l_orderkey) AS degree FROM lineitem GROUP BY 1",
     "a4_label_counts": f"SELECT label, count(*) AS n FROM (SELECT unnest(['Node', {_LABEL('p_type')}, {_LABEL('p_brand')}]) AS label FROM part) GROUP BY label",
+    "a4_totals": "SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) AS nodes, (SELECT count(*) FROM lineitem) AS relations",
     "a5_edge_matrix": "SELECT l_returnflag AS type, o_orderstatus AS src_label, p_brand AS dst_label, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL",
     "a6_connectivity": "WITH k AS (SELECT l_partkey AS n, count(*) AS c, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem SEMI JOIN orders ON o_orderkey = l_orderkey GROUP BY 1) SELECT count(*) AS total, count(*) FILTER (c IS NULL) AS isolated, count(*) FILTER (coalesce(r, 0) = 0) AS without FROM part LEFT JOIN k ON n = p_partkey",
     "a7_distinct_nodes": "SELECT count(DISTINCT l_partkey) AS n, count(DISTINCT l_suppkey) AS m, (SELECT count(*) FROM (SELECT l_partkey FROM lineitem UNION SELECT l_suppkey FROM lineitem)) AS n_or_m FROM lineitem",

@@ -64,7 +64,7 @@ def f33_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's parts in line order as a path."""
     li = bindings.read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("p"))
     part = lambda c: F.transform("p", lambda x: x[c].cast("string"))
-    return li.select("l_orderkey", X.path_text(part("l_suppkey"), part("l_partkey"), F.slice(part("l_returnflag"), 2, 1000)).alias("path"))
+    return li.select("l_orderkey", X.path_text(part("l_suppkey"), part("l_partkey"), F.slice(part("l_returnflag"), 2, F.size("p"))).alias("path"))
 
 
 def f34_display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +76,10 @@ def f34_display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r13_supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes of hinted messages."""
+    """Routes of messages, two in three with a hint; the others go by their words or to their role's default."""
     hint = F.element_at(F.array(*map(F.lit, ("", "alpha", "gamma"))), (F.col("conv_id") % 3 + 1).cast("int"))
-    m = bindings.read(spark, sf_dir, "conversations").where("conv_id % 3 > 0")
-    return m.select("conv_id", "turn", retrieval.supervise(F.col("role"), F.col("text"), hint, ALLOWED).alias("route"))
+    routed = retrieval.supervise(F.col("role"), F.col("text"), hint, ALLOWED, documents.ROUTES, {"user": "other", "assistant": "other"})
+    return bindings.read(spark, sf_dir, "conversations").select("conv_id", "turn", routed.alias("route"))
 
 
 def c2_rubric_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +106,7 @@ QUERIES = {f.__name__: f for f in (
 
 _WORDS = "d AS (SELECT doc_id, source, lang, n_chars, coalesce(regexp_extract_all(text, '[a-z]{4,}'), []) AS w FROM documents)"
 _GARBLED = documents.ORACLE_SQL["r11_guardrails"].split("SELECT conv_id, turn, ")[1].split(" AS reason")[0]
+_ROUTED = documents.ORACLE_SQL["r12_routes"].split("SELECT conv_id, turn, ", 1)[1].split(" AS route FROM")[0]
 _SCORE = "(CASE n_chars % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 5.0 WHEN 2 THEN 9.0 ELSE 6.0 END) / 2"
 ORACLE_SQL = {
     "f13_rubric_rows": f"""WITH {_WORDS}, r AS (SELECT doc_id, unnest(list_distinct(w)) AS x FROM d)
@@ -120,8 +121,8 @@ SELECT doc_id, CAST(len(a) AS INT) AS n, md5(array_to_string(a, ',')) AS ids_md5
     "f33_paths": """WITH p AS (SELECT *, lead(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS t FROM lineitem)
 SELECT l_orderkey, string_agg(l_suppkey || ':' || l_partkey || coalesce(' -[' || t || ']-> ', ''), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS path FROM p GROUP BY l_orderkey""",
     "f34_display_text": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '未跟进' WHEN 1 THEN 'none' ELSE event_type END AS shown, event_type AS kind, CAST(user_id AS VARCHAR) AS user FROM events",
-    "r13_supervised": f"""SELECT conv_id, turn, CASE WHEN ({_GARBLED}) <> '' THEN 'Error' WHEN conv_id % 3 = 1 AND role = 'user' OR conv_id % 3 = 2 AND role = 'assistant' THEN ['alpha', 'gamma'][conv_id % 3] ELSE 'Error' END AS route
-FROM conversations WHERE conv_id % 3 > 0""",
+    "r13_supervised": f"""SELECT conv_id, turn, CASE WHEN ({_GARBLED}) <> '' THEN 'Error' WHEN conv_id % 3 = 0 THEN {_ROUTED} WHEN conv_id % 3 = 1 AND role = 'user' OR conv_id % 3 = 2 AND role = 'assistant' THEN ['alpha', 'gamma'][conv_id % 3] ELSE 'Error' END AS route
+FROM (SELECT *, lower(text) AS l FROM conversations)""",
     "c2_rubric_table": f"""SELECT doc_id AS owner, rule_id AS item, score FROM ({documents.ORACLE_SQL['c1_rubric_items']}) WHERE doc_id % 2 = 0
 UNION ALL SELECT doc_id, 'H' || (n_chars % 15 + 1), CAST({_SCORE} AS DOUBLE) FROM documents WHERE doc_id % 2 = 1""",
     "c5_coerced": """WITH m AS (SELECT *, greatest(CASE WHEN l_linenumber % 3 = 0 THEN 10 ELSE l_linenumber * 8.0 - 10 END, 0.1) AS most FROM lineitem)
