@@ -109,25 +109,66 @@ def khop_neighbours(
     rank, truncates and decays. A pair that meets in several roles of an edge counts
     as often, visited nodes may return and the seed itself may not. Hops are
     written to shared storage, so the plan does not grow with them.
+
+    The rows of an edge of up to ``BLOCK`` of them go as one list to the seed. In a larger
+    edge, a hub, the frontier of a seed is added up before its members are joined, and each
+    member of the frontier gets its own part taken off again. Nodes of one membership
+    in all are alike in their hub, so beyond the first ``hop_top_n`` + ``frontier_width`` by id
+    none can be kept (``_far``), and seeds among those have the same neighbours: one stands for all.
     """
     inc = weighted_incidence(participants, beta, max_edge_rank)
-    roles = participants.select("edge_id", "node_id").join(inc.select("edge_id", "weight").distinct(), "edge_id")
-    source = roles.select("edge_id", F.col("node_id").alias("at"), "weight")
-    target = roles.select("edge_id", F.col("node_id").alias("next"))
-    frontier = seeds.select("node_id").distinct().select("node_id", F.col("node_id").alias("at"), F.lit(1).cast("double").alias("score"))
+    roles = participants.select("edge_id", "node_id").join(inc.select("edge_id", "weight").distinct(), "edge_id").where("node_id IS NOT NULL")
+    roles = roles.select("edge_id", "node_id", F.col("weight").cast("double").alias("weight"), F.count("*").over(Window.partitionBy("edge_id")).alias("size"))
+    lists = checkpointed(roles.where(F.col("size") <= BLOCK).groupBy("edge_id").agg(F.first("weight").alias("weight"), F.collect_list("node_id").alias("members")))
+    around = lists.select(F.explode("members").alias("at"), "weight", "members")
+    hubs = checkpointed(roles.where(F.col("size") > BLOCK).groupBy("edge_id", "node_id").agg(F.first("weight").alias("weight"), F.count("*").alias("times")))
+    asked = seeds.select("node_id").distinct().withColumn("stand", F.col("node_id"))
+    near = None if hubs.isEmpty() else hubs
+    if near is not None:
+        far = checkpointed(_far(hubs, lists, hop_top_n + max(frontier_width, 1)))
+        near = checkpointed(hubs.join(far.select("node_id"), "node_id", "left_anti"))
+        placed = asked.select("node_id").join(far, "node_id", "left")
+        least = placed.where("edge_id IS NOT NULL").groupBy("edge_id").agg(F.min("node_id").alias("least"))
+        asked = checkpointed(placed.join(least, "edge_id", "left").select("node_id", F.coalesce("least", "node_id").alias("stand")))
+    frontier = asked.select(F.col("stand").alias("node_id")).distinct().select("node_id", F.col("node_id").alias("at"), F.lit(1).cast("double").alias("score"))
     found = None
     by = Window.partitionBy("node_id").orderBy(F.desc("hop_score"), "next")
     for hop in range(1, k_hop + 1):
-        step = frontier.join(source, "at").join(target, "edge_id").where("at <> next")
-        scored = step.groupBy("node_id", "next").agg(F.round(F.sum(F.col("score") * F.col("weight").cast("double")), 9).alias("hop_score"))
+        # one shuffle by seed for sums and places
+        listed = frontier.join(around, "at").select("node_id", "at", (F.col("score") * F.col("weight")).alias("part"), "members").repartition("node_id")
+        step = listed.select("node_id", "at", "part", F.explode("members").alias("next")).where("at <> next").select("node_id", "next", "part")
+        if near is not None:
+            met = frontier.join(hubs.select("edge_id", F.col("node_id").alias("at"), "weight", "times"), "at").select("node_id", "at", "edge_id", (F.col("score") * F.col("weight") * F.col("times")).alias("part"))
+            whole = met.groupBy("node_id", "edge_id").agg(F.sum("part").alias("part")).join(near.select("edge_id", F.col("node_id").alias("next"), "times"), "edge_id")
+            own = met.join(near.select("edge_id", F.col("node_id").alias("at"), "times"), ["edge_id", "at"]).select("node_id", F.col("at").alias("next"), (-F.col("part") * F.col("times")).alias("part"))
+            step = step.union(whole.select("node_id", "next", (F.col("part") * F.col("times")).alias("part"))).union(own).repartition("node_id")
+        scored = step.groupBy("node_id", "next").agg(F.round(F.sum("part"), 9).alias("hop_score"))
         scored = scored.withColumn("place", F.row_number().over(by)).where(F.col("place") <= hop_top_n).where("next <> node_id AND hop_score > 0")
-        scored = checkpointed(scored)
+        if hop < k_hop:
+            scored = checkpointed(scored.withColumn("place", F.row_number().over(by)))
+            frontier = scored.where(F.col("place") <= frontier_width).select("node_id", F.col("next").alias("at"), F.col("hop_score").alias("score"))
         part = scored.select("node_id", F.col("next").alias("neighbour_id"), (F.col("hop_score") * decay ** (hop - 1)).alias("score"))
         found = part if found is None else found.union(part)
-        frontier = scored.withColumn("place", F.row_number().over(by)).where(F.col("place") <= frontier_width).select("node_id", F.col("next").alias("at"), F.col("hop_score").alias("score"))
-    total = found.groupBy("node_id", "neighbour_id").agg(F.round(F.sum("score"), 6).alias("similarity"))
+    total = found.repartition("node_id").groupBy("node_id", "neighbour_id").agg(F.round(F.sum("score"), 6).alias("similarity"))
     ranked = Window.partitionBy("node_id").orderBy(F.desc("similarity"), "neighbour_id")
-    return total.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= top_k)
+    best = total.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= top_k)
+    if near is None:
+        return best
+    return asked.join(best.withColumnRenamed("node_id", "stand"), "stand").select("node_id", "neighbour_id", "similarity", "place")
+
+
+def _far(hubs: DataFrame, lists: DataFrame, first: int) -> DataFrame:
+    """node_id, edge_id: the nodes of one membership in all that come after the ``first`` such nodes of their hub.
+
+    The first ones are taken from slices by hash before those of an edge meet.
+    """
+    once = hubs.groupBy("node_id").agg(F.sum("times").alias("n"), F.min("edge_id").alias("edge_id")).where("n = 1")
+    once = checkpointed(once.join(lists.select(F.explode("members").alias("node_id")), "node_id", "left_anti").select("edge_id", "node_id"))
+    slices = once.withColumn("slice", F.pmod(F.xxhash64("node_id"), F.lit(64)))
+    for keys in (["edge_id", "slice"], ["edge_id"]):
+        slices = slices.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("node_id"))).where(F.col("n") <= first)
+    last = slices.where(F.col("n") == first).select("edge_id", F.col("node_id").alias("last"))
+    return once.join(last, "edge_id").where("node_id > last").select("node_id", "edge_id")
 
 
 def risk_patterns(nodes: DataFrame, participants: DataFrame, edges: DataFrame, contains: DataFrame, keywords: list[str], limit: int = 5) -> DataFrame:
