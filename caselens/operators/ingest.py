@@ -42,8 +42,7 @@ COMPARATORS = ">=|<=|>|<|不少于|不低于|低于|高于|至少|至多"
 
 def groups_found(text: Column, groups: dict[str, list[str]]) -> Column:
     """Names of the groups of which a keyword occurs in the normalised text, in order."""
-    normed = X.search_norm(text)
-    return F.array_compact(F.array(*(F.when(normed.rlike(X.quoted(w)), F.lit(n)) for n, w in groups.items())))
+    return X.once(X.search_norm(text), lambda normed: F.array_compact(F.array(*(F.when(X.has_any(normed, w), F.lit(n)) for n, w in groups.items()))))
 
 
 def labels(text: Column, groups: dict[str, list[str]] = LABELS) -> Column:
@@ -60,10 +59,10 @@ def scenarios(text: Column, found: Column, groups: dict[str, list[str]] = SCENAR
 def industry(text: Column, context: Column, groups: dict[str, list[str]] = INDUSTRIES) -> Column:
     """R3. The explicit industry, else that with most keywords in text and context,
     the first among equals; null without any."""
-    normed = X.search_norm(F.concat_ws(" ", text, context))
-    scored = F.array(*(F.struct(X.count_hits(normed, w).alias("hits"), F.lit(-k).alias("k"), F.lit(n).alias("name")) for k, (n, w) in enumerate(groups.items())))
-    best = F.array_max(scored)
-    return F.coalesce(X.explicit_value(text, INDUSTRY_FIELDS), F.when(best["hits"] > 0, best["name"]))
+    scored = lambda normed: F.array(*(F.struct(X.count_hits(normed, w).alias("hits"), F.lit(-k).alias("k"), F.lit(n).alias("name")) for k, (n, w) in enumerate(groups.items())))
+    # one normal form of a text for all its words
+    most = X.once(X.search_norm(F.concat_ws(" ", text, context)), lambda normed: X.once(F.array_max(scored(normed)), lambda best: F.when(best["hits"] > 0, best["name"])))
+    return F.coalesce(X.explicit_value(text, INDUSTRY_FIELDS), most)
 
 
 def benchmarks(docs: DataFrame, metrics: dict[str, list[str]] = METRICS, cues: list[str] = BENCHMARK_CUES) -> DataFrame:
@@ -138,12 +137,14 @@ def channel_fit(docs: DataFrame) -> DataFrame:
 
 def card_type(text: Column, context: Column, has_channels: Column) -> Column:
     """R6. Policy, failure, channel or benchmark card, tried in this order; the words are fixed values."""
-    normed = X.search_norm(F.concat_ws(" ", text, context))
-    has = lambda *w: normed.rlike(X.quoted(w))
-    policy = has("政策", "条例", "办法", "规范", "指南", "国标", "标准")
-    failure = has("失败", "复盘", "教训", "踩坑", "倒闭", "误判", "谬误")
-    channel = has_channels | has("渠道", "获客", "投流", "展会", "直销")
-    return F.when(policy, "政策标准").when(failure, "失败案例").when(channel, "渠道策略").otherwise("行业基准")
+    def kind(normed: Column) -> Column:
+        has = lambda *w: X.has_any(normed, w)
+        policy = has("政策", "条例", "办法", "规范", "指南", "国标", "标准")
+        failure = has("失败", "复盘", "教训", "踩坑", "倒闭", "误判", "谬误")
+        channel = has_channels | has("渠道", "获客", "投流", "展会", "直销")
+        return F.when(policy, "政策标准").when(failure, "失败案例").when(channel, "渠道策略").otherwise("行业基准")
+
+    return X.once(X.search_norm(F.concat_ws(" ", text, context)), kind)
 
 
 def cards(docs: DataFrame, start: int = 0) -> DataFrame:
