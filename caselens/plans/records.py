@@ -18,7 +18,7 @@ ALLOWED = {"user": ["alpha", "beta"], "assistant": ["gamma"]}
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_chars and the first words of the text as ``w``."""
     words = F.regexp_extract_all("text", F.lit("[a-z]{4,}"), 0)
-    return bindings.read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.coalesce(words, F.array().cast("array<string>")).alias("w"))
+    return bindings.spread(bindings.read(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_chars", F.coalesce(words, F.array().cast("array<string>")).alias("w"))
 
 
 def f13_rubric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
