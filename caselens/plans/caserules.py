@@ -48,7 +48,7 @@ def document_cases(spark: SparkSession, sf_dir: str, varied: bool = False) -> Ca
         kind = F.when(number % 3 == 1, _nth(BARE, d + number)).when(number % 3 == 2, _nth(FULL, d + number)).otherwise(kind)
         text, value, network = _worded(text, d), F.when(d % 7 == 0, 0).otherwise(value), _nth(CHANNELS, F.floor(d / 4))
         own, offered = F.when(F.floor(d / 4) % 2 == 0, "booth").otherwise(own), F.when(d % 3 == 0, "booth").otherwise(offered)
-    docs = bindings.read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), "lang", "source", "n_chars", value.alias("amount"), kind.alias("kind"), own.alias("own"), offered.alias("offered"))
+    docs = bindings.spread(bindings.read(spark, sf_dir, "documents")).select("doc_id", text.alias("text"), "lang", "source", "n_chars", value.alias("amount"), kind.alias("kind"), own.alias("own"), offered.alias("offered"))
     when = lambda cond, value: F.when(F.expr(cond), value)
     metadata = F.to_json(F.struct(
         when("doc_id % 2 = 0", F.array(F.when(d % 4 == 0, network).otherwise(F.col("own")))).alias("primary_channels"), when("doc_id % 3 = 0", F.array("lang")).alias("customer_profiles"),
