@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselens.functions import text as X
+from caselens.operators.rules import checkpointed
 
 # Aliases of entities and hints of relations.
 ENTITY_ALIASES = {
@@ -27,18 +28,20 @@ def entity(c: Column) -> Column:
     return X.canonical(c, ENTITY_ALIASES)
 
 
-def _edges(rows: DataFrame, kind: str, dst_label: str, items: str) -> DataFrame:
-    return rows.select(F.lit(kind).alias("type"), F.lit("KnowledgeCard").alias("src_label"), F.col("name").alias("src"), F.lit(dst_label).alias("dst_label"), F.explode(items).alias("dst"))
+def _edges(rows: DataFrame, kind: str, dst_label: str, items: Column) -> DataFrame:
+    """An edge for each item that is not empty; no inner explode computes the items again to filter on their number."""
+    kept = F.explode_outer(F.filter(items, lambda x: x != ""))
+    return rows.select(F.lit(kind).alias("type"), F.lit("KnowledgeCard").alias("src_label"), F.col("name").alias("src"), F.lit(dst_label).alias("dst_label"), kept.alias("dst")).where("dst IS NOT NULL")
 
 
 def attach(cards: DataFrame) -> DataFrame:
     """G7. EVALUATED_BY to rules, ASSOCIATED_WITH to tags and related concepts."""
     empty = F.array().cast("array<string>")
     c = cards.select("name", *(F.coalesce(n, empty).alias(n) for n in ("rule_ids", "tags", "related_concepts")))
-    rules = _edges(c, "EVALUATED_BY", "Rule", "rule_ids").withColumn("dst", F.upper(F.trim("dst"))).where(F.col("dst").rlike(r"^H(1[0-5]|[1-9])$"))
-    tags = _edges(c, "ASSOCIATED_WITH", "Tag", "tags")
-    concepts = _edges(c, "ASSOCIATED_WITH", "Concept", "related_concepts").withColumn("dst", entity(F.col("dst")))
-    return rules.union(tags).union(concepts).where("dst <> ''").distinct()
+    rules = _edges(c, "EVALUATED_BY", "Rule", F.filter(F.transform("rule_ids", lambda x: F.upper(F.trim(x))), lambda x: x.rlike(r"^H(1[0-5]|[1-9])$")))
+    tags = _edges(c, "ASSOCIATED_WITH", "Tag", F.col("tags"))
+    concepts = _edges(c, "ASSOCIATED_WITH", "Concept", F.transform("related_concepts", entity))
+    return rules.union(tags).union(concepts).distinct()
 
 
 def declared(cards: DataFrame) -> DataFrame:
@@ -95,6 +98,7 @@ def backfill(cards: DataFrame, associations: DataFrame) -> dict[str, DataFrame]:
     values: a project for each industry, a risk hyperedge for each card with the card
     and the concepts it is associated with, triggered by the industry's project; one
     value loop of the concepts in none; PREREQ for associations between concepts."""
+    associations = checkpointed(associations)  # read for each table
     industry = F.coalesce(F.nullif(F.trim("industry"), F.lit("")), F.lit("Unknown"))
     project = F.concat(F.lit("全校示例项目-"), industry)
     projects = cards.select(F.concat(F.lit("PRJ_"), F.translate(industry, " /", "__")).alias("id"), project.alias("name")).distinct()

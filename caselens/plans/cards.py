@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caselens import bindings
 from caselens.functions import json as J
 from caselens.functions import text as X
-from caselens.operators import cards, ingest, retrieval
+from caselens.operators import cards, ingest, retrieval, rules
 from caselens.sources import cases
 
 
@@ -52,7 +52,7 @@ def g9_triples(spark, sf_dir):
 
 def g10_triple_edges(spark, sf_dir):
     c = _cards(spark, sf_dir)
-    t = cards.heuristic_triples(c)
+    t = rules.checkpointed(cards.heuristic_triples(c))  # read for the alignment and for the edges
     known = bindings.read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos"))
     return cards.attach_triples(t, c, retrieval.align(t.select(F.col("object").alias("name")), known)).groupBy("type", "src_label").agg(F.count("*").alias("edges"))
 
