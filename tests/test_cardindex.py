@@ -3,6 +3,7 @@
 import random
 
 from caselens.operators import cardindex, retrieval
+from caselens.queries import QUERIES
 
 
 def test_questions_against_retrieve(spark):
@@ -29,3 +30,22 @@ def test_no_cards_and_no_questions(spark):
     asked = spark.createDataFrame([(1, 0, "x")], "question long, place int, keyword string")
     assert cardindex.retrieve_all(cardindex.build(cards.limit(0)), asked).collect() == []
     assert cardindex.retrieve_all(cardindex.build(cards), asked.limit(0)).collect() == []
+
+
+def test_blocks_and_slices_change_nothing(spark, monkeypatch):
+    """Equal scores in many blocks: the best of all blocks go by title and card, whatever the sizes."""
+    cards = spark.createDataFrame([(k, f"t{k % 7}", "common words " + "rare " * (k % 5)) for k in range(300)], "card_id long, title string, text string")
+    asked = spark.createDataFrame([(q, p, w) for q in range(20) for p, w in enumerate(["common", "words", "rare", "t3"][q % 3 :])], "question long, place int, keyword string")
+    index = cardindex.build(cards)
+    rows = lambda: sorted(map(tuple, cardindex.retrieve_all(index, asked, 3).collect()))
+    want = rows()
+    assert len(want) == 60 and {r[2] for r in want if r[0] == 0} == {24, 59, 94}
+    monkeypatch.setattr(cardindex, "CARDS", 16)
+    monkeypatch.setattr(cardindex, "QUESTIONS", 3)
+    assert rows() == want
+
+
+def test_questions_are_each_fiftieth_row(spark, sf_dir):
+    """A search takes as questions every row whose id is divisible by 50, against all rows."""
+    got = QUERIES["r9_questions"](spark, sf_dir).collect()
+    assert got and all(r.question % 50 == 0 for r in got) and any(r.card_id % 50 for r in got)
