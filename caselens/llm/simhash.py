@@ -30,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import packed, staged
@@ -127,25 +127,63 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def with_sketches(df: DataFrame, key: str, views: int, bands: int, rows: int, width: int) -> DataFrame:
     """``key`` (long) and ``marks``: a SimHash of the distinct ``width``-word shingles for
-    each view, then a hash for each band of the five-word shingles; a row for each row.
+    each view, then a hash for each band of the five-word shingles; ``size``, how many of
+    those there are, and ``prefix``, 32 bits of the least of them (``prefix_length``); a row for each row.
 
     A shingle counts once in a text, so filler that is repeated weighs no more than a word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, sizes, prefixes = [], [], []
             for text in batch.column(1):
                 words = word_hashes(text.as_py())
-                narrow = shingle_set(words, width)
+                narrow, wide = shingle_set(words, width), rule_set(words)
                 out.extend(majority(remixed(narrow, v + 1)) for v in range(views))
                 if bands:
-                    out.extend(minima(shingle_set(words, RULE_WIDTH), bands, rows).tolist())
+                    out.extend(minima(wide if len(words) else words, bands, rows).tolist())
+                sizes.append(len(wide))
+                prefixes.append((wide[: prefix_length(len(wide))] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             marks = np.array(out, np.uint64).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(marks) + 1, views + bands, dtype=np.int32)), pa.array(marks))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(sizes, pa.int32()), _lists(prefixes)], names=[key, "marks", "size", "prefix"])
 
-    return df.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{key} long, marks array<bigint>")
+    return df.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{key} long, marks array<bigint>, size int, prefix array<int>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
+def rule_set(words: np.ndarray) -> np.ndarray:
+    """The distinct five-word shingles of hashed words, in order; no words count as one
+    shingle, as texts without words are alike."""
+    return shingle_set(words, RULE_WIDTH) if len(words) else np.zeros(1, np.uint64)
+
+
+def needed(size: int) -> int:
+    """How many shingles of a set of ``size`` another one of similarity 0.8 has at least."""
+    return (4 * size + 4) // 5
+
+
+def prefix_length(size: int) -> int:
+    """Two sets that share ``needed`` shingles share at least a tenth of the smaller one
+    within the ``prefix_length`` first shingles of each, in any order that both follow."""
+    return size - needed(size) + (size + 9) // 10
+
+
+def with_rule_sets(df: DataFrame, key: str) -> DataFrame:
+    """``key`` (long), ``size`` and ``shingles``, all of ``rule_set``; a row for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [rule_set(word_hashes(text.as_py())).view(np.int64) for text in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int32()), _lists(sets)], names=[key, "size", "shingles"])
+
+    return df.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{key} long, size int, shingles array<bigint>")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -320,6 +358,53 @@ class Groups:
         return at.join(heads, keys).where("root <> head_root").select("node", "head", *keys)
 
 
+def _crossing(rows: DataFrame) -> DataFrame:
+    """The rows of ``rows`` (shingle, root) whose shingle is in several groups."""
+    dealt = rows.repartition("shingle")
+    spread = dealt.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    return dealt.join(spread.where("low <> high").select("shingle", "n"), "shingle")
+
+
+def remaining_pairs(sketches: DataFrame, groups: Groups) -> DataFrame:
+    """(a, b): pairs of texts of different groups, among them every one of similarity 0.8.
+
+    Exact, by counts and by positions in an order that all sets follow:
+
+    1. A text that has such a partner shares at least ``needed`` shingles with it, and so
+       enough of its ``prefix`` (``sketches``: uid, size, prefix) with other groups. What
+       has a near copy in its own group only, or none, ends here.
+    2. Of the texts left, all shingles are looked at: at least ``needed`` of a text must be
+       in other groups.
+    3. Their shingles are ordered: first those of one group, then the rarer ones. A pair's first common
+       shingle is so early in both that enough can follow (prefix and position filter);
+       two texts of one group never meet, as groups meet by shingle before their members do.
+    """
+    roots = groups.roots
+    need = lambda c: F.floor((F.lit(4) * F.col(c) + 4) / 5)
+    placed = sketches.join(roots, F.col("uid") == F.col("node")).select("node", "root", "size", F.explode("prefix").alias("shingle"))
+    # a tenth of the smaller set, which has at least ``needed`` shingles of the larger one
+    enough = F.floor((need("size") + 9) / 10)
+    live = _crossing(placed).groupBy("node", "root", "size").agg(F.count("*").alias("met")).where(F.col("met") >= enough)
+    live = staged(live.select("node", "root"), "simhash-live")
+    texts = groups.texts.join(live.select("node"), "node", "left_semi")
+    whole = staged(with_rule_sets(texts, "node").join(live, "node").select("node", "root", "size", F.explode("shingles").alias("shingle")), "simhash-shingles")
+    met = staged(_crossing(whole), "simhash-crossing")
+    held = met.groupBy("node").agg(F.count("*").alias("met"))
+    order = Window.partitionBy("node").orderBy("n", "shingle")
+    at = met.join(held, "node").where(F.col("met") >= need("size"))
+    at = at.withColumn("place", F.row_number().over(order) + F.col("size") - F.col("met"))
+    # the larger text of a pair has its first common shingle among its last ``needed``, the smaller one among its last 8/9
+    at = at.where(F.col("place") <= F.col("size") - need("size") + 1).withColumn("room", F.col("size") - F.col("place"))
+    at = staged(at.select("shingle", "root", "node", "size", "room", (9 * (F.col("room") + 1) >= 8 * F.col("size")).alias("early")), "simhash-prefixes")
+    sums = at.groupBy("shingle", "root").agg(F.max("room").alias("room"), F.min("size").alias("size"), F.bool_or("early").alias("early"))
+    left = sums.select("shingle", F.col("root").alias("ra"), F.col("room").alias("xa"), F.col("size").alias("sa"))
+    right = sums.where("early").select("shingle", F.col("root").alias("rb"), F.col("room").alias("xb"), F.col("size").alias("sb"))
+    meet = left.join(right, "shingle").where("ra <> rb AND 9 * (least(xa, xb) + 1) >= 4 * (sa + sb)").select("shingle", "ra", "rb")
+    side = lambda x: at.select("shingle", F.col("root").alias(f"r{x}"), F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("room").alias(f"x{x}"), F.col("early").alias(f"e{x}"))
+    both = meet.join(side("a"), ["shingle", "ra"]).join(side("b").where("eb"), ["shingle", "rb"])
+    return both.where("sb <= sa AND 5 * sb >= 4 * sa AND 9 * (least(xa, xb) + 1) >= 4 * (sa + sb)").select("a", "b").distinct()
+
+
 def near_groups(documents: DataFrame, threshold: int = 2, width: int = 2, views: int = 4, bands: int = 16, rows: int = 5) -> tuple[DataFrame, DataFrame]:
     """(``doc``, ``uid``) of each row, and (``node``, ``root``, ``least``): the group of each
     distinct text, whose first row is ``uid`` = ``node`` with ``least`` = (no_id, id, digest, uid).
@@ -337,9 +422,12 @@ def near_groups(documents: DataFrame, threshold: int = 2, width: int = 2, views:
     * where a bucket still holds several groups, its members by each further band:
       those that agree in two sketches, with a drawn one of them, twice.
 
-    Every step but the anchors is a star, so its pairs grow with the members of a
+    * last, whatever these sketches missed: ``remaining_pairs`` has every pair of different
+      groups that can still be a link, so the groups are those of all links.
+
+    Every step but the anchors and the last is a star, so its pairs grow with the members of a
     bucket and not with their square; at an anchor they grow with near texts that
-    were read and found to differ. Heads are drawn by a hash of the text (``by_text``),
+    were read and found to differ, in the last step with texts that are nearly links. Heads are drawn by a hash of the text (``by_text``),
     so the groups are the same however the rows are split or ordered.
     """
     rows_ = staged(packed(documents).withColumn("uid", F.monotonically_increasing_id()), "simhash-documents")
@@ -351,7 +439,7 @@ def near_groups(documents: DataFrame, threshold: int = 2, width: int = 2, views:
     copies = rows_.select(digest.alias("digest"), F.octet_length(content).alias("bytes"), order.alias("at"))
     first = copies.groupBy("digest", "bytes").agg(F.min("at").alias("least"))
     first = staged(first.select(F.col("least.uid").alias("node"), F.xxhash64("digest", "bytes").alias("by_text"), "least"), "simhash-first")
-    whole = staged(sketches.withColumnRenamed("uid", "node").join(first.select("node", "by_text"), "node"), "simhash-nodes")
+    whole = staged(sketches.select(F.col("uid").alias("node"), "marks").join(first.select("node", "by_text"), "node"), "simhash-nodes")
     named = whole.select("node", "by_text", F.posexplode("marks").alias("view", "mark"))
     shared = named.groupBy("view", "mark").agg(F.count("*").alias("n"), F.min(F.struct("by_text", "node"))["node"].alias("head"))
     placed = staged(named.join(shared.where("n > 1").select("view", "mark"), ["view", "mark"], "left_semi"), "simhash-placed")
@@ -366,6 +454,7 @@ def near_groups(documents: DataFrame, threshold: int = 2, width: int = 2, views:
         finer = staged(finer.select("node", "by_text", F.xxhash64("view", "mark", "by", "other").alias("both")), "simhash-finer")
         for turn in range(2):
             groups.link(groups.stars(finer, ["both"], F.xxhash64("by_text", "both", F.lit(turn))).select(F.col("node").alias("a"), F.col("head").alias("b")))
+    groups.link(remaining_pairs(sketches, groups))
     return rows_, first.join(groups.roots, "node").select("node", "root", "least")
 
 

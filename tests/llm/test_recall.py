@@ -137,3 +137,45 @@ def test_split_and_order_change_nothing(spark, monkeypatch):
         kept.append(sorted((r.doc_id, r.text) for r in simhash.keep_first(made).collect()))
     assert kept[0] == kept[1] and len(kept[0]) < len(rows)
     assert seen[0] == seen[1] and any(seen[0])
+
+
+def test_no_link_is_lost(spark):
+    """With sketches that find next to nothing, the exact step still finds every link: chains
+    of texts at and just below 0.8, under a passage that all share, empty and short texts."""
+    rng = random.Random(29)
+    passage = words(rng, 80)
+    texts = [[], [], ["a"], ["a", "b"], ["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "e", "f"]]
+    for k in range(40):
+        t = passage[: rng.randrange(0, 81)] + words(rng, rng.randrange(5, 120))
+        for _ in range(4):
+            texts.append(t)
+            n = rng.randrange(1, 2 + len(t) // 8)
+            t = rng.choice([t + words(rng, n), t[n:], t[: len(t) // 2] + words(rng, n) + t[len(t) // 2 :]])
+    rng.shuffle(texts)
+    rows = spark.createDataFrame([(i, (" " * (i + 1) if not t else "") + " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(8)
+    made, groups = simhash.near_groups(rows, views=1, bands=0)
+    ids = {r.uid: r.doc_id for r in made.select("uid", "doc.doc_id").collect()}
+    root = {ids[r.node]: r.root for r in groups.collect()}
+    sets = [shingles(t) for t in texts]
+    over = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            over = [over[i] if x == over[j] else x for x in over]
+    together = lambda key: {frozenset(i for i in root if key(i) == k) for k in map(key, root)}
+    assert together(root.get) == together(lambda i: over[i])
+    assert len(together(root.get)) < len(texts) - 40
+
+
+def test_counts_that_the_exact_step_rests_on():
+    """Sets of similarity 0.8 share the needed shingles, and enough within their prefixes."""
+    rng = random.Random(31)
+    for _ in range(3000):
+        common = rng.randrange(1, 60)
+        a, b = (rng.randrange(0, 1 + common // 4) for _ in range(2))
+        if common < 0.8 * (common + a + b):
+            continue
+        every = rng.sample(range(1000), common + a + b)
+        x, y = sorted(every[: common + a]), sorted(every[:common] + every[common + a :])
+        assert common >= max(simhash.needed(len(x)), simhash.needed(len(y)))
+        shared = set(x[: simhash.prefix_length(len(x))]) & set(y[: simhash.prefix_length(len(y))])
+        assert len(shared) >= max((simhash.needed(len(z)) + 9) // 10 for z in (x, y))
