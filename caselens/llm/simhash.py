@@ -360,9 +360,10 @@ class Groups:
 
 def _crossing(rows: DataFrame) -> DataFrame:
     """The rows of ``rows`` (shingle, root) whose shingle is in several groups."""
-    dealt = rows.repartition("shingle")
-    spread = dealt.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    return dealt.join(spread.where("low <> high").select("shingle", "n"), "shingle")
+    # a window, as an aggregate joined back would shuffle the rows twice
+    of = Window.partitionBy("shingle")
+    spread = rows.withColumns({"low": F.min("root").over(of), "high": F.max("root").over(of), "n": F.count("*").over(of)})
+    return spread.where("low <> high").drop("low", "high")
 
 
 def remaining_pairs(sketches: DataFrame, groups: Groups) -> DataFrame:
