@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselens.functions.text import norm, quoted
-from caselens.operators.rules import checkpointed
+from caselens.operators.rules import PART_ROWS, checkpointed, dealt
 
 #: Similarities are decimals, so that sums agree whatever the order of addition.
 WEIGHT = "decimal(18,6)"
 #: Members of an edge that are joined together.
 BLOCK = 256
+#: Seeds of a part of the k-hop search.
+SEEDS = 64
 
 
 def edge_ranks(participants: DataFrame, edges: DataFrame | None = None) -> DataFrame:
@@ -32,8 +34,12 @@ def weighted_incidence(participants: DataFrame, beta: float = 1.0, max_edge_rank
     ranks = members.groupBy("edge_id").agg(F.count("*").alias("rank")).where("rank > 1")
     if max_edge_rank is not None:
         ranks = ranks.where(F.col("rank") <= max_edge_rank)
-    weight = (1 / F.pow(F.col("rank").cast("double"), F.lit(beta))).cast(WEIGHT)
-    return members.join(ranks.select("edge_id", "rank", weight.alias("weight")), "edge_id")
+    return members.join(ranks.select("edge_id", "rank", _weight(beta).alias("weight")), "edge_id")
+
+
+def _weight(beta: float) -> Column:
+    """The weight of an edge by its rank."""
+    return (1 / F.pow(F.col("rank").cast("double"), F.lit(beta))).cast(WEIGHT)
 
 
 def member_pairs(members: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -115,33 +121,50 @@ def khop_neighbours(
     member of the frontier gets its own part taken off again. Nodes of one membership
     in all are alike in their hub, so beyond the first ``hop_top_n`` + ``frontier_width`` by id
     none can be kept (``_far``), and seeds among those have the same neighbours: one stands for all.
+
+    The memberships are shuffled once for all lists, and a task has a bounded number of them or of
+    seeds, whatever the size of the table.
     """
-    inc = weighted_incidence(participants, beta, max_edge_rank)
-    roles = participants.select("edge_id", "node_id").join(inc.select("edge_id", "weight").distinct(), "edge_id").where("node_id IS NOT NULL")
-    roles = roles.select("edge_id", "node_id", F.col("weight").cast("double").alias("weight"), F.count("*").over(Window.partitionBy("edge_id")).alias("size"))
-    lists = checkpointed(roles.where(F.col("size") <= BLOCK).groupBy("edge_id").agg(F.first("weight").alias("weight"), F.collect_list("node_id").alias("members")))
+    rows = participants.select("edge_id", "node_id").where("edge_id IS NOT NULL")
+    n_rows = rows.count()
+    # of a hub only so many rows as show that it is one
+    nth = F.row_number().over(Window.partitionBy("edge_id").orderBy("node_id"))
+    some = dealt(rows, "edge_id", rows=n_rows).withColumn("n", nth).where(F.col("n") <= BLOCK + 1)
+    # a null member counts as one, but is nobody's neighbour
+    some = some.groupBy("edge_id").agg(F.collect_list("node_id").alias("members"), F.max("n").alias("n"), F.bool_or(F.col("node_id").isNull()).cast("int").alias("none"))
+    some = some.withColumn("rank", F.size(F.array_distinct("members")) + F.col("none")).where((F.col("rank") > 1) | (F.col("n") > BLOCK))
+    lists = checkpointed(some.select("edge_id", _weight(beta).cast("double").alias("weight"), "members", "rank", "n"))
+    large = lists.where(F.col("n") > BLOCK).select("edge_id")
+    near = None if large.isEmpty() else participants.join(large, "edge_id", "left_semi")
+    small = (F.col("n") <= BLOCK) & (F.col("rank") > 1) & (F.lit(True) if max_edge_rank is None else F.col("rank") <= max_edge_rank)
+    lists = lists.where(small).select("edge_id", "weight", "members")
     around = lists.select(F.explode("members").alias("at"), "weight", "members")
-    hubs = checkpointed(roles.where(F.col("size") > BLOCK).groupBy("edge_id", "node_id").agg(F.first("weight").alias("weight"), F.count("*").alias("times")))
     asked = seeds.select("node_id").distinct().withColumn("stand", F.col("node_id"))
-    near = None if hubs.isEmpty() else hubs
     if near is not None:
+        weights = weighted_incidence(near, beta, max_edge_rank).select("edge_id", F.col("weight").cast("double").alias("weight")).distinct()
+        hubs = checkpointed(near.join(weights, "edge_id").where("node_id IS NOT NULL").groupBy("edge_id", "node_id").agg(F.first("weight").alias("weight"), F.count("*").alias("times")))
         far = checkpointed(_far(hubs, lists, hop_top_n + max(frontier_width, 1)))
         near = checkpointed(hubs.join(far.select("node_id"), "node_id", "left_anti"))
         placed = asked.select("node_id").join(far, "node_id", "left")
         least = placed.where("edge_id IS NOT NULL").groupBy("edge_id").agg(F.min("node_id").alias("least"))
-        asked = checkpointed(placed.join(least, "edge_id", "left").select("node_id", F.coalesce("least", "node_id").alias("stand")))
+        asked = placed.join(least, "edge_id", "left").select("node_id", F.coalesce("least", "node_id").alias("stand"))
+    asked = checkpointed(asked)
+    n_seeds = asked.select("stand").distinct().count()
+    parts = max(-(-n_seeds // SEEDS), int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     frontier = asked.select(F.col("stand").alias("node_id")).distinct().select("node_id", F.col("node_id").alias("at"), F.lit(1).cast("double").alias("score"))
     found = None
     by = Window.partitionBy("node_id").orderBy(F.desc("hop_score"), "next")
     for hop in range(1, k_hop + 1):
+        if hop == 2 or (hop == 1 and n_seeds > PART_ROWS):  # few seeds are sent to the lists
+            around = dealt(around, "at", rows=n_rows)
         # one shuffle by seed for sums and places
-        listed = frontier.join(around, "at").select("node_id", "at", (F.col("score") * F.col("weight")).alias("part"), "members").repartition("node_id")
+        listed = frontier.join(around, "at").select("node_id", "at", (F.col("score") * F.col("weight")).alias("part"), "members").repartition(parts, "node_id")
         step = listed.select("node_id", "at", "part", F.explode("members").alias("next")).where("at <> next").select("node_id", "next", "part")
         if near is not None:
             met = frontier.join(hubs.select("edge_id", F.col("node_id").alias("at"), "weight", "times"), "at").select("node_id", "at", "edge_id", (F.col("score") * F.col("weight") * F.col("times")).alias("part"))
             whole = met.groupBy("node_id", "edge_id").agg(F.sum("part").alias("part")).join(near.select("edge_id", F.col("node_id").alias("next"), "times"), "edge_id")
             own = met.join(near.select("edge_id", F.col("node_id").alias("at"), "times"), ["edge_id", "at"]).select("node_id", F.col("at").alias("next"), (-F.col("part") * F.col("times")).alias("part"))
-            step = step.union(whole.select("node_id", "next", (F.col("part") * F.col("times")).alias("part"))).union(own).repartition("node_id")
+            step = step.union(whole.select("node_id", "next", (F.col("part") * F.col("times")).alias("part"))).union(own).repartition(parts, "node_id")
         scored = step.groupBy("node_id", "next").agg(F.round(F.sum("part"), 9).alias("hop_score"))
         scored = scored.withColumn("place", F.row_number().over(by)).where(F.col("place") <= hop_top_n).where("next <> node_id AND hop_score > 0")
         if hop < k_hop:
@@ -149,7 +172,7 @@ def khop_neighbours(
             frontier = scored.where(F.col("place") <= frontier_width).select("node_id", F.col("next").alias("at"), F.col("hop_score").alias("score"))
         part = scored.select("node_id", F.col("next").alias("neighbour_id"), (F.col("hop_score") * decay ** (hop - 1)).alias("score"))
         found = part if found is None else found.union(part)
-    total = found.repartition("node_id").groupBy("node_id", "neighbour_id").agg(F.round(F.sum("score"), 6).alias("similarity"))
+    total = found.repartition(parts, "node_id").groupBy("node_id", "neighbour_id").agg(F.round(F.sum("score"), 6).alias("similarity"))
     ranked = Window.partitionBy("node_id").orderBy(F.desc("similarity"), "neighbour_id")
     best = total.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= top_k)
     if near is None:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from caselens.operators import hypergraph
+from caselens.operators import hypergraph, rules
 
 LIMITS = {"k_hop": 2, "top_k": 4, "frontier_width": 3, "hop_top_n": 6}
 
@@ -63,3 +63,18 @@ def test_like_members_of_a_hub_are_searched_once(spark, monkeypatch):
     found = hypergraph.khop_neighbours(members, members.select("node_id"), 2, 2, frontier_width=5, hop_top_n=20).groupBy("node_id").agg(F.sort_array(F.collect_list("neighbour_id")).alias("x")).collect()
     assert len(found) == 3000 and {tuple(x.x) for x in found if x.node_id > 25} == {(0, 1)}
     assert sum(counts) < 1000, counts
+
+
+def test_a_task_has_few_seeds_and_lists(spark, monkeypatch):
+    """With small parts the search has more of them, and the same result."""
+    dealt_out, real = [], hypergraph.dealt
+    monkeypatch.setattr(hypergraph, "dealt", lambda df, *keys, rows=None: dealt_out.append(real(df, *keys, rows=rows)) or dealt_out[-1])
+    members = spark.range(4000).select((F.col("id") % 1000).alias("edge_id"), F.lit("r").alias("role"), (F.col("id") * 7 % 640).alias("node_id"))
+    seeds = members.select("node_id").distinct()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    before = rows(hypergraph.khop_neighbours(members, seeds))
+    monkeypatch.setattr(rules, "PART_ROWS", 200)
+    monkeypatch.setattr(hypergraph, "SEEDS", 10)
+    found = hypergraph.khop_neighbours(members, seeds)
+    assert rows(found) == before
+    assert {df.rdd.getNumPartitions() for df in dealt_out[-2:]} == {20} and found.rdd.getNumPartitions() == 64
