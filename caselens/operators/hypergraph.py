@@ -14,6 +14,8 @@ from caselens.operators.rules import PART_ROWS, checkpointed, dealt
 WEIGHT = "decimal(18,6)"
 #: Members of an edge that are joined together.
 BLOCK = 256
+#: Slices that the neighbours of a node are dealt to.
+SLICES = 4
 #: Seeds of a part of the k-hop search.
 SEEDS = 64
 
@@ -78,18 +80,41 @@ def seed_pairs(seeds: DataFrame, members: DataFrame, size: int = BLOCK) -> DataF
 def weighted_neighbours(participants: DataFrame, seeds: DataFrame | None = None, beta: float = 1.0, max_edge_rank: int | None = None) -> DataFrame:
     """node_id, neighbour_id, similarity, shared: for every pair of nodes with a
     common edge, each edge once; only for the nodes of ``seeds`` (node_id) if given."""
-    inc = weighted_incidence(participants, beta, max_edge_rank)
     if seeds is None:
-        pairs = member_pairs(inc)
-    else:
-        pairs = seed_pairs(inc.join(seeds.select("node_id").distinct(), "node_id", "left_semi").select(*inc.columns), inc)
+        return _weighted_pairs(participants, beta, max_edge_rank)[0].drop("slice")
+    inc = weighted_incidence(participants, beta, max_edge_rank)
+    pairs = seed_pairs(inc.join(seeds.select("node_id").distinct(), "node_id", "left_semi").select(*inc.columns), inc)
     pairs = pairs.withColumnsRenamed({"a": "node_id", "b": "neighbour_id"})
     return pairs.groupBy("node_id", "neighbour_id").agg(F.sum("weight").cast(WEIGHT).alias("similarity"), F.count("*").alias("shared"))
 
 
+def _weighted_pairs(participants: DataFrame, beta: float = 1.0, max_edge_rank: int | None = None) -> tuple[DataFrame, int]:
+    """node_id, slice, neighbour_id, similarity, shared of every pair, in parts of a bounded number of pairs by node
+    and ``slice`` (a node's neighbours lie in SLICES of them), and at most how many pairs there are."""
+    rows = participants.count()
+    members = dealt(participants.select("edge_id", "node_id"), "edge_id", rows=rows)
+    inc = checkpointed(weighted_incidence(members, beta, max_edge_rank))
+    n = inc.agg(F.sum(F.col("rank") - 1)).first()[0] or 0
+    pairs = member_pairs(dealt(inc, "edge_id", rows=rows)).select(F.col("a").alias("node_id"), F.pmod(F.xxhash64("b"), F.lit(SLICES)).alias("slice"), F.col("b").alias("neighbour_id"), "weight")
+    # hardly any pairs are equal before all of a node meet, so none are added up before
+    sums = dealt(pairs, "node_id", "slice", rows=n).groupBy("node_id", "slice", "neighbour_id")
+    return sums.agg(F.sum("weight").cast(WEIGHT).alias("similarity"), F.count("*").alias("shared")), n
+
+
 def top_neighbours(pairs: DataFrame, k: int = 10) -> DataFrame:
     """K1. The ``k`` most similar neighbours of every node; ties by shared edges, then id."""
-    by = Window.partitionBy("node_id").orderBy(F.desc("similarity"), F.desc("shared"), "neighbour_id")
+    return _first(pairs, k, "node_id")
+
+
+def nearest(participants: DataFrame, k: int = 10) -> DataFrame:
+    """K1. As ``top_neighbours`` of all ``weighted_neighbours``: the first ones are taken from the slices of a node before those meet."""
+    pairs, n = _weighted_pairs(participants)
+    best = _first(pairs, k, "node_id", "slice").drop("slice", "place")
+    return _first(dealt(best, "node_id", rows=n), k, "node_id")
+
+
+def _first(pairs: DataFrame, k: int, *keys: str) -> DataFrame:
+    by = Window.partitionBy(*keys).orderBy(F.desc("similarity"), F.desc("shared"), "neighbour_id")
     return pairs.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
 
 

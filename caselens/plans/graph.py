@@ -90,8 +90,7 @@ def h4_h8_metric_rules(spark, sf_dir):
 
 
 def k1_top_neighbours(spark, sf_dir):
-    pairs = hypergraph.weighted_neighbours(_p(spark, sf_dir))
-    return hypergraph.top_neighbours(pairs, 5).select("node_id", "neighbour_id", "similarity", "place")
+    return hypergraph.nearest(_p(spark, sf_dir), 5).select("node_id", "neighbour_id", "similarity", "place")
 
 
 def g15_neighbour_counts(spark, sf_dir):
