@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from caselens.operators import hypergraph, rules
+from caselens.operators import hypergraph, incidence, rules
 
 
 @pytest.fixture
@@ -36,3 +36,9 @@ def test_nearest(spark, members, monkeypatch):
     before, after, numbers = more_parts(monkeypatch, hypergraph, lambda: hypergraph.nearest(members, 3))
     all_ = hypergraph.top_neighbours(hypergraph.weighted_neighbours(members), 3)
     assert after == before == sorted(map(tuple, all_.collect())) and numbers[:4] == [20, 20, 60, 60]
+
+
+def test_matrix(spark, members, monkeypatch):
+    nodes = spark.range(600).select(F.col("id").alias("node_id"))
+    before, after, numbers = more_parts(monkeypatch, incidence, lambda: incidence.verify(incidence.build(members, nodes), members))
+    assert after == before and numbers == [20, 20, 20, 20, 20, 40]
