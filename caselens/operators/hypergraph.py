@@ -239,13 +239,14 @@ def risk_patterns(nodes: DataFrame, participants: DataFrame, edges: DataFrame, c
     return found.join(members, "edge_id", "left").join(fixes, "case_id", "left").select("edge_id", "case_id", "matched", "members", "strategies")
 
 
-def skeleton(participants: DataFrame, nodes: DataFrame, min_average: float = 2.0, min_share: float = 0.3, high_rank: int = 3) -> DataFrame:
+def skeleton(participants: DataFrame, nodes: DataFrame, min_average: float = 2.0, min_share: float = 0.3, high_rank: int = 3, rows: int | None = None) -> DataFrame:
     """A18, G22. case_id, edges, average_rank, high_share, isolated, degenerate of
-    each case; participants and nodes have case_id."""
+    each case; participants and nodes have case_id. ``rows``: of participants, counted if not given."""
     ranks = participants.groupBy("case_id", "edge_id").agg(F.count_distinct("node_id").alias("rank"))
     d = lambda c: c.cast("decimal(18,6)")
     stats = ranks.groupBy("case_id").agg(F.count("*").alias("edges"), F.round(F.avg(d(F.col("rank"))), 4).alias("average_rank"), F.round(F.avg(d((F.col("rank") >= high_rank).cast("int"))), 4).alias("high_share"))
-    lonely = nodes.join(participants.select("case_id", "node_id").distinct(), ["case_id", "node_id"], "left_anti").groupBy("case_id").agg(F.count("*").alias("isolated"))
+    held = dealt(participants.select("case_id", "node_id"), "case_id", "node_id", rows=rows)
+    lonely = nodes.join(held, ["case_id", "node_id"], "left_anti").groupBy("case_id").agg(F.count("*").alias("isolated"))
     joined = nodes.select("case_id").distinct().join(stats, "case_id", "left").join(lonely, "case_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = joined.select("case_id", zero("edges").alias("edges"), zero("average_rank").cast("double").alias("average_rank"), zero("high_share").cast("double").alias("high_share"), zero("isolated").alias("isolated"))

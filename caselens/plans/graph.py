@@ -22,6 +22,13 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bindings.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("edge_id"), F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderstatus") == "O", "Value_Loop_Edge").otherwise("Risk_Pattern_Edge").alias("edge_type"))
 
 
+def _of_orders(spark: SparkSession, sf_dir: str) -> tuple[int, DataFrame]:
+    """The number of participants, and all of them with their orders, in parts of a bounded number."""
+    p = _p(spark, sf_dir)
+    n = p.count()
+    return n, rules.dealt(p, "edge_id", rows=n).join(_orders(spark, sf_dir), "edge_id")
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bindings.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), "p_name", "p_brand", "p_type")
 
@@ -114,9 +121,10 @@ def g21_matrix(spark, sf_dir):
 
 
 def g22_skeleton(spark, sf_dir):
-    p = _p(spark, sf_dir).join(_orders(spark, sf_dir), "edge_id").select("case_id", "edge_id", "node_id")
+    n, p = _of_orders(spark, sf_dir)
+    p = p.select("case_id", "edge_id", "node_id")
     customers = bindings.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), (F.col("c_custkey") * 7 % 2000).alias("node_id"))
-    return hypergraph.skeleton(p, customers)
+    return hypergraph.skeleton(p, customers, rows=n)
 
 
 def g23_role_check(spark, sf_dir):

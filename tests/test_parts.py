@@ -42,3 +42,10 @@ def test_matrix(spark, members, monkeypatch):
     nodes = spark.range(600).select(F.col("id").alias("node_id"))
     before, after, numbers = more_parts(monkeypatch, incidence, lambda: incidence.verify(incidence.build(members, nodes), members))
     assert after == before and numbers == [20, 20, 20, 20, 20, 40]
+
+
+def test_skeleton(spark, members, monkeypatch):
+    rows = members.withColumn("case_id", F.col("edge_id") % 30)
+    nodes = spark.range(60).select((F.col("id") % 30).alias("case_id"), F.col("id").alias("node_id"))
+    before, after, numbers = more_parts(monkeypatch, hypergraph, lambda: hypergraph.skeleton(rows, nodes))
+    assert after == before and numbers == [20]
