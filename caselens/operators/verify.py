@@ -12,15 +12,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caselens.operators.rules import dealt
 
-def annotated(semantics: DataFrame) -> DataFrame:
+
+def annotated(semantics: DataFrame, rows: int | None = None) -> DataFrame:
     """rule_id, node_label, n: distinct annotated nodes of each label."""
-    return semantics.groupBy("rule_id", "node_label").agg(F.count_distinct("node_id").alias("n"))
+    keys = "rule_id", "node_label", "node_id"
+    return dealt(semantics.select(*keys), *keys, rows=rows).distinct().groupBy("rule_id", "node_label").agg(F.count("node_id").alias("n"))
+
 
+def verify(semantics: DataFrame, relations: DataFrame, metrics: DataFrame, participants: DataFrame, contains: DataFrame, edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """check, ok, a, b: the two counters that each check compares.
 
-def verify(semantics: DataFrame, relations: DataFrame, metrics: DataFrame, participants: DataFrame, contains: DataFrame, edges: DataFrame) -> DataFrame:
-    """check, ok, a, b: the two counters that each check compares."""
-    notes = annotated(semantics)
+    ``rows``: about how many rows ``semantics`` and ``edges`` have at most, counted if not given.
+    """
+    n_edges = edges.count() if rows is None else rows
+    notes = annotated(semantics, rows)
     of = lambda rule, *labels: F.coalesce(F.sum(F.when((F.col("rule_id") == rule) & (F.col("node_label").isin(*labels) if labels else F.lit(True)), F.col("n"))), F.lit(0))
     by_label = notes.agg(
         of("H1", "Concept").alias("v1a"), of("H1", "Artifact").alias("v1b"), of("H2").alias("v2b"), of("H3").alias("v3b"), of("H5", "Metric").alias("v5b"), of("H6").alias("v6a"), of("H7", "Mistake").alias("v7b"),
@@ -30,12 +37,14 @@ def verify(semantics: DataFrame, relations: DataFrame, metrics: DataFrame, parti
     pair = ((s == "Concept") & (t == "Task")) | ((s == "Task") & (t == "Concept"))
     by_relation = relations.agg(F.count_if((r == "PREREQ") & pair).alias("v2a"), F.count_if((r == "PRODUCES") & (s == "Task") & (t == "Artifact")).alias("v3a"), F.count_if((r == "MEASURED_BY") & (s == "Artifact") & (t == "Metric")).alias("v5a"))
     by_metric = metrics.agg(F.count_distinct(F.when(F.upper("key").isin("TAM", "SAM", "SOM"), F.col("node_id"))).alias("v4a"), F.count_distinct(F.when(F.upper("key").isin("CAC", "LTV"), F.col("node_id"))).alias("v8a"))
+    edges = dealt(edges, "edge_id", rows=n_edges)
     sizes = edges.join(participants.groupBy("edge_id").agg(F.count_distinct("node_id").alias("size")), "edge_id", "left")
     loop = F.col("edge_type") == "Value_Loop_Edge"
     most = lambda c: F.coalesce(F.max(F.when(c, F.coalesce("size", F.lit(0)))), F.lit(0))
     by_edge = sizes.agg(F.count_if(loop).alias("v9a"), most(loop).alias("v9b"), F.count_if(~loop).alias("v10a"), most(~loop).alias("v10b"))
     worked = contains.where(F.col("node_label").isin("Task", "Method", "Artifact")).select("case_id").distinct()
-    by_case = edges.where(~loop).join(worked, "case_id", "left_semi").agg(F.count_distinct("edge_id").alias("v15a"))
+    risky = dealt(edges.where(~loop).select("edge_id", "case_id"), "case_id", rows=n_edges).join(worked, "case_id", "left_semi")
+    by_case = dealt(risky.select("edge_id"), "edge_id", rows=n_edges).distinct().agg(F.count("edge_id").alias("v15a"))
     mistakes = contains.agg(F.count_if(F.col("node_label") == "Mistake").alias("v7a"))
     row = reduce(lambda a, b: a.crossJoin(b), (by_label, by_relation, by_metric, by_edge, by_case, mistakes))  # one row each
     c = F.col

@@ -235,7 +235,7 @@ def j16_linked_titles(spark, sf_dir):
 
 
 def v1_v15_checks(spark, sf_dir):
-    o, p = _orders(spark, sf_dir), _p(spark, sf_dir).join(_orders(spark, sf_dir), "edge_id")
+    o, (n, p) = _orders(spark, sf_dir), _of_orders(spark, sf_dir)
     kinds = [(0, "Concept"), (1, "Task"), (2, "Artifact"), (3, "Metric"), (4, "Mistake"), (5, "Evidence"), (6, "Project"), (7, "Method")]
     label = lambda c: F.element_at(F.array(*(F.lit(k) for _, k in kinds)), (c % 8 + 1).cast("int"))
     notes = p.select("case_id", label(F.col("node_id")).alias("node_label"), "node_id", F.concat(F.lit("H"), (F.col("edge_id") % 15 + 1).cast("string")).alias("rule_id"))
@@ -243,7 +243,7 @@ def v1_v15_checks(spark, sf_dir):
     rel = li.select(F.element_at(F.array(*(F.lit(x) for x in ("PREREQ", "PRODUCES", "MEASURED_BY"))), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("relation_type"), F.col("l_partkey").alias("source_id"), label(F.col("l_partkey")).alias("source_label"), F.col("l_suppkey").alias("target_id"), label(F.col("l_suppkey")).alias("target_label"))
     metrics = _parts(spark, sf_dir).select("node_id", F.element_at(F.array(*(F.lit(x) for x in ("TAM", "SAM", "SOM", "CAC", "LTV", "x"))), (F.col("node_id") % 6 + 1).cast("int")).alias("key"))
     contains = p.select("case_id", label(F.col("node_id")).alias("node_label"), "node_id")
-    return verify.verify(notes, rel, metrics, p.select("edge_id", "edge_type", "node_id"), contains, o)
+    return verify.verify(notes, rel, metrics, p.select("edge_id", "edge_type", "node_id"), contains, o, rows=n)
 
 
 QUERIES = {f.__name__: f for f in (

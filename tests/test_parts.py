@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from caselens.operators import hypergraph, incidence, rules
+from caselens.operators import hypergraph, incidence, rules, verify
 
 
 @pytest.fixture
@@ -49,3 +49,13 @@ def test_skeleton(spark, members, monkeypatch):
     nodes = spark.range(60).select((F.col("id") % 30).alias("case_id"), F.col("id").alias("node_id"))
     before, after, numbers = more_parts(monkeypatch, hypergraph, lambda: hypergraph.skeleton(rows, nodes))
     assert after == before and numbers == [20]
+
+
+def test_checks(spark, members, monkeypatch):
+    label = F.when(F.col("node_id") % 2 == 0, "Task").otherwise("Concept")
+    p = members.select("edge_id", "node_id", (F.col("edge_id") % 30).alias("case_id"), label.alias("node_label"), F.lit("H1").alias("rule_id"), F.when(F.col("edge_id") % 2 == 0, "Value_Loop_Edge").otherwise("x").alias("edge_type"))
+    rel = members.select(F.lit("PREREQ").alias("relation_type"), F.lit("Task").alias("source_label"), F.lit("Concept").alias("target_label"))
+    metrics = members.select("node_id", F.lit("TAM").alias("key"))
+    edges = p.select("edge_id", "case_id", "edge_type").distinct()
+    before, after, numbers = more_parts(monkeypatch, verify, lambda: verify.verify(p, rel, metrics, p, p, edges))
+    assert after == before and numbers == [20, 5, 5, 5]
