@@ -78,8 +78,12 @@ def inferred_nodes(cases: Cases) -> DataFrame:
 
 def all_nodes(cases: Cases) -> DataFrame:
     """Own and inferred nodes: case_id, seq, id, node_label, node_type, name,
-    description, tags, metric_key. An id that the case already has is not inferred."""
-    own = cases.nodes.select("case_id", F.col("pos").cast("long").alias("seq"), "id", X.label(F.col("node_type")).alias("node_label"), "node_type", "name", "description", "tags", "metric_key")
+    description, tags, metric_key, cues. An id that the case already has is not inferred.
+
+    ``cues``, the names of the CUES in a node's texts, are found before anything is shuffled, so that
+    whole texts go no further where only they are asked for.
+    """
+    own = cases.nodes.select("case_id", F.col("pos").cast("long").alias("seq"), "id", X.label(F.col("node_type")).alias("node_label"), "node_type", "name", "description", "tags", "metric_key", X.cues_found(cue_texts(), CUES).alias("cues"))
     new = inferred_nodes(cases).join(own, ["case_id", "id"], "left_anti")
     tags = {"customer": ["customer", "persona"], "value": ["value", "solution"], "channel": ["channel", "distribution"]}
     tag = F.lit(None).cast("array<string>")
@@ -89,12 +93,13 @@ def all_nodes(cases: Cases) -> DataFrame:
         "case_id", (F.col("seq") + 1_000_000).cast("long").alias("seq"), "id", F.lit("Concept").alias("node_label"), F.lit("Concept").alias("node_type"), "name",
         F.concat(F.lit("Inferred "), F.when(F.col("role") == "value", "value proposition").otherwise(F.col("role")), F.lit(" concept")).alias("description"), tag.alias("tags"), F.lit(None).cast("string").alias("metric_key"),
     )
+    inferred = inferred.withColumn("cues", X.cues_found(cue_texts(), CUES))
     return first_wins(own.union(inferred), ["case_id", "node_label", "id"], ["seq"])
 
 
 def role_nodes(cases: Cases, nodes: DataFrame) -> DataFrame:
     """G3. case_id, role, id, seq: nodes whose type and cues fit a role, then those inferred for it."""
-    fits = F.array_compact(F.array(*(F.when(F.col("node_type").isin(ROLE_TYPES[r]) & X.matches_cues(cue_texts(), CUES[r]), F.lit(r)) for r in ROLE_TYPES)))
+    fits = F.array_compact(F.array(*(F.when(F.col("node_type").isin(ROLE_TYPES[r]) & F.array_contains("cues", r), F.lit(r)) for r in ROLE_TYPES)))
     found = nodes.select("case_id", F.explode(fits).alias("role"), "id", "seq")
     named = inferred_nodes(cases).select("case_id", "role", "id", (F.col("seq") + 10_000_000).cast("long").alias("seq"))
     return first_wins(found.union(named), ["case_id", "role", "id"], ["seq"])
@@ -107,11 +112,13 @@ def value_loops(roles: DataFrame) -> DataFrame:
     Only the first MAX_LOOPS of each role can take part, so the product of a case
     is bounded before it is made.
     """
-    ranked = roles.withColumn("n", F.row_number().over(Window.partitionBy("case_id", "role").orderBy("seq", "id"))).where(F.col("n") <= MAX_LOOPS)
-    side = lambda r: ranked.where(F.col("role") == r).select("case_id", F.col("id").alias(r), F.col("n").alias(f"n_{r}"))
-    loops = side("customer").join(side("value"), "case_id").join(side("channel"), "case_id")
-    order = Window.partitionBy("case_id").orderBy("n_customer", "n_value", "n_channel")
-    loops = loops.withColumn("k", F.row_number().over(order)).where(F.col("k") <= MAX_LOOPS)
+    ranked = roles.where("case_id IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("case_id", "role").orderBy("seq", "id"))).where(F.col("n") <= MAX_LOOPS)
+    # the roles of a case are read once and meet in its row
+    side = lambda r: F.sort_array(F.collect_list(F.when(F.col("role") == r, F.struct("n", "id")))).alias(r)
+    sides = ranked.groupBy("case_id").agg(side("customer"), side("value"), side("channel"))
+    ends = lambda c, v: F.transform("channel", lambda h: F.struct(c["id"].alias("customer"), v["id"].alias("value"), h["id"].alias("channel")))
+    every = F.flatten(F.transform("customer", lambda c: F.flatten(F.transform("value", lambda v: ends(c, v)))))
+    loops = sides.select("case_id", F.posexplode(F.slice(every, 1, MAX_LOOPS)).alias("at", "x")).select("case_id", "x.*", (F.col("at") + 1).alias("k"))
     return loops.select("case_id", F.concat_ws("_", F.lower("case_id"), F.lit("value_loop"), *(X.slug(F.col(r)) for r in ("customer", "value", "channel"))).alias("edge_id"), "customer", "value", "channel", "k")
 
 
@@ -143,7 +150,7 @@ def semantics(cases: Cases, nodes: DataFrame, relations: DataFrame, loops: DataF
         parts.append(step(proof, 1, c("pos") * 4 + k, c(f"{side}_label"), c(f"{side}_id"), lit("H13"), why))
         if side == "source":
             parts.append(step(proof, 1, c("pos") * 4 + 2, c("source_label"), c("source_id"), lit("H14"), why))
-    cue = lambda name: X.matches_cues(cue_texts(), CUES[name])
+    cue = lambda name: F.array_contains("cues", name)
     kind = lambda *t: c("node_type").isin(*t)
     key = F.upper(F.coalesce(F.nullif(c("metric_key"), lit("")), c("name")))
     on_nodes = [
@@ -168,8 +175,9 @@ def semantics(cases: Cases, nodes: DataFrame, relations: DataFrame, loops: DataF
 
 def payload(cases: Cases) -> dict[str, DataFrame]:
     """G6. The ten tables that are loaded into a graph store; what several of them
-    are made of is written once to shared storage."""
-    nodes = checkpointed(all_nodes(cases))
+    are made of is written once to shared storage, without the nodes' texts."""
+    whole = all_nodes(cases)
+    nodes = checkpointed(whole.drop("description", "tags"))
     relations, loops = checkpointed(valid_relations(cases, nodes)), checkpointed(value_loops(role_nodes(cases, nodes)))
     notes = checkpointed(semantics(cases, nodes, relations, loops))
     link = lambda kind: nodes.where(F.col("node_type") == kind).select("case_id", "node_label", F.col("id").alias("node_id"))
@@ -179,7 +187,7 @@ def payload(cases: Cases) -> dict[str, DataFrame]:
     labels = nodes.select("case_id", F.col("id").alias("node_id"), "node_label").dropDuplicates(["case_id", "node_id"])
     looped = loops.select("case_id", "edge_id", F.inline(F.array(*(F.struct(F.lit(r).alias("role"), F.col(r).alias("node_id")) for r in ("customer", "value", "channel"))))).join(labels, ["case_id", "node_id"])
     return {
-        "cases": cases.cases, "nodes": nodes, "contains": nodes.select("case_id", "node_label", F.col("id").alias("node_id")), "validates": link("Concept"), "mistakes": link("Mistake"), "relations": relations,
+        "cases": cases.cases, "nodes": whole.drop("cues"), "contains": nodes.select("case_id", "node_label", F.col("id").alias("node_id")), "validates": link("Concept"), "mistakes": link("Mistake"), "relations": relations,
         "hyperedges": first_wins(own.union(new), ["case_id", "edge_label", "edge_id"], ["inferred"]), "participants": members.unionByName(looped.select(*members.columns)).distinct(),
         "semantics": notes, "case_rules": notes.select("case_id", "rule_id").distinct(),
     }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +18,14 @@ WORD = "[a-z]{4,}"
 def graph_cases(spark: SparkSession, sf_dir: str) -> Cases:
     """The cases of documents; a project's metadata names roles by its language,
     its source and the first longer word of its text."""
-    c = caserules.document_cases(spark, sf_dir)
-    lang = F.split(F.col("languages"), ",")[0]
-    word = F.regexp_extract("description", WORD, 0)
+    lang = F.split(F.col("lang"), ",")[0]
+    word, name = F.regexp_extract("text", WORD, 0), F.col("source").alias("name")
     metadata = F.to_json(F.struct(
-        F.array(F.struct(lang.alias("segment"))).alias("customer_profiles"), F.concat_ws("/", word, "name").alias("target_customer"),
-        F.array(F.struct("name")).alias("value_propositions"), word.alias("core_values"), F.array("name", lang).alias("primary_channels"),
+        F.array(F.struct(lang.alias("segment"))).alias("customer_profiles"), F.concat_ws("/", word, "source").alias("target_customer"),
+        F.array(F.struct(name)).alias("value_propositions"), word.alias("core_values"), F.array("source", lang).alias("primary_channels"),
     ))
-    langs = caserules.bindings.read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("lang").alias("languages"))
-    tag = F.element_at(F.array(*map(F.lit, TAGS)), (F.col("value") % len(TAGS) + 1).cast("int"))
-    nodes = c.nodes.join(langs, "id").withColumn("metadata", F.when(F.col("node_type") == "Project", metadata)).withColumn("tags", F.array(tag))
-    return replace(c, nodes=nodes.select(*c.nodes.columns))
+    tag = F.element_at(F.array(*map(F.lit, TAGS)), (F.col("n_chars") % len(TAGS) + 1).cast("int"))
+    return caserules.document_cases(spark, sf_dir, more={"metadata": F.when(F.col("kind") == "Project", metadata), "tags": F.array(tag)})
 
 
 def g2_inferred_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,11 +33,12 @@ def _worded(text: Column, n: Column) -> Column:
     return F.concat_ws(" ", text, *(F.when(often(t) & (F.substring(digest, i + 1, 1) == "0"), _nth(words, n)) for i, (t, words) in enumerate(rules.KEYWORDS.items())))
 
 
-def document_cases(spark: SparkSession, sf_dir: str, varied: bool = False) -> Cases:
+def document_cases(spark: SparkSession, sf_dir: str, varied: bool = False, more: dict[str, Column] | None = None) -> Cases:
     """Cases, nodes, relations and hyperedges from ``documents``.
 
     ``varied``: two in three cases have other types, texts have keywords behind them, and channels and metrics
-    vary, as the invented texts hardly have any words that the rules look for.
+    vary, as the invented texts hardly have any words that the rules look for. ``more``: other columns of the
+    nodes, from those of ``documents``.
     """
     d = F.col("doc_id")
     case_of = lambda n: F.concat(F.lit("C"), F.floor(n / 10).cast("string"))
@@ -62,7 +63,7 @@ def document_cases(spark: SparkSession, sf_dir: str, varied: bool = False) -> Ca
         "case_id": case_of(d), "pos": (d % 10).cast("int"), "id": node_of(d), "node_type": F.col("kind"), "name": F.col("source"), "description": F.col("text"), "confidence": (d % 10) / 10,
         "metric_key": F.when(is_("Metric"), _nth(METRICS, d)), "value": F.col("amount").cast("double"), "stage": F.when(is_("Project"), _nth(STAGES, d)),
         "metadata": F.when(is_("Project"), metadata), "industry_benchmarks": F.when(is_("KnowledgeCard"), F.to_json(F.struct(F.array(fit).alias("channel_fit_data")))),
-    }
+    } | (more or {})
 
     def rows(df: DataFrame, schema: str, given: dict[str, Column]) -> DataFrame:
         return df.select(*(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in (f.split(" ") for f in schema.split(", "))))
