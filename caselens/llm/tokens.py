@@ -11,8 +11,8 @@ the size of the store; the payload itself is never searched for a key.
 
 Texts are cut where white space follows something else, which the tokenizer's
 own splitting rule never crosses: at spaces and line ends where white space stands
-alone, and by ``PIECE`` in texts where it does not and in parts that are not one
-word. Parts met before are taken from a bounded cache, all others go through the
+alone and before stops and commas that follow a letter or digit, and by ``PIECE`` in
+texts where white space does not stand alone and in parts that are not one word. Parts met before are taken from a bounded cache, all others go through the
 tokenizer. The ids are those of the whole text.
 
 Edge cases: a null or empty text has only the end id; rows with a null
@@ -24,6 +24,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -54,7 +55,11 @@ PIECE = re.compile(rf"{WHITE}*[^\W_]+|{WHITE}*{MARK}+[^\W_]*|{WHITE}+")
 DOUBLE = re.compile(r"\s\s")
 ALONE = re.compile(r"\S \S")
 #: Parts of one generation of the cache, and characters of text encoded together.
-LIMIT, GROUP = 250_000, 1 << 21
+LIMIT, GROUP = 150_000, 1 << 22
+
+
+#: What separates the parts of a text; a stop or comma is one's start in texts where each follows a letter or digit.
+CUT, STOP = "\x1e", re.compile(r"[.,](?<![^\W_][.,])")
 
 
 def part_key(piece: str) -> str:
@@ -84,6 +89,7 @@ class Encoder:
     def __init__(self, vocabulary: str, end_id: int, width: int):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype(f"<u{width}")
@@ -96,11 +102,9 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _encode_new(self, pieces: list[str]) -> dict[str, bytes]:
-        """Pieces that begin with white space and end without keep their ids when
+    def _encode_new(self, run: list[str], single: list[str]) -> dict[str, bytes]:
+        """``run``, pieces that begin with white space and end without, keep their ids when
         written one after the other, so many go through the tokenizer as one text."""
-        run = [p for p in pieces if p[0] in " \n" and len(p) > 1 and not p[-1].isspace()]
-        single = list(set(pieces).difference(run))
         groups = [run[i : i + 256] for i in range(0, len(run), 256)]
         out: dict[str, bytes] = {}
         size = self.kind.itemsize
@@ -111,36 +115,41 @@ class Encoder:
                 single.extend(group)
                 continue
             data = ids.tobytes()
-            out.update((p, data[x:y]) for p, (x, y) in zip(group, pairwise([*(starts * size).tolist(), len(data)])))
+            ends = [*(starts * size).tolist(), len(data)]
+            out.update(zip(group, map(data.__getitem__, map(slice, ends, ends[1:]))))
         out.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False)))
         return out
 
     def _learn(self, keys: list[str]) -> None:
         """Make all of ``keys``, which are not young, young."""
         young, old = self.young, self.old
-        new: dict[str, str] = {}
+        held = list(map(old.get, keys))
+        young.update({k: ids for k, ids in zip(keys, held) if ids is not None})
+        keys = [k for k, ids in zip(keys, held) if ids is None]
+        new = {" " + k: k for k in keys if k.isalpha()}
+        run, single = list(new), []
         mixed: list[tuple[str, list[str]]] = []
+        others: dict[str, str] = {}
         for k in keys:
-            ids = old.get(k)
-            if ids is not None:
-                young[k] = ids
-            elif k.isalpha():
-                new[" " + k] = k
+            if k.isalpha():
+                continue
+            text = part_text(k)
+            pieces = PIECE.findall(text)
+            if len(pieces) == 1:
+                others[text] = k
             else:
-                text = part_text(k)
-                pieces = PIECE.findall(text)
-                if len(pieces) == 1:
-                    new[text] = k
-                else:
-                    mixed.append((k, list(map(part_key, pieces))))
+                mixed.append((k, list(map(part_key, pieces))))
         for k in {p for _, pieces in mixed for p in pieces}:
             if k not in young:
                 if k in old:
                     young[k] = old[k]
-                else:
-                    new[part_text(k)] = k
-        for text, ids in self._encode_new(list(new)).items():
-            young[new[text]] = ids
+                elif (text := part_text(k)) not in new:
+                    others[text] = k
+        for text in others:
+            (run if text[0] in " \n" and len(text) > 1 and not text[-1].isspace() else single).append(text)
+        new |= others
+        coded = self._encode_new(run, single)
+        young.update(zip(map(new.__getitem__, coded), coded.values()))
         for k, pieces in mixed:
             young[k] = b"".join([young[p] for p in pieces])
 
@@ -166,15 +175,20 @@ class Encoder:
 
     def _texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without an end id."""
-        plain = [not DOUBLE.search(x) for x in texts]
+        plain = [CUT not in x and not DOUBLE.search(x) for x in texts]
         heads, rests = [], []
         for text, cut in zip(texts, plain):
-            head, space, rest = text.replace("\n", " \n").partition(" ") if cut else ("", "", "")
+            if cut:
+                stops = not STOP.search(text)
+                text = text.replace(" ", CUT).replace("\n", CUT + "\n")
+                if stops:
+                    text = text.replace(".", CUT + " .").replace(",", CUT + " ,")
+            head, space, rest = text.partition(CUT) if cut else ("", "", "")
             heads.append(head)
             rests.append(rest if space else None)
         # before the first space is nothing, or a part without a space before it
         first = iter(self._ids([" " + h for h in heads if h]))
-        after = self._joined(pc.split_pattern(pa.array(rests, pa.string()), " "))
+        after = self._joined(pc.split_pattern(pa.array(rests, pa.string()), CUT))
         other = iter(self._joined(pa.array([list(map(part_key, PIECE.findall(x))) for x, cut in zip(texts, plain) if not cut], pa.list_(pa.string()))))
         return [(next(first) if head else b"") + rest if cut else next(other) for head, rest, cut in zip(heads, after, plain)]
 

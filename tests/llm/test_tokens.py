@@ -65,3 +65,10 @@ def test_clashing_columns(spark, tmp_path):
     path = tokens.write_store(rows, f"file://{tmp_path}/s")
     got = tokens.read_store(rows.select(F.col("doc_id").alias("key")), path).collect()
     assert sorted((r.start, r.doc_id, r.n_tokens) for r in got) == [(0, None, 1), (1, 1, 3), (4, 2, 1)]
+
+
+def test_a_word_before_a_stop_is_learnt_once():
+    texts = ["heat, heat. heat.\nheat.42 heat", "a.b,c d.", ". a", "a .b", "a..b, c", "_. a", "é. 7, ß.", "a\x1e. b.", "a.  b, c", ".", "a,", "", "\n.a", "a.\n", "x, \ny."]
+    encoder = tokens.Encoder(VOCABULARY, 2, 2)
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == whole_ids(texts)
+    assert "heat" in encoder.young and not {"heat.", "heat,", "heat.42"} & encoder.young.keys()
