@@ -35,13 +35,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, path: str | None = None, rows: int | None = None, part: int = 50_000) -> DataFrame:
     """Write ``df`` as Parquet to shared storage and read it back.
 
     Cuts the lineage, so that a lost executor costs a re-read, not a recomputation.
+    With ``rows``, the most that ``df`` can have, it is made by a task for each ``part`` of
+    them (one for each core at least), as a small table in a loop would else be a file
+    for each shuffle partition in each round.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // part)))
     df.write.option("compression", "zstd").mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

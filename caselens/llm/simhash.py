@@ -259,15 +259,16 @@ def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of an edge (a, b).
+def components(edges: DataFrame, rounds: int = 100, rows: int | None = None) -> DataFrame:
+    """(node, root): the smallest node reachable, for every node of an edge (a, b), of
+    which there are at most ``rows`` (None: any number); no round makes more of them.
 
     Alternating star contraction: each round joins every node's larger
     neighbours, then its smaller ones, to its smallest neighbour, until nothing
     changes; the number of rounds grows with the logarithm of the diameter. A
     neighbourhood is never collected: minima are aggregates joined back.
     """
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components", rows=rows)
     before = None
     for _ in range(rounds):
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -278,11 +279,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.where("u <> v").distinct(), "components")
+        large = staged(large.where("u <> v").distinct(), "components", rows=rows)
         # small star: u and its neighbours below go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = staged(small.select("e.u", "e.v").where("u <> v").distinct(), "components")
+        now = staged(small.select("e.u", "e.v").where("u <> v").distinct(), "components", rows=rows)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -326,7 +327,7 @@ class Groups:
     """Groups of nodes that grow by links: (node, root) for every node in one with another."""
 
     def __init__(self, nodes: DataFrame, texts: DataFrame):
-        self.texts, self.read = texts, None
+        self.texts, self.read, self.size = texts, None, nodes.count()
         self.roots = nodes.select("node", F.col("node").alias("root"))
 
     def link(self, pairs: DataFrame) -> None:
@@ -335,13 +336,15 @@ class Groups:
         fresh = staged(fresh if self.read is None else fresh.join(self.read, ["a", "b"], "left_anti"), "simhash-pairs")
         self.read = fresh if self.read is None else self.read.union(fresh)
         wanted = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        edges = staged(similar(fresh, self.texts.join(wanted, "node", "left_semi")), "simhash-linked")
-        if edges.isEmpty():
+        # a pair brings two whole texts
+        edges = staged(similar(fresh, self.texts.join(wanted, "node", "left_semi")), "simhash-linked", rows=fresh.count(), part=2_000)
+        linked = edges.count()
+        if not linked:
             return
         root = lambda c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        merged = components(edges.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        merged = components(edges.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), rows=linked)
         merged = merged.select(F.col("node").alias("root"), F.col("root").alias("over"))
-        self.roots = staged(self.roots.join(merged, "root", "left").select("node", F.coalesce("over", "root").alias("root")), "simhash-roots")
+        self.roots = staged(self.roots.join(merged, "root", "left").select("node", F.coalesce("over", "root").alias("root")), "simhash-roots", rows=self.size)
 
     def mixed(self, placed: DataFrame, keys: list[str]) -> DataFrame:
         """The rows of ``placed`` (node, keys) whose bucket holds several groups."""

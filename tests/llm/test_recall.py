@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from caselens.llm import simhash
+from caselens.llm import _common, simhash
 
 
 def words(rng, n):
@@ -179,3 +179,26 @@ def test_counts_that_the_exact_step_rests_on():
         assert common >= max(simhash.needed(len(x)), simhash.needed(len(y)))
         shared = set(x[: simhash.prefix_length(len(x))]) & set(y[: simhash.prefix_length(len(y))])
         assert len(shared) >= max((simhash.needed(len(z)) + 9) // 10 for z in (x, y))
+
+
+def test_small_tables_of_the_loops_are_few_files(spark, monkeypatch, tmp_path):
+    """Rounds over few rows write a file for each core at most, not one for each shuffle partition."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    monkeypatch.setattr(_common, "scratch_root", lambda _: f"file://{tmp_path}")
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        base = words(rng, 60)
+        rows += [(3 * k + i, " ".join([*base, *words(rng, i)])) for i in range(3)]
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        kept = [r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id").collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted(kept) == list(range(0, 180, 3))
+    for name in ("components", "simhash-linked", "simhash-roots"):
+        files = [len(list(p.glob("part-*"))) for p in tmp_path.glob(f"{name}-*")]
+        assert files and max(files) <= spark.sparkContext.defaultParallelism, (name, files)
