@@ -20,7 +20,6 @@ ENTITY_ALIASES = {
 }
 PREREQ_HINTS = ["前置", "前提", "依赖", "基础是", "需要先", "先完成", "之前先"]
 FIX_HINTS = ["修复", "改进", "优化", "建议", "应当", "需要", "整改", "补齐", "解决方案"]
-EDGE_CAP = 5000
 
 
 def entity(c: Column) -> Column:
@@ -97,7 +96,7 @@ def backfill(cards: DataFrame, associations: DataFrame) -> dict[str, DataFrame]:
     """G11, J9, K9. What is added to a card graph, prefixes and names being fixed
     values: a project for each industry, a risk hyperedge for each card with the card
     and the concepts it is associated with, triggered by the industry's project; one
-    value loop of the concepts in none; PREREQ for associations between concepts."""
+    value loop of the concepts in none; PREREQ for all associations between concepts."""
     associations = checkpointed(associations)  # read for each table
     industry = F.coalesce(F.nullif(F.trim("industry"), F.lit("")), F.lit("Unknown"))
     project = F.concat(F.lit("全校示例项目-"), industry)
@@ -108,7 +107,7 @@ def backfill(cards: DataFrame, associations: DataFrame) -> dict[str, DataFrame]:
     risk = cards.select(edge(F.col("name")).alias("edge_id"), F.col("name").alias("node")).union(linked).distinct()
     concepts = associations.where("dst_label IN ('Concept', 'Method')").select(F.col("dst").alias("node")).distinct()
     loop = concepts.join(risk, "node", "left_anti").select(F.lit("HE_VALUE_CORE_BACKFILL").alias("edge_id"), "node")
-    prereq = associations.where("type = 'ASSOCIATED_WITH' AND src_label = 'Concept' AND dst_label = 'Concept'").select("src", "dst").distinct().orderBy("src", "dst").limit(EDGE_CAP)
+    prereq = associations.where("type = 'ASSOCIATED_WITH' AND src_label = 'Concept' AND dst_label = 'Concept'").select("src", "dst").distinct()
     return {"projects": projects, "triggers": triggers, "involves": risk.union(loop), "prereq": prereq}
 
 
