@@ -49,3 +49,37 @@ def test_questions_are_each_fiftieth_row(spark, sf_dir):
     """A search takes as questions every row whose id is divisible by 50, against all rows."""
     got = QUERIES["r9_questions"](spark, sf_dir).collect()
     assert got and all(r.question % 50 == 0 for r in got) and any(r.card_id % 50 for r in got)
+
+
+def _shuffled(spark, after: int) -> tuple[int, int]:
+    """The rows that stages behind number ``after`` shuffled, and the last stage."""
+    context = spark.sparkContext
+    none = context._jvm.java.util.ArrayList
+    stages = context._jsc.sc().statusStore().stageList(none(), False, False, context._gateway.new_array(context._jvm.double, 0), none())
+    stages = [stages.apply(k) for k in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in stages if s.stageId() > after), max((s.stageId() for s in stages), default=-1)
+
+
+def test_rows_shuffled_do_not_grow_with_questions_times_cards(spark, monkeypatch):
+    """Many blocks and slices: neither the postings nor the questions are shuffled for each pair of them."""
+    monkeypatch.setattr(cardindex, "CARDS", 16)
+    monkeypatch.setattr(cardindex, "QUESTIONS", 4)
+    cards = spark.createDataFrame([(k, f"t{k % 7}", f"common words {k % 11}th") for k in range(400)], "card_id long, title string, text string")
+    rows = [(q, p, w) for q in range(200) for p, w in enumerate(["common", "words", "th", f"{q % 11}th"])]
+    asked = spark.createDataFrame(rows, "question long, place int, keyword string")
+    _, last = _shuffled(spark, -1)
+    got = cardindex.retrieve_all(cardindex.build(cards), asked, 3).collect()
+    assert len(got) == 600 and all(r.card_id % 11 == r.question % 11 for r in got if r.question % 11 > 1)
+    assert _shuffled(spark, last)[0] < 4 * (len(rows) + 400)
+
+
+def test_a_keyword_in_a_word_that_repeats_it(spark):
+    """Occurrences do not overlap, in a word and over words, in texts beyond the basic plane too."""
+    texts = ["anana banana ana", "\U00020000ana\U00020000 ana na ana na", "ana nana na na", "an a"]
+    cards = spark.createDataFrame([(k, "t", x) for k, x in enumerate(texts)], "card_id long, title string, text string")
+    words = ["ana", "ana na", "\U00020000", "na na", "n"]
+    asked = spark.createDataFrame([(q, 0, w) for q, w in enumerate(words)], "question long, place int, keyword string")
+    got = cardindex.retrieve_all(cardindex.build(cards), asked, 4).collect()
+    for q, w in enumerate(words):
+        want = [(r.card_id, r.score) for r in retrieval.retrieve(cards, [w], 4).collect()]
+        assert [(r.card_id, r.score) for r in sorted(got, key=lambda r: r.place) if r.question == q] == want, w
