@@ -51,6 +51,13 @@ def test_questions_are_each_fiftieth_row(spark, sf_dir):
     assert got and all(r.question % 50 == 0 for r in got) and any(r.card_id % 50 for r in got)
 
 
+def test_every_document_is_a_question(spark, sf_dir):
+    """The whole job: the keywords of all documents, not of those with some ids."""
+    got = {r.question for r in QUERIES["r9_questions"](spark, sf_dir).select("question").collect()}
+    documents = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 100").select("doc_id").collect()}
+    assert len(documents & got) > 0.95 * len(documents) and {k % 50 for k in got} == set(range(50))
+
+
 def _shuffled(spark, after: int) -> tuple[int, int]:
     """The rows that stages behind number ``after`` shuffled, and the last stage."""
     context = spark.sparkContext
